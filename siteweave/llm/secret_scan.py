@@ -135,8 +135,9 @@ def redacted_documents(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
         for batch in batches:
-            texts = [x if x is None else redacted(x, scanner.spans(x)) for x in map(pa.Scalar.as_py, batch.column(text_at))]
-            sizes = [n if old == new else len(new) for old, new, n in zip(map(pa.Scalar.as_py, batch.column(text_at)), texts, batch.column(size_at).to_pylist(), strict=True)]
+            before = batch.column(text_at).to_pylist()
+            texts = [x if x is None else redacted(x, scanner.spans(x)) for x in before]
+            sizes = [n if old == new else len(new) for old, new, n in zip(before, texts, batch.column(size_at).to_pylist(), strict=True)]
             columns = list(batch.columns)
             columns[text_at] = pa.array(texts, batch.schema.field(text_at).type)
             columns[size_at] = pa.array(sizes, batch.schema.field(size_at).type)
