@@ -137,7 +137,7 @@ def scored_matches(matches: DataFrame, scores: DataFrame) -> DataFrame:
     counts = matches.where("target_type IS NOT NULL").groupBy("query_id", "target_type").count()
     usual = counts.groupBy("query_id").agg(F.min_by("target_type", F.struct(-F.col("count"), F.col("target_type"))).alias("_usual"))
     kind = F.coalesce("target_type", "_usual", F.lit("S"))
-    routed = matches.join(usual, "query_id", "left").withColumn("target_type", kind).drop("_usual").withColumn("score_class", F.when(kind == "Y", "Y").otherwise("ST"))
+    routed = matches.join(usual, "query_id", "left").withColumn("target_type", kind).drop("_usual").withColumn("score_class", F.when(F.col("target_type") == "Y", "Y").otherwise("ST"))
     return routed.join(scores.withColumnRenamed("site_id", "target_id"), ["target_id", "score_class"])
 
 
