@@ -21,9 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteweave.llm.shared import Memo, space_chunks
+from siteweave.llm.shared import Memo, ends_in_punctuation, space_chunks
 
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 600_000
 BUCKET = 4  # mean number of keys that share a displacement
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 MASK = (1 << 64) - 1
@@ -141,6 +141,8 @@ class ByteBPE:
         return [self.slot_ids[slot]] if slot >= 0 else self.merge(piece)
 
     def _encode_chunk(self, chunk: str) -> bytes:
+        if ends_in_punctuation(chunk):
+            return self.memo[chunk[:-1]] + self.memo[chunk[-1]]
         out: list[int] = []
         for piece in self.split(chunk):
             out += self.encode_piece(piece.encode())

@@ -76,7 +76,7 @@ def _fingerprints(texts: list[str]) -> np.ndarray:
         doc = np.repeat(np.arange(len(texts)), sizes)
         y = (x + np.uint64(1)) * _K[0]
         rolled = np.zeros(len(x), np.uint64)
-        for k in range(WINDOW):
+        for k in range(WINDOW if len(x) >= WINDOW else 0):
             rolled[WINDOW - 1 :] = rolled[WINDOW - 1 :] * _K[3] + y[k : len(x) - WINDOW + 1 + k]
         rolled = _mix(rolled)
         inside = np.arange(len(x)) - first[doc]

@@ -8,7 +8,8 @@ from pyspark.sql import SparkSession
 
 from siteweave.plans.storage import new_path, shared_dir, stored
 
-__all__ = ["Memo", "new_path", "partitions", "shared_dir", "space_chunks", "stored"]
+__all__ = ["Memo", "ends_in_punctuation", "new_path", "partitions", "shared_dir", "space_chunks", "stored"]
+
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -35,6 +36,11 @@ def space_chunks(text: str) -> list[str]:
     return parts if text else []
 
 
+def ends_in_punctuation(chunk: str) -> bool:
+    """Whether a full stop or comma follows a letter at the end: it is then a pre-token of its own."""
+    return len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isalpha()
+
+
 class Memo(dict):
     """A bounded memo: it is emptied when full, which changes cost and never results."""
 

@@ -26,14 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteweave.llm.shared import Memo, new_path, space_chunks, stored
+from siteweave.llm.shared import Memo, ends_in_punctuation, new_path, space_chunks, stored
 
 # Fixed values of the seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
 INDEX_MAGIC = 0x184D2A50
 SEEKABLE_MAGIC = 0x8F92EAB1
 
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 600_000
 SPAN = 2048  # frames of a file that one reading row covers
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -54,6 +54,8 @@ def encoder(tokenizer_path: str):
     tokenizer.encode_special_tokens = True
 
     def encode_chunk(chunk: str) -> bytes:
+        if ends_in_punctuation(chunk):
+            return memo[chunk[:-1]] + memo[chunk[-1]]
         return np.asarray(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     memo = Memo(encode_chunk, MEMO_ENTRIES)
