@@ -231,19 +231,19 @@ register_raw("ngram_pairs_plain", sql(f"{GRAMS} SELECT id1, id2, matching FROM p
 
 @query(
     """, k AS (SELECT DISTINCT aa FROM (SELECT unnest(string_split('ACDEFGHIKLMNPQRSTVWY','')) AS aa) WHERE aa<>''),
-    w AS (SELECT 'K'||k AS kinase, p AS position, aa, round(0.5 + ((k*7 + (p+5)*3 + ascii(aa)) % 11)/10.0, 2)::DOUBLE AS weight FROM (SELECT unnest(range(0,13)) AS k), (SELECT unnest([-5,-4,-3,-2,-1,1,2,3,4]) AS p), k),
+    w AS (SELECT 'K'||k AS kinase, p AS position, aa, (2 + (k*7 + (p+5)*3 + ascii(aa)) % 11)::DOUBLE/4 AS weight FROM (SELECT unnest(range(0,13)) AS k), (SELECT unnest([-5,-4,-3,-2,-1,1,2,3,4]) AS p), k),
     m AS (SELECT DISTINCT substr(motif,3,10) AS motif FROM fx_site WHERE length(motif)=15),
     c AS (SELECT motif, p-6 AS position, substr(motif,p,1) AS aa FROM (SELECT motif, unnest(range(1,11)) AS p FROM m))
-    SELECT motif, kinase, round(product(weight),3) AS score FROM c JOIN w USING (position, aa) GROUP BY 1,2""",
+    SELECT motif, kinase, product(weight) AS score FROM c JOIN w USING (position, aa) GROUP BY 1,2""",
     "fx_protein", "fx_site",
 )
 def pssm_scores(spark, d):
     ten = fx.sites(spark, d).where("length(motif) = 15").select(F.substring("motif", 3, 10).alias("motif"))
     k = spark.range(13).select(F.col("id").alias("k"))
     cells = k.select("k", F.explode(F.array(*[F.lit(p) for p in (-5, -4, -3, -2, -1, 1, 2, 3, 4)])).alias("position")).select("*", F.explode(F.array(*map(F.lit, X.AMINO))).alias("aa"))
-    weight = F.round(0.5 + F.pmod(F.col("k") * 7 + (F.col("position") + 5) * 3 + F.ascii("aa"), F.lit(11)) / 10.0, 2)
+    weight = (2 + F.pmod(F.col("k") * 7 + (F.col("position") + 5) * 3 + F.ascii("aa"), F.lit(11))) / 4.0  # products of quarters are exact in any order
     pssm = cells.select(F.concat(F.lit("K"), "k").alias("kinase"), "position", "aa", weight.alias("weight"))
-    return S.pssm_scores(ten, pssm).withColumn("score", F.round("score", 3))  # products in another order differ in the last bits
+    return S.pssm_scores(ten, pssm)
 
 
 NEAR = "fx_atom a JOIN fx_atom b ON a.structure_id=b.structure_id AND a.resno<>b.resno AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)"
