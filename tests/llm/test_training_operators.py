@@ -162,3 +162,25 @@ def test_shards(spark):
     assert len({r.shard for r in got if r.doc_id in (3, 7)}) == 1
     second = sharding.rebalance(spark, path, weights, 9)
     assert second.count() == first.count() and second.first().version == 2
+
+
+def test_word_hashes_follow_the_words():
+    words = ["a", "A", "ab", "ba", "É", "é", "x" * 64, "x" * 65, "x" * 130, "x" * 64 + "y", "y" + "x" * 64, " ", "a"]
+    text = " \t" + "\r\n".join(words) + "  " * 90
+    h = ngram_join.word_hashes(text)
+    assert len(h) == len(words)
+    lower = [w.lower() if w.isascii() else w for w in words]
+    for i, a in enumerate(lower):
+        for j, b in enumerate(lower):
+            assert (h[i] == h[j]) == (a == b)
+    assert len(ngram_join.word_hashes(None)) == len(ngram_join.word_hashes(" \n")) == 0
+
+
+def test_summaries_keep_frequent_shingles():
+    rng = np.random.default_rng(5)
+    summary = ngram_join.Summary(64)
+    for _ in range(300):
+        summary.add(np.concatenate([rng.integers(1000, 1 << 60, 20), np.arange(5)]))
+    summary.settle()
+    at = dict(zip(summary.tokens.tolist(), summary.counts.tolist(), strict=True))
+    assert len(at) <= 64 and all(at[k] <= 300 <= at[k] + summary.taken for k in range(5))
