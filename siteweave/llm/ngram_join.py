@@ -82,7 +82,9 @@ def word_hashes(text: str | None) -> np.ndarray:
     codes = _CODES[((place & (REACH - 1)) << 8) | data]
     if lengths.max() > REACH:
         turn = place // REACH
-        codes *= np.multiply.accumulate(np.full(int(turn.max()) + 1, _MUL[1]))[turn]
+        powers = np.full(int(turn.max()) + 1, _MUL[1])
+        powers[0] = 1  # so that a word hashes alike beside longer ones
+        codes *= np.multiply.accumulate(powers)[turn]
     return _mix(np.add.reduceat(codes, starts) ^ (lengths.astype(np.uint64) * _MUL[2]))
 
 

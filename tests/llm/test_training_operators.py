@@ -184,3 +184,12 @@ def test_summaries_keep_frequent_shingles():
     summary.settle()
     at = dict(zip(summary.tokens.tolist(), summary.counts.tolist(), strict=True))
     assert len(at) <= 64 and all(at[k] <= 300 <= at[k] + summary.taken for k in range(5))
+
+
+def test_long_words_leave_the_other_words_alone(spark):
+    words, long = [f"w{k}" for k in range(60)], "x" * 65
+    alone, beside = ngram_join.word_hashes(" ".join(words)), ngram_join.word_hashes(" ".join([*words, long]))
+    assert np.array_equal(alone, beside[:-1])
+    assert len(set(ngram_join.word_hashes(" ".join(["ab" * 40, "ba" * 40, "ab" * 39 + "ba", "a" * 300, "a" * 301])).tolist())) == 5
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, long])), (3, "far " + long)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.similar_documents(docs).collect()} == {1: 1, 2: 1, 3: 3}
