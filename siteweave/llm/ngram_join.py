@@ -12,8 +12,10 @@ Equal sets are one class from the start. Links are found in two passes. The firs
 the classes that share a prefix shingle to one of them only, a row each, and verifies
 those that share a part of what is needed there. The second looks at shingles whose classes are still in different
 components and verifies every pair across components; pairs inside one component can't
-change the result. All links between components are found, so the components are exact
-whatever order was used; no group of copies is expanded into its pairs.
+change the components. All links between components are found, so the components are exact
+whatever order was used. Then links are counted: they lie inside components only, so the
+sets of each component are dealt into blocks and every two blocks are compared as matrices,
+which counts all links of a set and makes no row for a pair.
 
 Before texts are fetched to verify a pair, the shingle counts of both sets in ``BUCKETS``
 hash buckets give an upper bound of what they share; pairs that can't reach 0.75 go.
@@ -48,7 +50,9 @@ ROUNDS = 3  # of the first pass
 LENIENT = 4  # a first-pass pair is verified for this part of the matches it needs
 BUCKETS = 256  # of the counts that bound what two sets share
 REACH = 64  # places in a word with codes of their own
-BLOCK = 512  # members of a shingle's block in the second pass
+BLOCK = 512  # members of a shingle's block in the second pass, and of a component's block
+BLOCK_SHINGLES = 1 << 20  # of a component's block
+WIDTH = 4096  # shingles that are compared at once
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -268,14 +272,8 @@ def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` of classes whose sets are similar enough, by their whole sets.
-
-    Shingles are made again for one document of every class in question, so that the sets
-    of all other documents are never moved.
-    """
-    pairs = stored(possible(pairs, classes), "ngram-possible")
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+def whole_sets(classes: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """``class, tokens``: the sets of the classes ``wanted(class)``, made again from one document of each."""
     chosen = stored(classes.where("_rep is not null").select("class", "_rep").join(wanted, "class", "left_semi"), "ngram-chosen")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,18 +286,72 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(same, pa.int64())), pa.array([sets[k] for k in same], pa.list_(pa.int64()))], ["class", "tokens"])
 
     texts = docs.select("doc_id", "text").join(chosen.withColumnRenamed("_rep", "doc_id"), "doc_id").select("class", "text")
-    sets = stored(texts.mapInArrow(run, "class long, tokens array<long>").dropDuplicates(["class"]), "ngram-sets")
+    return stored(texts.mapInArrow(run, "class long, tokens array<long>").dropDuplicates(["class"]), "ngram-sets")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` of classes whose sets are similar enough, by their whole sets.
+
+    Shingles are made again for one document of every class in question, so that the sets
+    of all other documents are never moved.
+    """
+    pairs = stored(possible(pairs, classes), "ngram-possible")
+    sets = whole_sets(classes, pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), docs)
     both = pairs.select("a", "b").join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), "a")
     both = both.join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))
     return both.where(100 * common >= PERCENT * (F.size("ta") + F.size("tb") - common)).select("a", "b")
 
 
+def links_within(tokens: np.ndarray, sizes: np.ndarray, own: np.ndarray, i: int, j: int) -> np.ndarray:
+    """How many sets of block j each set of block i is similar to, and the other way round; ``tokens`` holds all sets in turn."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    _, column, times = np.unique(tokens, return_inverse=True, return_counts=True)
+    owner, column = owner[times[column] > 1], column[times[column] > 1]
+    columns, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    common = np.zeros((len(left), len(right)))
+    for at in range(0, len(columns), WIDTH):
+        lo, hi = np.searchsorted(column, (at, at + WIDTH))
+        held = np.zeros((len(sizes), min(WIDTH, len(columns) - at)), np.float32)
+        held[owner[lo:hi], column[lo:hi] - at] = 1
+        common += held[left] @ held[right].T
+    similar = (100 * common >= PERCENT * (sizes[left][:, None] + sizes[right] - common)) & (left[:, None] != right)
+    out = np.zeros(len(sizes), np.int64)
+    out[left] += similar.sum(axis=1)
+    if i != j:
+        out[right] += similar.sum(axis=0)
+    return out
+
+
+def link_counts(classes: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFrame:
+    """``class, n_links``: the other classes similar to each class of ``comps(node, comp)``; all of them are in its component."""
+    members = classes.select("class", "n").join(comps.withColumnRenamed("node", "class"), "class")
+    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("held"))
+    sizes = stored(sizes.withColumn("blocks", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("held") / BLOCK_SHINGLES)).cast("int")), "ngram-sizes")
+    placed = stored(members.join(sizes, "comp").withColumn("own", F.pmod(F.xxhash64("class"), "blocks").cast("int")).select("class", "comp", "members", "blocks", "own"), "ngram-blocks")
+    two = placed.where("members = 2").select("class", F.lit(1).cast("long").alias("n_links"))  # the two are linked to each other
+    more = placed.where("members > 2")
+
+    def run(cell: pa.Table) -> pa.Table:
+        lists = pa.concat_arrays(cell["tokens"].chunks)
+        i, j = cell["i"][0].as_py(), cell["j"][0].as_py()
+        found = links_within(lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64), cell["own"].to_numpy(), i, j)
+        return pa.table({"class": cell["class"], "links": pa.array(found)})
+
+    dealt = more.select("class", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = dealt.join(whole_sets(classes, more.select("class"), docs), "class").select("class", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "tokens")
+    found = cells.groupBy("comp", "i", "j").applyInArrow(run, "class long, links long")
+    return two.union(found.groupBy("class").agg(F.sum("links").alias("n_links")))
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` to ``doc_id, n_shingles, component_id, n_links``.
 
-    ``n_links`` counts the verified links at the document's class; links that lie inside
-    a component already known are not looked for.
+    ``n_links`` counts the other sets, each once however many documents have it, that are
+    similar enough to the document's set.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = described(docs, frequent_shingles(docs))
@@ -352,7 +404,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     links = second if links is None else links.union(second)
     if comps is None or not second.isEmpty():
         comps = components(links, "ngram-second")
-    degree = links.select(F.col("a").alias("class")).union(links.select("b")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = link_counts(classes, comps, docs)
     classes = classes.select("class", F.col("_rep").alias("least")).join(comps.withColumnRenamed("node", "class"), "class", "left").join(degree, "class", "left")
     classes = stored(classes.select("class", "least", F.coalesce("comp", "class").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "ngram-classes")
     roots = stored(classes.groupBy("comp").agg(F.min("least").alias("component_id")), "ngram-roots")

@@ -193,3 +193,28 @@ def test_long_words_leave_the_other_words_alone(spark):
     assert len(set(ngram_join.word_hashes(" ".join(["ab" * 40, "ba" * 40, "ab" * 39 + "ba", "a" * 300, "a" * 301])).tolist())) == 5
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, long])), (3, "far " + long)], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in ngram_join.similar_documents(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_ngram_join_counts_all_links(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(ngram_join, "WIDTH", 2)
+    tokens, sizes, own = np.array([1, 2, 3, 4, 1, 2, 3, 9, 2, 3, 4]), np.array([4, 3, 1, 3]), np.array([0, 1, 1, 0])
+    assert [ngram_join.links_within(tokens, sizes, own, *ij).tolist() for ij in ((0, 0), (0, 1), (1, 1))] == [[1, 0, 0, 1], [1, 1, 0, 0], [0, 0, 0, 0]]
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    rng, rows = random.Random(8), []
+    for group in range(4):
+        base = [f"g{group}w{k}" for k in range(120)]
+        for _ in range(25):
+            copy = list(base)
+            for k in rng.sample(range(120), rng.randint(0, 4)):
+                copy[k] = f"n{rng.random()}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(len(rows), rows[1][1]), (len(rows) + 1, "quite alone here and now"), (len(rows) + 2, None)]
+    shingle = ngram_join.Shingler()
+    sets = {i: frozenset(shingle(t).tolist()) for i, t in rows}
+    kinds = set(sets.values())
+    want = {i: sum(s != x and bool(s) and 100 * len(s & x) >= 75 * len(s | x) for x in kinds) for i, s in sets.items()}
+    assert len(set(want.values())) > 10
+    got = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_links for r in got} == want
