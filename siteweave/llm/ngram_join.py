@@ -21,9 +21,9 @@ Before texts are fetched to verify a pair, the shingle counts of both sets in ``
 hash buckets give an upper bound of what they share; pairs that can't reach 0.75 go.
 
 Cases: null, empty and blank texts have no shingles and are alone; texts of fewer than
-five words have one; rows that repeat share a component; null doc_ids are compared like
-others and a component of them alone has a null id; an empty table gives no rows; other
-columns are ignored.
+five words have one; rows that repeat share a component; rows are told apart by a hash of
+doc_id and text, so null and repeated doc_ids are compared like others, and a component of
+nulls alone has a null id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -209,7 +209,7 @@ def bucket_counts(tokens: np.ndarray) -> bytes | None:
 
 
 def described(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``doc_id, n, class, matches, prefix, buckets`` of ``docs(doc_id, text)``, stored."""
+    """``doc_id, key, n, class, matches, prefix, buckets`` of ``docs(doc_id, text, key)``, stored."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,10 +228,10 @@ def described(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataF
                     buckets.append(bucket_counts(tokens))
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]), pa.int32())
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes) if prefixes else [], pa.int64()))
-                arrays = [part.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(matches, pa.int32()), lists, pa.array(buckets, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "class", "matches", "prefix", "buckets"])
+                arrays = [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(matches, pa.int32()), lists, pa.array(buckets, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "n", "class", "matches", "prefix", "buckets"])
 
-    return stored(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, class long, matches int, prefix array<long>, buckets binary"), "ngram-docs")
+    return stored(docs.select("doc_id", "text", "key").mapInArrow(run, "doc_id long, key long, n long, class long, matches int, prefix array<long>, buckets binary"), "ngram-docs")
 
 
 def sizes_fit(na: Column, nb: Column) -> Column:
@@ -274,7 +274,7 @@ def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def whole_sets(classes: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """``class, tokens``: the sets of the classes ``wanted(class)``, made again from one document of each."""
-    chosen = stored(classes.where("_rep is not null").select("class", "_rep").join(wanted, "class", "left_semi"), "ngram-chosen")
+    chosen = stored(classes.select("class", "_rep").join(wanted, "class", "left_semi"), "ngram-chosen")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
@@ -285,7 +285,7 @@ def whole_sets(classes: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFr
                 same = [k for k, s in enumerate(sets) if class_of(s) == part.column(0)[k].as_py()]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(same, pa.int64())), pa.array([sets[k] for k in same], pa.list_(pa.int64()))], ["class", "tokens"])
 
-    texts = docs.select("doc_id", "text").join(chosen.withColumnRenamed("_rep", "doc_id"), "doc_id").select("class", "text")
+    texts = docs.select("key", "text").join(chosen.withColumnRenamed("_rep", "key"), "key").select("class", "text")
     return stored(texts.mapInArrow(run, "class long, tokens array<long>").dropDuplicates(["class"]), "ngram-sets")
 
 
@@ -347,15 +347,16 @@ def link_counts(classes: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFr
     return two.union(found.groupBy("class").agg(F.sum("links").alias("n_links")))
 
 
-def similar_documents(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` to ``doc_id, n_shingles, component_id, n_links``.
+def row_key() -> Column:
+    """What tells rows apart: only rows with the same doc_id and text share it."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), "text", F.col("text").isNull())
 
-    ``n_links`` counts the other sets, each once however many documents have it, that are
-    similar enough to the document's set.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+def compared(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The described rows of ``docs(doc_id, text)``, and ``class, comp, component_id`` and ``n_links`` of the sets, stored."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("key"))
     table = described(docs, frequent_shingles(docs))
-    classes = table.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("_rep"), F.min("n").alias("n"), F.min("buckets").alias("buckets"))
+    classes = table.where("n > 0").groupBy("class").agg(F.min("key").alias("_rep"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("buckets").alias("buckets"))
     classes = stored(classes, "ngram-sketches")
 
     # Shingles of one class alone, or in no index prefix, need no look; that leaves few of all postings.
@@ -405,22 +406,36 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     if comps is None or not second.isEmpty():
         comps = components(links, "ngram-second")
     degree = link_counts(classes, comps, docs)
-    classes = classes.select("class", F.col("_rep").alias("least")).join(comps.withColumnRenamed("node", "class"), "class", "left").join(degree, "class", "left")
+    classes = classes.select("class", "least").join(comps.withColumnRenamed("node", "class"), "class", "left").join(degree, "class", "left")
     classes = stored(classes.select("class", "least", F.coalesce("comp", "class").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "ngram-classes")
     roots = stored(classes.groupBy("comp").agg(F.min("least").alias("component_id")), "ngram-roots")
-    named = stored(classes.join(roots, "comp").select("class", "component_id", "n_links"), "ngram-named")
+    return table, stored(classes.join(roots, "comp").select("class", "comp", "component_id", "n_links"), "ngram-named")
+
+
+def similar_documents(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` to ``doc_id, n_shingles, component_id, n_links``.
+
+    ``n_links`` counts the other sets, each once however many documents have it, that are
+    similar enough to the document's set.
+    """
+    table, named = compared(docs)
     full = table.where("n > 0").select("doc_id", "n", "class").join(named, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
     alone = table.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return full.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of every component (stage of the pipeline).
+    """One row of every component (stage of the pipeline): the smallest doc_id, a null only if there is no other.
 
-    Of rows that repeat one doc_id, one row stays. Documents without shingles stay.
+    Different texts that share a doc_id, or have none, are judged each by itself. All rows
+    without shingles stay.
     """
-    kept = similar_documents(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"]).drop("_kept").dropDuplicates(["doc_id"])
+    table, named = compared(docs)
+    found = table.where("n > 0").select("doc_id", "key", "class").join(named.select("class", "comp"), "class")
+    kept = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("_best")).select(F.col("_best.key").alias("_key"))
+    shown = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\t\n\x0B\f\r ]")  # has a word, and so a shingle
+    one = docs.where(shown).withColumn("_key", row_key()).join(kept, "_key").dropDuplicates(["_key"]).drop("_key")
+    return one.unionByName(docs.where(~shown))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

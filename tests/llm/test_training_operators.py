@@ -218,3 +218,14 @@ def test_ngram_join_counts_all_links(spark, monkeypatch):
     assert len(set(want.values())) > 10
     got = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.n_links for r in got} == want
+
+
+def test_null_and_repeated_ids_pass_the_stage(spark):
+    text = lambda name, off=0: " ".join(f"{name}{k}" for k in range(off, off + 60))
+    rows = [(None, text("a")), (None, text("a", 2)), (None, text("b")), (None, text("b")), (None, None), (None, " \n"), (4, ""), (4, None), (5, text("c")), (5, text("d")), (5, text("d")), (7, text("e", 2)), (None, text("e"))]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n long")
+    kept = ngram_join.one_of_each(docs).collect()
+    assert sorted(r.n for r in kept if r.n in (4, 5, 6, 7, 8, 11)) == [4, 5, 6, 7, 8, 11]
+    assert len(kept) == 9 and [sum(r.n in g for r in kept) for g in ((0, 1), (2, 3), (9, 10), (12,))] == [1, 1, 1, 0]
+    links = ngram_join.similar_documents(docs).where("doc_id is null and n_shingles > 0").collect()
+    assert sorted((str(r.component_id), r.n_links) for r in links) == [("7", 1), ("None", 0), ("None", 0), ("None", 1), ("None", 1)]
