@@ -6,7 +6,8 @@ that carry a checksum or a structure are validated before they count. Long hexad
 runs have no keyword; they are found by one scan for runs of 24 or more.
 
 Cases: null and empty texts have no spans and the digest of the empty string; very long
-texts are scanned whole; spans of different kinds may overlap; repeated rows repeat;
+texts are scanned whole; a private key's span covers its body, to the END line or, if that
+is missing, over the base64 lines; spans of different kinds may overlap; repeated rows repeat;
 other columns are ignored.
 """
 
@@ -33,7 +34,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CHECKED = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
-KEY = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
+# The header, and all up to its END line before any other header; without one, the headers and base64 lines that follow (the last may be short).
+KEY = re.compile(
+    r"""-----BEGIN\x20((?:[A-Z]+\x20)*)PRIVATE\x20KEY-----
+    (?:(?:(?!-----BEGIN\x20).)*?-----END\x20\1PRIVATE\x20KEY-----
+    |(?:(?:\s|\\[rn])*+(?:(?:Proc-Type|DEK-Info):[^\r\n\\]*+|[A-Za-z0-9+/]{16,}+={0,2}+))++(?:(?:\s|\\[rn])++[A-Za-z0-9+/]{1,15}+={0,2}+(?=[\x20\t]*+(?:[\r\n]|\\[rn]|["'`]|\Z)))?+
+    |)""",
+    re.S | re.X,
+)
 
 
 def checksum_holds(body: str, check: str) -> bool:
