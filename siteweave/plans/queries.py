@@ -379,7 +379,7 @@ def residue_features(spark, d):
 
 @query()
 def lsh_pairs(spark, d):
-    return P.lsh_pairs(_starts(spark, d), 20, 4)
+    return P.lsh_pairs(_starts(spark, d))
 
 
 @query()

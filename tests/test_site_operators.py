@@ -129,3 +129,19 @@ def test_entry_imports():
     import __spark_entry__ as entry
 
     assert "network_statistics" in entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_lsh_pairs_are_all_pairs_of_a_bucket(spark):
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    motifs = {f"i{k:02}": "".join(rng.choice("ACD") for _ in range(rng.randint(2, 7))) for k in range(40)} | {f"same{k}": "STYACDEF" for k in range(5)}
+    df = spark.createDataFrame(list(motifs.items()), "id string, motif string")
+    got = {(r.id1, r.id2): r.bands for r in P.lsh_pairs(df, least_bands=2, block=4).collect()}
+    assert all(got.get(p) == 20 for p in itertools.combinations([f"same{k}" for k in range(5)], 2))
+    held = {}
+    for r in P.lsh_bands(df.where("length(motif) >= 3").select("motif").distinct()).collect():
+        held.setdefault(r.motif, set()).add((r.band, r.value))
+    shared = {p: len(held.get(motifs[p[0]], set()) & held.get(motifs[p[1]], set())) for p in itertools.combinations(sorted(motifs), 2)}
+    assert got == {p: n for p, n in shared.items() if n >= 2}
