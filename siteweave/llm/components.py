@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteweave.llm.shared import stored
+from siteweave.llm.shared import Scratch
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, name: str = "components", scratch: Scratch | None = None) -> DataFrame:
     """``edges(a, b)`` of longs to ``node, comp``: comp is the smallest node it reaches.
 
     Every round is stored in the shared folder, so lineage stays short and a lost executor
     costs one round. Rounds grow with the logarithm of the longest chain. No edges: no rows.
     """
+    stored = (scratch or Scratch(edges.sparkSession, "components")).stored
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), f"{name}-edges")
     labels = both.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("node"), F.least("a", "comp").alias("comp"), F.lit(True).alias("moved"))
     labels = stored(labels, f"{name}-labels")

@@ -4,21 +4,22 @@ A document's set is its distinct five-word shingles (as 64-bit hashes). Sets are
 one global order, the shingles most frequent in the whole table last. Of a set of n
 shingles, of which any partner must share at least a = ceil(0.75 n), the prefix holds the
 first n - a + l; two similar sets share at least min(l1, l2) shingles of their prefixes,
-and more if their sizes are close (``needed_matches``). Every document takes the l, from 1 to ``MAX_MATCHES``, whose estimated postings plus
-candidate checks cost least: documents with frequent shingles in their prefix take a
-longer one and in exchange need more shared shingles before anything is verified.
-
-Equal sets are one class from the start. Links are found in two passes. The first links
-the classes that share a prefix shingle to one of them only, a row each, and verifies
-those that share a part of what is needed there. The second looks at shingles whose classes are still in different
-components and verifies every pair across components; pairs inside one component can't
-change the components. All links between components are found, so the components are exact
-whatever order was used. Then links are counted: they lie inside components only, so the
-sets of each component are dealt into blocks and every two blocks are compared as matrices,
-which counts all links of a set and makes no row for a pair.
-
-Before texts are fetched to verify a pair, the shingle counts of both sets in ``BUCKETS``
-hash buckets give an upper bound of what they share; pairs that can't reach 0.75 go.
+and more if their sizes are close (``needed_matches``). Every document takes the l, from 1
+to ``MAX_MATCHES``, whose estimated postings plus candidate checks cost least: documents
+with frequent shingles in their prefix take a longer one and in exchange need more shared
+shingles before anything is verified.
+
+Equal sets are one class from the start. Postings carry their place in the order: what two
+sets can still share from there on (the positional bound) decides whether they meet at all.
+Links are found in two passes. In the rounds of the first, each class proposes one other
+class, the one that shares most among the classes that its shingles elect as their centres;
+so a round makes a row a class at most. Linked classes form components. The second pass
+pairs a class with whole other components, the smaller with the larger, for which enough
+shared shingles are left, and compares it with all sets of the component in blocks. All
+links between components are found so, and the components are exact whatever order was
+used. Then links are counted: they lie inside components only, so the sets of each
+component are dealt into blocks and every two blocks are compared as matrices, which counts
+all links of a set and makes no row for a pair.
 
 Cases: null, empty and blank texts have no shingles and are alone; texts of fewer than
 five words have one; rows that repeat share a component; rows are told apart by a hash of
@@ -38,22 +39,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteweave.llm.components import components
-from siteweave.llm.shared import stored
+from siteweave.llm.shared import Scratch, partitions
 
 WORDS = 5
 PERCENT = 75
 MAX_MATCHES = 4
-SUMMARY = 1 << 17  # shingles that a task's summary of the frequent ones holds
-FREQUENT = 100_000  # most frequent shingles that the order knows
+SKETCH_BITS = 22  # of the counters that estimate how frequent a shingle is
+CHUNKS = 128  # parts in which the counters are summed
 CHECK_COST = 8.0  # of verifying a candidate, in postings
-ROUNDS = 3  # of the first pass
+ROUNDS = 5  # of the first pass, at most
+FEW = 0.05  # links a proposal under which the first pass ends
 LENIENT = 4  # a first-pass pair is verified for this part of the matches it needs
-BUCKETS = 256  # of the counts that bound what two sets share
-REACH = 64  # places in a word with codes of their own
-BLOCK = 512  # members of a shingle's block in the second pass, and of a component's block
+BLOCK = 512  # sets of a component's block
 BLOCK_SHINGLES = 1 << 20  # of a component's block
 WIDTH = 4096  # shingles that are compared at once
+SLICE_BYTES = 1 << 21  # of text that are shingled at once
+HELD_POSTINGS = 1 << 19  # that a task gathers before it deals them out
+BROADCAST_ROWS = 500_000  # of two longs
+HALF = PERCENT / (100 + PERCENT)  # of the sum of two sizes that similar sets share at least
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
+_INVERSE = np.uint64(pow(int(_MUL[0]), -1, 1 << 64))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -63,33 +68,81 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    blank = np.zeros(256, bool)
-    blank[[9, 10, 11, 12, 13, 32]] = True
-    codes = _mix(np.arange(1, REACH * 256 + 1, dtype=np.uint64) * _MUL[0]).reshape(REACH, 256)
-    codes[:, blank] = 0
-    return blank, codes.ravel()
+    shown = np.ones(256, bool)
+    shown[[9, 10, 11, 12, 13, 32]] = False
+    codes = _mix(np.arange(1, 257, dtype=np.uint64) * _MUL[1])
+    codes[65:91] = codes[97:123]  # A-Z as a-z
+    return shown, codes
 
 
-_BLANK, _CODES = _tables()
+_SHOWN, _CODES = _tables()
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+class Shingler:
+    """Word and shingle hashes of many texts at once.
+
+    A word's hash is a polynomial over its bytes. Running sums over all bytes give it for
+    every word: the sum between its ends, divided by the power at its start.
+    """
+
+    def __init__(self, words: int = WORDS):
+        self.words, self.up, self.down = words, np.empty(0, np.uint64), np.empty(0, np.uint64)
+
+    def word_hashes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all words (A-Z taken as a-z) and the place of each text's first, with the end."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        off = offsets - offsets[0]
+        if not len(data):
+            return np.empty(0, np.uint64), np.zeros(len(off), np.int64)
+        if len(self.up) <= len(data):
+            self.up, self.down = (_powers(x, max(SLICE_BYTES, len(data)) + 1) for x in (_MUL[0], _INVERSE))
+        shown = _SHOWN[data]
+        first, last = shown.copy(), shown.copy()
+        first[1:] &= ~shown[:-1]
+        last[:-1] &= ~shown[1:]
+        inner = off[(off > 0) & (off < len(data))]
+        first[inner], last[inner - 1] = shown[inner], shown[inner - 1]
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_CODES[data] * self.up[: len(data)], out=sums[1:])
+        hashes = (sums[ends] - sums[starts]) * self.down[starts]
+        return _mix(hashes ^ ((ends - starts).astype(np.uint64) * _MUL[2])), np.searchsorted(starts, off)
+
+    def shingles(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The shingle hashes (int64) of all texts, repeats and all, and the place of each text's first, with the end."""
+        h, at = self.word_hashes(texts)
+        words = np.diff(at)
+        counts = np.where(words > 0, np.maximum(1, words - self.words + 1), 0)
+        places = np.concatenate([[0], np.cumsum(counts)])
+        begin = np.repeat(at[:-1] - places[:-1], counts) + np.arange(places[-1])
+        length = np.minimum(words, self.words)
+        length = length[0] if len(length) and (length == length[0]).all() else np.repeat(length, counts)
+        mixed = np.zeros(len(begin), np.uint64) + np.asarray(length).astype(np.uint64)
+        for k in range(self.words):
+            if np.ndim(length) == 0 and k >= length:
+                break
+            near = h[np.minimum(begin + k, len(h) - 1)] if len(h) else h
+            step = mixed ^ near
+            step *= _MUL[k % 5]
+            step ^= step >> np.uint64(31)
+            mixed = step if np.ndim(length) == 0 else np.where(k < length, step, mixed)
+        return _mix(mixed).view(np.int64), places
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        """The sorted distinct shingle hashes of a text."""
+        return distinct(self.shingles(pa.array([text], pa.string()))[0])
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z taken as a-z: the sum of a code for every byte and its place in the word."""
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)  # bytes.lower: A-Z only
-    edges = np.flatnonzero(np.diff(~_BLANK[data], prepend=False, append=False))
-    starts, lengths = edges[::2], edges[1::2] - edges[::2]
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    data = data[starts[0] :]
-    starts = starts - starts[0]
-    place = np.arange(len(data)) - np.repeat(starts, np.diff(starts, append=len(data)))
-    codes = _CODES[((place & (REACH - 1)) << 8) | data]
-    if lengths.max() > REACH:
-        turn = place // REACH
-        powers = np.full(int(turn.max()) + 1, _MUL[1])
-        powers[0] = 1  # so that a word hashes alike beside longer ones
-        codes *= np.multiply.accumulate(powers)[turn]
-    return _mix(np.add.reduceat(codes, starts) ^ (lengths.astype(np.uint64) * _MUL[2]))
+    return Shingler().word_hashes(pa.array([text], pa.string()))[0]
 
 
 def distinct(values: np.ndarray) -> np.ndarray:
@@ -97,150 +150,128 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
-class Shingler:
-    def __init__(self, words: int = WORDS):
-        self.words = words
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        """The sorted distinct shingle hashes of a text (int64)."""
-        h = word_hashes(text)
-        if not len(h):
-            return np.empty(0, np.int64)
-        n = max(1, len(h) - self.words + 1)
-        mixed = np.full(n, np.uint64(min(len(h), self.words)))
-        for k in range(min(self.words, len(h))):
-            mixed ^= h[k : k + n]
-            mixed *= _MUL[k % 5]
-            mixed ^= mixed >> np.uint64(31)
-        return distinct(_mix(mixed).view(np.int64))
+def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of texts of about ``SLICE_BYTES``, with the place of their first; a longer text is one by itself."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        before = sizes[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, side="right")))
+        yield lo, texts.slice(lo, hi - lo)
+        lo = hi
 
 
 def least_shared(n: int, percent: int = PERCENT) -> int:
     return -(-n * percent // 100)
 
 
-def prefix(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
-    """A set's prefix and the number of matches that it asks for."""
-    n = len(tokens)
-    shared = least_shared(n, percent)
-    known = np.ones(n)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        hit = frequent[at] == tokens
-        if hit.any():
-            known = np.where(hit, counts[at], 1.0)
-            order = np.lexsort((tokens, known))
-            tokens, known = tokens[order], known[order]
-    others = np.cumsum(known - 1)  # documents besides this one in the lists of a prefix
-    best, matches = None, 1
-    for m in range(1, min(MAX_MATCHES, shared) + 1):
-        size = n - shared + m
-        cost = size + others[size - 1] + CHECK_COST * others[size - 1] / m
-        if best is None or cost < best:
-            best, matches = cost, m
-    return tokens[: n - shared + matches], matches
-
-
-class Summary:
-    """A Misra-Gries summary of the shingles of many sets, at most ``size`` of them.
-
-    A shingle that more than one in ``size`` of all that were added are equal to is in it.
+class Order:
+    """The global order of shingles: by estimated frequency, then by hash.
+
+    ``counts`` has a counter for every value of a shingle's leading bits; what other
+    shingles add to a counter on the mean is taken off the estimate. Levels are eighths of
+    an octave, a byte a counter.
     """
 
-    def __init__(self, size: int = SUMMARY):
-        self.size, self.taken, self.waiting, self.held = size, 0, [], 0
-        self.tokens, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def add(self, tokens: np.ndarray) -> None:
-        self.waiting.append(tokens)
-        self.held += len(tokens)
-        if self.held >= 8 * self.size:
-            self.settle()
-
-    def settle(self) -> None:
-        fresh = np.sort(np.concatenate([self.tokens[:0], *self.waiting]))
-        first = np.flatnonzero(np.concatenate([[True], fresh[1:] != fresh[:-1]])) if len(fresh) else np.empty(0, np.int64)
-        tokens, counts = np.concatenate([self.tokens, fresh[first]]), np.concatenate([self.counts, np.diff(first, append=len(fresh))])
-        order = np.argsort(tokens, kind="stable")
-        tokens, counts = tokens[order], counts[order]
-        if len(tokens):
-            first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-            tokens, counts = tokens[first], np.add.reduceat(counts, first)
-        if len(tokens) > self.size:
-            least = int(np.partition(counts, -self.size - 1)[-self.size - 1])
-            kept = counts > least
-            tokens, counts = tokens[kept], counts[kept] - least
-            self.taken += least
-        self.tokens, self.counts, self.waiting, self.held = tokens, counts, [], 0
-
-
-def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of all documents, with about the number of sets that hold them.
-
-    Every task sums up its share of the table, equal sets once, and the summaries are
-    added. They only set the global order and the matches asked for: neither changes results.
+    def __init__(self, counts: np.ndarray):
+        self.shift = np.uint64(64 - int(len(counts)).bit_length() + 1)
+        self.levels = np.floor(8 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
+        self.others = np.maximum(0.0, 2.0 ** (np.arange(256) / 8) - counts.mean() - 1)
+
+    def prefix(self, tokens: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
+        """A set's prefix, in order, and the number of matches that it asks for."""
+        n = len(tokens)
+        shared = least_shared(n, percent)
+        most = min(MAX_MATCHES, shared)
+        level = self.levels[(tokens.view(np.uint64) >> self.shift).view(np.int64)]
+        order = np.argsort(level, kind="stable")[: n - shared + most]
+        others = np.cumsum(self.others[level[order]])  # documents besides this one in the lists of a prefix
+        m = np.arange(1, most + 1)
+        others = others[n - shared + m - 1]
+        best = int(np.argmin(n - shared + m + others + CHECK_COST * others / m)) + 1
+        return tokens[order[: n - shared + best]], best
+
+
+def shingle_order(docs: DataFrame, bits: int = SKETCH_BITS) -> Order:
+    """Counters of all shingles of all documents, equal texts of a batch once.
+
+    Every task sums up its share of the table in counters of a fixed number, which are
+    added chunk by chunk. They only set the order and the matches asked for, so they change
+    cost and never results; a counter of one task stops at 255.
     """
+    size = (1 << bits) // CHUNKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, summary, seen = Shingler(), Summary(), set()
-        for batch in batches:
-            for text in batch.column(0):
-                tokens = shingle(text.as_py())
-                if len(tokens) and (name := class_of(tokens)) not in seen:
-                    seen.add(name)
-                    summary.add(tokens)
-        summary.settle()
-        yield pa.RecordBatch.from_arrays([pa.array(summary.tokens), pa.array(summary.counts + summary.taken)], ["token", "sets"])
+        shingler, counts, held = Shingler(), np.zeros(1 << bits, np.int32), []
 
-    counted = docs.select("text").mapInArrow(run, "token long, sets long").groupBy("token").agg(F.sum("sets").alias("sets")).where("sets >= 3")
-    rows = counted.orderBy(F.desc("sets"), "token").limit(FREQUENT).toPandas().sort_values("token")  # bounded
-    return rows["token"].to_numpy(np.int64), rows["sets"].to_numpy(float)
+        def settle() -> None:
+            if held:
+                np.add(counts, np.bincount((np.concatenate(held).view(np.uint64) >> np.uint64(64 - bits)).view(np.int64), minlength=1 << bits), out=counts, casting="unsafe")
+                held.clear()
+
+        for batch in batches:
+            for _, texts in slices(batch.column(0).unique()):
+                held.append(shingler.shingles(texts)[0])
+                if sum(map(len, held)) > 1 << 21:
+                    settle()
+        settle()
+        parts = np.minimum(counts, 255).astype(np.uint8).reshape(CHUNKS, size)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())], ["chunk", "counts"])
 
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        total = np.zeros(size, np.int32)
+        for x in rows["counts"]:
+            total += np.frombuffer(x.as_py(), np.uint8)
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-def class_of(tokens: np.ndarray) -> int:
-    """One number for a whole set; sets are taken as equal when it is."""
-    return int(xxhash.xxh3_64_intdigest(tokens.tobytes())) - (1 << 63)
+    schema = "chunk int, counts binary"
+    counts = np.zeros((CHUNKS, size), np.int32)
+    for r in docs.select("text").mapInArrow(run, schema).groupBy("chunk").applyInArrow(add, schema).collect():  # CHUNKS rows at most
+        counts[r.chunk] = np.frombuffer(r.counts, np.int32)
+    return Order(counts.ravel())
 
 
-def bucket_counts(tokens: np.ndarray) -> bytes | None:
-    """A byte per bucket; None for sets with a fuller bucket than a byte counts."""
-    counts = np.bincount(tokens & (BUCKETS - 1), minlength=BUCKETS)
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+def class_of(tokens: np.ndarray, seed: int = 0) -> int:
+    """One number for a whole set."""
+    return int(xxhash.xxh3_64_intdigest(tokens.tobytes(), seed)) - (1 << 63)
 
 
-def described(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``doc_id, key, n, class, matches, prefix, buckets`` of ``docs(doc_id, text, key)``, stored."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def described(docs: DataFrame, order: Order, seed: int = 0) -> DataFrame:
+    """``doc_id, key, n, class, check, matches, prefix`` of ``docs(doc_id, text, key)``; class and check are two hashes of the set."""
+    shared = docs.sparkSession.sparkContext.broadcast(order)  # a byte a counter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler()
+        shingler, prefix = Shingler(), shared.value.prefix
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sizes, classes, matches, prefixes, buckets = [], [], [], [], []
-                for text in part.column(1):
-                    tokens = shingle(text.as_py())
-                    first, m = prefix(tokens, *shared.value) if len(tokens) else (tokens, 0)
-                    sizes.append(len(tokens))
-                    classes.append(class_of(tokens) if len(tokens) else None)
+            for lo, texts in slices(batch.column(1)):
+                tokens, at = shingler.shingles(texts)
+                sizes, classes, checks, matches, prefixes = [], [], [], [], []
+                for k in range(len(texts)):
+                    own = distinct(tokens[at[k] : at[k + 1]])
+                    first, m = prefix(own) if len(own) else (own, 0)
+                    sizes.append(len(own))
+                    classes.append(class_of(own, seed) if len(own) else None)
+                    checks.append(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63) if len(own) else None)
                     matches.append(m)
                     prefixes.append(first)
-                    buckets.append(bucket_counts(tokens))
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]), pa.int32())
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes) if prefixes else [], pa.int64()))
-                arrays = [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(matches, pa.int32()), lists, pa.array(buckets, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "n", "class", "matches", "prefix", "buckets"])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]), pa.int32()), pa.array(np.concatenate(prefixes), pa.int64()))
+                part = batch.slice(lo, len(texts))
+                arrays = [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(checks, pa.int64()), pa.array(matches, pa.int32()), lists]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "n", "class", "check", "matches", "prefix"])
 
-    return stored(docs.select("doc_id", "text", "key").mapInArrow(run, "doc_id long, key long, n long, class long, matches int, prefix array<long>, buckets binary"), "ngram-docs")
+    return docs.select("doc_id", "text", "key").mapInArrow(run, "doc_id long, key long, n long, class long, check long, matches int, prefix array<long>")
 
 
 def sizes_fit(na: Column, nb: Column) -> Column:
     return 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
 
 
-def index_length(n: Column, m: Column) -> Column:
+def index_length(n, m, ceil=F.ceil):
     """Length of the shorter prefix that a set needs towards sets that are not smaller."""
-    return n - F.ceil(2 * PERCENT * n / (100 + PERCENT)) + m
+    return n - ceil(2 * PERCENT * n / (100 + PERCENT)) + m
 
 
 def needed_matches(larger: tuple[Column, Column], smaller: tuple[Column, Column]) -> Column:
@@ -251,58 +282,205 @@ def needed_matches(larger: tuple[Column, Column], smaller: tuple[Column, Column]
     shingles left as its prefix leaves out, so c less the greater of those are shared.
     """
     (na, ma), (nb, mb) = larger, smaller
-    common = F.ceil(PERCENT * (na + nb) / (100 + PERCENT))
     left_out = F.greatest(F.ceil(PERCENT * na / 100) - ma, nb - index_length(nb, mb))
-    return F.greatest(F.lit(1), common - left_out).cast("long")
+    return F.greatest(F.lit(1), common_least(na, nb) - left_out).cast("long")
 
 
-def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose bucket counts allow that they are similar enough."""
+def common_least(na: Column, nb: Column) -> Column:
+    return F.ceil(PERCENT * (na + nb) / (100 + PERCENT))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = [np.frombuffer(b"".join(x.as_py() or bytes(BUCKETS) for x in batch.column(k)), np.uint8).reshape(-1, BUCKETS) for k in (3, 5)]
-            sizes = batch.column(2).to_numpy() + batch.column(4).to_numpy()
-            most = np.minimum(*counts).sum(axis=1, dtype=np.int64)
-            unknown = pc.or_(batch.column(3).is_null(), batch.column(5).is_null()).to_numpy(zero_copy_only=False)
-            yield batch.select([0, 1]).filter(pa.array(unknown | (100 * most >= PERCENT * (sizes - most))))
 
-    for side in "ab":
-        pairs = pairs.join(classes.select(F.col("class").alias(side), F.col("n").alias(f"n{side}"), F.col("buckets").alias(f"s{side}")), side)
-    return pairs.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
+def may_meet(x: str, z: str) -> tuple[Column, Column]:
+    """The matches that the postings ``x`` and ``z`` (column prefixes) ask for, and whether they can count as one.
+
+    The k-th common shingle in order leaves each side n - pos shingles, itself included;
+    for k up to the matches asked for, k - 1 and those must reach what similar sets share.
+    """
+    (cx, nx, px, mx, ix), (cz, nz, pz, mz, iz) = ([F.col(f"{s}.{c}") for c in ("class", "n", "pos", "matches", "indexed")] for s in (x, z))
+    smaller = (nx < nz) | ((nx == nz) & (cx < cz))
+    needed = F.when(smaller, needed_matches((nz, mz), (nx, mx))).otherwise(needed_matches((nx, mx), (nz, mz)))
+    reach = F.least(nx - px, nz - pz) + needed - 1
+    return needed, F.when(smaller, ix).otherwise(iz) & sizes_fit(nx, nz) & (reach >= common_least(nx, nz))
+
+
+RECORD = np.dtype([("token", "<i8"), ("class", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("m", "i1")])
+LIVE = "token long, class long, n long, pos long, matches int, indexed boolean"
+
+
+def live_postings(table: DataFrame, buckets: int) -> DataFrame:
+    """The postings that another one in their list could match, a row each.
+
+    Nearly all shingles of prefixes are in one set alone. Tasks deal their postings by
+    shingle into buckets, packed; each bucket is sorted and keeps what can matter.
+    """
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
 
-def whole_sets(classes: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame:
+        def dealt() -> pa.RecordBatch:
+            rows = np.concatenate(held)
+            held.clear()
+            bucket = ((rows["token"].view(np.uint64) * _MUL[2]) >> np.uint64(33)).astype(np.int64) % buckets
+            order = np.argsort(bucket, kind="stable")
+            rows, bucket = rows[order], bucket[order]
+            first = np.flatnonzero(np.diff(bucket, prepend=-1))
+            parts = [rows[a:b].tobytes() for a, b in zip(first, [*first[1:], len(rows)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), pa.array(parts, pa.binary())], ["bucket", "data"])
+
+        for batch in batches:
+            _, own = np.unique(batch.column(0).to_numpy(), return_index=True)  # equal sets of a batch once
+            batch = batch.take(pa.array(np.sort(own)))
+            lists = batch.column(3)
+            sizes = lists.value_lengths().to_numpy()
+            rows = np.empty(int(sizes.sum()), RECORD)
+            rows["token"] = lists.flatten().to_numpy()
+            for name, column in (("class", 0), ("n", 1), ("m", 2)):
+                rows[name] = np.repeat(batch.column(column).to_numpy(), sizes)
+            rows["pos"] = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            held.append(rows)
+            if sum(map(len, held)) >= HELD_POSTINGS:
+                yield dealt()
+        if held:
+            yield dealt()
+
+    def sift(bucket: pa.Table) -> pa.Table:
+        rows = np.concatenate([np.frombuffer(x.as_py(), RECORD) for x in bucket["data"]])
+        rows = rows[np.lexsort((rows["class"], rows["token"]))]
+        rows = rows[np.concatenate([[True], (rows["token"][1:] != rows["token"][:-1]) | (rows["class"][1:] != rows["class"][:-1])])]
+        rows = sifted(rows)
+        n, m = rows["n"].astype(np.int64), rows["m"].astype(np.int64)
+        indexed = rows["pos"] < index_length(n, m, np.ceil)
+        return pa.table({"token": rows["token"].copy(), "class": rows["class"].copy(), "n": n, "pos": rows["pos"].astype(np.int64), "matches": m.astype(np.int32), "indexed": indexed})
+
+    packed = table.where("n > 0").select("class", "n", "matches", "prefix").mapInArrow(deal, "bucket int, data binary")
+    return packed.groupBy("bucket").applyInArrow(sift, LIVE)
+
+
+def sifted(rows: np.ndarray) -> np.ndarray:
+    """Of postings in order of their shingle, those that the positional bound lets match another one of the same list."""
+    while len(rows):
+        first = np.flatnonzero(np.concatenate([[True], rows["token"][1:] != rows["token"][:-1]]))
+        sizes = np.diff(first, append=len(rows))
+        group = np.repeat(np.arange(len(first)), sizes)
+        n = rows["n"].astype(np.float64)
+        spare = n - rows["pos"] + (MAX_MATCHES - 1) - HALF * n
+        keep = (sizes[group] > 1) & (_best_of_others(spare, first, sizes, group) >= HALF * n - 1e-6) & (-_best_of_others(-n, first, sizes, group) * HALF <= spare + 1e-6)
+        if keep.all():
+            break
+        rows = rows[keep]
+    return rows
+
+
+def _best_of_others(values: np.ndarray, first: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The greatest value of each group without the row itself."""
+    order = np.lexsort((-values, group))
+    top = values[order][first]
+    second = np.where(sizes > 1, values[order][np.minimum(first + 1, len(values) - 1)], -np.inf)
+    out = top[group]
+    leaders = order[first]
+    out[leaders] = second
+    return out
+
+
+def whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, scratch: Scratch, seed: int) -> DataFrame:
     """``class, tokens``: the sets of the classes ``wanted(class)``, made again from one document of each."""
-    chosen = stored(classes.select("class", "_rep").join(wanted, "class", "left_semi"), "ngram-chosen")
+    chosen = scratch.stored(classes.select("class", F.col("_rep").alias("key")).join(wanted, "class", "left_semi"), "chosen")
+    if chosen.count() <= BROADCAST_ROWS:  # two longs a row; beyond, texts are shuffled
+        chosen = F.broadcast(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler()
+        shingler = Shingler()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [shingle(x.as_py()) for x in part.column(1)]
-                same = [k for k, s in enumerate(sets) if class_of(s) == part.column(0)[k].as_py()]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(same, pa.int64())), pa.array([sets[k] for k in same], pa.list_(pa.int64()))], ["class", "tokens"])
-
-    texts = docs.select("key", "text").join(chosen.withColumnRenamed("_rep", "key"), "key").select("class", "text")
-    return stored(texts.mapInArrow(run, "class long, tokens array<long>").dropDuplicates(["class"]), "ngram-sets")
+            for lo, texts in slices(batch.column(1)):
+                tokens, at = shingler.shingles(texts)
+                names = batch.column(0).slice(lo, len(texts)).to_pylist()
+                sets = [distinct(tokens[at[k] : at[k + 1]]) for k in range(len(texts))]
+                same = [k for k, s in enumerate(sets) if class_of(s, seed) == names[k]]  # two rows' keys may be equal
+                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in same], pa.int64()), pa.array([sets[k] for k in same], pa.list_(pa.int64()))], ["class", "tokens"])
 
+    texts = docs.select("key", "text").join(chosen, "key").select("class", "text")
+    return scratch.stored(texts.mapInArrow(run, "class long, tokens array<long>").dropDuplicates(["class"]), "sets")
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` of classes whose sets are similar enough, by their whole sets.
 
-    Shingles are made again for one document of every class in question, so that the sets
-    of all other documents are never moved.
-    """
-    pairs = stored(possible(pairs, classes), "ngram-possible")
-    sets = whole_sets(classes, pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), docs)
-    both = pairs.select("a", "b").join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), "a")
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` of classes whose sets are similar enough, by their whole sets."""
+    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), "a")
     both = both.join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))
     return both.where(100 * common >= PERCENT * (F.size("ta") + F.size("tb") - common)).select("a", "b")
 
 
+def proposals(placed: DataFrame, turn: int) -> DataFrame:
+    """``a, b``: for each class the one class of another component that it shares most centred shingles with.
+
+    Every shingle that is still in several components has one class as its centre, by a
+    hash of class and turn, so that a class is a centre of all its shingles or of few.
+    """
+    centre = F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("hash"), "class", "n", "pos", "matches", "indexed", "comp")).alias("z")
+    centres = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), centre).where("lo <> hi").select("token", "z")
+    met = placed.select("token", F.struct("class", "n", "pos", "matches", "indexed", "comp").alias("x")).join(centres, "token")
+    needed, fits = may_meet("x", "z")
+    met = met.where((F.col("x.comp") != F.col("z.comp")) & fits)
+    pairs = met.groupBy(F.col("x.class").alias("a"), F.col("z.class").alias("b"), F.col("z.hash").alias("hash"), needed.alias("needed")).count()
+    best = pairs.where(f"{LENIENT} * count >= needed").groupBy("a").agg(F.max(F.struct("count", "hash", "b")).alias("best"))
+    return best.select("a", F.col("best.b").alias("b"))
+
+
+def crossings(placed: DataFrame) -> DataFrame:
+    """``class, comp``: classes and whole components, not smaller than their own, that may hold a partner of theirs.
+
+    A row of the join stands for all of a component's postings in a list. A pair that is
+    similar enough shares as many shingles as both ask for, each of which passes the bound.
+    """
+    open_ = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    rows = placed.join(open_, "token", "left_semi")
+    spare = F.col("n") - F.col("pos") + (MAX_MATCHES - 1) - HALF * F.col("n")
+    groups = rows.groupBy("token", "comp", "members").agg(F.max(spare).alias("spare"), F.min("n").alias("n"), F.min("matches").alias("matches"), F.max("indexed").alias("indexed"))
+    groups = groups.select("token", F.struct("comp", "members", "spare", "n", "matches", "indexed").alias("g"))
+    x = rows.select("token", "class", "comp", "members", "n", "matches", "indexed", spare.alias("spare"))
+    onward = (F.col("members") < F.col("g.members")) | ((F.col("members") == F.col("g.members")) & (F.col("comp") > F.col("g.comp")))
+    fits = (F.col("g.spare") >= HALF * F.col("n") - 1e-6) & (F.col("spare") >= HALF * F.col("g.n") - 1e-6) & (F.col("indexed") | F.col("g.indexed"))
+    met = x.join(groups, "token").where(onward & fits)
+    counts = met.groupBy("class", F.col("g.comp").alias("comp")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("matches", "g.matches")).alias("needed"))
+    return counts.where("shared >= needed").select("class", "comp")
+
+
+def in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``comp, own, blocks, sets``: the sets of each component of ``members(class, comp)``, in blocks of bounded size."""
+    held = members.join(sets, "class")
+    sizes = held.groupBy("comp").agg(F.count(F.lit(1)).alias("members"), F.sum(F.size("tokens")).alias("held"))
+    sizes = sizes.select("comp", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("held") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    held = held.join(sizes, "comp").withColumn("own", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+    return held.groupBy("comp", "own", "blocks").agg(F.collect_list(F.struct("class", "tokens")).alias("sets"))  # BLOCK sets on the mean
+
+
+def compared_with(crossing: DataFrame, sets: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Links ``(a, b)``: of every row of ``crossing(class, comp)`` one to each block of the component that has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for k in range(batch.num_rows):
+                own = batch.column(1)[k].values.to_numpy()
+                others = batch.column(2)[k].values
+                lists = others.field("tokens")
+                ends = lists.offsets.to_numpy()
+                theirs = lists.values.to_numpy()[ends[0] : ends[-1]]
+                hits = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+                sums = np.concatenate([[0], np.cumsum(hits)])
+                ends = ends - ends[0]
+                common, sizes = sums[ends[1:]] - sums[ends[:-1]], np.diff(ends)
+                found = np.flatnonzero(100 * common >= PERCENT * (sizes + len(own) - common))
+                if len(found):
+                    a.append(batch.column(0)[k].as_py())
+                    b.append(others.field("class")[int(found[0])].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    numbers = blocks.select("comp", "own")
+    rows = crossing.join(numbers, "comp").join(sets, "class").join(blocks.select("comp", "own", "sets"), ["comp", "own"])
+    return rows.select("class", "tokens", "sets").mapInArrow(run, "a long, b long")
+
+
 def links_within(tokens: np.ndarray, sizes: np.ndarray, own: np.ndarray, i: int, j: int) -> np.ndarray:
     """How many sets of block j each set of block i is similar to, and the other way round; ``tokens`` holds all sets in turn."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -326,25 +504,26 @@ def links_within(tokens: np.ndarray, sizes: np.ndarray, own: np.ndarray, i: int,
     return out
 
 
-def link_counts(classes: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFrame:
-    """``class, n_links``: the other classes similar to each class of ``comps(node, comp)``; all of them are in its component."""
-    members = classes.select("class", "n").join(comps.withColumnRenamed("node", "class"), "class")
-    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("held"))
-    sizes = stored(sizes.withColumn("blocks", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("held") / BLOCK_SHINGLES)).cast("int")), "ngram-sizes")
-    placed = stored(members.join(sizes, "comp").withColumn("own", F.pmod(F.xxhash64("class"), "blocks").cast("int")).select("class", "comp", "members", "blocks", "own"), "ngram-blocks")
-    two = placed.where("members = 2").select("class", F.lit(1).cast("long").alias("n_links"))  # the two are linked to each other
-    more = placed.where("members > 2")
-
-    def run(cell: pa.Table) -> pa.Table:
-        lists = pa.concat_arrays(cell["tokens"].chunks)
-        i, j = cell["i"][0].as_py(), cell["j"][0].as_py()
-        found = links_within(lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64), cell["own"].to_numpy(), i, j)
-        return pa.table({"class": cell["class"], "links": pa.array(found)})
+def link_counts(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """``class, n_links``: the other classes similar to each class of ``members(class, comp)``; all of them are in its component."""
+    blocks = scratch.stored(in_blocks(members, sets), "count-blocks")
 
-    dealt = more.select("class", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = dealt.join(whole_sets(classes, more.select("class"), docs), "class").select("class", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "tokens")
-    found = cells.groupBy("comp", "i", "j").applyInArrow(run, "class long, links long")
-    return two.union(found.groupBy("class").agg(F.sum("links").alias("n_links")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                parts = [batch.column(c)[k].values for c in range(batch.num_columns) if batch.column(c)[k].is_valid]
+                lists = [x.field("tokens") for x in parts]
+                sizes = [x.value_lengths().to_numpy().astype(np.int64) for x in lists]
+                own = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+                found = links_within(np.concatenate([x.flatten().to_numpy() for x in lists]), np.concatenate(sizes), own, 0, len(parts) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x.field("class").to_numpy() for x in parts])), pa.array(found)], ["class", "links"])
+
+    inside = blocks.select("sets", F.lit(None).cast(blocks.schema["sets"].dataType).alias("other"))
+    many = blocks.where("blocks > 1")
+    one = many.select("comp", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "sets").where("i < j")
+    other = many.select("comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("own").alias("j"), F.col("sets").alias("other")).where("i < j")
+    cells = inside.unionByName(one.join(other, ["comp", "i", "j"]).select("sets", "other"))
+    return cells.mapInArrow(run, "class long, links long").groupBy("class").agg(F.sum("links").alias("n_links"))
 
 
 def row_key() -> Column:
@@ -352,64 +531,61 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), "text", F.col("text").isNull())
 
 
-def compared(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def compared(docs: DataFrame, count_links: bool = True) -> tuple[DataFrame, DataFrame]:
     """The described rows of ``docs(doc_id, text)``, and ``class, comp, component_id`` and ``n_links`` of the sets, stored."""
+    scratch = Scratch(docs.sparkSession, "ngram")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("key"))
-    table = described(docs, frequent_shingles(docs))
-    classes = table.where("n > 0").groupBy("class").agg(F.min("key").alias("_rep"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("buckets").alias("buckets"))
-    classes = stored(classes, "ngram-sketches")
-
-    # Shingles of one class alone, or in no index prefix, need no look; that leaves few of all postings.
-    indexed = (F.col("pos") < index_length(F.col("n"), F.col("matches"))).alias("indexed")
-    postings = table.where("n > 0").select(F.posexplode("prefix").alias("pos", "token"), "class", "n", "matches").select("token", "class", "n", "matches", indexed)
-    alive = postings.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("indexed").alias("indexed")).where("lo <> hi AND indexed")
-    live = postings.join(alive.select("token"), "token", "left_semi").groupBy("token", "class", "n", "matches", "indexed").agg(F.lit(True).alias("_"))
-    live = stored(live.drop("_"), "ngram-postings")
-
-    def meet(one: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
-        """Pairs of a smaller set (columns a, na, ma, in its index prefix) and a larger one (b, nb, mb), with their shared shingles."""
-        ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-        pairs = one.join(other, on).where(ordered & sizes_fit(F.col("na"), F.col("nb")) & (F.col("ca") != F.col("cb")))
-        return pairs.groupBy("a", "b", needed_matches((F.col("nb"), F.col("mb")), (F.col("na"), F.col("ma"))).alias("needed")).count()
-
-    def side(rows: DataFrame, letter: str, *keys: Column | str) -> DataFrame:
-        return rows.select("token", *keys, F.col("class").alias(letter), F.col("n").alias(f"n{letter}"), F.col("matches").alias(f"m{letter}"), F.col("comp").alias(f"c{letter}"))
-
-    # First pass, in rounds: a link to one class of each shingle, another one in each round.
+    order, seed = shingle_order(docs), 0
+    while True:
+        table = scratch.stored(described(docs, order, seed), "docs")
+        classes = table.where("n > 0").groupBy("class").agg(F.min("key").alias("_rep"), F.min("doc_id").alias("least"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+        classes = scratch.stored(classes, "classes")
+        if classes.where("lo <> hi").isEmpty():
+            break
+        seed += 1  # two sets had one number
+
+    live = scratch.stored(live_postings(table, 4 * partitions(docs.sparkSession)), "live")
+    sets = whole_sets(docs, classes, live.select("class").distinct(), scratch, seed)
+
+    def members(comps: DataFrame | None) -> DataFrame:
+        """Postings with their component and its number of classes."""
+        if comps is None:
+            return live.withColumn("comp", F.col("class")).withColumn("members", F.lit(1).cast("long"))
+        known = comps.join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("members")), "comp").select(F.col("node").alias("class"), "comp", "members")
+        return live.join(known, "class", "left").withColumn("comp", F.coalesce("comp", "class")).withColumn("members", F.coalesce("members", F.lit(1).cast("long")))
+
     links = comps = None
-    placed = live.withColumn("comp", F.col("class"))
     for turn in range(ROUNDS):
-        spread = placed.groupBy("token").agg(
-            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("class", F.lit(turn)), "class", "n", "matches", "indexed", "comp")).alias("c")
-        )
-        centre = stored(spread.where("lo <> hi").select("token", "c.class", "c.n", "c.matches", "c.indexed", "c.comp"), "ngram-centres")
-        stars = meet(side(placed.where("indexed"), "a"), side(centre, "b"), ["token"]).unionByName(meet(side(centre.where("indexed"), "a"), side(placed, "b"), ["token"]))
-        stars = stored(stars.where(f"{LENIENT} * count >= needed").select("a", "b").distinct(), "ngram-stars")
-        found = stored(verified(stars, docs, classes), "ngram-links")
-        if found.isEmpty():
+        asked = scratch.stored(proposals(members(comps), turn), "proposals")
+        found = scratch.stored(verified(asked, sets), "links")
+        n, n_found = asked.count(), found.count()
+        if n_found:
+            links = found if links is None else links.union(found)
+            comps = components(links, "first", scratch)
+        if n_found <= FEW * n:
             break
-        links = found if links is None else links.union(found)
-        comps = components(links, "ngram-first")
-        placed = stored(live.join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class")), "ngram-placed")
-
-    # Second pass: pairs across components, a shingle's members cut into blocks.
-    open_ = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"), F.max("indexed").alias("indexed"))
-    open_ = stored(open_.where("lo <> hi AND indexed").select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "ngram-open")
-    members = stored(placed.join(open_, "token").withColumn("own", F.pmod(F.xxhash64("class"), "blocks").cast("int")), "ngram-members")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    one = side(members.where("indexed"), "a", F.col("own").alias("i"), every.alias("j"))
-    other = side(members, "b", F.col("own").alias("j"), every.alias("i"))
-    crossing = meet(one, other, ["token", "i", "j"]).where("count >= needed")
-    second = stored(verified(stored(crossing.select("a", "b"), "ngram-crossing"), docs, classes), "ngram-links")
-
-    links = second if links is None else links.union(second)
-    if comps is None or not second.isEmpty():
-        comps = components(links, "ngram-second")
-    degree = link_counts(classes, comps, docs)
-    classes = classes.select("class", "least").join(comps.withColumnRenamed("node", "class"), "class", "left").join(degree, "class", "left")
-    classes = stored(classes.select("class", "least", F.coalesce("comp", "class").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "ngram-classes")
-    roots = stored(classes.groupBy("comp").agg(F.min("least").alias("component_id")), "ngram-roots")
-    return table, stored(classes.join(roots, "comp").select("class", "comp", "component_id", "n_links"), "ngram-named")
+
+    placed = members(comps)
+    crossing = scratch.stored(crossings(placed), "crossing")
+    named = crossing.select("comp").distinct()
+    theirs = placed.select("class", "comp").distinct().join(named, "comp", "left_semi")
+    second = scratch.stored(compared_with(crossing, sets, scratch.stored(in_blocks(theirs, sets), "cross-blocks")), "links")
+    if not second.isEmpty():
+        links = second if links is None else links.union(second)
+        comps = components(links, "second", scratch)
+
+    classes = classes.select("class", "least")
+    if comps is None:
+        classes = classes.select("class", "least", F.col("class").alias("comp"), F.lit(0).cast("long").alias("n_links"))
+    else:
+        groups = comps.withColumnRenamed("node", "class")
+        degree = link_counts(groups, sets, scratch) if count_links else groups.select("class", F.lit(None).cast("long").alias("n_links"))
+        classes = classes.join(groups, "class", "left").join(degree, "class", "left").select("class", "least", F.coalesce("comp", "class").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = scratch.stored(classes, "grouped")
+    roots = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
+    named = scratch.stored(classes.join(roots, "comp").select("class", "comp", "component_id", "n_links"), "named")
+    scratch.drop_but(table, named)
+    return table, named
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -430,7 +606,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Different texts that share a doc_id, or have none, are judged each by itself. All rows
     without shingles stay.
     """
-    table, named = compared(docs)
+    table, named = compared(docs, count_links=False)
     found = table.where("n > 0").select("doc_id", "key", "class").join(named.select("class", "comp"), "class")
     kept = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("_best")).select(F.col("_best.key").alias("_key"))
     shown = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\t\n\x0B\f\r ]")  # has a word, and so a shingle

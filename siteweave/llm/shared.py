@@ -2,19 +2,41 @@
 
 from __future__ import annotations
 
+import os
 import re
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from siteweave.plans.storage import new_path, shared_dir, stored
 
-__all__ = ["Memo", "ends_in_punctuation", "new_path", "partitions", "shared_dir", "space_chunks", "stored"]
+__all__ = ["Memo", "Scratch", "ends_in_punctuation", "new_path", "partitions", "shared_dir", "space_chunks", "stored"]
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+class Scratch:
+    """Stored tables of one run, in the shared folder, that the run can drop when it has ended."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.paths = spark, name, {}
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        out = stored(df, f"{self.name}-{name}")
+        self.paths[id(out)] = (out, os.path.dirname(out.inputFiles()[0]) if out.inputFiles() else None)
+        return out
+
+    def drop_but(self, *kept: DataFrame) -> None:
+        """Delete all tables but those that are still to be read."""
+        jvm = self.spark._jvm
+        for key, (_, path) in list(self.paths.items()):
+            if path and key not in {id(x) for x in kept}:
+                where = jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+                del self.paths[key]
+
+
 _NEAR_SPACE = re.compile(r" \s|\s ")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 

@@ -176,14 +176,27 @@ def test_word_hashes_follow_the_words():
     assert len(ngram_join.word_hashes(None)) == len(ngram_join.word_hashes(" \n")) == 0
 
 
-def test_summaries_keep_frequent_shingles():
-    rng = np.random.default_rng(5)
-    summary = ngram_join.Summary(64)
-    for _ in range(300):
-        summary.add(np.concatenate([rng.integers(1000, 1 << 60, 20), np.arange(5)]))
-    summary.settle()
-    at = dict(zip(summary.tokens.tolist(), summary.counts.tolist(), strict=True))
-    assert len(at) <= 64 and all(at[k] <= 300 <= at[k] + summary.taken for k in range(5))
+def test_order_knows_frequent_shingles(spark):
+    rows = [(k, f"the same five words here {k} " + " ".join(f"w{k}x{j}" for j in range(30))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = ngram_join.shingle_order(docs, bits=16)
+    tokens = ngram_join.Shingler()(rows[3][1])
+    common = ngram_join.Shingler()("the same five words here")
+    first, m = order.prefix(tokens)
+    assert len(first) == len(tokens) - ngram_join.least_shared(len(tokens)) + m
+    assert common[0] in tokens and common[0] not in first
+    assert ngram_join.shingle_order(docs.limit(0), bits=16).levels.max() == 0
+
+
+def test_shingles_of_a_batch_are_those_of_each_text():
+    import pyarrow as pa
+
+    texts = [None, "", " ", "one", "Two words", "a b c d e", " a b c d e f", "a b c d e\n", None, "É " * 9, "x" * 5000, "one", "z y"]
+    tokens, at = ngram_join.Shingler().shingles(pa.array(["skip", *texts]).slice(1))
+    for k, t in enumerate(texts):
+        assert np.array_equal(np.unique(tokens[at[k] : at[k + 1]]), ngram_join.Shingler()(t))
+    parts = list(ngram_join.slices(pa.array(["x" * (1 << 20)] * 5 + [None])))
+    assert [lo for lo, _ in parts] == [0, 2, 4] and sum(len(x) for _, x in parts) == 6
 
 
 def test_long_words_leave_the_other_words_alone(spark):
@@ -202,6 +215,7 @@ def test_ngram_join_counts_all_links(spark, monkeypatch):
     tokens, sizes, own = np.array([1, 2, 3, 4, 1, 2, 3, 9, 2, 3, 4]), np.array([4, 3, 1, 3]), np.array([0, 1, 1, 0])
     assert [ngram_join.links_within(tokens, sizes, own, *ij).tolist() for ij in ((0, 0), (0, 1), (1, 1))] == [[1, 0, 0, 1], [1, 1, 0, 0], [0, 0, 0, 0]]
     monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 1)
     rng, rows = random.Random(8), []
     for group in range(4):
         base = [f"g{group}w{k}" for k in range(120)]
