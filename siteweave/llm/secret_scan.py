@@ -32,6 +32,7 @@ BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
+JWT_RUN = re.compile(r"[A-Za-z0-9_-]+")
 CHECKED = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
 # The header, and all up to its END line before any other header; without one, the headers and base64 lines that follow (the last may be short).
@@ -58,7 +59,7 @@ def header_holds(part: str) -> bool:
     """The first part of a JWT decodes to a JSON object that names an algorithm."""
     try:
         head = json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
-    except ValueError:
+    except (ValueError, RecursionError):  # also of JSON nested too deeply
         return False
     return isinstance(head, dict) and "alg" in head
 
@@ -95,7 +96,11 @@ class Scanner:
         found = []
         for start, word in hits:
             kind, expression, holds = RULES[word]
-            if start < past[kind] or not (m := expression.match(text, start)):
+            if start < past[kind]:
+                continue
+            if not (m := expression.match(text, start)):
+                if kind == "jwt":  # what follows the run of letters decides, for all hits in it
+                    past[kind] = JWT_RUN.match(text, start).end()
                 continue
             past[kind] = m.end()  # a match that fails validation still takes up its text
             if holds(m):
