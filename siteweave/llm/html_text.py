@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style".split())
 DROPPED = frozenset(
-    "script style noscript template nav header footer aside form button select option textarea input label fieldset iframe object svg canvas dialog menu head title figcaption audio video".split()
+    "script style noscript template nav header footer aside form button select option textarea input fieldset iframe object svg canvas dialog menu head title".split()
 )
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -35,11 +35,20 @@ SIBLING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 SCOPE = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",)}
 NOISE_WORDS = frozenset(
     """ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments comentarios commentlist consent cookie cookies disqus
-    footer gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices overlay pagination pager popup promo promoted promotion
-    related reply replies respond share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription tags toolbar
-    widget widgets alert toast discussion recommended recommendations outbrain taboola paywall""".split()
+    footer gdpr masthead menu menus modal nav navbar navigation newsletter overlay pagination pager popup promo promoted
+    sidebar sidebars sponsor sponsored sponsors subscribe subscription toolbar widget widgets toast outbrain taboola paywall""".split()
+)
+#: Noise alone or beside words of layout ("share-buttons"), but not beside others ("social-history").
+WEAK_WORDS = frozenset(
+    "header notice notices promotion related reply replies respond share sharing signup skip social tags alert alerts discussion recommended recommendations search".split()
+)
+LAYOUT_WORDS = frozenset(
+    """area article articles bar block body bottom box button buttons container content cloud entry fixed form global group icons info inner item items left link links list
+    main message more news outer page panel post posts primary right row secondary section site small stories story sub text title to top wrap wrapper""".split()
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+BESIDE = frozenset("ul ol dl table blockquote pre figure".split())  # of the article when they stand next to its best container
 KEPT = frozenset(("html", "body", "main", "article"))
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -62,8 +71,10 @@ def is_noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         return False
     for name, value in attrs:
         if name in ("class", "id"):
-            if not NOISE_WORDS.isdisjoint(WORD.findall(CAMEL.sub(" ", value or "").lower())):
-                return True
+            for name_ in (value or "").split():
+                words = set(WORD.findall(CAMEL.sub(" ", name_).lower()))
+                if not words.isdisjoint(NOISE_WORDS) or not words.isdisjoint(WEAK_WORDS) and words <= WEAK_WORDS | LAYOUT_WORDS:
+                    return True
         elif name == "role":
             if (value or "").lower() in NOISE_ROLES:
                 return True
@@ -80,6 +91,12 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None)
+        self.seen: set[str] = set()
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![...`` outside of foreign markup is a comment up to the next ``>``."""
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
 
     def _close(self, tags: tuple[str, ...], scope: tuple[str, ...]) -> None:
         node = self.at
@@ -100,6 +117,7 @@ class Tree(HTMLParser):
             self._close(SIBLING[tag], SCOPE[tag])
         node = Node(tag, self.at, is_noise(tag, attrs))
         self.at.children.append(node)
+        self.seen.add(tag)
         if tag not in VOID:
             self.at = node
 
@@ -109,7 +127,7 @@ class Tree(HTMLParser):
             self.at = self.at.parent or self.root
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.at
+        node = self.at if tag in self.seen else self.root
         while node.parent is not None:
             if node.tag == tag:
                 self.at = node.parent
@@ -173,7 +191,7 @@ def main_nodes(root: Node) -> list[Node]:
                 above, share = node.parent, 1.0
                 if node.tag in CONTAINERS:
                     node.score += points
-                while above is not None:
+                while above is not None and share > 1e-9:
                     above.score += points * share
                     above, share = above.parent, share / 2
         stack += [x for x in node.children if not isinstance(x, str) and not x.noise]
@@ -192,7 +210,9 @@ def main_nodes(root: Node) -> list[Node]:
         letters, _, _ = sums[id(x)]
         if x is best or x.tag == best.tag and x.score >= max(10, 0.2 * top) and density(x) < 0.3:
             chosen.append(x)
-        elif x.tag == "p" and letters and (letters > 80 and density(x) < 0.25 or density(x) == 0) or x.tag in ("h1", "h2") and letters:
+        elif x.tag == "p" and letters and (letters > 80 and density(x) < 0.25 or density(x) == 0) or x.tag in HEADINGS and letters and density(x) < 0.5:
+            chosen.append(x)
+        elif x.tag in BESIDE and letters and density(x) < 0.25:
             chosen.append(x)
     return chosen
 
