@@ -2,12 +2,13 @@
 
 Records are hashed by text into a fixed number of virtual slots. Bytes are summed up by
 slot, slots are dealt to shards heaviest first, and the slot-to-shard map is stored with
-a version. Rebalancing reads the newest map, moves as few bytes as it can and stores
-the next version. Law: ``bytes``, near equal sizes.
+a version. Every version holds every slot, also those without bytes, so that any new record
+finds its shard. Rebalancing reads the newest map, moves as little as it can and stores the
+next version. Law: ``bytes``, near equal sizes.
 
-Equal texts share a slot and therefore a shard. A slot that alone outweighs a shard's
-fair share (a text that holds, say, a third of all rows) can't be kept whole and even at
-once: it is split by doc_id into parts of the map.
+Equal texts share a slot and therefore a shard. A text whose copies alone outweigh a
+shard's fair share can't be kept whole and even at once: its rows, and no others, are dealt
+by doc_id to parts of their slot. The map lists these texts; there are fewer than shards.
 
 Cases: a null text counts one byte and has the checksum of no bytes; null doc_ids hash
 as one value; repeated rows share a shard and get positions of their own; an empty table
@@ -26,11 +27,13 @@ from siteweave.llm.shared import new_path, stored
 
 SLOTS = 4096
 UNITS = 4096  # ranges of the doc_id hash in which positions are counted
-PARTS = 64  # parts of a slot that is too heavy for one shard
-MAP = "version int, virtual_slot int, part int, bytes long, shard int"
+PARTS = 64  # parts of a text that is too heavy for one shard
+BROADCAST_ROWS = 200_000
+MAP = "version int, virtual_slot int, part int, text_hash long, bytes long, shard int"
+Key = tuple[int, int, int]  # slot, part (0: whole) and the hash of the text that was split (0: all others)
 
 
-def assign(weights: dict[tuple[int, int], int], shards: int) -> dict[tuple[int, int], int]:
+def assign(weights: dict[Key, int], shards: int) -> dict[Key, int]:
     """Heaviest first, each to the lightest shard; ties to the smaller number."""
     heap, out = [(0, s) for s in range(shards)], {}
     for key, weight in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
@@ -40,12 +43,13 @@ def assign(weights: dict[tuple[int, int], int], shards: int) -> dict[tuple[int,
     return out
 
 
-def rebalanced(old: dict[tuple[int, int], int], weights: dict[tuple[int, int], int], shards: int) -> dict[tuple[int, int], int]:
+def rebalanced(old: dict[Key, int], weights: dict[Key, int], shards: int) -> dict[Key, int]:
     """Edit a map for new weights or another shard count.
 
     Slots stay where they are unless their shard is above the fair share or gone; what is
-    taken off goes, heaviest first, to the lightest shards.
+    taken off goes, heaviest first, to the lightest shards. Slots without bytes stay, too.
     """
+    weights = dict.fromkeys(old, 0) | weights
     fair = sum(weights.values()) / shards
     load, kept, loose = [0] * shards, {}, []
     for key in sorted(weights, key=lambda k: (-weights[k], k)):
@@ -61,13 +65,14 @@ def rebalanced(old: dict[tuple[int, int], int], weights: dict[tuple[int, int], i
 
 
 def slotted(docs: DataFrame) -> DataFrame:
-    """``doc_id, size, text_crc32, virtual_slot, unit`` of ``docs(doc_id, text)``, stored."""
+    """``doc_id, size, text_crc32, text_hash, virtual_slot, unit`` of ``docs(doc_id, text)``, stored."""
     text = F.coalesce("text", F.lit(""))
     return stored(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
+            F.xxhash64(text).alias("text_hash"),
             F.pmod(F.xxhash64(text), F.lit(SLOTS)).cast("int").alias("virtual_slot"),
             F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(UNITS)).cast("int").alias("unit"),
         ),
@@ -75,23 +80,34 @@ def slotted(docs: DataFrame) -> DataFrame:
     )
 
 
-def slot_bytes(rows: DataFrame, shards: int) -> tuple[DataFrame, dict[tuple[int, int], int]]:
-    """Rows with their part, and bytes by (slot, part). At most ``SLOTS`` sums reach the driver."""
+def weigh(rows: DataFrame, shards: int, split: frozenset[int] = frozenset()) -> dict[Key, int]:
+    """Bytes of every slot, and of the parts of texts that outweigh a shard's fair share.
+
+    The sums of ``SLOTS`` slots reach the driver; texts are summed only within slots that
+    are heavier than a fair share, so fewer than ``shards`` of them are found to be. Texts
+    of ``split``, from the map before, stay split.
+    """
     sums = {r.virtual_slot: r.bytes for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes")).collect()}
-    heavy = [s for s, b in sums.items() if b * shards > sum(sums.values())]
-    part = F.when(F.col("virtual_slot").isin(heavy), F.col("unit") % PARTS).otherwise(0) if heavy else F.lit(0)
-    rows = rows.withColumn("part", part.cast("int"))
-    weights = {(s, 0): b for s, b in sums.items() if s not in set(heavy)}
+    fair = sum(sums.values()) / shards
+    suspects = [s for s, b in sums.items() if b > fair]
+    heavy = {}
+    if suspects or split:
+        texts = rows.where(F.col("virtual_slot").isin(suspects) | F.col("text_hash").isin(list(split))).groupBy("text_hash", "virtual_slot").agg(F.sum("size").alias("bytes"))
+        heavy = {r.text_hash: r.virtual_slot for r in texts.where((F.col("bytes") > fair) | F.col("text_hash").isin(list(split))).collect()}
+    weights = {(s, 0, 0): sums.get(s, 0) for s in range(SLOTS)}
     if heavy:
-        split = rows.where(F.col("virtual_slot").isin(heavy)).groupBy("virtual_slot", "part").agg(F.sum("size").alias("bytes"))
-        weights |= {(r.virtual_slot, r.part): r.bytes for r in split.collect()}
-    return rows, weights
-
-
-def store_map(spark: SparkSession, path: str, version: int, owner: dict[tuple[int, int], int], weights: dict[tuple[int, int], int]) -> DataFrame:
-    """Append one version of a map to the table at ``path`` and return it."""
-    table = spark.createDataFrame([(version, s, p, weights[s, p], owner[s, p]) for s, p in sorted(owner)], MAP).coalesce(1)
-    table.write.mode("append").partitionBy("version").parquet(path)
+        parts = rows.where(F.col("text_hash").isin(list(heavy))).groupBy("text_hash", (F.col("unit") % PARTS).alias("part")).agg(F.sum("size").alias("bytes")).collect()
+        weights |= {(s, p + 1, h): 0 for h, s in heavy.items() for p in range(PARTS)}
+        for r in parts:
+            weights[heavy[r.text_hash], r.part + 1, r.text_hash] = r.bytes
+            weights[heavy[r.text_hash], 0, 0] -= r.bytes
+    return weights
+
+
+def store_map(spark: SparkSession, path: str, version: int, owner: dict[Key, int], weights: dict[Key, int]) -> DataFrame:
+    """Append one version of a map to the table at ``path`` and return it as it was stored."""
+    table = spark.createDataFrame([(version, *key, weights.get(key, 0), owner[key]) for key in sorted(owner)], MAP).select("version", "virtual_slot", "part", "text_hash", "bytes", "shard")
+    table.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
     return load_map(spark, path, version)
 
 
@@ -103,36 +119,50 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return table.where(F.col("version") == version)
 
 
-def rebalance(spark: SparkSession, path: str, weights: dict[tuple[int, int], int], shards: int) -> DataFrame:
-    """Store the next version of the map at ``path``, edited for ``weights`` and ``shards``."""
-    rows = load_map(spark, path).collect()  # at most SLOTS plus the parts of heavy slots
-    old = {(r.virtual_slot, r.part): r.shard for r in rows}
-    return store_map(spark, path, (rows[0].version if rows else 0) + 1, rebalanced(old, weights, shards), weights)
+def rebalance(spark: SparkSession, path: str, rows: DataFrame, shards: int) -> DataFrame:
+    """Store the next version of the map at ``path``, edited for the bytes of ``rows`` and for ``shards``."""
+    before = load_map(spark, path).collect()  # SLOTS rows, and PARTS for each split text
+    old = {(r.virtual_slot, r.part, r.text_hash): r.shard for r in before}
+    weights = weigh(rows, shards, frozenset(h for _, _, h in old if h))
+    return store_map(spark, path, before[0].version + 1, rebalanced(old, weights, shards), weights)
+
+
+def owners(rows: DataFrame, slot_map: DataFrame, name: str = "shard") -> DataFrame:
+    """Rows with ``part`` and the shard that the map gives them; every row finds one."""
+    entries = slot_map.select("virtual_slot", "part", "text_hash", "shard").collect()  # as in ``rebalance``
+    spark = rows.sparkSession
+    whole = F.broadcast(spark.createDataFrame([(r.virtual_slot, r.shard) for r in entries if not r.part], "virtual_slot int, _whole int"))
+    rows = rows.join(whole, "virtual_slot", "left")
+    if split := [(r.text_hash, r.part, r.shard) for r in entries if r.part]:
+        parts = F.broadcast(spark.createDataFrame(split, "text_hash long, _part int, _split int"))
+        rows = rows.withColumn("_part", (F.col("unit") % PARTS + 1).cast("int")).join(parts, ["text_hash", "_part"], "left")
+        rows = rows.withColumn("part", F.when(F.col("_split").isNotNull(), F.col("_part")).otherwise(0)).withColumn(name, F.coalesce("_split", "_whole")).drop("_part", "_split")
+    else:
+        rows = rows.withColumn("part", F.lit(0)).withColumn(name, F.col("_whole"))
+    return rows.drop("_whole")
 
 
-def placed(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
+def placed(rows: DataFrame, slot_map: DataFrame, shards: int) -> DataFrame:
     """Rows with their shard and a position in it, gapless from 0.
 
     Positions follow ranges of the doc_id hash: only sums by (shard, range), a fixed
     number, are added up in order, so no shard is sorted in one task.
     """
-    # At most SLOTS + PARTS * shards rows, and at most UNITS * shards rows: both fixed.
-    rows = rows.join(F.broadcast(slot_map.select("virtual_slot", "part", "shard")), ["virtual_slot", "part"])
+    rows = owners(rows, slot_map)
     counts = rows.groupBy("shard", "unit").count()
     before = W.partitionBy("shard").orderBy("unit").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("shard", "unit", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     order = W.partitionBy("unit", "shard").orderBy("doc_id", "text_crc32", "size")
     ranked = rows.withColumn("rank", F.row_number().over(order) - 1)
-    return ranked.join(F.broadcast(offsets), ["shard", "unit"]).withColumn("slot", (F.col("offset") + F.col("rank")).cast("long"))
+    offsets = F.broadcast(offsets) if UNITS * shards <= BROADCAST_ROWS else offsets
+    return ranked.join(offsets, ["shard", "unit"]).withColumn("slot", (F.col("offset") + F.col("rank")).cast("long"))
 
 
 def op10_shards(spark: SparkSession, sf_dir: str, shards: int = 8) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows, weights = slot_bytes(slotted(docs), shards)
-    if not weights:
-        slot_map = spark.createDataFrame([], MAP)
-    else:
-        slot_map = store_map(spark, new_path(spark, "slot-map"), 1, assign(weights, shards), weights)
-    return placed(rows, slot_map).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "part"
-    )
+    """Shards by the first map of all documents, and by its next version for one shard more."""
+    rows = slotted(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    path, weights = new_path(spark, "slot-map"), weigh(rows, shards)
+    first = store_map(spark, path, 1, assign(weights, shards), weights)
+    second = rebalance(spark, path, rows, shards + 1)
+    out = owners(placed(rows, first, shards).withColumnRenamed("part", "first_part"), second, "rebalanced_shard")
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("first_part").alias("part"), "rebalanced_shard")
