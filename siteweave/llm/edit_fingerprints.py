@@ -1,20 +1,25 @@
 """Operator 6: document fingerprints by randomised edit embedding.
 
-A text is read by random walks over its code points: at every step the walk emits the
-code point under its pointer and moves on or stays, by a random bit that depends on the
-step and on that code point and is shared by all texts. After an edit two walks soon run
-in step again, so the Hamming distance of what they emit follows the edit distance of
-the texts. Walks start anew at anchors that the content itself sets, which makes a long
-text many short walks that numpy runs side by side; the emitted letters are then summed,
-with random signs, into 256 counters whose signs are the fingerprint. All of the text
-takes part.
-
-Likeness of two fingerprints is the cosine that their Hamming distance estimates.
-``near_duplicates`` bands sampled bits, links the members of a band to its first one and
-verifies the links.
+A text is read by a random walk over its code points: at every step the walk emits the code
+point under its pointer and moves on or stays, by a random bit that depends on the step and
+on that code point and is shared by all texts. After an edit two walks soon run in step
+again, so the number of steps at which they emit different signs (the Hamming distance of
+the embedded texts) follows the edit distance of the texts. Steps are kept apart: each adds
+a random value, of the step and of what it emits, to the one of 256 counters that the step
+is dealt to, and the signs of the counters are the fingerprint. So the Hamming distance of
+two fingerprints estimates that of the embedded texts, and likeness is the cosine that it
+stands for: about the share of steps that agree.
+
+The walks of many texts run side by side. A text of more than ``SEGMENT`` code points is
+walked in segments, each with steps of its own; one of fewer than ``FULL`` is walked several
+times, with other steps each time, so that its counters fill. All of the text takes part.
+
+Banding samples bits of the fingerprints by a fixed permutation; ``near_duplicates`` takes
+as many bits a band as the number of texts asks for, as many bands as the threshold asks
+for, and verifies by likeness all pairs of a band that could still join two groups.
 
 Cases: null counts as empty; an empty text has the all-zero fingerprint; equal texts have
-equal ones; very long texts are cut into batches by size, never shortened; rows with
+equal ones; very long texts are walked in segments, never shortened; rows with
 equal doc_ids keep an order fixed by their text; a lone document is its own successor;
 other columns are ignored.
 """
@@ -22,21 +27,25 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteweave.llm.components import components
-from siteweave.llm.shared import partitions, stored
+from siteweave.llm.shared import Scratch, partitions
 
 BITS = 256
-WINDOW = 6  # code points that decide on an anchor
-ANCHORS = 5  # one place in 2**5 is an anchor
-LONGEST = 128  # code points of a walk
-BATCH_CHARS = 1_500_000
-BANDS, SAMPLED = 16, 16
+SEGMENT = 1 << 14  # code points of a walk at most
+FULL = 1024  # code points up to which a text is walked more than once
+CHECKED = 64  # steps between looks for walks that have ended
+BATCH_CHARS = 8_000_000
+RECALL = 0.95  # of pairs at the threshold, by the bands alone
+SHOWN_BANDS, SHOWN_BITS = 48, 20  # of the query
+ROUNDS = 4  # of links to a band's centre
+GROUP = 64  # range borders that are looked at once
 _K = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 LIKENESS = np.maximum(0.0, np.cos(np.pi * np.arange(BITS + 1) / BITS))
 
@@ -47,11 +56,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _walk_constants(steps: int) -> np.ndarray:
-    return _mix(np.arange(1, 3 * steps + 1, dtype=np.uint64) * _K[0]).reshape(3, steps) | np.uint64(1)
+def _walk_constants(steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every step a multiplier, whose product with a sign decides, and the counter that it is dealt to."""
+    h = _mix(np.arange(1, steps + 1, dtype=np.uint64) * _K[0])
+    return h | np.uint64(1), (_mix(h) & np.uint64(BITS - 1)).astype(np.int64)
 
 
-MOVE, PLACE, TURN = _walk_constants(8 * LONGEST)
+TURN, PLACE = _walk_constants(1 << 16)
+VALUE = np.array([0, -1, 1, 0, 0, -1, 1, 0], np.int16)  # of the second and third bit of the product
+TURNED = 37  # counters by which a text's next walk is turned, so that short walks fill all
 
 
 def fingerprints(texts: list[str]) -> np.ndarray:
@@ -67,49 +80,95 @@ def fingerprints(texts: list[str]) -> np.ndarray:
     return out
 
 
+def _walks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, start and number of every walk's sign buffer; buffers end with a zero."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    times = np.where(sizes > 0, np.maximum(-(-sizes // SEGMENT), -(-FULL // np.maximum(sizes, 1))), 0)
+    text = np.repeat(np.arange(len(texts)), times)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(times) - times, times)
+    return sizes, text, number
+
+
 def _fingerprints(texts: list[str]) -> np.ndarray:
-    x = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    counters = np.zeros(len(texts) * BITS)
-    if len(x):
-        sizes = np.array([len(t) for t in texts])
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        doc = np.repeat(np.arange(len(texts)), sizes)
-        y = (x + np.uint64(1)) * _K[0]
-        rolled = np.zeros(len(x), np.uint64)
-        for k in range(WINDOW if len(x) >= WINDOW else 0):
-            rolled[WINDOW - 1 :] = rolled[WINDOW - 1 :] * _K[3] + y[k : len(x) - WINDOW + 1 + k]
-        rolled = _mix(rolled)
-        inside = np.arange(len(x)) - first[doc]
-        begins = (rolled >> np.uint64(64 - ANCHORS) == 0) & (inside >= WINDOW - 1)
-        begins[inside == 0] = False
-        starts = np.union1d(first[sizes > 0], np.flatnonzero(begins))
-        key = np.where(np.isin(starts, first), _K[2], rolled[starts])
-        ends = np.concatenate([starts[1:], [len(x)]])
-        pieces = -(-(ends - starts) // LONGEST)  # long stretches without an anchor
-        which = np.repeat(np.arange(len(starts)), pieces)
-        nth = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin = starts[which] + nth * LONGEST
-        end = np.minimum(begin + LONGEST, ends[which])
-        key = _mix(key[which] + nth.astype(np.uint64) * _K[3])
-        slot = doc[begin] * BITS
-        for step in range(len(MOVE)):
-            c = y[begin]
-            place = (key + PLACE[step]) * PLACE[step]
-            sign = (((place ^ c) * TURN[step]) >> np.uint64(63)).astype(np.float64) * 2 - 1
-            counters += np.bincount(slot + (place >> np.uint64(56)).astype(np.int64), sign, len(counters))
-            begin = begin + (((c ^ MOVE[step]) * MOVE[step]) >> np.uint64(63)).astype(np.int64)
-            on = begin < end
-            if not on.all():
-                if not on.any():
-                    break
-                begin, end, key, slot = begin[on], end[on], key[on], slot[on]
-    return np.packbits(counters.reshape(len(texts), BITS) > 0, axis=1)
+    sizes, text, number = _walks(texts)
+    if not len(text):
+        return np.zeros((len(texts), BITS // 8), np.uint8)
+    x = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    first = np.cumsum(sizes) - sizes
+    segments = sizes[text] >= SEGMENT
+    start = first[text] + np.where(segments, number * SEGMENT, 0)
+    length = np.where(segments, np.minimum(SEGMENT, sizes[text] - number * SEGMENT), sizes[text])
+    kept = length > 0
+    text, number, start, length = text[kept], number[kept], start[kept], length[kept]
+    order = np.argsort(-length, kind="stable")
+    text, number, start, length = text[order], number[order], start[order], length[order]
+    # Every walk's signs in a buffer of their own: a nonzero hash of code point and walk number, then a zero that stops it.
+    ends = np.cumsum(length + 1)
+    begin = ends - length - 1
+    signs = np.zeros(int(ends[-1]), np.uint64)
+    for b, s, n, own in zip(begin.tolist(), start.tolist(), length.tolist(), ((number.astype(np.uint64) + np.uint64(1)) << np.uint64(32)) + np.uint64(1), strict=True):
+        np.add(x[s : s + n], own, out=signs[b : b + n])
+    for lo in range(0, len(signs), 1 << 20):
+        part = signs[lo : lo + (1 << 20)]
+        part[:] = _mix(part * _K[3]) | np.uint64(1)
+    signs[ends - 1] = 0
+    totals = np.zeros((len(texts), BITS), np.int32)
+
+    def add(text: np.ndarray, number: np.ndarray, counters: np.ndarray) -> None:
+        for turn in np.unique(number * TURNED % BITS):
+            own = number * TURNED % BITS == turn
+            np.add.at(totals, text[own], np.roll(counters[:, own], turn, axis=0).T)
+
+    at, counters, step = begin, np.zeros((BITS, len(begin)), np.int16), 0
+    turn, place = list(TURN), PLACE.tolist()
+    top, low = np.uint64(63), np.uint64(61)
+    take, value, multiply, shift, plus = signs.take, VALUE.take, np.multiply, np.right_shift, np.add
+    while len(at):
+        moved, h, m, v = at.view(np.uint64), np.empty(len(at), np.uint64), np.empty(len(at), np.uint64), np.empty(len(at), np.int16)
+        which, rows, left = h.view(np.int64), list(counters), len(at)
+        while left > 0.75 * len(at):
+            for j in range(step, step + CHECKED):
+                j %= len(turn)
+                take(at, None, h, "clip")
+                multiply(h, turn[j], h)
+                shift(h, top, m)
+                plus(moved, m, moved)
+                shift(h, low, h)
+                value(which, None, v, "clip")
+                row = rows[place[j]]
+                plus(row, v, row)
+            step += CHECKED
+            on = signs[at] != 0
+            left = int(on.sum())
+        add(text[~on], number[~on], counters[:, ~on])
+        at, text, number, counters = at[on], text[on], number[on], np.ascontiguousarray(counters[:, on])
+    return np.packbits(totals > 0, axis=1)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return LIKENESS[np.bitwise_count(a ^ b).sum(axis=1)]
 
 
+def sampled_bits(bands: int, bits: int) -> np.ndarray:
+    """The bits that each band samples: without repeats within a band."""
+    rng = np.random.default_rng(6)
+    return np.stack([rng.permutation(BITS)[:bits] for _ in range(bands)])
+
+
+def band_keys(prints: np.ndarray, bands: int, bits: int) -> np.ndarray:
+    """A number for every band of every fingerprint."""
+    own = np.unpackbits(prints, axis=1).astype(np.int64)
+    weights = np.int64(1) << np.arange(bits, dtype=np.int64)
+    return np.stack([own[:, chosen] @ weights for chosen in sampled_bits(bands, bits)], axis=1)
+
+
+def bands_for(texts: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
+    """Bands and bits a band: two bits more than tell ``texts`` apart, and bands enough for ``recall`` at the threshold."""
+    bits = min(40, max(12, math.ceil(math.log2(max(2, texts))) + 2))
+    same = 1 - math.acos(threshold) / math.pi
+    return math.ceil(math.log(1 - recall) / math.log(1 - same**bits)), bits
+
+
 def edited(text: str, following: str) -> str:
     """The last half of the code points replaced by the first as many of the next text."""
     half = len(text) // 2
@@ -128,8 +187,10 @@ def with_following(docs: DataFrame) -> DataFrame:
     cuts = docs.agg(F.percentile_approx(rank, [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []
     cuts = sorted(set(cuts))[: n - 1]
     part = F.lit(0)
-    if cuts:
-        part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < rank))
+    if cuts:  # the group of borders first, then the border in it
+        below = lambda numbers: F.size(F.filter(numbers, lambda c: c < rank))
+        group = below(F.array(*map(F.lit, cuts[GROUP - 1 :: GROUP]))) if len(cuts) >= GROUP else F.lit(0)
+        part = group * GROUP + below(F.slice(F.array(*map(F.lit, cuts)), group * GROUP + 1, F.lit(GROUP)))
     placed = docs.withColumn("part", part)
     firsts = sorted((r.part, r.first) for r in placed.groupBy("part").agg(F.min(rank).alias("first")).collect())
     before = [(firsts[k][0], firsts[k][1], firsts[k - 1][0]) for k in range(len(firsts))]  # the first wraps round to the last
@@ -142,19 +203,20 @@ def with_following(docs: DataFrame) -> DataFrame:
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and its edited text, and the likenesses between them."""
+    """Fingerprints of every text and its edited text, the likenesses between them and the bands they meet in."""
 
     def finish(rows: list[tuple[int | None, str, str]]):
         import pandas as pd
 
+        n = len(rows)
         texts = [t for _, t, _ in rows]
         changed = [edited(t, f) for _, t, f in rows]
-        prints = fingerprints([*texts, rows[-1][2]])
-        mine, edits = prints[:-1], fingerprints(changed)
-        following = prints[1:].copy()
-        for k in range(len(rows) - 1):  # where the next row is not the next document
-            if rows[k][2] is not rows[k + 1][1]:
-                following[k] = fingerprints([rows[k][2]])[0]
+        ends = [k for k in range(n) if k == n - 1 or rows[k][2] is not rows[k + 1][1]]  # where the next row is not the next document
+        prints = fingerprints([*texts, *changed, *(rows[k][2] for k in ends)])
+        mine, edits = prints[:n], prints[n : 2 * n]
+        following = np.roll(mine, -1, axis=0)
+        following[ends] = prints[2 * n :]
+        bands = [band_keys(x, SHOWN_BANDS, SHOWN_BITS) for x in (mine, edits, following)]
         return pd.DataFrame(
             {
                 "doc_id": pd.array([i for i, _, _ in rows], "Int64"),
@@ -164,6 +226,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
                 "edited_fingerprint": [p.tobytes().hex() for p in edits],
                 "near_edited": likeness(mine, edits),
                 "near_next": likeness(mine, following),
+                "bands_edited": (bands[0] == bands[1]).sum(axis=1).astype(np.int32),
+                "bands_next": (bands[0] == bands[2]).sum(axis=1).astype(np.int32),
             }
         )
 
@@ -177,45 +241,79 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
                     rows.append((waiting[1], waiting[2], text))
                     size += len(text)
                 waiting = None if tail else (part, None if doc_id is None or doc_id != doc_id else int(doc_id), text)
-                if size > BATCH_CHARS:
+                if size > BATCH_CHARS // 2:
                     yield finish(rows)
                     rows, size = [], 0
         if rows:
             yield finish(rows)
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, bands_edited int, bands_next int"
     return with_following(docs).mapInPandas(run, schema)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
+def apart(a: str, b: str) -> Column:
+    """Bits in which the fingerprints of two structs differ."""
+    return sum((F.bit_count(F.col(f"{a}.p{k}").bitwiseXOR(F.col(f"{b}.p{k}"))) for k in range(BITS // 64)), F.lit(0))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
     """``docs(doc_id, text)`` to ``doc_id, component_id`` by banded, verified fingerprints.
 
-    Bands sample bits by a fixed permutation. Members of a band are linked to its smallest
-    fingerprint, a row each, and to their neighbours in order; a link counts when the
-    likeness reaches ``threshold``. Equal fingerprints are one node from the start.
+    Equal fingerprints are one node from the start. In rounds, every node is linked to the
+    centre of each of its bands' lists, a row each; then all pairs of a list that are still in
+    different components are verified. A component's id is its smallest doc_id.
     """
-    chosen = np.random.default_rng(6).permutation(np.tile(np.arange(BITS), -(-BANDS * SAMPLED // BITS)))[: BANDS * SAMPLED].reshape(BANDS, SAMPLED)
+    scratch = Scratch(docs.sparkSession, "edit")
+    most = int(np.searchsorted(-LIKENESS, -threshold, side="right")) - 1
+    longs = [f"p{k}" for k in range(BITS // 64)]
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for pdf in batches:
-            prints = fingerprints([t or "" for t in pdf["text"]])
-            bits = np.unpackbits(prints, axis=1)
-            bands = [(bits[:, own] @ (1 << np.arange(SAMPLED)) + (b << SAMPLED)).astype(np.int64) for b, own in enumerate(chosen)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "print": [p.tobytes() for p in prints], "bands": list(np.stack(bands, axis=1))})
-
-    table = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, print binary, bands array<long>"), "edit-prints")
-    nodes = table.groupBy("print").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
-    nodes = stored(nodes, "edit-nodes")
-    banded = nodes.select("node", "print", F.explode("bands").alias("band"))
-    centres = banded.groupBy("band").agg(F.min(F.struct("node", "print")).alias("centre"))
-    apart = sum(F.bit_count(F.conv(F.substring(F.hex("print"), 1 + 15 * k, 15), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring(F.hex("centre.print"), 1 + 15 * k, 15), 16, 10).cast("long"))) for k in range(-(-BITS // 60)))
-    most = int(np.searchsorted(-LIKENESS, -threshold, side="right")) - 1
-    links = banded.join(centres, "band").where(F.col("node") != F.col("centre.node")).where(apart <= most)
-    comps = components(links.select(F.col("node").alias("a"), F.col("centre.node").alias("b")).distinct(), "edit-components")
-    known = stored(nodes.join(comps, "node", "left").select("print", F.coalesce("comp", "node").alias("component_id")), "edit-classes")
-    return table.join(known, "print").select("doc_id", "component_id")
+            numbers = np.ascontiguousarray(fingerprints([t or "" for t in pdf["text"]])).view(np.int64)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), **{c: numbers[:, k] for k, c in enumerate(longs)}})
+
+    table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, " + ", ".join(f"{c} long" for c in longs))
+    table = scratch.stored(table.withColumn("node", F.xxhash64(*longs)), "prints")
+    nodes = scratch.stored(table.groupBy("node", *longs).agg(F.min("doc_id").alias("least")), "nodes")
+    bands, bits = bands_for(nodes.count(), threshold)
+
+    def banded(batches: Iterator) -> Iterator:
+        for pdf in batches:
+            prints = np.ascontiguousarray(pdf[longs].to_numpy(np.int64)).view(np.uint8)
+            yield pdf.assign(bands=list(band_keys(prints, bands, bits)))
+
+    schema = "node long, " + ", ".join(f"{c} long" for c in longs)
+    rows = nodes.select("node", *longs).mapInPandas(banded, schema + ", bands array<long>").select(F.struct("node", *longs).alias("x"), F.posexplode("bands").alias("band", "key"))
+    lists = rows.groupBy("band", "key").agg(F.min("x.node").alias("lo"), F.max("x.node").alias("hi")).where("lo <> hi").select("band", "key")
+    rows = scratch.stored(rows.join(lists, ["band", "key"], "left_semi"), "bands")
+    links = comps = None
+
+    def placed() -> DataFrame:
+        if comps is None:
+            return rows.withColumn("comp", F.col("x.node"))
+        return rows.join(comps.withColumnRenamed("node", "_node"), F.col("x.node") == F.col("_node"), "left").withColumn("comp", F.coalesce("comp", "x.node")).drop("_node")
+
+    for turn in range(ROUNDS + 1):
+        at = placed()
+        if turn < ROUNDS:
+            centre = F.min(F.struct(F.xxhash64("x.node", F.lit(turn)), "x", "comp")).alias("c")
+            other = at.groupBy("band", "key").agg(centre).select("band", "key", F.col("c.x").alias("y"), F.col("c.comp").alias("far"))
+        else:  # all that the rounds have left
+            open_ = at.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "key")
+            at = at.join(open_, ["band", "key"], "left_semi")
+            other = at.select("band", "key", F.col("x").alias("y"), F.col("comp").alias("far"))
+        met = at.join(other, ["band", "key"]).where((F.col("comp") != F.col("far")) & (apart("x", "y") <= most))
+        found = scratch.stored(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "links")
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            comps = components(links, "components", scratch)
+    grouped = nodes.select("node", "least", F.col("node").alias("comp")) if comps is None else nodes.join(comps, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
+    roots = grouped.groupBy("comp").agg(F.min("least").alias("component_id"))
+    known = scratch.stored(grouped.join(roots, "comp").select("node", "component_id"), "named")
+    scratch.drop_but(table, known)
+    return table.join(known, "node").select("doc_id", "component_id")
 
 
 def op6_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
