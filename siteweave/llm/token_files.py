@@ -26,16 +26,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteweave.llm.shared import Memo, ends_in_punctuation, new_path, space_chunks, stored
+from siteweave.llm.pieces import PieceCoder, slices
+from siteweave.llm.shared import new_path, stored
 
 # Fixed values of the seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
 INDEX_MAGIC = 0x184D2A50
 SEEKABLE_MAGIC = 0x8F92EAB1
 
-MEMO_ENTRIES = 600_000
-SPAN = 2048  # frames of a file that one reading row covers
-MANIFEST = "part int, path string, n_docs long, n_tokens long"
+FILE_DOCS, FILE_TOKENS = 1 << 16, 1 << 26  # after which a task begins its next file
+WINDOW = 1 << 22  # bytes of frames that a reader of a whole file fetches at once
+MANIFEST = "part int, nth int, path string, n_docs long, n_tokens long"
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -45,21 +46,19 @@ def _xxh(data: bytes) -> int:
     return xxhash.xxh64_intdigest(data) & 0xFFFFFFFF
 
 
-def encoder(tokenizer_path: str):
-    """text -> ids as bytes; each distinct chunk goes through the library once."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+_coders: dict[str, PieceCoder] = {}
 
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    tokenizer.encode_special_tokens = True
 
-    def encode_chunk(chunk: str) -> bytes:
-        if ends_in_punctuation(chunk):
-            return memo[chunk[:-1]] + memo[chunk[-1]]
-        return np.asarray(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+def coder(tokenizer_path: str) -> PieceCoder:
+    """The tokenizer, with the pieces that this process has met; each goes through the library once."""
+    if tokenizer_path not in _coders:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    memo = Memo(encode_chunk, MEMO_ENTRIES)
-    return lambda text: b"".join(map(memo.__getitem__, space_chunks(text)))
+        tokenizer = Tokenizer.from_file(tokenizer_path)
+        tokenizer.encode_special_tokens = True
+        _coders[tokenizer_path] = PieceCoder(lambda pieces: [x.ids for x in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+    return _coders[tokenizer_path]
 
 
 class FrameWriter:
@@ -119,13 +118,28 @@ class FrameReader:
     def __len__(self) -> int:
         return len(self.doc_ids)
 
-    def payload(self, k: int) -> bytes:
-        """The bytes of document ``k``, checked against both checksums."""
-        raw = self.zstd.decompress(self._at(int(self.places[k]), int(self.sizes[k])), max_output_size=int(self.lengths[k]))
+    def _checked(self, k: int, frame: bytes) -> bytes:
+        raw = self.zstd.decompress(frame, max_output_size=int(self.lengths[k]))
         if len(raw) != self.lengths[k] or _xxh(raw) != self.sums[k]:
             raise ValueError(f"damaged frame {k}")
         return raw
 
+    def payload(self, k: int) -> bytes:
+        """The bytes of document ``k``, checked against both checksums; reads its frame alone."""
+        return self._checked(k, self._at(int(self.places[k]), int(self.sizes[k])))
+
+    def payloads(self) -> Iterator[bytes]:
+        """The bytes of every document in turn, fetched in windows."""
+        lo = 0
+        while lo < len(self):
+            hi = max(lo + 1, int(np.searchsorted(self.places, self.places[lo] + WINDOW, side="right")) - 1)
+            hi = min(hi, len(self))
+            data = self._at(int(self.places[lo]), int(self.places[hi] - self.places[lo]))
+            for k in range(lo, hi):
+                at = int(self.places[k] - self.places[lo])
+                yield self._checked(k, data[at : at + int(self.sizes[k])])
+            lo = hi
+
     def ids(self, k: int) -> np.ndarray:
         return np.frombuffer(self.payload(k), "<u4")
 
@@ -145,24 +159,35 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = encode = path = None
-        tokens = 0
+        encode, part = coder(tokenizer_path), TaskContext.get().partitionId()
+        writer = path = None
+        nth = tokens = 0
+
+        def opened() -> FrameWriter:
+            where, name = pafs.FileSystem.from_uri(folder)
+            where.create_dir(name)
+            return FrameWriter(where.open_output_stream(f"{name}/{path}"))
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            columns = [pa.array([part], pa.int32()), pa.array([nth], pa.int32()), pa.array([f"{folder}/{path}"]), pa.array([len(writer.doc_ids)], pa.int64()), pa.array([tokens], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["part", "nth", "path", "n_docs", "n_tokens"])
+
         for batch in batches:
-            if writer is None:
-                where, name = pafs.FileSystem.from_uri(folder)
-                where.create_dir(name)
-                path = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}.tokz"
-                writer, encode = FrameWriter(where.open_output_stream(f"{name}/{path}")), encoder(tokenizer_path)
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                payload = encode(text.as_py() or "") + end
-                writer.add(doc_id, payload)
-                tokens += len(payload) // 4
+            for lo, texts in slices(batch.column(1)):
+                ids, at = encode.ids(texts)
+                for k, doc_id in enumerate(batch.column(0).slice(lo, len(texts)).to_pylist()):
+                    if writer is None:
+                        path = f"part-{part:06d}-{nth:04d}-{uuid.uuid4().hex[:8]}.tokz"
+                        writer, tokens = opened(), 0
+                    payload = ids[at[k] : at[k + 1]].tobytes() + end
+                    writer.add(doc_id, payload)
+                    tokens += len(payload) // 4
+                    if len(writer.doc_ids) >= FILE_DOCS or tokens >= FILE_TOKENS:
+                        yield closed()
+                        writer, nth = None, nth + 1
         if writer is not None:
-            n = len(writer.doc_ids)
-            writer.close()
-            yield pa.RecordBatch.from_pydict(
-                {"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [f"{folder}/{path}"], "n_docs": pa.array([n], pa.int64()), "n_tokens": pa.array([tokens], pa.int64())}
-            )
+            yield closed()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_tie", F.xxhash64("text"))
     ordered = ordered.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
@@ -176,9 +201,9 @@ def read_token_files(manifest: DataFrame, schema: str, per_document) -> DataFram
     manifest, one row a file, passes through the driver.
     """
     spark = manifest.sparkSession
-    base, spans = 0, []
-    for row in sorted(manifest.collect(), key=lambda r: r.part):
-        spans += [(row.path, base, lo, min(lo + SPAN, row.n_docs)) for lo in range(0, row.n_docs, SPAN)]
+    base, files = 0, []
+    for row in sorted(manifest.collect(), key=lambda r: (r.part, r.nth)):
+        files.append((row.path, base))
         base += row.n_tokens
     names = [part.split()[0] for part in schema.split(", ")]
 
@@ -186,16 +211,20 @@ def read_token_files(manifest: DataFrame, schema: str, per_document) -> DataFram
         import pandas as pd
 
         for pdf in batches:
-            for path, first, lo, hi in pdf.itertuples(index=False):
+            for path, first in pdf.itertuples(index=False):
                 reader = open_reader(path)
-                rows = [per_document(reader.doc_ids[k], int(first + reader.starts[k]), reader.ids(k)) for k in range(lo, hi)]
-                out = pd.DataFrame(rows, columns=names)
-                if "doc_id" in out:
-                    out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
-
-    table = spark.createDataFrame(spans, "path string, first long, lo long, hi long")
-    return table.repartition(max(1, len(spans)), "path", "lo").mapInPandas(read, schema)
+                rows = []
+                for k, raw in enumerate(reader.payloads()):
+                    rows.append(per_document(reader.doc_ids[k], int(first + reader.starts[k]), np.frombuffer(raw, "<u4")))
+                    if len(rows) == 4096 or k + 1 == len(reader):
+                        out = pd.DataFrame(rows, columns=names)
+                        if "doc_id" in out:
+                            out["doc_id"] = out["doc_id"].astype("Int64")
+                        yield out
+                        rows = []
+
+    table = spark.createDataFrame(files, "path string, first long")
+    return table.repartition(max(1, len(files)), "path").mapInPandas(read, schema)
 
 
 def token_digests(manifest: DataFrame) -> DataFrame:
