@@ -2,8 +2,9 @@
 
 Pre-tokens are looked up in two tiers. A minimal perfect hash over the vocabulary
 answers for pre-tokens that are themselves one entry; the others are merged byte by byte
-over a linked list, the cheapest pair taken from a heap. Workers remember chunks they
-have already encoded, within a fixed number of entries.
+over a linked list, the cheapest pair taken from a heap. Texts are cut at sure borders of
+pre-tokens, and workers remember the pieces they have already encoded, within a fixed
+number of entries.
 
 Cases: null and empty texts have no ids; special-token strings are ordinary text; a very
 long pre-token costs n log n; repeated rows repeat; other columns are ignored.
@@ -21,9 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteweave.llm.shared import Memo, ends_in_punctuation, space_chunks
+from siteweave.llm.pieces import PieceCoder, slices
 
-MEMO_ENTRIES = 600_000
 BUCKET = 4  # mean number of keys that share a displacement
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 MASK = (1 << 64) - 1
@@ -97,10 +97,10 @@ class ByteBPE:
 
         own = self.pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
         self.split = regex.compile(own).findall
-        self.memo = Memo(self._encode_chunk, MEMO_ENTRIES)
+        self.coder = PieceCoder(lambda pieces: [self._encode(x) for x in pieces])
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("split", "memo")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("split", "coder")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -140,16 +140,14 @@ class ByteBPE:
         slot = self.table.find(piece)
         return [self.slot_ids[slot]] if slot >= 0 else self.merge(piece)
 
-    def _encode_chunk(self, chunk: str) -> bytes:
-        if ends_in_punctuation(chunk):
-            return self.memo[chunk[:-1]] + self.memo[chunk[-1]]
+    def _encode(self, text: str) -> list[int]:
         out: list[int] = []
-        for piece in self.split(chunk):
+        for piece in self.split(text):
             out += self.encode_piece(piece.encode())
-        return np.asarray(out, "<u4").tobytes()
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, space_chunks(text))), "<u4")
+        return self.coder.ids(pa.array([text], pa.string()))[0]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -171,12 +169,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         bpe = model(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [bpe.encode(x or "").tolist() for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.binary())], ["doc_id", "ids", "decoded"]
-                )
+            for lo, texts in slices(batch.column(1)):
+                ids, at = bpe.coder.ids(texts)
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
+                decoded = [bpe.decode(ids[at[k] : at[k + 1]].tolist()) for k in range(len(texts))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), lists, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
@@ -188,16 +185,15 @@ def encoding_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         bpe = model(path, pattern)
         digits = {i: str(i) for i in bpe.tokens}
         for batch in batches:
-            counts, ids_sha, text_sha = [], [], []
-            for text in batch.column(1):
-                ids = bpe.encode(text.as_py() or "").tolist()
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            for lo, texts in slices(batch.column(1)):
+                flat, at = bpe.coder.ids(texts)
+                ids_sha, text_sha = [], []
+                for k in range(len(texts)):
+                    ids = flat[at[k] : at[k + 1]].tolist()
+                    ids_sha.append(hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest())
+                    text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+                columns = [batch.column(0).slice(lo, len(texts)), pa.array(np.diff(at), pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
