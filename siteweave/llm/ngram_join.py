@@ -11,6 +11,8 @@ shingles before anything is verified.
 
 Equal sets are one class from the start. Postings carry their place in the order: what two
 sets can still share from there on (the positional bound) decides whether they meet at all.
+Sketches of both sets, about
+a byte a shingle, then bound what they share, and only sets of possible pairs are moved.
 Links are found in two passes. In the rounds of the first, each class proposes one other
 class, the one that shares most among the classes that its shingles elect as their centres;
 so a round makes a row a class at most. Linked classes form components. The second pass
@@ -53,8 +55,10 @@ LENIENT = 4  # a first-pass pair is verified for this part of the matches it nee
 BLOCK = 512  # sets of a component's block
 BLOCK_SHINGLES = 1 << 20  # of a component's block
 WIDTH = 4096  # shingles that are compared at once
-SLICE_BYTES = 1 << 21  # of text that are shingled at once
-HELD_POSTINGS = 1 << 19  # that a task gathers before it deals them out
+FEW_ROWS = 16  # of blocks of sets that a Python worker gets at once
+ROWS = 1000  # of prefixes that are dealt at once
+SLICE_BYTES = 1 << 19  # of text that are shingled at once
+HELD_POSTINGS = 1 << 18  # that a task gathers before it deals them out
 BROADCAST_ROWS = 500_000  # of two longs
 HALF = PERCENT / (100 + PERCENT)  # of the sum of two sizes that similar sets share at least
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -195,7 +199,7 @@ class Order:
 
 
 def shingle_order(docs: DataFrame, bits: int = SKETCH_BITS) -> Order:
-    """Counters of all shingles of all documents, equal texts of a batch once.
+    """Counters of all shingles of all documents, equal texts next to each other once.
 
     Every task sums up its share of the table in counters of a fixed number, which are
     added chunk by chunk. They only set the order and the matches asked for, so they change
@@ -212,9 +216,9 @@ def shingle_order(docs: DataFrame, bits: int = SKETCH_BITS) -> Order:
                 held.clear()
 
         for batch in batches:
-            for _, texts in slices(batch.column(0).unique()):
-                held.append(shingler.shingles(texts)[0])
-                if sum(map(len, held)) > 1 << 21:
+            for _, texts in slices(batch.column(0)):
+                held.append(shingler.shingles(texts.unique())[0])
+                if sum(map(len, held)) > 1 << 19:
                     settle()
         settle()
         parts = np.minimum(counts, 255).astype(np.uint8).reshape(CHUNKS, size)
@@ -327,19 +331,21 @@ def live_postings(table: DataFrame, buckets: int) -> DataFrame:
             parts = [rows[a:b].tobytes() for a, b in zip(first, [*first[1:], len(rows)], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), pa.array(parts, pa.binary())], ["bucket", "data"])
 
-        for batch in batches:
-            _, own = np.unique(batch.column(0).to_numpy(), return_index=True)  # equal sets of a batch once
-            batch = batch.take(pa.array(np.sort(own)))
-            lists = batch.column(3)
-            sizes = lists.value_lengths().to_numpy()
-            rows = np.empty(int(sizes.sum()), RECORD)
-            rows["token"] = lists.flatten().to_numpy()
-            for name, column in (("class", 0), ("n", 1), ("m", 2)):
-                rows[name] = np.repeat(batch.column(column).to_numpy(), sizes)
-            rows["pos"] = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            held.append(rows)
-            if sum(map(len, held)) >= HELD_POSTINGS:
-                yield dealt()
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(lo, ROWS)
+                _, own = np.unique(batch.column(0).to_numpy(), return_index=True)  # equal sets once
+                batch = batch.take(pa.array(np.sort(own)))
+                lists = batch.column(3)
+                sizes = lists.value_lengths().to_numpy()
+                rows = np.empty(int(sizes.sum()), RECORD)
+                rows["token"] = lists.flatten().to_numpy()
+                for name, column in (("class", 0), ("n", 1), ("m", 2)):
+                    rows[name] = np.repeat(batch.column(column).to_numpy(), sizes)
+                rows["pos"] = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                held.append(rows)
+                if sum(map(len, held)) >= HELD_POSTINGS:
+                    yield dealt()
         if held:
             yield dealt()
 
@@ -363,7 +369,7 @@ def sifted(rows: np.ndarray) -> np.ndarray:
         sizes = np.diff(first, append=len(rows))
         group = np.repeat(np.arange(len(first)), sizes)
         n = rows["n"].astype(np.float64)
-        spare = n - rows["pos"] + (MAX_MATCHES - 1) - HALF * n
+        spare = n - rows["pos"] + (np.maximum.reduceat(rows["m"], first)[group] - 1) - HALF * n  # no two ask for more matches than one of them
         keep = (sizes[group] > 1) & (_best_of_others(spare, first, sizes, group) >= HALF * n - 1e-6) & (-_best_of_others(-n, first, sizes, group) * HALF <= spare + 1e-6)
         if keep.all():
             break
@@ -382,11 +388,32 @@ def _best_of_others(values: np.ndarray, first: np.ndarray, sizes: np.ndarray, gr
     return out
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """``rows`` of one or two longs, to be broadcast if they are no more than ``BROADCAST_ROWS``."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def sketch_of(tokens: np.ndarray) -> bytes | None:
+    """How many shingles of a set fall into each of about as many buckets, a byte a bucket; None if a byte is too small."""
+    size = 1 << max(0, len(tokens).bit_length() - 1)
+    counts = np.bincount(tokens & (size - 1), minlength=size)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def may_be_similar(one: bytes | None, other: bytes | None, sizes: int) -> bool:
+    """Whether two sets, of ``sizes`` shingles in all, can be similar enough: no bucket holds more common ones than either set has in it."""
+    if one is None or other is None:
+        return True
+    a, b = np.frombuffer(one, np.uint8), np.frombuffer(other, np.uint8)
+    size = min(len(a), len(b))
+    a, b = (x if len(x) == size else x.reshape(-1, size).sum(axis=0, dtype=np.uint32) for x in (a, b))
+    most = int(np.minimum(a, b).sum(dtype=np.int64))
+    return 100 * most >= PERCENT * (sizes - most)
+
+
 def whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, scratch: Scratch, seed: int) -> DataFrame:
-    """``class, tokens``: the sets of the classes ``wanted(class)``, made again from one document of each."""
+    """``class, n, sketch, tokens``: the sets of the classes ``wanted(class)``, made again from one document of each."""
     chosen = scratch.stored(classes.select("class", F.col("_rep").alias("key")).join(wanted, "class", "left_semi"), "chosen")
-    if chosen.count() <= BROADCAST_ROWS:  # two longs a row; beyond, texts are shuffled
-        chosen = F.broadcast(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -396,18 +423,40 @@ def whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, scratch:
                 names = batch.column(0).slice(lo, len(texts)).to_pylist()
                 sets = [distinct(tokens[at[k] : at[k + 1]]) for k in range(len(texts))]
                 same = [k for k, s in enumerate(sets) if class_of(s, seed) == names[k]]  # two rows' keys may be equal
-                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in same], pa.int64()), pa.array([sets[k] for k in same], pa.list_(pa.int64()))], ["class", "tokens"])
+                arrays = [pa.array([names[k] for k in same], pa.int64()), pa.array([len(sets[k]) for k in same], pa.int64()), pa.array([sketch_of(sets[k]) for k in same], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([sets[k] for k in same], pa.list_(pa.int64()))], ["class", "n", "sketch", "tokens"])
+
+    texts = docs.select("key", "text").join(few(chosen), "key").select("class", "text")  # beyond few, texts are shuffled
+    sets = scratch.stored(texts.mapInArrow(run, "class long, n long, sketch binary, tokens array<long>"), "sets")
+    if sets.count() > chosen.count():  # rows that repeat
+        sets = scratch.stored(sets.dropDuplicates(["class"]), "sets")
+    return sets
 
-    texts = docs.select("key", "text").join(chosen, "key").select("class", "text")
-    return scratch.stored(texts.mapInArrow(run, "class long, tokens array<long>").dropDuplicates(["class"]), "sets")
 
+def possible(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs ``(a, b)`` of classes whose sketches allow that they are similar enough."""
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` of classes whose sets are similar enough, by their whole sets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            keep = [may_be_similar(x.as_py(), y.as_py(), n) for x, y, n in zip(batch.column(4), batch.column(5), sizes, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("class").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
+    return scratch.stored(pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long"), "possible")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs ``(a, b)`` of classes whose sets are similar enough, by their whole sets; only sets of possible pairs are moved."""
+    pairs = possible(pairs, sets, scratch)
+    wanted = scratch.stored(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "wanted")
+    sets = sets.select("class", "tokens").join(few(wanted), "class", "left_semi")
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), "a")
     both = both.join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))
-    return both.where(100 * common >= PERCENT * (F.size("ta") + F.size("tb") - common)).select("a", "b")
+    found = both.where(100 * common >= PERCENT * (F.size("ta") + F.size("tb") - common)).select("a", "b")
+    return scratch.stored(found, "links")
 
 
 def proposals(placed: DataFrame, turn: int) -> DataFrame:
@@ -434,28 +483,50 @@ def crossings(placed: DataFrame) -> DataFrame:
     """
     open_ = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     rows = placed.join(open_, "token", "left_semi")
-    spare = F.col("n") - F.col("pos") + (MAX_MATCHES - 1) - HALF * F.col("n")
-    groups = rows.groupBy("token", "comp", "members").agg(F.max(spare).alias("spare"), F.min("n").alias("n"), F.min("matches").alias("matches"), F.max("indexed").alias("indexed"))
-    groups = groups.select("token", F.struct("comp", "members", "spare", "n", "matches", "indexed").alias("g"))
+    spare = F.col("n") - F.col("pos") - HALF * F.col("n")
+    groups = rows.groupBy("token", "comp", "members").agg(
+        F.max(spare).alias("spare"), F.min("n").alias("n"), F.min("matches").alias("matches"), F.max("matches").alias("most"), F.max("indexed").alias("indexed")
+    )
+    groups = groups.select("token", F.struct("comp", "members", "spare", "n", "matches", "most", "indexed").alias("g"))
     x = rows.select("token", "class", "comp", "members", "n", "matches", "indexed", spare.alias("spare"))
     onward = (F.col("members") < F.col("g.members")) | ((F.col("members") == F.col("g.members")) & (F.col("comp") > F.col("g.comp")))
-    fits = (F.col("g.spare") >= HALF * F.col("n") - 1e-6) & (F.col("spare") >= HALF * F.col("g.n") - 1e-6) & (F.col("indexed") | F.col("g.indexed"))
+    more = F.greatest("matches", "g.most") - 1 + 1e-6  # matches that may have come before
+    fits = (F.col("g.spare") + more >= HALF * F.col("n")) & (F.col("spare") + more >= HALF * F.col("g.n")) & (F.col("indexed") | F.col("g.indexed"))
     met = x.join(groups, "token").where(onward & fits)
     counts = met.groupBy("class", F.col("g.comp").alias("comp")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("matches", "g.matches")).alias("needed"))
     return counts.where("shared >= needed").select("class", "comp")
 
 
-def in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """``comp, own, blocks, sets``: the sets of each component of ``members(class, comp)``, in blocks of bounded size."""
-    held = members.join(sets, "class")
-    sizes = held.groupBy("comp").agg(F.count(F.lit(1)).alias("members"), F.sum(F.size("tokens")).alias("held"))
+def in_blocks(members: DataFrame, sets: DataFrame, content: str) -> DataFrame:
+    """``comp, own, blocks, sets``: class, size and ``content`` of the sets of each component of ``members(class, comp)``, in blocks of bounded size."""
+    members = few(members)
+    held = sets.select("class", "n", content).join(members, "class")
+    sizes = sets.select("class", "n").join(members, "class").groupBy("comp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("held"))
     sizes = sizes.select("comp", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("held") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     held = held.join(sizes, "comp").withColumn("own", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
-    return held.groupBy("comp", "own", "blocks").agg(F.collect_list(F.struct("class", "tokens")).alias("sets"))  # BLOCK sets on the mean
+    return held.groupBy("comp", "own", "blocks").agg(F.collect_list(F.struct("class", "n", content)).alias("sets"))  # BLOCK sets on the mean
+
+
+def meeting(crossing: DataFrame, members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """``class, comp, own``: the blocks of components in which, by the sketches, a class of ``crossing(class, comp)`` may have a partner."""
+    blocks = scratch.stored(in_blocks(members, sets, "sketch"), "sketch-blocks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, own, others in zip(batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                own, sets = own.as_py(), others.values
+                keep.append(any(may_be_similar(own, y.as_py(), n + m) for y, m in zip(sets.field("sketch"), sets.field("n").to_pylist(), strict=True)))
+            yield batch.select([0, 1, 2]).filter(pa.array(keep, pa.bool_()))
+
+    rows = crossing.join(blocks.select("comp", "own"), "comp").join(sets.select("class", "n", "sketch"), "class")
+    rows = rows.join(blocks.select("comp", "own", "sets"), ["comp", "own"])
+    return scratch.stored(rows.select("class", "comp", "own", "n", "sketch", "sets").mapInArrow(run, "class long, comp long, own int"), "meeting", FEW_ROWS)
 
 
-def compared_with(crossing: DataFrame, sets: DataFrame, blocks: DataFrame) -> DataFrame:
+def compared_with(crossing: DataFrame, members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Links ``(a, b)``: of every row of ``crossing(class, comp)`` one to each block of the component that has any."""
+    crossing = meeting(crossing, members, sets, scratch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -476,9 +547,11 @@ def compared_with(crossing: DataFrame, sets: DataFrame, blocks: DataFrame) -> Da
                     b.append(others.field("class")[int(found[0])].as_py())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    numbers = blocks.select("comp", "own")
-    rows = crossing.join(numbers, "comp").join(sets, "class").join(blocks.select("comp", "own", "sets"), ["comp", "own"])
-    return rows.select("class", "tokens", "sets").mapInArrow(run, "a long, b long")
+    named, wanted = (scratch.stored(crossing.select(c).distinct(), "wanted") for c in ("comp", "class"))
+    blocks = in_blocks(scratch.stored(members.join(few(named), "comp", "left_semi"), "cross-members"), sets, "tokens")
+    theirs = sets.select("class", "tokens").join(few(wanted), "class", "left_semi")
+    rows = crossing.join(theirs, "class").join(blocks.select("comp", "own", "sets"), ["comp", "own"])
+    return scratch.stored(rows.select("class", "tokens", "sets").mapInArrow(run, "a long, b long"), "links", FEW_ROWS)
 
 
 def links_within(tokens: np.ndarray, sizes: np.ndarray, own: np.ndarray, i: int, j: int) -> np.ndarray:
@@ -506,7 +579,7 @@ def links_within(tokens: np.ndarray, sizes: np.ndarray, own: np.ndarray, i: int,
 
 def link_counts(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """``class, n_links``: the other classes similar to each class of ``members(class, comp)``; all of them are in its component."""
-    blocks = scratch.stored(in_blocks(members, sets), "count-blocks")
+    blocks = scratch.stored(in_blocks(members, sets, "tokens"), "count-blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -523,7 +596,7 @@ def link_counts(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFr
     one = many.select("comp", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "sets").where("i < j")
     other = many.select("comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("own").alias("j"), F.col("sets").alias("other")).where("i < j")
     cells = inside.unionByName(one.join(other, ["comp", "i", "j"]).select("sets", "other"))
-    return cells.mapInArrow(run, "class long, links long").groupBy("class").agg(F.sum("links").alias("n_links"))
+    return scratch.stored(cells.mapInArrow(run, "class long, links long").groupBy("class").agg(F.sum("links").alias("n_links")), "degrees", FEW_ROWS)
 
 
 def row_key() -> Column:
@@ -552,12 +625,12 @@ def compared(docs: DataFrame, count_links: bool = True) -> tuple[DataFrame, Data
         if comps is None:
             return live.withColumn("comp", F.col("class")).withColumn("members", F.lit(1).cast("long"))
         known = comps.join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("members")), "comp").select(F.col("node").alias("class"), "comp", "members")
-        return live.join(known, "class", "left").withColumn("comp", F.coalesce("comp", "class")).withColumn("members", F.coalesce("members", F.lit(1).cast("long")))
+        return live.join(few(scratch.stored(known, "members")), "class", "left").withColumn("comp", F.coalesce("comp", "class")).withColumn("members", F.coalesce("members", F.lit(1).cast("long")))
 
     links = comps = None
     for turn in range(ROUNDS):
         asked = scratch.stored(proposals(members(comps), turn), "proposals")
-        found = scratch.stored(verified(asked, sets), "links")
+        found = verified(asked, sets, scratch)
         n, n_found = asked.count(), found.count()
         if n_found:
             links = found if links is None else links.union(found)
@@ -568,8 +641,8 @@ def compared(docs: DataFrame, count_links: bool = True) -> tuple[DataFrame, Data
     placed = members(comps)
     crossing = scratch.stored(crossings(placed), "crossing")
     named = crossing.select("comp").distinct()
-    theirs = placed.select("class", "comp").distinct().join(named, "comp", "left_semi")
-    second = scratch.stored(compared_with(crossing, sets, scratch.stored(in_blocks(theirs, sets), "cross-blocks")), "links")
+    theirs = scratch.stored(placed.select("class", "comp").distinct().join(named, "comp", "left_semi"), "theirs")
+    second = compared_with(crossing, theirs, sets, scratch)
     if not second.isEmpty():
         links = second if links is None else links.union(second)
         comps = components(links, "second", scratch)

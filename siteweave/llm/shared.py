@@ -3,27 +3,39 @@
 from __future__ import annotations
 
 import os
-import re
 
 from pyspark.sql import DataFrame, SparkSession
 
 from siteweave.plans.storage import new_path, shared_dir, stored
 
-__all__ = ["Memo", "Scratch", "ends_in_punctuation", "new_path", "partitions", "shared_dir", "space_chunks", "stored"]
+__all__ = ["Memo", "Scratch", "new_path", "partitions", "shared_dir", "stored"]
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 class Scratch:
     """Stored tables of one run, in the shared folder, that the run can drop when it has ended."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name, self.paths = spark, name, {}
 
-    def stored(self, df: DataFrame, name: str) -> DataFrame:
-        out = stored(df, f"{self.name}-{name}")
+    def stored(self, df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
+        """Store a table; ``arrow_rows`` bounds the rows, if they are wide, that a Python worker gets at once."""
+        before = self.spark.conf.get(ARROW_ROWS, None)
+        if arrow_rows:
+            self.spark.conf.set(ARROW_ROWS, str(arrow_rows))
+        try:
+            out = stored(df, f"{self.name}-{name}")
+        finally:
+            if arrow_rows and before is None:
+                self.spark.conf.unset(ARROW_ROWS)
+            elif arrow_rows:
+                self.spark.conf.set(ARROW_ROWS, before)
         self.paths[id(out)] = (out, os.path.dirname(out.inputFiles()[0]) if out.inputFiles() else None)
         return out
 
@@ -37,32 +49,6 @@ class Scratch:
                 del self.paths[key]
 
 
-_NEAR_SPACE = re.compile(r" \s|\s ")
-_LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-
-
-def space_chunks(text: str) -> list[str]:
-    """Cut a text before each lone space; the chunks joined give the text.
-
-    A single space between two non-space characters always starts a pre-token of the
-    byte-level pattern, so the chunks can be encoded one by one and each distinct chunk
-    only once. Other white space stays inside its chunk.
-    """
-    parts = _LONE_SPACE.split(text) if _NEAR_SPACE.search(text) else text.split(" ")
-    if len(parts) > 1:
-        first = parts[0]
-        parts = [" " + p for p in parts]
-        parts[0] = first
-        if not first:
-            del parts[0]
-    return parts if text else []
-
-
-def ends_in_punctuation(chunk: str) -> bool:
-    """Whether a full stop or comma follows a letter at the end: it is then a pre-token of its own."""
-    return len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isalpha()
-
-
 class Memo(dict):
     """A bounded memo: it is emptied when full, which changes cost and never results."""
 

@@ -10,8 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import public_tokenizers
-from siteweave.llm import byte_bpe, edit_fingerprints, html_text, mixing, ngram_join, secret_scan, sharding, token_files, toxicity, vector_topk
-from siteweave.llm.shared import new_path, space_chunks
+from siteweave.llm import byte_bpe, edit_fingerprints, html_text, mixing, ngram_join, pieces, secret_scan, sharding, token_files, toxicity, vector_topk
+from siteweave.llm.shared import new_path
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 ODD = [(3, "one two  three, four five six."), (1, None), (2, ""), (5, " \n\t "), (4, "É ñ 日本 'll we'll\n\n x"), (7, "one two  three, four five six."), (6, "word " * 3000)]
@@ -24,17 +24,33 @@ def odd_docs(spark, rows=ODD):
 
 @given(st.text(alphabet="ab .,'\n\t\xa0é1", max_size=40))
 @settings(max_examples=300, deadline=None)
-def test_chunks_join_and_encode_like_the_whole(text):
+def test_byte_bpe_encodes_like_the_library(text):
     tiktoken = pytest.importorskip("tiktoken")
     bpe = byte_bpe.model(RANKS, public_tokenizers.PATTERN)
-    assert "".join(space_chunks(text)) == text
-    if not hasattr(test_chunks_join_and_encode_like_the_whole, "other"):
-        test_chunks_join_and_encode_like_the_whole.other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    if not hasattr(test_byte_bpe_encodes_like_the_library, "other"):
+        test_byte_bpe_encodes_like_the_library.other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
     ids = bpe.encode(text).tolist()
-    assert ids == test_chunks_join_and_encode_like_the_whole.other.encode_ordinary(text)
+    assert ids == test_byte_bpe_encodes_like_the_library.other.encode_ordinary(text)
     assert bpe.decode(ids) == text.encode()
 
 
+def test_byte_bpe_query(spark):
+    tiktoken = pytest.importorskip("tiktoken")
+    path = RANKS
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
+    rows = [*ODD, (None, "no id"), (8, "x" * 5000), (9, "\x85 a\u2003b\u3000 c<|endoftext|>"), (7, ODD[-2][1])]
+    docs = spark.createDataFrame([(i, t, "extra") for i, t in rows], "doc_id long, text string, ids string")
+    got = sorted(byte_bpe.encoding_digests(docs, path, public_tokenizers.PATTERN).collect(), key=str)
+    want = []
+    for i, t in rows:
+        ids = other.encode_ordinary(t or "")
+        want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    whole = byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN).collect()
+    assert sorted((str(r.doc_id), bytes(r.decoded).decode(), list(r.ids)) for r in whole) == sorted((str(i), t or "", other.encode_ordinary(t or "")) for i, t in rows)
+    assert byte_bpe.encoding_digests(docs.limit(0), path, public_tokenizers.PATTERN).count() == 0
+
+
 def test_token_files_round_trip(spark):
     tokenizers = pytest.importorskip("tokenizers")
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -48,10 +64,63 @@ def test_token_files_round_trip(spark):
         start += len(ids)
     reader = token_files.open_reader(manifest.first().path)
     assert len(reader) == manifest.first().n_docs and reader.ids(len(reader) - 1)[-1] == 0
+    assert [reader.ids(k).tobytes() for k in range(len(reader))] == list(reader.payloads())
     empty = token_files.write_token_files(odd_docs(spark).limit(0), new_path(spark, "t"), path)
     assert token_files.token_digests(empty).count() == 0
 
 
+def test_token_files_damage_and_rolling(spark, monkeypatch, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    file = tmp_path / "x.tokz"
+    writer = token_files.FrameWriter(open(file, "wb"))
+    for k in range(5):
+        writer.add(k if k else None, struct.pack("<3I", k, k, 7) * 50)
+    writer.close()
+    reader = token_files.open_reader(f"file://{file}")
+    assert reader.doc_ids == [None, 1, 2, 3, 4] and reader.ids(3).tolist() == [3, 3, 7] * 50
+    data = bytearray(file.read_bytes())
+    data[int(reader.places[2]) + 8] ^= 255
+    file.write_bytes(data)
+    reader = token_files.open_reader(f"file://{file}")
+    assert reader.ids(3).tolist() == [3, 3, 7] * 50  # other frames are not touched
+    with pytest.raises(Exception):
+        reader.ids(2)
+    assert file.stat().st_size and sum(len(x) for x in [reader.payload(0), reader.payload(4)]) == 1200
+    data[-1] ^= 255
+    file.write_bytes(data)
+    with pytest.raises(ValueError):
+        token_files.open_reader(f"file://{file}")
+
+    monkeypatch.setattr(token_files, "WINDOW", 40)
+    docs = spark.createDataFrame([(k % 7, f"text {k} " * k) for k in range(40)] + [(None, "a"), (None, None)], "doc_id long, text string")
+    rows = token_files.token_digests(token_files.write_token_files(docs, new_path(spark, "t"), path)).collect()
+    assert len(rows) == 42
+    at = 0
+    for r in sorted(rows, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    ids = [-1 if r.doc_id is None else r.doc_id for r in sorted(rows, key=lambda r: r.start)]
+    assert ids == sorted(ids)
+
+
+@given(st.text(alphabet="ab Z9 .,'!\n\t\xa0\x85é×ж1日\u2003\u0301\x1f", max_size=40), st.text(alphabet="a 's\n", max_size=9))
+@settings(max_examples=400, deadline=None)
+def test_pieces_encode_like_the_whole(one, two):
+    import pyarrow as pa
+
+    tokenizers = pytest.importorskip("tokenizers")
+    own = test_pieces_encode_like_the_whole
+    if not hasattr(own, "whole"):
+        own.whole = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    coder = pieces.PieceCoder(lambda x: [e.ids for e in own.whole.encode_batch(x, add_special_tokens=False)], most=3)
+    texts = [one, None, two, one + two, ""]
+    ids, at = coder.ids(pa.array(["skip", *texts]).slice(1))
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == own.whole.encode(t or "", add_special_tokens=False).ids
+    cut, at = pieces.cut(pa.array(texts))
+    assert ["".join(cut.to_pylist()[a:b]) for a, b in zip(at, at[1:], strict=False)] == [t or "" for t in texts]
+
+
 def test_vector_topk_against_brute_force(spark):
     rng = np.random.default_rng(5)
     v = rng.normal(0, 0.3, (300, 8)).astype(np.float32)
@@ -119,6 +188,15 @@ def test_edit_fingerprints(spark):
     got = {r.doc_id: r for r in edit_fingerprints.fingerprint_edits(odd_docs(spark)).collect()}
     order = sorted(ODD)
     assert len(got) == len(ODD) and got[3].fingerprint == got[7].fingerprint
+    many = spark.createDataFrame([(k * 3 % 401, f"text {k} " * (k % 5), "x") for k in range(400)], "doc_id long, text string, part string").repartition(7)
+    spark.conf.set("spark.sql.shuffle.partitions", "150")  # more borders than one group of them
+    try:
+        several = {r.doc_id: r for r in edit_fingerprints.fingerprint_edits(many).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    texts = dict((r.doc_id, r.text) for r in many.collect())
+    ids = sorted(texts)
+    assert all(several[i].edited_sha256 == hashlib.sha256(edit_fingerprints.edited(texts[i], texts[j]).encode()).hexdigest() for i, j in zip(ids, [*ids[1:], ids[0]], strict=True))
     for k, (i, t) in enumerate(order):
         t, following = t or "", order[(k + 1) % len(order)][1] or ""
         half = len(t) // 2
@@ -128,6 +206,57 @@ def test_edit_fingerprints(spark):
     assert edit_fingerprints.fingerprint_edits(odd_docs(spark).limit(0)).count() == 0
 
 
+def test_fingerprints_follow_edits():
+    import random
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(200, 600))) for _ in range(12)]
+    near = lambda x, y: float(edit_fingerprints.likeness(*edit_fingerprints.fingerprints([x, y])[:, None])[0])
+    edits = lambda x, k: "".join(rng.choice(["", "z" + c, "z"]) if at in where else c for where in [set(rng.sample(range(len(x)), k))] for at, c in enumerate(x))
+    by = [float(np.median([near(x, edits(x, k)) for x in texts])) for k in (1, 8, 40, 300)]
+    assert by[0] > 0.95 and by == sorted(by, reverse=True) and by[-1] < 0.5
+    swapped = [near(x, x[len(x) // 2 :] + x[: len(x) // 2]) for x in texts]
+    assert max(swapped) < 0.5 and max(near(x, y) for x, y in zip(texts, texts[1:], strict=False)) < 0.5
+    assert 0.4 < np.median([near(x, x[: len(x) // 2] + y[: len(x) // 2]) for x, y in zip(texts, texts[1:], strict=False)]) < 0.75
+    short = ["one two three four", "five six seven", "a", "b", "", "an entirely different line"]
+    assert all(near(x, x) == 1 for x in short) and all(near(x, y) < 0.6 for x, y in zip(short, short[1:], strict=False))
+    long = "".join(rng.choice("abcdefgh") for _ in range(3 * edit_fingerprints.SEGMENT))
+    assert near(long, "x" + long) > 0.8 and near(long, long[::-1]) < 0.4
+    batch = edit_fingerprints.fingerprints([*short, *texts, long])
+    assert np.array_equal(batch[3], edit_fingerprints.fingerprints(["b"])[0]) and np.array_equal(batch[-1], edit_fingerprints.fingerprints([long])[0])
+
+
+def test_banded_fingerprints_find_the_pairs_of_brute_force(spark):
+    import random
+
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    rows = []
+    for k in range(60):
+        base = text(rng.randint(150, 900))
+        for _ in range(rng.randint(1, 3)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 5)):
+                copy[rng.randrange(len(copy))] = rng.choice("xyz")
+            rows.append((len(rows), "".join(copy)))
+    rows += [(500, None), (501, ""), (502, rows[0][1]), (None, text(300))]
+    prints = edit_fingerprints.fingerprints([t or "" for _, t in rows])
+    close = lambda i, j: edit_fingerprints.likeness(prints[[i]], prints[[j]])[0] >= 0.9
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if close(i, j)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, node int")
+    got = {str(r.doc_id): r.component_id for r in edit_fingerprints.near_duplicates(docs, 0.9).collect()}
+    assert len(got) == len(rows) and got["500"] == got["501"] == 500 and got["502"] == got["0"]
+    name = lambda i: got[str(rows[i][0])]
+    assert len(pairs) > 25 and sum(name(i) == name(j) for i, j in pairs) >= 0.9 * len(pairs)
+    root = list(range(len(rows)))
+    for _ in range(4):
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    assert all(root[i] == root[j] for i in range(len(rows)) for j in range(i) if name(i) is not None and name(i) == name(j))
+    assert edit_fingerprints.near_duplicates(docs.limit(0)).count() == 0
+
+
 def test_secrets(spark):
     scan = secret_scan.Scanner().spans
     assert scan("PassWord = 'abcdef' token:abc secret=\"x1y2z3\"") == [("assign", 0, 18), ("assign", 30, 44)]
@@ -151,17 +280,108 @@ def test_html():
     assert html_text.main_text("plain words only") == "plain words only"
 
 
-def test_shards(spark):
-    rows, weights = sharding.slot_bytes(sharding.slotted(odd_docs(spark)), 8)
-    path = new_path(spark, "map")
-    first = sharding.store_map(spark, path, 1, sharding.assign(weights, 8), weights)
-    got = sharding.placed(rows, first).collect()
-    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in ODD)
-    for s in range(8):
+@given(st.text(alphabet="<>![]foxp/= \"'-&;adiv\n", max_size=60))
+@settings(max_examples=500, deadline=None)
+def test_pages_never_raise(html):
+    html_text.main_text(html)
+    html_text.main_text("<p>" + html + "<table><li></div>")
+
+
+def test_pages_keep_the_whole_article(spark):
+    long = "A paragraph with commas, and words, and more of them, so that it is long enough to count as text. " * 2
+    body = f"<p>{long}</p>"
+    page = f"""<body><header>H</header><div class="nav-bar"><p>{long}</p></div><article><h2>One</h2>{body}<ul><li>item a</li><li>item b</li></ul><h3>Two</h3>
+    <blockquote>quoted words</blockquote><p class="social-history">{long}</p><section id="related-work">{body}</section><figure><figcaption>the caption</figcaption></figure>
+    <pre>code  here</pre><table><tr><td>cell</td></tr></table><div class="share-buttons">share</div><div class="related-posts">more</div><div class="ad-slot">buy</div><![foo[x]]></article><footer>F</footer></body>"""
+    want = ["One", long.strip(), "item a", "item b", "Two", "quoted words", long.strip(), long.strip(), "the caption", "code here", "cell"]
+    assert html_text.main_text(page) == "\n\n".join(want)
+    assert html_text.main_text("<p>a <![foo[x]]> b</p>") == "a b"
+    rows = [(1, "u", page, 7), (None, None, None, 1), (2, "u", "", 1), (2, "u", "", 1), (3, "v", "<p>" * 3000 + "x" * 20000, 1), (4, None, "<div>&eacute;&nbsp;&lt;b&gt; </div>", 1)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
+    assert sorted((str(r.page_id), r.url, r.text, r.n_chars) for r in got if r.page_id != 1) == sorted([("None", None, "", 0), ("2", "u", "", 0), ("2", "u", "", 0), ("3", "v", "x" * 20000, 20000), ("4", None, "é <b>", 5)], key=lambda x: x[0])
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+KEYS = ["password", "PassWd", "secret", "token", "apikey", "API_key", "AKIA", "eyJ", "ghp_", "-----BEGIN ", "abc", "0f", "deadbeef0123456789abcdef", "=", ":", " ", '"', "'", ".", "A1B2C3D4E5F6G7H8", "é", "\n"]
+
+
+@given(st.lists(st.sampled_from(KEYS), max_size=30).map("".join))
+@settings(max_examples=500, deadline=None)
+def test_base_secrets_are_those_of_the_plain_expressions(text):
+    want = []
+    for kind, expression, holds in (("assign", secret_scan.ASSIGN, lambda m: len(m[2]) >= 6), ("access", secret_scan.ACCESS, lambda m: len(m[0]) >= 20), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24)):
+        want += [(kind, m.start(), m.end()) for m in expression.finditer(text) if holds(m)]
+    want.sort(key=lambda x: (x[1], secret_scan.BASE.index(x[0])))
+    assert [x for x in secret_scan.Scanner().spans(text) if x[0] in secret_scan.BASE] == want
+
+
+def test_secrets_of_odd_texts(spark):
+    import base64
+    import time
+
+    scan = secret_scan.Scanner().spans
+    part = lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    good = part('{"alg":"x"}') + "." + part('{"a":1}') + ".sig"
+    deep = part('{"alg":' + "[" * 100_000)
+    assert scan(good) == [("jwt", 0, len(good))] and scan(f"{deep}.{deep}.s") == []
+    began = time.time()
+    assert scan("eyJ" * 200_000) == [] and time.time() - began < 5
+    rows = [(1, "x" * 300_000 + " token=abcdef", 4), (None, None, 1), (2, "", 1), (2, "", 1), (None, "AKIA" + "Z" * 16, 1)]
+    got = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, spans int")).collect()
+    none = hashlib.sha256(b"").hexdigest()
+    assert sorted((str(r.doc_id), r.n_assign, r.n_access, r.n_hex, r.spans) for r in got) == sorted([("1", 1, 0, 0, "assign:300001:300013"), ("None", 0, 0, 0, ""), ("2", 0, 0, 0, ""), ("2", 0, 0, 0, ""), ("None", 0, 1, 0, "access:0:20")])
+    assert all(r.base_sha256 == (none if not r.spans else hashlib.sha256(r.spans.encode()).hexdigest()) for r in got)
+    assert secret_scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def checked_shards(rows, got, shards):
+    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in got) == sorted((str(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    for s in range(shards):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
-    assert len({r.shard for r in got if r.doc_id in (3, 7)}) == 1
-    second = sharding.rebalance(spark, path, weights, 9)
-    assert second.count() == first.count() and second.first().version == 2
+
+
+def test_shards(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    rows = [*ODD[:-1], (None, None), (None, "É"), (3, ODD[0][1]), *((k, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 60)))) for k in range(100, 900))]
+    copies = [(10_000 + k, "the hot text, again and again") for k in range(900)]
+    for table in (rows, rows + copies):
+        docs = spark.createDataFrame([(i, t, 5, "x") for i, t in table], "doc_id long, text string, size int, shard string")
+        docs.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        got = sharding.op10_shards(spark, f"file://{tmp_path}").collect()
+        checked_shards(table, got, 8)
+        loads = [sum(r.size for r in got if r.shard == s) for s in range(8)]
+        assert max(loads) - min(loads) <= 0.05 * sum(loads) / 8
+        assert {r.shard for r in got} == set(range(8)) and {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
+        homes = {}
+        for r in got:
+            homes.setdefault((r.text_crc32, r.size), set()).add(r.shard)
+        hot = (zlib.crc32(copies[0][1].encode()), len(copies[0][1]) + 1)
+        assert all(len(x) == 1 for key, x in homes.items() if key != hot)  # also texts in the slot of a split one
+        moved = sum(r.size for r in got if r.shard != r.rebalanced_shard)
+        grown = [sum(r.size for r in got if r.rebalanced_shard == s) for s in range(9)]
+        assert max(grown) - min(grown) <= 0.06 * sum(grown) / 9 and moved <= 1.3 * sum(loads) / 9
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    empty.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert sharding.op10_shards(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_shard_maps_hold_every_slot(spark):
+    old = spark.createDataFrame([(k, f"old {k}") for k in range(50)], "doc_id long, text string")
+    new = spark.createDataFrame([(k, f"new {k}") for k in range(100)], "doc_id long, text string")
+    path = new_path(spark, "map")
+    weights = sharding.weigh(sharding.slotted(old), 8)
+    sharding.store_map(spark, path, 1, sharding.assign(weights, 8), weights)
+    rows = sharding.slotted(new)
+    got = sharding.placed(rows, sharding.load_map(spark, path), 8).collect()
+    checked_shards([(r.doc_id, r.text) for r in new.collect()], got, 8)
+    second = sharding.rebalance(spark, path, rows, 8).collect()
+    assert len(second) == sharding.SLOTS and {r.version for r in second} == {2} == {sharding.load_map(spark, path).first().version}
+    even = {(k, 0, 0): 10 for k in range(90)}
+    before = {key: key[0] % 9 for key in even}
+    after = sharding.rebalanced(before, even, 10)
+    assert set(after) == set(before) and sum(after[k] != before[k] for k in before) == 9 and set(sharding.rebalanced(before, {}, 9)) == set(before)
 
 
 def test_word_hashes_follow_the_words():
@@ -196,7 +416,20 @@ def test_shingles_of_a_batch_are_those_of_each_text():
     for k, t in enumerate(texts):
         assert np.array_equal(np.unique(tokens[at[k] : at[k + 1]]), ngram_join.Shingler()(t))
     parts = list(ngram_join.slices(pa.array(["x" * (1 << 20)] * 5 + [None])))
-    assert [lo for lo, _ in parts] == [0, 2, 4] and sum(len(x) for _, x in parts) == 6
+    assert [lo for lo, _ in parts] == [0, 1, 2, 3, 4, 5] and sum(len(x) for _, x in parts) == 6
+
+
+def test_sketches_never_lose_a_pair():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        base = rng.integers(-(1 << 62), 1 << 62, int(rng.integers(1, 400)))
+        cut = int(len(base) * rng.uniform(0, 0.4))
+        a, b = np.unique(base[cut:]), np.unique(np.concatenate([base, rng.integers(-(1 << 62), 1 << 62, int(rng.integers(0, 60)))]))
+        if len(a) and 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b)):
+            assert ngram_join.may_be_similar(ngram_join.sketch_of(a), ngram_join.sketch_of(b), len(a) + len(b))
+    far = [np.unique(rng.integers(-(1 << 62), 1 << 62, 200)) for _ in range(20)]
+    assert not any(ngram_join.may_be_similar(ngram_join.sketch_of(x), ngram_join.sketch_of(y), 400) for x, y in zip(far, far[1:], strict=False))
+    assert ngram_join.may_be_similar(None, ngram_join.sketch_of(far[0]), 400)
 
 
 def test_long_words_leave_the_other_words_alone(spark):
