@@ -12,6 +12,56 @@ AMINO = "ACDEFGHIKLMNPQRSTVWY"
 POLAR, NONPOLAR, ACIDIC, BASIC, AROMATIC = "STYCNQ", "AVLIMFWPG", "DE", "KRH", "FWY"
 HYDROPATHY = {"A": 1.8, "R": -4.5, "N": -3.5, "D": -3.5, "C": 2.5, "Q": -3.5, "E": -3.5, "G": -0.4, "H": -3.2, "I": 4.5, "L": 3.8, "K": -3.9, "M": 1.9, "F": 2.8, "P": -1.6, "S": -0.8, "T": -0.7, "W": -0.9, "Y": -1.3, "V": 4.2}
 BACKGROUND = {"A": 0.0825, "R": 0.0553, "N": 0.0406, "D": 0.0546, "C": 0.0138, "Q": 0.0393, "E": 0.0672, "G": 0.0707, "H": 0.0227, "I": 0.0591, "L": 0.0965, "K": 0.058, "M": 0.0241, "F": 0.0386, "P": 0.0474, "S": 0.0665, "T": 0.0536, "W": 0.011, "Y": 0.0292, "V": 0.0686}
+# BLOSUM62, the rows of its lower triangle over these letters.
+BLOSUM_LETTERS = "ARNDCQEGHILKMFPSTWYV"
+BLOSUM62 = """
+ 4
+-1  5
+-2  0  6
+-2 -2  1  6
+ 0 -3 -3 -3  9
+-1  1  0  0 -3  5
+-1  0  0  2 -4  2  5
+ 0 -2  0 -1 -3 -2 -2  6
+-2  0  1 -1 -3  0  0 -2  8
+-1 -3 -3 -3 -1 -3 -3 -4 -3  4
+-1 -2 -3 -4 -1 -2 -3 -4 -3  2  4
+-1  2  0 -1 -3  1  1 -2 -1 -3 -2  5
+-1 -1 -2 -3 -1  0 -2 -3 -2  1  2 -1  5
+-2 -3 -3 -3 -2 -3 -3 -3 -1  0  0 -3  0  6
+-1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4  7
+ 1 -1  1  0 -1  0  0  0 -1 -2 -2  0 -1 -2 -1  4
+ 0 -1  0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1  1  5
+-3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1  1 -4 -3 -2 11
+-2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7
+ 0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -1  4
+"""
+# Consensus motifs of kinases.
+CONSENSUS = {
+    "PKA_consensus": "R[RK].S",
+    "PKC_consensus": "[ST].[RK]",
+    "CK2_consensus": "S..E",
+    "CK1_consensus": "S..[ST]",
+    "proline_directed": "[ST]P",
+    "GSK3_consensus": "S...S",
+    "acidic_directed": "S.[DE]",
+    "basic_directed": "S.[RK]",
+    "CDK_consensus": "[ST]P.[RK]",
+    "MAPK_consensus": "P.[ST]P",
+    "ATM_ATR_consensus": "[ST]Q",
+}
+# Recognition patterns of a motif profile, with the kinases that they stand for.
+RECOGNITION = {
+    "CDK": ("[ST]P.?[KR]", ["CDK1", "CDK2", "CDK5"]),
+    "MAPK/ERK": ("P.[ST]P", ["ERK1", "ERK2", "p38", "JNK"]),
+    "PKA/PKG": ("[RK][RK].?[ST]", ["PKA", "PKG"]),
+    "CK2": ("[ST]..[DE]", ["CK2"]),
+    "GSK3": ("[ST]..[ST]", ["GSK3α", "GSK3β"]),
+    "CK1": ("[DE]..[ST].[ST]", ["CK1"]),
+    "PLK": ("[DE]..[ST]", ["PLK1"]),
+    "Akt/PKB": ("R.R..[ST]", ["Akt1", "Akt2", "Akt3"]),
+    "AGC": ("R.[ST]", ["PKA", "PKC", "PKG"]),
+}
 
 
 def standardize(motif: Column, w: int = 7) -> Column:
@@ -80,21 +130,30 @@ def residue_class(aa: Column) -> Column:
     return reduce(lambda c, x: c.when(F.lit(x[0]).contains(aa), x[1]), classes[1:], F.when(F.lit(classes[0][0]).contains(aa), classes[0][1])).otherwise("special")
 
 
+def _blosum_cells() -> list[int]:
+    """The whole matrix, row by row, over its letters and X, which scores -1 with all."""
+    lower = [[int(v) for v in line.split()] for line in BLOSUM62.strip().splitlines()]
+    n = len(lower)
+    return [lower[max(i, j)][min(i, j)] if max(i, j) < n else -1 for i in range(n + 1) for j in range(n + 1)]
+
+
 def pair_score(aa1: Column, aa2: Column) -> Column:
-    """Rule-based substitution score: 5 for equal letters, 1 inside a group, else -2."""
-    groups = [POLAR, NONPOLAR, ACIDIC, BASIC]
-    same = reduce(lambda a, b: a | b, [F.lit(g).contains(aa1) & F.lit(g).contains(aa2) for g in groups])
-    return F.when(aa1 == aa2, 5).when(same, 1).otherwise(-2)
+    """BLOSUM62 of two letters in capitals; a letter that it doesn't have counts as X, ``*`` scores -4 with all but itself."""
+    n = len(BLOSUM_LETTERS) + 1
+    place = lambda aa: F.when(F.instr(F.lit(BLOSUM_LETTERS), aa) > 0, F.instr(F.lit(BLOSUM_LETTERS), aa) - 1).otherwise(n - 1)
+    cell = F.get(F.array(*map(F.lit, _blosum_cells())), place(aa1) * n + place(aa2))
+    stars = (aa1 == "*").cast("int") + (aa2 == "*").cast("int")
+    return F.when(stars == 2, 1).when(stars == 1, -4).otherwise(cell)
 
 
 def substitution_similarity(a: Column, b: Column, variant: str = "mean", score=pair_score) -> Column:
-    """Similarity of two motifs by a substitution rule.
+    """Similarity of two motifs, in any case, by BLOSUM62 or another substitution score.
 
     ``mean``: mean over the length, 0 for unequal lengths. ``known``: mean over positions
     where neither letter is X. ``sum``: raw sum without X. ``score`` takes two letter
     columns, so that a matrix file can be used through :func:`matrix_score`.
     """
-    pairs = F.filter(F.arrays_zip(letters(a).alias("x"), letters(b).alias("y")), lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+    pairs = F.filter(F.arrays_zip(letters(F.upper(a)).alias("x"), letters(F.upper(b)).alias("y")), lambda p: p["x"].isNotNull() & p["y"].isNotNull() & (p["x"] != "") & (p["y"] != ""))
     if variant != "mean":
         pairs = F.filter(pairs, lambda p: (p["x"] != "X") & (p["y"] != "X"))
     total = F.aggregate(pairs, F.lit(0).cast("int"), lambda s, p: s + score(p["x"], p["y"]).cast("int"))
@@ -160,7 +219,28 @@ def is_known_kinase(label: Column) -> Column:
     return label.isNotNull() & (label != "unlabeled")
 
 
-def covering_patterns(sequence: Column, position: Column, patterns: dict[str, str], reach: int = 10) -> Column:
+def motif_profile(motif: Column, site_type: Column) -> Column:
+    """Group counts and shares of a motif without its centre, before and after it, the letters within three, and the patterns it shows.
+
+    The centre is the eighth letter if that is the site's, else the middle (floor of half).
+    """
+    n, eighth = F.length(motif), F.substring(motif, 8, 1) == site_type
+    middle = F.when(eighth, 7).otherwise(F.floor(n / 2)).cast("int")
+    before, after = F.substring(motif, F.lit(1), middle), F.substring(motif, middle + 2, n)
+    groups = {"polar": POLAR, "nonpolar": NONPOLAR, "acidic": ACIDIC, "basic": BASIC}
+    known = "".join(groups.values())
+    count = lambda text, name: F.regexp_count(text, F.lit(f"[{groups[name]}]" if name in groups else f"[^{known}]"))
+    share = lambda k, of: F.when(of > 0, k * 100.0 / of).otherwise(0.0)
+    cells = []
+    for name in (*groups, "other"):
+        up, down = count(before, name), count(after, name)
+        cells += [(up + down).alias(f"{name}_count"), share(up + down, n - 1).alias(f"{name}_percent"), share(up, F.length(before)).alias(f"upstream_{name}"), share(down, F.length(after)).alias(f"downstream_{name}")]
+    narrow = F.substring(motif, F.greatest(F.lit(1), middle - 2), middle + 4 - F.greatest(F.lit(0), middle - 3))
+    shown = F.array(*[F.when(motif.rlike(p), F.struct(F.lit(k).alias("name"), F.array(*map(F.lit, who)).alias("kinases"), F.regexp_extract(motif, p, 0).alias("match"))) for k, (p, who) in RECOGNITION.items()])
+    return F.struct(middle.alias("center"), *cells, narrow.alias("narrow"), F.array_compact(shown).alias("patterns"))
+
+
+def covering_patterns(sequence: Column, position: Column, patterns: dict[str, str] = CONSENSUS, reach: int = 10) -> Column:
     """Names of the patterns of which a match within ``reach`` letters covers the site, joined."""
     start = F.greatest(F.lit(1), position - reach)
     window, centre = F.substring(sequence, start, F.lit(2 * reach + 1)), position - start

@@ -142,6 +142,11 @@ def as_json(table: DataFrame) -> DataFrame:
     return table.select(F.to_json(F.struct("*")).alias("json"))
 
 
+def in_order(sites: DataFrame) -> DataFrame:
+    """Sites by protein and residue number."""
+    return sites.orderBy("uniprot_id", "resno", "site_id")
+
+
 def combined_sites(sites: DataFrame, structural: DataFrame, sequence: DataFrame) -> DataFrame:
     """Own sites and the targets of both kinds of match, marked by where they come from."""
     def of(matches: DataFrame, kind: str) -> DataFrame:

@@ -12,6 +12,23 @@ from siteweave.functions.motif import ACIDIC, BACKGROUND, BASIC, residue_class,
 GROUP_BACKGROUND = {"polar": 0.30, "nonpolar": 0.50, "acidic": 0.10, "basic": 0.10}
 
 
+def phosphosites(proteins: DataFrame, w: int = 7, chunk: int = 256) -> DataFrame:
+    """S, T and Y of ``proteins(uniprot_id, gene, sequence)`` with their number from 1 and their unpadded motif of ``w`` letters a side.
+
+    Sequences are cut into chunks that overlap by ``w`` letters a side, so that a row never
+    carries a whole sequence and a long protein is spread over many rows.
+    """
+    pad = "-" * w
+    parts = F.sequence(F.lit(0), F.floor((F.length("sequence") - 1) / chunk).cast("int"))
+    chunks = proteins.where(F.length("sequence") > 0).select("uniprot_id", "gene", F.concat(F.lit(pad), "sequence", F.lit(pad)).alias("padded"), F.explode(parts).alias("k"))
+    chunks = chunks.select("uniprot_id", "gene", "k", F.substring("padded", F.col("k") * chunk + 1, F.lit(chunk + 2 * w)).alias("text"))
+    places = F.sequence(F.lit(1), F.length("text") - 2 * w)
+    sites = chunks.select("uniprot_id", "gene", "k", "text", F.explode(F.filter(places, lambda i: F.col("text").substr(i + w, F.lit(1)).isin("S", "T", "Y"))).alias("i"))
+    resno = (F.col("k") * chunk + F.col("i")).cast("int")
+    motif = F.replace(F.col("text").substr(F.col("i"), F.lit(2 * w + 1)), F.lit("-"), F.lit(""))
+    return sites.select(F.concat_ws("_", "uniprot_id", resno.cast("string")).alias("site_id"), "uniprot_id", "gene", F.col("text").substr(F.col("i") + w, F.lit(1)).alias("residue"), resno.alias("resno"), motif.alias("motif"))
+
+
 def positions(motifs: DataFrame, w: int | None = 7) -> DataFrame:
     """``query_id, position, aa``: standardised motifs around 0, or raw ones from 1 if ``w`` is None."""
     m = F.upper("motif") if w is None else standardize(F.upper("motif"), w)

@@ -8,13 +8,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Kinase families in the order in which they are tried.
+from siteweave.functions.motif import AMINO
+
+# Members of the kinase families, tried in this order as parts of the name in capitals (so "p38" finds nothing).
 FAMILIES = {
-    "CDK": ["CDK"], "MAPK": ["ERK", "MAPK", "P38", "JNK"], "GSK": ["GSK"], "CK": ["CK1", "CK2", "CSNK"], "PKC": ["PKC", "PRKC"], "PKA": ["PKA", "PRKACA"],
-    "AKT": ["AKT"], "SRC": ["SRC", "FYN", "LYN"], "CAMK": ["CAMK"], "ATM/ATR": ["ATM", "ATR", "DNAPK"], "PLK": ["PLK"], "AURORA": ["AURK"],
+    "CDK": ["CDK1", "CDK2", "CDK4", "CDK5", "CDK6", "CDK7", "CDK8", "CDK9"],
+    "MAPK": ["ERK1", "ERK2", "p38", "JNK1", "JNK2", "JNK3"],
+    "GSK": ["GSK3", "GSK3A", "GSK3B"],
+    "CK": ["CK1", "CK2", "CSNK1", "CSNK2"],
+    "PKC": ["PKC", "PKCALPHA", "PKCBETA", "PKCDELTA", "PKCEPSILON", "PKCGAMMA", "PKCZETA"],
+    "PKA": ["PKA", "PKACA", "PKACB", "PKACG"],
+    "AKT": ["AKT", "AKT1", "AKT2", "AKT3"],
+    "SRC": ["SRC", "FYN", "LCK", "LYN", "HCK", "FGR", "BLK", "YES"],
+    "CAMK": ["CAMK", "CAMK1", "CAMK2", "CAMK4"],
+    "ATM/ATR": ["ATM", "ATR", "DNAPK"],
+    "PLK": ["PLK1", "PLK2", "PLK3", "PLK4"],
+    "AURORA": ["AURKA", "AURKB", "AURKC"],
+}
+# The substrate motif of kinases whose name contains a word in any case, first hit wins.
+PREFERRED = {
+    "CDK1": "S/T-P-X-K/R", "CDK2": "S/T-P-X-K/R", "CDK5": "S/T-P-X-K/R", "ERK1": "P-X-S/T-P", "ERK2": "P-X-S/T-P", "MAPK": "P-X-S/T-P",
+    "p38": "P-X-S/T-P", "JNK": "P-X-S/T-P", "PKA": "R-R-X-S/T", "PKG": "R-R-X-S/T", "PKC": "S/T-X-K/R", "CK1": "pS-X-X-S/T",
+    "CK2": "S/T-X-X-E/D", "GSK3": "S/T-X-X-X-pS", "PLK": "D/E-X-S/T-Φ", "AKT": "R-X-R-X-X-S/T", "CAMK2": "R-X-X-S/T", "AURORA": "R-X-S/T",
+    "ATM": "S/T-Q", "ATR": "S/T-Q", "DNAPK": "S/T-Q", "SRC": "X-E/D-E/D-X-Y-Φ-X-X", "FYN": "X-E/D-E/D-X-Y-Φ-X-X", "LCK": "X-E/D-E/D-X-Y-Φ-X-X",
 }
-# The substrate motif of kinases whose name contains a word, first hit wins.
-PREFERRED = [("CDK", "S/T-P-X-K/R"), ("ERK", "P-X-S/T-P"), ("MAPK", "P-X-S/T-P"), ("PKA", "R-R-X-S/T"), ("PKC", "S/T-X-K/R"), ("CK2", "S/T-X-X-D/E"), ("GSK", "S/T-X-X-X-S/T"), ("AKT", "R-X-R-X-X-S/T"), ("ATM", "S/T-Q")]
 
 
 def to_long(wide: DataFrame, keys: list[str], fill: float | None = None, value: str = "score") -> DataFrame:
@@ -100,7 +117,8 @@ def family_totals(scores: DataFrame, key: str = "site_id") -> DataFrame:
 
 def preferred_motif(top: DataFrame) -> DataFrame:
     name = F.upper("kinase")
-    chain = reduce(lambda c, x: c.when(name.contains(x[0]), x[1]), PREFERRED[1:], F.when(name.contains(PREFERRED[0][0]), PREFERRED[0][1]))
+    words = [(word.upper(), motif) for word, motif in PREFERRED.items()]
+    chain = reduce(lambda c, x: c.when(name.contains(x[0]), x[1]), words[1:], F.when(name.contains(words[0][0]), words[0][1]))
     return top.withColumn("preferred_motif", chain.otherwise("Unknown"))
 
 
@@ -141,6 +159,13 @@ def scored_matches(matches: DataFrame, scores: DataFrame) -> DataFrame:
     return routed.join(scores.withColumnRenamed("site_id", "target_id"), ["target_id", "score_class"])
 
 
+def tagged_matches(structural: DataFrame, sequence: DataFrame, scores: DataFrame) -> DataFrame:
+    """Scored matches of both kinds in one table, marked by ``match_type``."""
+    shared = ["query_id", "target_id", "target_type"]
+    both = [scored_matches(m.select(*shared), scores).withColumn("match_type", F.lit(kind)) for m, kind in ((structural, "structural"), (sequence, "sequence"))]
+    return both[0].unionByName(both[1])
+
+
 def match_report(structural: DataFrame, sequence: DataFrame, scores: DataFrame) -> DataFrame:
     """Matched and scored targets by query for both kinds of match."""
     def counts(matches: DataFrame, kind: str) -> DataFrame:
@@ -158,17 +183,23 @@ def sites_with_matches(sites: DataFrame, structural: DataFrame, sequence: DataFr
     return out.where("n_structural > 0 OR n_sequence > 0")
 
 
-def percentiles(scores: DataFrame, by: str = "kinase", value: str = "score") -> DataFrame:
+def percentiles(scores: DataFrame, by: str = "kinase", value: str = "score", ranges: int = 64) -> DataFrame:
     """Share of the kinase's values that are smaller, plus one: ties share the low rank.
 
-    NULL counts as NaN; NaN sorts last and counts in n. Values of one kinase are counted
-    before they are ranked, so that a kinase with few different values stays cheap.
+    NULL counts as NaN; NaN sorts last and counts in n. Values of one kinase are counted,
+    then ranked within ``ranges`` ranges of its values, and what lies in the ranges before is
+    added: no kinase is sorted in one task, however many different values it has.
     """
     x = F.coalesce(F.col(value).cast("double"), F.lit(float("nan")))
     counted = scores.withColumn(value, x).groupBy(by, value).count()
-    below = F.coalesce(F.sum("count").over(W.partitionBy(by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("count").over(W.partitionBy(by))
-    ranks = counted.select(F.col(by).alias("_by"), F.col(value).alias("_x"), ((below + 1) / total).alias("percentile"))
+    cuts = counted.groupBy(by).agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 1000).alias("_cuts"))  # a row a kinase
+    placed = counted.join(cuts, by).withColumn("_range", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(value)))).drop("_cuts")
+    sums = placed.groupBy(by, "_range").agg(F.sum("count").alias("held"))  # at most ``ranges`` rows a kinase
+    earlier = W.partitionBy(by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(by, "_range", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("_before"), F.sum("held").over(W.partitionBy(by)).alias("_total"))
+    inside = F.sum("count").over(W.partitionBy(by, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1))
+    ranked = placed.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(offsets, [by, "_range"])
+    ranks = ranked.select(F.col(by).alias("_by"), F.col(value).alias("_x"), ((F.col("_before") + F.col("_inside") + 1) / F.col("_total")).alias("percentile"))
     rows = scores.withColumn(value, x)
     return rows.join(ranks, (rows[by] == ranks["_by"]) & (rows[value] == ranks["_x"])).drop("_by", "_x")
 
@@ -188,9 +219,17 @@ def pssm_scores(motifs: DataFrame, pssm: DataFrame, column: str = "motif", least
     than 10 give NaN. ``pssm`` holds some 300 kinases x 9 positions x 20 letters: fixed.
     """
     different = motifs.select(F.upper(column).alias("motif")).where(F.col("motif").isNotNull()).distinct()
-    good = different.where(F.length("motif") == 10)
-    cells = good.select("motif", F.posexplode(F.split("motif", "")).alias("at", "aa")).where("at <> 5").select("motif", (F.col("at") - 5).alias("position"), "aa")
-    hits = cells.join(F.broadcast(pssm), ["position", "aa"]).groupBy("motif", "kinase").agg(F.product("weight").alias("score"), F.count(F.lit(1)).alias("n"))
-    grid = different.crossJoin(F.broadcast(pssm.select("kinase").distinct()))
-    score = F.when(F.coalesce("n", F.lit(0)) >= least, F.col("score")).otherwise(F.lit(float("nan")))
-    return grid.join(hits, ["motif", "kinase"], "left").select("motif", "kinase", score.alias("score"))
+    places = [-5, -4, -3, -2, -1, 1, 2, 3, 4]
+    at = F.lit(len(AMINO)) * F.array_position(F.array(*map(F.lit, places)), F.col("position")) + F.instr(F.lit(AMINO), F.col("aa")) - len(AMINO)
+    known = pssm.where(F.col("position").isin(places) & (F.instr(F.lit(AMINO), F.col("aa")) > 0))
+    cells = known.groupBy("kinase").agg(F.map_from_entries(F.collect_list(F.struct(at.cast("int"), "weight"))).alias("cells"))
+    names = pssm.select("kinase").distinct().join(cells, "kinase", "left")
+    slots = F.sequence(F.lit(1), F.lit(len(AMINO) * len(places)))
+    weights = names.select("kinase", F.transform(slots, lambda k: F.element_at("cells", k)).alias("w"))  # a row a kinase
+    score, n = F.lit(1.0), F.lit(0)
+    for k, p in enumerate(places):
+        letter = F.instr(F.lit(AMINO), F.substring("motif", p + 6, 1))
+        weight = F.when(letter > 0, F.get("w", F.lit(k * len(AMINO)) + letter - 1))
+        score, n = score * F.coalesce(weight, F.lit(1.0)), n + weight.isNotNull().cast("int")
+    score = F.when((F.length("motif") == 10) & (n >= least), score).otherwise(F.lit(float("nan")))
+    return different.crossJoin(F.broadcast(weights)).select("motif", "kinase", score.alias("score"))

@@ -41,7 +41,8 @@ SIMILAR = """near_sites AS (SELECT DISTINCT * FROM (
     UNION ALL SELECT query_id, target_id FROM fx_edge WHERE similarity>=0.6 AND query_id IN (SELECT site_id FROM fx_score)
     UNION ALL SELECT target_id, query_id FROM fx_edge WHERE similarity>=0.6 AND target_id IN (SELECT site_id FROM fx_score)
     UNION ALL SELECT query_id, target_id FROM fx_edge WHERE rmsd<=3.0 AND query_id IN (SELECT site_id FROM fx_score)))"""
-STATS = f"""{SIMILAR}, stats AS (SELECT query_id, kinase, avg(score) AS m, median(score) AS md, max(score) AS mx, min(score) AS mn, count(*) AS n
+#: The mean to six digits, halves up, in whole numbers.
+STATS = f"""{SIMILAR}, stats AS (SELECT query_id, kinase, ((sum(CAST(round(score*100) AS BIGINT))*20000+count(*))//(2*count(*)))/1000000.0::DOUBLE AS m, median(score) AS md, max(score) AS mx, min(score) AS mn, count(*) AS n
     FROM near_sites JOIN fx_score USING (site_id) WHERE score>0 GROUP BY 1,2 HAVING count(*)>=2)"""
 
 
@@ -64,7 +65,9 @@ def network_kinases(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def network_statistics(spark: SparkSession, d: str) -> DataFrame:
     similar = E.similar_sites(fx.ids(spark, d), fx.sequence_edges(spark, d), fx.edges(spark, d))
-    out = S.network_statistics(similar, fx.scores(spark, d))
+    tenths = fx.scores(spark, d).withColumn("score", F.col("score").cast("decimal(12,2)"))  # means of decimals are rounded exactly
+    out = S.network_statistics(similar, tenths)
+    out = out.withColumns({c: F.col(c).cast("double") for c in ("mean_score", "max_score", "min_score", "score_range")})
     return rounded(out, "mean_score", "median_score", "score_range").select("query_id", "kinase", "mean_score", "median_score", "max_score", "min_score", "score_range", "sample_size")
 
 
@@ -128,12 +131,13 @@ def score_percentiles(spark, d):
     return rounded(S.percentiles(fx.scores(spark, d)), "percentile")
 
 
-NAMED = "CASE kinase WHEN 'K0' THEN 'CDK1' WHEN 'K1' THEN 'ERK2' WHEN 'K2' THEN 'GSK3B' WHEN 'K3' THEN 'CK2A1' WHEN 'K4' THEN 'PKCA' WHEN 'K5' THEN 'AKT1' WHEN 'K6' THEN 'ATM' ELSE kinase END"
+NAMES = ["CDK1", "ERK2", "GSK3B", "CK2A1", "PKCA", "LCK", "ATM", "HCK", "YES1", "CDK3", "PRKCA", "p38a", "AURKB"]
+NAMED = "CASE kinase " + " ".join(f"WHEN 'K{k}' THEN '{name}'" for k, name in enumerate(NAMES)) + " END"
 
 
 @query(
-    """SELECT site_id, CASE kinase WHEN 'K0' THEN 'CDK' WHEN 'K1' THEN 'MAPK' WHEN 'K2' THEN 'GSK' WHEN 'K3' THEN 'CK' WHEN 'K4' THEN 'PKC' WHEN 'K5' THEN 'AKT' WHEN 'K6' THEN 'ATM/ATR' ELSE 'Other' END AS family,
-        round(sum(score),6) AS score FROM fx_score GROUP BY 1,2""",
+    """SELECT site_id, CASE kinase WHEN 'K0' THEN 'CDK' WHEN 'K1' THEN 'MAPK' WHEN 'K2' THEN 'GSK' WHEN 'K3' THEN 'CK' WHEN 'K4' THEN 'PKC' WHEN 'K5' THEN 'SRC' WHEN 'K6' THEN 'ATM/ATR'
+        WHEN 'K7' THEN 'SRC' WHEN 'K8' THEN 'SRC' WHEN 'K12' THEN 'AURORA' ELSE 'Other' END AS family, round(sum(score),6) AS score FROM fx_score GROUP BY 1,2""",
     "fx_score",
 )
 def kinase_families(spark, d):
@@ -204,29 +208,29 @@ def sequence_lengths(spark, d):
     return M.length_distribution(fx.proteins(spark, d), "sequence")
 
 
-def _starts(spark, d):
-    return fx.proteins(spark, d).select(F.col("uniprot_id").alias("id"), F.substring("sequence", 1, 15).alias("motif"))
+def _firsts(spark, d):
+    return fx.first_motifs(spark, d)
 
 
-GRAMS = """, m AS (SELECT uniprot_id AS id, substr(sequence,1,15) AS motif FROM fx_protein), g AS (SELECT DISTINCT id, motif, substr(motif,p,3) AS gram FROM (SELECT id, motif, unnest(range(1,14)) AS p FROM m)),
+GRAMS = """, g AS (SELECT * FROM (SELECT DISTINCT id, motif, substr(motif,p,3) AS gram FROM (SELECT id, motif, unnest(range(1,14)) AS p FROM fx_motif)) WHERE gram NOT LIKE '%X%'),
     p AS (SELECT a.id AS id1, b.id AS id2, any_value(a.motif) AS m1, any_value(b.motif) AS m2, CAST(count(*) AS INT) AS matching FROM g a JOIN g b ON a.gram=b.gram AND a.id<b.id GROUP BY 1,2 HAVING count(*)>=3)"""
-SHARED = "len(list_intersect(list_distinct(string_split(m1,'')), list_distinct(string_split(m2,''))))>=3"
+SHARED = "len(list_filter(list_intersect(list_distinct(string_split(m1,'')), list_distinct(string_split(m2,''))), lambda a: a<>'X'))>=3"
 
 
 @query()
 def ngram_pairs(spark, d):
-    """The first 15 letters of every protein against each other: three shared 3-mers and letters."""
-    return P.ngram_pairs(_starts(spark, d)).select("id1", "id2", "matching")
+    """The motifs of the proteins' first tyrosines against each other: three shared 3-mers and letters."""
+    return P.ngram_pairs(_firsts(spark, d)).select("id1", "id2", "matching")
 
 
 @query()
 def ngram_pairs_plain(spark, d):
     """The same without the condition on shared letters."""
-    return P.ngram_pairs(_starts(spark, d), require_shared_aa=False).select("id1", "id2", "matching")
+    return P.ngram_pairs(_firsts(spark, d), require_shared_aa=False).select("id1", "id2", "matching")
 
 
-register_raw("ngram_pairs", sql(f"{GRAMS} SELECT id1, id2, matching FROM p WHERE {SHARED}", "fx_protein"))
-register_raw("ngram_pairs_plain", sql(f"{GRAMS} SELECT id1, id2, matching FROM p", "fx_protein"))
+register_raw("ngram_pairs", sql(f"{GRAMS} SELECT id1, id2, matching FROM p WHERE {SHARED}", "fx_protein", "fx_site", "fx_motif"))
+register_raw("ngram_pairs_plain", sql(f"{GRAMS} SELECT id1, id2, matching FROM p", "fx_protein", "fx_site", "fx_motif"))
 
 
 @query(
@@ -295,17 +299,17 @@ def graph_depths(spark, d):
 
 
 @query(
-    """, w AS (SELECT DISTINCT a FROM sym WHERE a LIKE 'C%' AND CAST(substr(a,2) AS INT)%5=0) SELECT b AS node, count(*) AS n FROM sym WHERE a IN (SELECT a FROM w) AND b NOT IN (SELECT a FROM w) GROUP BY 1 HAVING count(*)>1""",
+    """, w AS (SELECT DISTINCT a FROM sym WHERE a LIKE 'C%') SELECT b AS node, count(*) AS n FROM sym WHERE a IN (SELECT a FROM w) AND b NOT IN (SELECT a FROM w) GROUP BY 1 HAVING count(*)>1""",
     "fx_inter", "fx_strong", "sym",
 )
 def common_interactors(spark, d):
     e = fx.strong_interactions(spark, d)
-    listed = e.where("cast(substr(a, 2) as int) % 5 = 0").select(F.col("a").alias("id")).distinct()
+    listed = e.select(F.col("a").alias("id")).distinct()
     return G.common_interactors(e, listed).select("node", "n")
 
 
 @query(
-    """, r(node, root) AS (SELECT DISTINCT a, a FROM sym UNION SELECT s.b, r.root FROM r JOIN sym s ON s.a=r.node) SELECT node, min(root) AS component FROM r GROUP BY 1""",
+    """, r(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM sym UNION (SELECT s.b, min(r.component) FROM r JOIN sym s ON s.a=r.node JOIN recurring.r o ON o.node=s.b WHERE r.component<o.component GROUP BY s.b)) SELECT node, component FROM r""",
     "fx_inter", "fx_strong", "sym",
 )
 def graph_components(spark, d):
@@ -314,12 +318,12 @@ def graph_components(spark, d):
 
 @query()
 def graph_pagerank(spark, d):
-    return rounded(G.pagerank(fx.strong_interactions(spark, d), rounds=15), "rank")
+    return rounded(G.pagerank(fx.strong_interactions(spark, d)), "rank")
 
 
 @query()
 def graph_modules(spark, d):
-    return G.modules(fx.strong_interactions(spark, d), 8)
+    return G.modules(fx.strong_interactions(spark, d))
 
 
 @query(
@@ -379,7 +383,7 @@ def residue_features(spark, d):
 
 @query()
 def lsh_pairs(spark, d):
-    return P.lsh_pairs(_starts(spark, d))
+    return P.lsh_pairs(_firsts(spark, d))
 
 
 @query()
