@@ -244,11 +244,12 @@ def covering_patterns(sequence: Column, position: Column, patterns: dict[str, st
     """Names of the patterns of which a match within ``reach`` letters covers the site, joined."""
     start = F.greatest(F.lit(1), position - reach)
     window, centre = F.substring(sequence, start, F.lit(2 * reach + 1)), position - start
-    hits = []
-    for name, p in patterns.items():
-        offsets = F.sequence(F.lit(0), centre)
-        covers = F.exists(offsets, lambda o, p=p: F.length(F.regexp_extract(F.substring(window, o + 1, F.length(window)), f"^(?:{p})", 0)) > centre - o)
-        hits.append(F.when(covers, F.lit(name)))
+
+    def covered(pattern: str) -> Column:
+        reaches = lambda o: F.length(F.regexp_extract(F.substring(window, o + 1, F.length(window)), f"^(?:{pattern})", 0)) > centre - o
+        return F.exists(F.sequence(F.lit(0), centre), reaches)
+
+    hits = [F.when(covered(p), F.lit(name)) for name, p in patterns.items()]
     return F.concat_ws("; ", F.array_compact(F.array(*hits)))
 
 

@@ -86,17 +86,17 @@ def bridges(edges: DataFrame, proteins: DataFrame) -> DataFrame:
     return outside.join(both.select(F.col("a").alias("source"), F.col("b").alias("target")), ["source", "target"], "left_anti")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, weighted: bool = False, rounds: int = 50) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, weighted: bool = False) -> DataFrame:
     """``source, target, cost, path`` of requested pairs; nothing for pairs without a path.
 
-    Relaxation rounds: the cost of a step is 1, or 1 - confidence + 0.001. Ties go to the
-    smaller path.
+    Relaxation rounds until nothing improves: the cost of a step is 1, or 1 - confidence +
+    0.001. Ties go to the smaller path.
     """
     near = symmetric(edges).select("a", "b", (F.lit(1.0) if not weighted else 1.001 - F.col("confidence")).alias("w"))
     near = stored(near, "graph-edges")
     best = stored(pairs.select("source").distinct().select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.array("source").alias("path")), "graph-paths")
     frontier = best
-    for _ in range(rounds):
+    while True:
         step = frontier.join(near, F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.concat("path", F.array("b")).alias("path"))
         merged = best.withColumn("_new", F.lit(False)).unionByName(step.withColumn("_new", F.lit(True)))
         merged = merged.groupBy("source", "node").agg(F.min(F.struct("cost", "_new", "path")).alias("m"))
@@ -126,10 +126,20 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """Triangles a < b < c, each once, found from the ends with fewer neighbours."""
-    up = symmetric(edges).where("a < b").select("a", "b")
-    wedge = up.select("a", "b").join(up.select("a", F.col("b").alias("c")), "a").where("b < c")
-    return wedge.join(up.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"])
+    """Triangles a < b < c, each once.
+
+    Edges point from the end with fewer neighbours (ties by name), so that a hub has few
+    edges out of it and makes few wedges.
+    """
+    both = symmetric(edges).select("a", "b")
+    n = both.groupBy(F.col("a").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    sized = both.where("a < b").join(n.select(F.col("x").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("x").alias("b"), F.col("n").alias("nb")), "b")
+    first = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    out = sized.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("p"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("q"))
+    wedge = out.join(out.select("p", F.col("q").alias("r")), "p").where("q < r")
+    closed = wedge.join(both.select(F.col("a").alias("q"), F.col("b").alias("r")), ["q", "r"])
+    at = F.sort_array(F.array("p", "q", "r"))
+    return closed.select(at[0].alias("a"), at[1].alias("b"), at[2].alias("c"))
 
 
 def cliques(edges: DataFrame, k: int = 3) -> DataFrame:
@@ -256,11 +266,11 @@ def modules(edges: DataFrame, rounds: int = 20) -> DataFrame:
     for turn in range(rounds):
         votes = near.join(labels.select(F.col("node").alias("b"), "module"), "b").groupBy(F.col("a").alias("node"), "module").agg(F.sum("confidence").alias("w"))
         best = votes.groupBy("node").agg(F.min_by("module", F.struct(-F.col("w"), F.col("module"))).alias("_best"))
-        move = F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2  # halves move in turn, so that two nodes don't swap for ever
-        step = labels.join(best, "node").select("node", F.when(move, F.col("_best")).otherwise(F.col("module")).alias("module"), (move & (F.col("_best") != F.col("module"))).alias("moved"))
+        move = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0  # half of the nodes, another one each round, so that two don't swap for ever
+        step = labels.join(best, "node").select("node", F.when(move, F.col("_best")).otherwise(F.col("module")).alias("module"), (F.col("_best") != F.col("module")).alias("unsettled"))
         step = stored(step, "graph-modules")
-        labels = step.drop("moved")
-        if turn and step.where("moved").isEmpty():
+        labels = step.drop("unsettled")
+        if step.where("unsettled").isEmpty():
             break
     return labels
 

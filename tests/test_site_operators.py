@@ -7,6 +7,7 @@ from siteweave.operators import edges as E
 from siteweave.operators import geometry as Geo
 from siteweave.operators import graph as G
 from siteweave.operators import lookup as L
+from siteweave.operators import motif_stats as M
 from siteweave.operators import pairs as P
 from siteweave.operators import scores as S
 from siteweave.sources import tables as T
@@ -26,9 +27,11 @@ def test_motif_forms(spark):
 def test_substitution_variants(spark):
     df = spark.createDataFrame([("AAX", "AAX"), ("AD", "AE"), ("A", "AA")], "a string, b string")
     score = lambda v: [r[0] for r in df.select(X.substitution_similarity(F.col("a"), F.col("b"), v)).collect()]
-    assert score("mean") == [5.0, 3.0, 0.0]
-    assert score("known") == [5.0, 3.0, 5.0]
-    assert score("sum") == [10, 6, 5]
+    assert score("mean") == [7 / 3, 3.0, 0.0]
+    assert score("known") == [4.0, 3.0, 4.0]
+    assert score("sum") == [8, 6, 4]
+    cells = spark.createDataFrame([("W", "W", 11), ("y", "H", 2), ("B", "A", -1), ("*", "A", -4), ("*", "*", 1), ("X", "X", -1), ("C", "E", -4)], "a string, b string, want int")
+    assert cells.where(X.pair_score(F.upper("a"), F.upper("b")) != F.col("want")).count() == 0
     matrix = X.read_matrix("# note\n A D\nA 4 -2\nD -2 6\n")
     assert df.select(X.substitution_similarity(F.lit("AD"), F.lit("DD"), "sum", X.matrix_score(matrix))).first()[0] == 4
 
@@ -92,8 +95,12 @@ def test_neighbours_against_all_pairs(spark):
     assert Geo.contacts(atoms, 8.0).count() == (np.triu(d <= 64, 1)).sum()
     eigen = sorted((r.eigenvalue for r in Geo.pca(atoms).collect()), reverse=True)
     assert np.allclose(eigen, np.linalg.eigvalsh(np.cov(xyz.T))[::-1])
-    half = Geo.half_sphere(atoms)
-    assert half.count() >= 0 and Geo.accessible_area(atoms.limit(5), 20).count() == 5 and Geo.cavity_volume(atoms.limit(3)).count() == 3
+    alone = spark.createDataFrame([("s", "A", 1, "A", "CA", "C", 0.0, 0.0, 0.0, 50.0)], atoms.schema)
+    area = Geo.accessible_area(alone, 100).first()
+    assert abs(max(v for v in area if isinstance(v, float)) - 4 * math.pi * (1.7 + 1.4) ** 2) < 1e-6
+    covered = spark.createDataFrame([("s", "A", k, "A", "CA", "C", 0.0, 0.0, 0.1 * k, 50.0) for k in (1, 2)], atoms.schema)
+    assert sum(max(v for v in r if isinstance(v, float)) for r in Geo.accessible_area(covered, 100).collect()) < 1.3 * 4 * math.pi * 3.1**2
+    assert Geo.cavity_volume(atoms.limit(3)).count() == 3
 
 
 def test_graph(spark):
@@ -108,7 +115,9 @@ def test_graph(spark):
     assert (m.n_nodes, m.n_edges, m.n_components, m.largest, m.diameter) == (6, 5, 2, 4, 2)
     assert rows(G.bridges(e, spark.createDataFrame([("a",), ("d",)], "id string"))) == [("a", "d", "c")]
     assert abs(sum(r.rank for r in G.pagerank(e).collect()) - 1) < 1e-6
-    assert G.modules(e).count() == 6 and G.eigenvector(e).count() == 6
+    labels = {r[0]: r[1] for r in G.modules(e).collect()}
+    assert labels["a"] == labels["b"] == labels["c"] != labels["x"] == labels["y"]
+    assert G.eigenvector(e).count() == 6
 
 
 def test_sources(spark, tmp_path):
@@ -145,3 +154,44 @@ def test_lsh_pairs_are_all_pairs_of_a_bucket(spark):
         held.setdefault(r.motif, set()).add((r.band, r.value))
     shared = {p: len(held.get(motifs[p[0]], set()) & held.get(motifs[p[1]], set())) for p in itertools.combinations(sorted(motifs), 2)}
     assert got == {p: n for p, n in shared.items() if n >= 2}
+
+
+def test_phosphosites_of_long_sequences(spark):
+    import random
+
+    rng = random.Random(3)
+    proteins = {f"P{k}": "".join(rng.choice("ACDESTY") for _ in range(n)) for k, n in enumerate((1, 7, 15, 256, 257, 511, 2000))} | {"E": ""}
+    docs = spark.createDataFrame([(k, "g", v) for k, v in proteins.items()], "uniprot_id string, gene string, sequence string")
+    want = sorted((f"{k}_{i + 1}", v[i], i + 1, v[max(0, i - 7) : i + 8]) for k, v in proteins.items() for i in range(len(v)) if v[i] in "STY")
+    assert sorted(map(tuple, M.phosphosites(docs).select("site_id", "residue", "resno", "motif").collect())) == want
+
+
+def test_motif_profile_and_covering_patterns(spark):
+    p = spark.createDataFrame([("DEDEDPRSPKKAAAA", "S")], "m string, t string").select(X.motif_profile(F.col("m"), F.col("t")).alias("p")).first().p
+    assert (p.center, p.narrow, p.acidic_count, p.upstream_acidic, p.downstream_basic) == (7, "DPRSPKK", 5, 500 / 7, 200 / 7)
+    assert {x.name: x.match for x in p.patterns} == {"CDK": "SPKK", "MAPK/ERK": "PRSP"} | {k: v for k, v in ((x.name, x.match) for x in p.patterns) if k not in ("CDK", "MAPK/ERK")}
+    seq = spark.createDataFrame([("AAPRSPAKA", 5), ("AASQAA", 3), ("AAAA", 2)], "s string, k int").select(X.covering_patterns(F.col("s"), F.col("k")).alias("c")).collect()
+    assert "CDK_consensus" in seq[0].c and "MAPK_consensus" in seq[0].c and seq[1].c == "ATM_ATR_consensus" and seq[2].c == ""
+
+
+def test_families_and_preferred_motifs(spark):
+    k = spark.createDataFrame([("LCK",), ("HCK",), ("yes1",), ("CDK3",), ("PRKCA",), ("CSNK2A1",), ("p38a",), ("PKACA",)], "kinase string")
+    got = dict(map(tuple, k.select("kinase", S.family_of(F.col("kinase"))).collect()))
+    assert got == {"LCK": "SRC", "HCK": "SRC", "yes1": "SRC", "CDK3": "Other", "PRKCA": "Other", "CSNK2A1": "CK", "p38a": "Other", "PKACA": "PKA"}
+    motifs = dict(map(tuple, S.preferred_motif(k).select("kinase", "preferred_motif").collect()))
+    assert motifs["p38a"] == "P-X-S/T-P" and motifs["LCK"].startswith("X-E/D") and motifs["CDK3"] == "Unknown"
+
+
+def test_lsh_recall(spark):
+    import random
+
+    rng = random.Random(6)
+    base = ["".join(rng.choice(X.AMINO) for _ in range(15)) for _ in range(40)]
+    changed = [m[: (at := rng.randrange(15))] + rng.choice(X.AMINO) + m[at + 1 :] for m in base]
+    motifs = {f"a{k:02}": m for k, m in enumerate(base)} | {f"b{k:02}": m for k, m in enumerate(changed)}
+    features = {i: {f"{m[k + o]}{o}" for k in range(len(m) - 2) for o in range(3)} for i, m in motifs.items()}
+    jaccard = lambda a, b: len(features[a] & features[b]) / len(features[a] | features[b])
+    got = {(r.id1, r.id2): r.bands for r in P.lsh_pairs(spark.createDataFrame(list(motifs.items()), "id string, motif string")).collect()}
+    near = [(f"a{k:02}", f"b{k:02}") for k in range(40) if jaccard(f"a{k:02}", f"b{k:02}") >= 0.75]
+    assert len(near) > 20 and sum(p in got for p in near) >= 0.95 * len(near)
+    assert any(1 < n < 20 for n in got.values())  # bands differ
