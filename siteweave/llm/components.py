@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteweave.llm.shared import Scratch
+from siteweave.llm.shared import Scratch, few
 
 
 def components(edges: DataFrame, name: str = "components", scratch: Scratch | None = None) -> DataFrame:
@@ -19,10 +19,10 @@ def components(edges: DataFrame, name: str = "components", scratch: Scratch | No
     labels = both.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("node"), F.least("a", "comp").alias("comp"), F.lit(True).alias("moved"))
     labels = stored(labels, f"{name}-labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("a")).select("node", "comp", F.least("comp", "near").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("comp").alias("far"))
-        step = step.join(jump, "next", "left").select("node", F.coalesce(F.least("next", "far"), "next").alias("next"), "comp")
+        known = few(labels.select("node", "comp"))
+        near = both.join(known.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        step = near.join(known, "node").select("node", "comp", F.least("comp", "near").alias("next"))
+        step = step.join(known.select(F.col("node").alias("next"), F.col("comp").alias("far")), "next", "left").select("node", F.coalesce(F.least("next", "far"), "next").alias("next"), "comp")
         labels = stored(step.select("node", F.col("next").alias("comp"), (F.col("next") != F.col("comp")).alias("moved")), f"{name}-labels")
         if labels.where("moved").isEmpty():
             return labels.select("node", "comp")

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteweave.llm.components import components
-from siteweave.llm.shared import Scratch, partitions
+from siteweave.llm.shared import Scratch, few, partitions
 
 WORDS = 5
 PERCENT = 75
@@ -59,7 +59,7 @@ FEW_ROWS = 16  # of blocks of sets that a Python worker gets at once
 ROWS = 1000  # of prefixes that are dealt at once
 SLICE_BYTES = 1 << 19  # of text that are shingled at once
 HELD_POSTINGS = 1 << 18  # that a task gathers before it deals them out
-BROADCAST_ROWS = 500_000  # of two longs
+SMALL = 1 << 21  # shingles of all sets in question, up to which the sets themselves are sent to every task
 HALF = PERCENT / (100 + PERCENT)  # of the sum of two sizes that similar sets share at least
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _INVERSE = np.uint64(pow(int(_MUL[0]), -1, 1 << 64))
@@ -388,11 +388,6 @@ def _best_of_others(values: np.ndarray, first: np.ndarray, sizes: np.ndarray, gr
     return out
 
 
-def few(rows: DataFrame) -> DataFrame:
-    """``rows`` of one or two longs, to be broadcast if they are no more than ``BROADCAST_ROWS``."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
 def sketch_of(tokens: np.ndarray) -> bytes | None:
     """How many shingles of a set fall into each of about as many buckets, a byte a bucket; None if a byte is too small."""
     size = 1 << max(0, len(tokens).bit_length() - 1)
@@ -413,7 +408,7 @@ def may_be_similar(one: bytes | None, other: bytes | None, sizes: int) -> bool:
 
 def whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, scratch: Scratch, seed: int) -> DataFrame:
     """``class, n, sketch, tokens``: the sets of the classes ``wanted(class)``, made again from one document of each."""
-    chosen = scratch.stored(classes.select("class", F.col("_rep").alias("key")).join(wanted, "class", "left_semi"), "chosen")
+    chosen = scratch.stored(classes.select("class", F.col("_rep").alias("key")).join(few(wanted), "class", "left_semi"), "chosen")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -447,11 +442,14 @@ def possible(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.stored(pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long"), "possible")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs ``(a, b)`` of classes whose sets are similar enough, by their whole sets; only sets of possible pairs are moved."""
-    pairs = possible(pairs, sets, scratch)
-    wanted = scratch.stored(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "wanted")
-    sets = sets.select("class", "tokens").join(few(wanted), "class", "left_semi")
+def verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, small: bool) -> DataFrame:
+    """The pairs ``(a, b)`` of classes whose sets are similar enough, by their whole sets; only sets of possible pairs are moved, or all if they are ``small``."""
+    if small:
+        sets = F.broadcast(sets.select("class", "tokens"))
+    else:
+        pairs = possible(pairs, sets, scratch)
+        wanted = scratch.stored(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "wanted")
+        sets = sets.select("class", "tokens").join(few(wanted), "class", "left_semi")
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), "a")
     both = both.join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))
@@ -497,19 +495,19 @@ def crossings(placed: DataFrame) -> DataFrame:
     return counts.where("shared >= needed").select("class", "comp")
 
 
-def in_blocks(members: DataFrame, sets: DataFrame, content: str) -> DataFrame:
+def in_blocks(members: DataFrame, sets: DataFrame, content: str, scratch: Scratch) -> DataFrame:
     """``comp, own, blocks, sets``: class, size and ``content`` of the sets of each component of ``members(class, comp)``, in blocks of bounded size."""
     members = few(members)
-    held = sets.select("class", "n", content).join(members, "class")
     sizes = sets.select("class", "n").join(members, "class").groupBy("comp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("held"))
     sizes = sizes.select("comp", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("held") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    held = held.join(sizes, "comp").withColumn("own", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+    held = sets.select("class", "n", content).join(members, "class")
+    held = held.join(few(scratch.stored(sizes, "sizes")), "comp").withColumn("own", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
     return held.groupBy("comp", "own", "blocks").agg(F.collect_list(F.struct("class", "n", content)).alias("sets"))  # BLOCK sets on the mean
 
 
 def meeting(crossing: DataFrame, members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """``class, comp, own``: the blocks of components in which, by the sketches, a class of ``crossing(class, comp)`` may have a partner."""
-    blocks = scratch.stored(in_blocks(members, sets, "sketch"), "sketch-blocks")
+    blocks = scratch.stored(in_blocks(members, sets, "sketch", scratch), "sketch-blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -524,9 +522,10 @@ def meeting(crossing: DataFrame, members: DataFrame, sets: DataFrame, scratch: S
     return scratch.stored(rows.select("class", "comp", "own", "n", "sketch", "sets").mapInArrow(run, "class long, comp long, own int"), "meeting", FEW_ROWS)
 
 
-def compared_with(crossing: DataFrame, members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+def compared_with(crossing: DataFrame, members: DataFrame, sets: DataFrame, scratch: Scratch, small: bool) -> DataFrame:
     """Links ``(a, b)``: of every row of ``crossing(class, comp)`` one to each block of the component that has any."""
-    crossing = meeting(crossing, members, sets, scratch)
+    if not small:
+        crossing = meeting(crossing, members, sets, scratch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -548,9 +547,12 @@ def compared_with(crossing: DataFrame, members: DataFrame, sets: DataFrame, scra
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     named, wanted = (scratch.stored(crossing.select(c).distinct(), "wanted") for c in ("comp", "class"))
-    blocks = in_blocks(scratch.stored(members.join(few(named), "comp", "left_semi"), "cross-members"), sets, "tokens")
+    blocks = in_blocks(scratch.stored(members.join(few(named), "comp", "left_semi"), "cross-members"), sets, "tokens", scratch)
+    blocks = scratch.stored(blocks, "cross-blocks")
+    if "own" not in crossing.columns:
+        crossing = crossing.join(few(blocks.select("comp", "own")), "comp")
     theirs = sets.select("class", "tokens").join(few(wanted), "class", "left_semi")
-    rows = crossing.join(theirs, "class").join(blocks.select("comp", "own", "sets"), ["comp", "own"])
+    rows = crossing.join(F.broadcast(theirs) if small else theirs, "class").join(blocks.select("comp", "own", "sets"), ["comp", "own"])
     return scratch.stored(rows.select("class", "tokens", "sets").mapInArrow(run, "a long, b long"), "links", FEW_ROWS)
 
 
@@ -579,7 +581,7 @@ def links_within(tokens: np.ndarray, sizes: np.ndarray, own: np.ndarray, i: int,
 
 def link_counts(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """``class, n_links``: the other classes similar to each class of ``members(class, comp)``; all of them are in its component."""
-    blocks = scratch.stored(in_blocks(members, sets, "tokens"), "count-blocks")
+    blocks = scratch.stored(in_blocks(members, sets, "tokens", scratch), "count-blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -618,19 +620,20 @@ def compared(docs: DataFrame, count_links: bool = True) -> tuple[DataFrame, Data
         seed += 1  # two sets had one number
 
     live = scratch.stored(live_postings(table, 4 * partitions(docs.sparkSession)), "live")
-    sets = whole_sets(docs, classes, live.select("class").distinct(), scratch, seed)
+    sets = whole_sets(docs, classes, scratch.stored(live.select("class").distinct(), "wanted"), scratch, seed)
+    small = (sets.agg(F.sum("n")).first()[0] or 0) <= SMALL
 
     def members(comps: DataFrame | None) -> DataFrame:
         """Postings with their component and its number of classes."""
         if comps is None:
             return live.withColumn("comp", F.col("class")).withColumn("members", F.lit(1).cast("long"))
-        known = comps.join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("members")), "comp").select(F.col("node").alias("class"), "comp", "members")
+        known = few(comps).join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("members")), "comp").select(F.col("node").alias("class"), "comp", "members")
         return live.join(few(scratch.stored(known, "members")), "class", "left").withColumn("comp", F.coalesce("comp", "class")).withColumn("members", F.coalesce("members", F.lit(1).cast("long")))
 
     links = comps = None
     for turn in range(ROUNDS):
         asked = scratch.stored(proposals(members(comps), turn), "proposals")
-        found = verified(asked, sets, scratch)
+        found = verified(asked, sets, scratch, small)
         n, n_found = asked.count(), found.count()
         if n_found:
             links = found if links is None else links.union(found)
@@ -642,7 +645,7 @@ def compared(docs: DataFrame, count_links: bool = True) -> tuple[DataFrame, Data
     crossing = scratch.stored(crossings(placed), "crossing")
     named = crossing.select("comp").distinct()
     theirs = scratch.stored(placed.select("class", "comp").distinct().join(named, "comp", "left_semi"), "theirs")
-    second = compared_with(crossing, theirs, sets, scratch)
+    second = compared_with(crossing, theirs, sets, scratch, small)
     if not second.isEmpty():
         links = second if links is None else links.union(second)
         comps = components(links, "second", scratch)
@@ -653,7 +656,7 @@ def compared(docs: DataFrame, count_links: bool = True) -> tuple[DataFrame, Data
     else:
         groups = comps.withColumnRenamed("node", "class")
         degree = link_counts(groups, sets, scratch) if count_links else groups.select("class", F.lit(None).cast("long").alias("n_links"))
-        classes = classes.join(groups, "class", "left").join(degree, "class", "left").select("class", "least", F.coalesce("comp", "class").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        classes = classes.join(few(groups), "class", "left").join(few(degree), "class", "left").select("class", "least", F.coalesce("comp", "class").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     classes = scratch.stored(classes, "grouped")
     roots = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = scratch.stored(classes.join(roots, "comp").select("class", "comp", "component_id", "n_links"), "named")

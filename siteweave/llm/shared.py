@@ -5,16 +5,25 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siteweave.plans.storage import new_path, shared_dir, stored
 
-__all__ = ["Memo", "Scratch", "new_path", "partitions", "shared_dir", "stored"]
+__all__ = ["Memo", "Scratch", "few", "new_path", "partitions", "shared_dir", "stored"]
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+BROADCAST_ROWS = 500_000  # of one or two numbers
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """``rows`` of one or two numbers, to be broadcast if they are counted to be no more than ``BROADCAST_ROWS``."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
