@@ -117,9 +117,9 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = M
 
     Adds ``source_size`` and ``target`` (of the first source) and ``taken``. Sources in
     code-point order get the weights in turn, null last. A document may belong to many
-    sources; its words count in the size of each.
+    sources; its words count in the size of each. Other columns of ``sized`` are kept.
     """
-    spark = sized.sparkSession
+    spark, extra = sized.sparkSession, [c for c in sized.columns if c not in ("doc_id", "size", "sources")]
     sums = sized.groupBy("sources").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     named = sorted({s for r in sums for s in r.sources if s is not None}, key=lambda s: s.encode("utf-8", "surrogatepass"))
     names: list[str | None] = named + ([None] if any(None in r.sources for r in sums) else [])
@@ -151,7 +151,7 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = M
     sure = docs.where(~at_edge | F.col("edge").isNull()).withColumn("more", (F.col("edge").isNull() | (F.col("bucket") < F.col("edge"))).cast("long"))
     fitted = docs.where(at_edge).groupBy("sources").applyInPandas(_fit, sure.schema)
     taken = (F.col("size") * F.least(F.col("rounds") + F.col("more"), F.lit(repeats))).alias("taken")
-    return sure.unionByName(fitted).select("doc_id", "size", "source_size", "target", "sources", taken)
+    return sure.unionByName(fitted).select("doc_id", "size", "source_size", "target", "sources", taken, *extra)
 
 
 def _fit(rows):
@@ -164,16 +164,30 @@ def _fit(rows):
     return rows.assign(more=more)
 
 
+def sized_columns() -> list[Column]:
+    return [F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("size"), F.array(F.col("source").cast("string")).alias("sources")]
+
+
 def sized_documents(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("size"), F.array(F.col("source").cast("string")).alias("sources"))
+    return docs.select(*sized_columns())
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The documents of the mix, each as often as the mix takes it (stage of the pipeline)."""
-    keyed = docs.withColumn("_size", word_count(F.col("text")))
-    taken = mix(stored(sized_documents(docs), "mix-sizes"), seed=seed).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), (F.col("taken") / F.col("size")).cast("int").alias("_times")).dropDuplicates(["_id", "_size"])
-    joined = keyed.join(taken, keyed["doc_id"].eqNullSafe(taken["_id"]) & (keyed["_size"] == taken["_size"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*[docs[c] for c in docs.columns])
+    """The documents of the mix, each as often as the mix takes it (stage of the pipeline).
+
+    Rows are told apart by doc_id, text and source, so different texts that share a doc_id,
+    or have none, are taken each by itself; rows that repeat are taken as often as all of
+    them together.
+    """
+    key = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", "source", F.col("source").isNull())
+    sized = docs.select(*sized_columns(), key.alias("_row"))
+    taken = mix(stored(sized, "mix-sizes"), seed=seed).where("taken > 0")
+    taken = taken.groupBy("_row").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("_times"), F.count(F.lit(1)).alias("_rows"))
+    taken = stored(taken, "mix-taken")
+    rows = docs.withColumn("_row", key)
+    if not taken.where("_rows > 1").isEmpty():
+        rows = rows.dropDuplicates(["_row"])
+    return rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteweave.llm.shared import Memo
+from siteweave.llm.shared import Memo, stored
 
 TRAIN_ROWS = 40_000  # labelled rows that learning sees, chosen by hash
 CANDIDATES = 50_000  # stems that are counted in clean rows
@@ -195,7 +195,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
     n = known.count()
     share = min(1.0, most / n) if n else 1.0
     known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic")  # bounded by ``most``
+    return stored(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic"), "toxicity-rows")  # bounded by ``most``
 
 
 def learn_lexicon(train: DataFrame) -> dict[str, float]:

@@ -10,6 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import public_tokenizers
+from pyspark.sql import functions as F
+
 from siteweave.llm import byte_bpe, edit_fingerprints, html_text, mixing, ngram_join, pieces, secret_scan, sharding, token_files, toxicity, vector_topk
 from siteweave.llm.shared import new_path
 
@@ -176,6 +178,79 @@ def test_mixing(spark):
     assert mixing.mix(mixing.sized_documents(odd_docs(spark).limit(0))).count() == 0
 
 
+def brute_targets(sizes, weights, cap=3):
+    left, open_, out = float(sum(sizes)), set(range(len(sizes))), [0.0] * len(sizes)
+    while open_:
+        share = {i: left * weights[i] / sum(weights[j] for j in open_) for i in open_}
+        over = {i for i in open_ if share[i] > cap * sizes[i]}
+        for i in over or open_:
+            out[i] = float(cap * sizes[i]) if over else share[i]
+        left -= sum(out[i] for i in over)
+        open_ = open_ - over if over else set()
+    return out
+
+
+def test_mix_query_against_brute_force(spark, tmp_path):
+    import random
+
+    rng = random.Random(12)
+    rows = [(k if k % 9 else None, " ".join("w" * rng.randint(1, 3) for _ in range(rng.choice([0, 3, 20, 80]))), rng.choice(["b", "b", "b", "b", "a", "É", None])) for k in range(1500)]
+    rows += [(7, "same text here", "a")] * 3 + [(8, None, "zz"), (9, " \t", "zz")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, size int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op4_mix_sources(spark, f"file://{tmp_path}").collect()
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert sorted((str(r.doc_id), r["size"]) for r in got) == sorted((str(i), words(t)) for i, t, _ in rows)
+    names = sorted({s for _, _, s in rows if s is not None}, key=lambda s: s.encode()) + [None]
+    sizes = [sum(words(t) for _, t, s in rows if s == name) for name in names]
+    wanted = brute_targets(sizes, [(5, 2, 1)[k % 3] for k in range(len(names))])
+    assert sorted({(r.source_size, round(r.target, 6)) for r in got}) == sorted({(a, round(b, 6)) for a, b in zip(sizes, wanted, strict=True)})
+    for size, target in zip(sizes, wanted, strict=True):
+        taken = sum(r.taken for r in got if r.source_size == size and abs(r.target - target) < 1e-6)
+        assert abs(taken - target) <= 81 and all(r.taken <= 3 * r["size"] and (not r["size"] or r.taken % r["size"] == 0) for r in got)
+    again = mixing.op4_mix_sources(spark, f"file://{tmp_path}").collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_mixing_stage_keeps_rows_apart(spark):
+    rows = [(1, "one two three", "a"), (1, "four five six", "a"), (None, "seven eight nine", "b"), (None, "ten eleven twelve", "b"), (2, "again again again", "c"), (2, "again again again", "c"), (3, None, "c")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, source string, n_chars int")
+    out = mixing.mixed_documents(docs).collect()
+    sizes = mixing.mix(mixing.sized_documents(docs)).collect()
+    assert sum(len(r.text.split()) for r in out) == sum(r.taken for r in sizes)
+    assert {r.text for r in out} >= {"seven eight nine", "ten eleven twelve"} or sum(r.taken for r in sizes if r.doc_id is None) < 6
+    several = mixing.mix(spark.createDataFrame([(k, 10, ["a"] if k % 3 else ["a", "b"]) for k in range(300)], "doc_id long, size long, sources array<string>"))
+    both = several.groupBy(F.size("sources").alias("n")).agg(F.sum("taken").alias("taken")).collect()
+    assert sum(r.taken for r in both) > 0 and several.where("taken > 3 * size").count() == 0 and several.count() == 300
+
+
+def test_toxicity_query(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    plain = "the weather and a garden with many quiet words about nothing in particular today".split()
+    rows, labels = [], []
+    for k in range(400):
+        text = " ".join(rng.choice(plain) for _ in range(30))
+        bad = k % 4 == 0
+        rows.append((k, text + (f". You are a {rng.choice(['zoggle', 'blorph', 'idiot'])} {rng.choice(plain)}, {rng.choice(plain)}." if bad else ".")))
+        labels.append((k, int(bad), None))
+    rows += [(None, "no id"), (900, None), (901, ""), (901, ""), (902, "word " * 30_000)]
+    labels += [(None, 1, 1), (900, None, 1)]
+    spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = toxicity.op5_toxicity(spark, f"file://{tmp_path}").collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got if r.doc_id is not None)
+    held = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 400]
+    assert len(held) > 40 and sum(r.predicted == int(r.doc_id % 4 == 0) for r in held) >= 0.95 * len(held)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = toxicity.tolerable_documents(docs, spark.createDataFrame(labels, "doc_id long, toxic int, quality int"))
+    assert kept.columns == docs.columns and 300 <= kept.count() < 330
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.tolerable_documents(docs.limit(0), none).count() == 0 and toxicity.with_scores(docs, toxicity.train_model(docs, none)).count() == len(rows)
+
+
 def test_toxicity_grammar():
     m = toxicity.Matcher({"idiot": 3.0})
     score = lambda t: m.features(t)[0]
