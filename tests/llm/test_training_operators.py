@@ -138,6 +138,28 @@ def test_vector_topk_against_brute_force(spark):
     assert {tuple(r) for r in got} == want
 
 
+def test_vector_topk_beyond_the_head_and_with_repeated_ids(spark, monkeypatch):
+    for name, value in (("HEAD_ROWS", 40), ("BLOCK_ROWS", 64), ("QUERY_ROWS", 8), ("RUN_ROWS", 16), ("BANDS", 8), ("GROUP", 2)):
+        monkeypatch.setattr(vector_topk, name, value)
+    rng = np.random.default_rng(8)
+    v = (rng.normal(0, 1, (700, 24)) * np.geomspace(3, 0.05, 24) * rng.lognormal(0, 0.8, (700, 1))).astype(np.float32)
+    ids = [k if k < 680 else (k - 680) * 20 for k in range(700)]  # the last twenty repeat query ids
+    v[690] = v[ids[690]]
+    rows = [(i, [float(x) for x in r], "e") for i, r in zip(ids, v, strict=True)]
+    got = vector_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, row string").repartition(5), F.col("vec_id") % 20 == 0, 7).collect()
+    m = np.floor(64 * v.astype(float)).astype(int)
+    s = m @ m.T
+    want = []
+    for q in (k for k in range(700) if ids[k] % 20 == 0):
+        order = [k for k in np.lexsort((ids, -s[q])) if k != q][:7]
+        want += [(ids[q], r + 1, ids[k], int(s[q, k])) for r, k in enumerate(order)]
+    assert sorted(map(tuple, got)) == sorted(want) and len(got) == 7 * 54
+    turned = m @ np.linalg.eigh((m.T @ m).astype(float))[1][:, ::-1]
+    bound = np.partition(s[:20], -8, axis=1)[:, -8]
+    alive = vector_topk.survivors(turned[:20].astype(float), turned.astype(float), bound)
+    assert alive[s[:20] >= bound[:, None]].all() and alive.mean() < 0.2  # pruned, and never a pair that reaches its bound
+
+
 def test_ngram_join_against_brute_force(spark):
     import random
 
