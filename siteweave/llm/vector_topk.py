@@ -32,9 +32,9 @@ BANDS = 64
 BLOCK_ROWS = 4096  # mean candidates of a block
 QUERY_ROWS = 1024  # most queries of a block
 HEAD_ROWS = 2048  # longest vectors, which set the first bounds
-LEVELS = (0.125, 0.25, 0.5)  # shares of the rotated coordinates after which pairs are looked at
+LEVELS = (0.25, 0.5, 0.75)  # shares of the rotated coordinates after which pairs are looked at
 RUN_ROWS = 512  # candidates of a run, after which bounds rise
-DENSE = 0.25  # share of surviving pairs above which a run's products are all computed
+DENSE = 0.05  # share of surviving pairs above which a run's products are all computed
 GROUP = 64  # query blocks that a task meets with a candidate block
 SAFE = 1 << 53
 SCHEMA = "query_id long, query_row long, vec_id long, vec_row long, score long"
