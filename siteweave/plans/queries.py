@@ -214,7 +214,7 @@ def _firsts(spark, d):
 
 GRAMS = """, g AS (SELECT * FROM (SELECT DISTINCT id, motif, substr(motif,p,3) AS gram FROM (SELECT id, motif, unnest(range(1,14)) AS p FROM fx_motif)) WHERE gram NOT LIKE '%X%'),
     p AS (SELECT a.id AS id1, b.id AS id2, any_value(a.motif) AS m1, any_value(b.motif) AS m2, CAST(count(*) AS INT) AS matching FROM g a JOIN g b ON a.gram=b.gram AND a.id<b.id GROUP BY 1,2 HAVING count(*)>=3)"""
-SHARED = "len(list_filter(list_intersect(list_distinct(string_split(m1,'')), list_distinct(string_split(m2,''))), lambda a: a<>'X'))>=3"
+SHARED = "len([a for a in list_intersect(list_distinct(string_split(m1,'')), list_distinct(string_split(m2,''))) if a<>'X'])>=3"
 
 
 @query()
