@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages, each a training-data operator over all that the one before kept."""
+"""The corpus pipeline: five stages, each a training-data operator over all that the one before kept.
+
+Cases, in every stage: null and empty texts stay (they are tolerable, alone, without secrets)
+until the mix, which takes no words from them; null and repeated doc_ids are judged row by
+row; rows that repeat are near duplicates of each other; very long texts are read whole; an
+empty table stays empty; columns besides those of ``COLUMNS`` are dropped at the first stage.
+"""
 
 from __future__ import annotations
 

@@ -31,6 +31,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -205,9 +206,7 @@ def with_following(docs: DataFrame) -> DataFrame:
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and its edited text, the likenesses between them and the bands they meet in."""
 
-    def finish(rows: list[tuple[int | None, str, str]]):
-        import pandas as pd
-
+    def finish(rows: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
         n = len(rows)
         texts = [t for _, t, _ in rows]
         changed = [edited(t, f) for _, t, f in rows]
@@ -217,30 +216,29 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         following = np.roll(mine, -1, axis=0)
         following[ends] = prints[2 * n :]
         bands = [band_keys(x, SHOWN_BANDS, SHOWN_BITS) for x in (mine, edits, following)]
-        return pd.DataFrame(
-            {
-                "doc_id": pd.array([i for i, _, _ in rows], "Int64"),
-                "n_chars": [len(t) for t in texts],
-                "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed],
-                "fingerprint": [p.tobytes().hex() for p in mine],
-                "edited_fingerprint": [p.tobytes().hex() for p in edits],
-                "near_edited": likeness(mine, edits),
-                "near_next": likeness(mine, following),
-                "bands_edited": (bands[0] == bands[1]).sum(axis=1).astype(np.int32),
-                "bands_next": (bands[0] == bands[2]).sum(axis=1).astype(np.int32),
-            }
-        )
-
-    def run(batches: Iterator) -> Iterator:
+        columns = {
+            "doc_id": pa.array([i for i, _, _ in rows], pa.int64()),
+            "n_chars": pa.array([len(t) for t in texts], pa.int64()),
+            "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed],
+            "fingerprint": [p.tobytes().hex() for p in mine],
+            "edited_fingerprint": [p.tobytes().hex() for p in edits],
+            "near_edited": likeness(mine, edits),
+            "near_next": likeness(mine, following),
+            "bands_edited": (bands[0] == bands[1]).sum(axis=1).astype(np.int32),
+            "bands_next": (bands[0] == bands[2]).sum(axis=1).astype(np.int32),
+        }
+        return pa.RecordBatch.from_pydict(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = None  # the document whose successor is still to come
         rows: list[tuple[int | None, str, str]] = []
         size = 0
-        for pdf in batches:
-            for part, tail, doc_id, text in zip(pdf["part"], pdf["tail"], pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
+        for batch in batches:
+            for part, tail, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if waiting is not None and waiting[0] == part:
                     rows.append((waiting[1], waiting[2], text))
                     size += len(text)
-                waiting = None if tail else (part, None if doc_id is None or doc_id != doc_id else int(doc_id), text)
+                waiting = None if tail else (part, doc_id, text)
                 if size > BATCH_CHARS // 2:
                     yield finish(rows)
                     rows, size = [], 0
@@ -248,7 +246,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
             yield finish(rows)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, bands_edited int, bands_next int"
-    return with_following(docs).mapInPandas(run, schema)
+    return with_following(docs).select("part", "tail", "doc_id", "text").mapInArrow(run, schema)
 
 
 def apart(a: str, b: str) -> Column:
@@ -267,14 +265,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
     most = int(np.searchsorted(-LIKENESS, -threshold, side="right")) - 1
     longs = [f"p{k}" for k in range(BITS // 64)]
 
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for pdf in batches:
-            numbers = np.ascontiguousarray(fingerprints([t or "" for t in pdf["text"]])).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), **{c: numbers[:, k] for k, c in enumerate(longs)}})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = np.ascontiguousarray(fingerprints([t or "" for t in batch.column(1).to_pylist()])).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(numbers[:, k]) for k in range(len(longs)))], ["doc_id", *longs])
 
-    table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, " + ", ".join(f"{c} long" for c in longs))
+    table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in longs))
     table = scratch.stored(table.withColumn("node", F.xxhash64(*longs)), "prints")
     nodes = scratch.stored(table.groupBy("node", *longs).agg(F.min("doc_id").alias("least")), "nodes")
     bands, bits = bands_for(nodes.count(), threshold)

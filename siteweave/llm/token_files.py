@@ -217,10 +217,10 @@ def read_token_files(manifest: DataFrame, schema: str, per_document) -> DataFram
                 for k, raw in enumerate(reader.payloads()):
                     rows.append(per_document(reader.doc_ids[k], int(first + reader.starts[k]), np.frombuffer(raw, "<u4")))
                     if len(rows) == 4096 or k + 1 == len(reader):
-                        out = pd.DataFrame(rows, columns=names)
-                        if "doc_id" in out:
-                            out["doc_id"] = out["doc_id"].astype("Int64")
-                        yield out
+                        columns = dict(zip(names, zip(*rows, strict=True), strict=True))
+                        if "doc_id" in columns:
+                            columns["doc_id"] = pd.array(columns["doc_id"], "Int64")  # whole numbers, also beside nulls
+                        yield pd.DataFrame(columns)
                         rows = []
 
     table = spark.createDataFrame(files, "path string, first long")

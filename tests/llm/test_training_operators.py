@@ -94,9 +94,9 @@ def test_token_files_damage_and_rolling(spark, monkeypatch, tmp_path):
         token_files.open_reader(f"file://{file}")
 
     monkeypatch.setattr(token_files, "WINDOW", 40)
-    docs = spark.createDataFrame([(k % 7, f"text {k} " * k) for k in range(40)] + [(None, "a"), (None, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([(k % 7, f"text {k} " * k) for k in range(40)] + [(None, "a"), (None, None), ((1 << 60) + 1, "big")], "doc_id long, text string")
     rows = token_files.token_digests(token_files.write_token_files(docs, new_path(spark, "t"), path)).collect()
-    assert len(rows) == 42
+    assert len(rows) == 43 and (1 << 60) + 1 in {r.doc_id for r in rows}
     at = 0
     for r in sorted(rows, key=lambda r: r.start):
         assert r.start == at
@@ -593,3 +593,69 @@ def test_private_keys_are_redacted_whole(spark):
     docs = spark.createDataFrame([(k, t, len(t)) for k, t in enumerate(texts)], "doc_id long, text string, n_chars int")
     got = sorted(secret_scan.redacted_documents(docs).collect())
     assert [(r.text, r.n_chars) for r in got] == [(t, len(t)) for t in texts.values()]
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import random
+
+    import corpus_pipeline
+    tiktoken = pytest.importorskip("tiktoken")
+
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 8))) for _ in range(800)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    rows, labels = [], []
+    for k in range(300):
+        bad = k % 6 == 0
+        rows.append((k, prose(60) + (f". You are a stupid {rng.choice(['gronk', 'idiot'])}, {rng.choice(vocabulary)}." if bad else "."), "en", "ab"[k % 2], 1))
+        labels.append((k, int(bad), 1))
+    plain = rows[1][1].split()
+    rows.append((1001, " ".join([*plain[:30], "changed", *plain[31:]]), "en", "a", 1))  # a near copy of 1
+    rows += [(2001, rows[7][1], "en", "b", 1), (7, rows[7][1], "en", "b", 1)]  # an exact copy and a row that repeats
+    secret = prose(50) + " token=abcdef123456 end"
+    rows += [(3001, secret, "en", "a", 1), (None, prose(40), "de", "b", 1), (None, prose(40), "de", None, 1), (4001, None, None, "a", None), (4002, "", "en", "a", 0), (5001, "word " * 9000, "en", "a", 45000)]
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    spark.createDataFrame([(*r, "x") for r in rows], schema + ", size string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    where, docs = f"file://{tmp_path}", spark.read.parquet(f"{tmp_path}/documents.parquet")
+    after = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = new = stage(spark, docs, where)
+        path = f"{tmp_path}/{name}"
+        new.write.parquet(path)
+        docs = spark.read.parquet(path)
+        after[name] = docs.collect()
+        if name != "encoding":
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    toxic = {i for i, bad, _ in labels if bad}
+    kept = [r.doc_id for r in after["toxicity"]]
+    assert not toxic & set(kept) and len(kept) == len(rows) - len(toxic)
+    one = [r.doc_id for r in after["near_duplicates"]]
+    assert 1 in one and 1001 not in one and one.count(7) == 1 and 2001 not in one and len(one) == len(kept) - 3
+    texts = {r.text for r in after["secrets"]}
+    assert len(after["secrets"]) == len(one) and secret.replace("token=abcdef123456", "[secret]") in texts and secret not in texts
+    words = lambda t: len((t or "").split())
+    mixed = after["mixing"]
+    assert {r.text for r in mixed} <= texts and all(words(r.text) for r in mixed)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(RANKS), special_tokens={})
+    assert sorted((str(r.doc_id), r.n_tokens) for r in after["encoding"]) == sorted((str(r.doc_id), len(library.encode_ordinary(r.text))) for r in mixed)
+    whole = corpus_pipeline.run(spark, where)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, after["encoding"]))
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/empty/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{where}/empty").count() == 0
+
+
+def test_fingerprints_of_null_and_repeated_ids(spark):
+    rows = [(None, "null one"), (None, "null two"), (3, "three a"), (3, "three b"), (3, "three b"), (9, "x" * 40_000)]
+    got = edit_fingerprints.fingerprint_edits(spark.createDataFrame([(*r, 2) for r in rows], "doc_id long, text string, n_chars int")).collect()
+    assert sorted(map(str, (r.doc_id for r in got))) == sorted(str(i) for i, _ in rows)
+    hashes = {t: {hashlib.sha256(edit_fingerprints.edited(t, u).encode()).hexdigest() for _, u in rows} for _, t in rows}
+    assert sorted((r.n_chars) for r in got) == sorted(len(t) for _, t in rows)
+    for r in got:
+        assert any(r.edited_sha256 in hashes[t] for i, t in rows if i == r.doc_id and len(t) == r.n_chars)
+    last = next(r for r in got if r.doc_id == 9)
+    assert last.edited_sha256 in {hashlib.sha256(edit_fingerprints.edited("x" * 40_000, t).encode()).hexdigest() for t in ("null one", "null two")}
+    assert len({r.fingerprint for r in got if r.doc_id == 3}) == 2
+    alone = edit_fingerprints.fingerprint_edits(spark.createDataFrame([(1, "just one")], "doc_id long, text string")).first()
+    assert alone.near_next == 1.0 and alone.edited_sha256 == hashlib.sha256(edit_fingerprints.edited("just one", "just one").encode()).hexdigest()
