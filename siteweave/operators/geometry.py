@@ -227,6 +227,20 @@ def contacts(atoms: DataFrame, radius: float = 8.0) -> DataFrame:
     return near.where("chain_a < n_chain_b OR (chain_a = n_chain_b AND resno < n_resno)").select("structure_id", F.col("chain_a").alias("chain"), "resno", F.col("n_chain_b").alias("n_chain"), "n_resno", F.sqrt("d2").alias("distance"))
 
 
+def domains(atoms: DataFrame, radius: float = 8.0) -> DataFrame:
+    """Residues by connected component of their structure's contact graph, the largest component first."""
+    from siteweave.operators.graph import components
+
+    name = lambda chain, resno: F.concat_ws("\x1f", "structure_id", chain, F.col(resno).cast("string"))
+    near = contacts(atoms, radius)
+    labels = components(near.select(name("chain", "resno").alias("a"), name("n_chain", "n_resno").alias("b"), F.lit(1.0).alias("confidence")))
+    residues = atoms.where("atom = 'CA'").select(*RESIDUE).distinct().withColumn("node", name("chain", "resno"))
+    placed = residues.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
+    sizes = placed.groupBy("structure_id", "component").agg(F.count(F.lit(1)).alias("n_residues"))
+    order = W.partitionBy("structure_id").orderBy(F.desc("n_residues"), "component")
+    return placed.join(sizes.withColumn("domain", F.row_number().over(order)), ["structure_id", "component"]).drop("component")
+
+
 def pca(atoms: DataFrame) -> DataFrame:
     """Eigenvalues and explained shares of each structure's CA coordinates, greatest first."""
     names = [a + b for k, a in enumerate("xyz") for b in "xyz"[k:]]

@@ -37,8 +37,9 @@ def sequence_report(ids: DataFrame, edges: DataFrame, supplement: DataFrame, n:
     return L.enrich_sequence_matches(E.top_matches(E.parsed_target(E.sequence_matches(edges, ids, least), None), n), supplement)
 
 
-def conservation_report(matches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return M.frequencies(matches), M.consensus(matches), M.conserved(matches)
+def conservation_report(matches: DataFrame, n: int = 20) -> dict[str, DataFrame]:
+    """Frequencies, consensus and conserved letters of ``matches(query_id, rank, target_id, motif)``, with the rows of their alignment."""
+    return {"frequencies": M.frequencies(matches), "consensus": M.consensus(matches), "conserved": M.conserved(matches), "alignment": M.alignment(matches, n)}
 
 
 def phosphosite_report(sites: DataFrame, supplement: DataFrame, annotations: DataFrame, structural: DataFrame, sequence: DataFrame, scores: DataFrame) -> dict[str, DataFrame]:
@@ -49,6 +50,47 @@ def phosphosite_report(sites: DataFrame, supplement: DataFrame, annotations: Dat
     return {"sites": L.overlay(sites, supplement, "site_id"), "structural": close, "sequence": near, "combined": L.combined_sites(sites, close, near), "kinases": S.match_report(close, near, scores)}
 
 
+def site_kinase_analysis(ids: DataFrame, structural: DataFrame, sequence: DataFrame, scores: DataFrame, n: int = 10) -> dict[str, DataFrame]:
+    """Kinases by the matches of sites: tagged scored matches, counts, medians, heatmap and family totals.
+
+    ``scores`` has a ``score_class``.
+    """
+    close = L.without_self(E.structural_matches(structural, ids))
+    close, near = E.parsed_target(close, None), E.parsed_target(E.sequence_matches(sequence, ids), None)
+    plain = scores.drop("score_class")
+    medians = S.kinase_statistic(close, plain)
+    return {
+        "matches": S.tagged_matches(close, near, scores),
+        "counts": S.match_report(close, near, scores),
+        "medians": S.preferred_motif(S.top_kinases(medians, n, "query_id")),
+        "heatmap": S.heatmap(close, plain, n),
+        "families": S.family_totals(medians, "query_id"),
+        "combined": S.combined_ranking(medians, S.kinase_statistic(near, plain)),
+    }
+
+
+def site_detail(ids: DataFrame, structural: DataFrame, sequence: DataFrame, annotations: DataFrame, supplement: DataFrame, scores: DataFrame, n: int = 10) -> dict[str, DataFrame]:
+    """The page of a site: what is known of it, enriched matches of both kinds, star networks, motif statistics, kinases and network kinases."""
+    close = L.without_self(E.structural_matches(structural, ids))
+    near = sequence_report(ids, sequence, supplement)
+    motifs = near.where("motif IS NOT NULL").select("query_id", "rank", "target_id", "motif")
+    similar = E.similar_sites(ids, sequence, structural)
+    star_nodes, star_links = E.star_network(near, "similarity")
+    return {
+        "site": L.comprehensive(annotations, supplement, ids, keep_unknown=True),
+        "structural": L.enrich_matches(E.parsed_target(close, "S"), annotations, supplement),
+        "sequence": near,
+        "nodes": star_nodes,
+        "links": star_links,
+        **conservation_report(motifs),
+        "kinases": S.top_kinases(L.by_ids(scores, ids, "site_id"), n),
+        "families": S.family_totals(L.by_ids(scores, ids, "site_id")),
+        "heatmap": S.heatmap(close, scores, n, "mean"),
+        "network_kinases": S.top_kinases(S.network_statistics(similar, scores), n, "query_id", "mean_score"),
+        "network_heatmap": S.network_heatmap(similar, scores, n),
+    }
+
+
 def site_kinases(scores: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame]:
     """Top kinases of sites and their family totals."""
     return S.top_kinases(scores, n), S.family_totals(scores)

@@ -27,6 +27,19 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
     return getattr(reader, {"orc": "orc", "json": "json", "jsonl": "json"}.get(kind, "parquet"))(path)
 
 
+def read_either(spark: SparkSession, base: str, schema: StructType | str, kinds: tuple[str, ...] = ("feather", "parquet")) -> DataFrame:
+    """The first of ``base.feather``, ``base.parquet`` that is there."""
+    from pyspark.errors import AnalysisException
+
+    for kind in kinds[:-1]:
+        try:
+            spark.read.format("binaryFile").load(f"{base}.{kind}")
+        except AnalysisException:  # no such path
+            continue
+        return read_table(spark, f"{base}.{kind}", schema)
+    return read_table(spark, f"{base}.{kinds[-1]}", schema)
+
+
 def read_feather(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Arrow files to rows, one task a file; convert to Parquet once for repeated use."""
 
@@ -206,6 +219,29 @@ def write_edges_csv(edges: DataFrame, path: str) -> None:
     require_columns(edges, "id1", "id2", "similarity").write.option("header", True).option("quoteAll", True).csv(path)
 
 
+SHEET_ROWS = 1_048_575  # that a spreadsheet holds below its header
+
+
+def write_table(table: DataFrame, path: str, kind: str = "parquet") -> int:
+    """Write Parquet, ORC, JSON or CSV, or ``sheet``: CSV in one file for a spreadsheet, refused beyond its rows. Returns the rows."""
+    n = table.count()
+    if kind == "sheet":
+        if n > SHEET_ROWS:
+            raise ValueError(f"{n} rows do not fit into a spreadsheet of {SHEET_ROWS}")
+        table.coalesce(1).write.option("header", True).csv(path)
+    elif kind == "csv":
+        table.write.option("header", True).option("quoteAll", True).csv(path)
+    else:
+        table.write.format(kind).save(path)
+    return n
+
+
+def rebuild_edges(spark: SparkSession, path: str, name: str) -> int:
+    """Replace the edge table ``name`` by a CSV file's rows, with inferred types."""
+    rows = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    return replace_table(sequence_edges(require_columns(rows, *rows.columns[:3])), name)
+
+
 def write_bucketed(table: DataFrame, path: str, bucket: str = "bucket") -> None:
     """Partitioned output of which a later run replaces only the buckets that it makes."""
     table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(bucket).parquet(path)

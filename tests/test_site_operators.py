@@ -195,3 +195,34 @@ def test_lsh_recall(spark):
     near = [(f"a{k:02}", f"b{k:02}") for k in range(40) if jaccard(f"a{k:02}", f"b{k:02}") >= 0.75]
     assert len(near) > 20 and sum(p in got for p in near) >= 0.95 * len(near)
     assert any(1 < n < 20 for n in got.values())  # bands differ
+
+
+def test_reports_of_a_site(spark):
+    from siteweave.plans import reports as R
+
+    ids = spark.createDataFrame([("P1_S5",)], "id string")
+    structural = spark.createDataFrame([("P1_S5", "P2_T7", 1.0), ("P3_Y9", "P1_S5", 2.0), ("P1_S5", "P1_S5", 0.0)], "query_id string, target_id string, rmsd double")
+    sequence = spark.createDataFrame([("P1_S5", "P2_T7", 0.9), ("P4_S2", "P1_S5", 0.7)], "id1 string, id2 string, similarity double")
+    known = spark.createDataFrame([("P1_S5", "AAAASPAAA", "S", 1.0), ("P2_T7", "AAAATPAAA", "T", 0.0), ("P4_S2", "CCCCSPCCC", "S", None)], "site_id string, motif string, residue string, is_known double")
+    notes = spark.createDataFrame([("P1_S5", 90.0), ("P3_Y9", 80.0)], "site_id string, plddt double")
+    scores = spark.createDataFrame([("P2_T7", "AKT1", 0.9), ("P2_T7", "LCK", 0.5), ("P3_Y9", "LCK", 0.8), ("P4_S2", "AKT1", 0.3), ("P1_S5", "AKT1", 0.4)], "site_id string, kinase string, score double")
+    detail = R.site_detail(ids, structural, sequence, notes, known, scores)
+    assert {k: v.count() for k, v in detail.items()} == {
+        "site": 1, "structural": 2, "sequence": 2, "nodes": 3, "links": 2, "frequencies": detail["frequencies"].count(), "consensus": 1, "conserved": detail["conserved"].count(), "alignment": 22,
+        "kinases": 1, "families": 1, "heatmap": 4, "network_kinases": 1, "network_heatmap": 5,
+    }
+    routed = scores.withColumn("score_class", F.when(F.col("site_id") == "P3_Y9", "Y").otherwise("ST"))
+    found = R.site_kinase_analysis(ids, structural, sequence, routed)
+    assert {(r.target_id, r.match_type) for r in found["matches"].collect()} == {("P2_T7", "structural"), ("P3_Y9", "structural"), ("P2_T7", "sequence"), ("P4_S2", "sequence")}
+    assert {r.kinase: r.score for r in found["medians"].collect()} == {"AKT1": 0.9, "LCK": 0.65}
+    assert {r.family: r.score for r in found["families"].collect()} == {"AKT": 0.9, "SRC": 0.65}
+
+
+def test_domains_and_sinks(spark, tmp_path):
+    atoms = spark.createDataFrame([("s", "A", k, "A", "CA", "C", 5.0 * k + (100 if k > 4 else 0), 0.0, 0.0, 1.0) for k in range(7)], "structure_id string, chain string, resno int, aa string, atom string, element string, x double, y double, z double, bfactor double")
+    assert rows(Geo.domains(atoms).select("resno", "n_residues", "domain")) == [(k, 5, 1) if k < 5 else (k, 2, 2) for k in range(7)]
+    table = spark.createDataFrame([("a", "b", 0.5), ("c", "d", 0.7)], "id1 string, id2 string, similarity double")
+    assert T.write_table(table, f"{tmp_path}/x.parquet") == 2 and T.write_table(table, f"{tmp_path}/x.csv", "csv") == 2 and T.write_table(table, f"{tmp_path}/sheet", "sheet") == 2
+    schema = "id1 string, id2 string, similarity double"
+    assert rows(T.read_either(spark, f"{tmp_path}/x", schema)) == rows(table)
+    assert T.rebuild_edges(spark, f"{tmp_path}/x.csv", "sw_edges") == 2 and rows(spark.table("sw_edges")) == rows(table)
