@@ -11,15 +11,15 @@ while closed groups stay where they were made. A short text is one fragment.
 Each range is encoded on its own because it begins, for each tokenizer, at a border that no
 token crosses: for A before white space or punctuation after a letter; for B between two
 characters that stand side by side in no piece. The two need not be the same offset, and
-a range without such a border runs on to the next. Inside, units between spaces are encoded
-once a process and kept within ``KEEP_BYTES``.
+a range without such a border runs on to the next. Inside, texts are cut at many such
+borders into units, each distinct one encoded once a process and kept within ``KEEP_BYTES``.
 
 Two linked tokens end at one offset, so one's bytes end with the other's: the vocabularies
 alone bound the number of id pairs (by the sum of their entries' lengths), whatever the
 corpus. That proven bound is what lets counts pass through the driver.
 
-Cases: texts that are null, empty, or whose joined bytes differ under A or B (B normalises
-some characters, and reads U+2581 as a space) have no tokens and zeros; special-token
+Cases: texts that are null, empty, or whose joined bytes differ under A or B (B reads U+2581
+as a space) have no tokens and zeros; special-token
 strings are plain text; null and repeated doc_ids and repeated rows are rows like others;
 an empty table gives no rows; other columns are ignored.
 """
@@ -28,6 +28,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -37,13 +39,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteweave.llm.pieces import slices
+from siteweave.llm.pieces import cut as cut_for_a
 from siteweave.llm.shared import Scratch, partitions
 
 CHUNK = 1 << 16  # bytes of a text that make one fragment, about
 FAN = 8  # fragments that one step of the tree composes
-KEEP_BYTES = 1 << 26  # of units that a process keeps
-ARROW_ROWS = 2048
+KEEP_BYTES = 3 << 24  # of units that a process keeps for one tokenizer
+RUN_BYTES = 1 << 20  # of texts that are aligned at once
+CALL_UNITS = 4096  # that a library encodes at once
+ARROW_ROWS = 512
 LISTS = "a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
 GROUPS = f"doc_id long, ok boolean, {LISTS}"
 EDGE = "array<array<long>>"
@@ -82,9 +86,13 @@ class Vocabularies:
         self.b_inner = {x + y for p in whole for x, y in zip(p.replace("▁", " "), p.replace("▁", " ")[1:], strict=False)}
         if any("\n" in pair or (pair[1] == " " != pair[0]) for pair in self.b_inner):
             raise ValueError("pieces of B cross the end of a word")
-        self.a_coder = UnitCoder(lambda units: [x.ids for x in a.encode_batch_fast(units, add_special_tokens=False)], self.a_bytes)
+        self.a_coder = UnitCoder(cut_for_a, lambda units: [x.ids for x in a.encode_batch_fast(units, add_special_tokens=False)], self.a_bytes)
         # A line feed stands apart from all that follows and takes the added space: two ids to drop.
-        self.b_coder = UnitCoder(lambda units: [x[2:] for x in self.b.encode(["\n" + u for u in units], num_threads=1)], self.b_bytes)
+        together = np.zeros((128, 128), bool)
+        for pair in self.b_inner:
+            if pair.isascii():
+                together[ord(pair[0]), ord(pair[1])] = True
+        self.b_coder = UnitCoder(lambda texts: cut_for_b(texts, together), lambda units: [x[2:] for x in self.b.encode(["\n" + u for u in units], num_threads=1)], self.b_bytes)
         self.pairs = self._pairs()
 
     def key(self, a_ids: np.ndarray, b_ids: np.ndarray) -> np.ndarray:
@@ -117,45 +125,49 @@ def vocabularies(a_path: str, b_path: str) -> Vocabularies:
 # --- encoding
 
 
-def _white_before(data: np.ndarray) -> np.ndarray:
-    """Whether the character that ends before each byte may be white space."""
-    out = np.zeros(len(data), bool)
-    out[1:] = (data[:-1] == 32) | ((data[:-1] >= 9) & (data[:-1] <= 13)) | ((data[:-1] >= 28) & (data[:-1] <= 31))
-    out[2:] |= (data[:-2] == 0xC2) & ((data[1:-1] == 0x85) | (data[1:-1] == 0xA0))
-    if len(data) > 2:
-        odd = ((data[:-2] == 0xE2) & ((data[1:-1] == 0x80) | (data[1:-1] == 0x81)) & ((data[2:] < 0x90) | (data[2:] > 0x9F))) | ((data[:-2] == 0xE1) & (data[1:-1] == 0x9A)) | ((data[:-2] == 0xE3) & (data[1:-1] == 0x80) & (data[2:] == 0x80))
-        out[3:] |= odd[:-1]
-    return out
+def cut_for_b(texts: pa.Array, together: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Units of texts and the place of each text's first, with the end: cut before a space after another
+    character, and between ASCII characters that stand side by side in no piece of B."""
+    off = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+    off = off - off[0]
+    if not len(data):
+        return pa.array([], pa.large_string()), np.zeros(len(off), np.int64)
+    begin = np.ones(len(data), bool)
+    plain = data < 128
+    begin[1:] = (data[1:] == 32) & (data[:-1] != 32) | plain[1:] & plain[:-1] & ~together[data[:-1] & 127, data[1:] & 127]
+    begin[off[off < len(data)]] = True
+    begins = np.flatnonzero(begin)
+    units = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, len(data)).astype(np.int64)), pa.py_buffer(data))
+    return units, np.searchsorted(begins, off)
 
 
 class UnitCoder:
-    """Ids of texts, unit by unit; a unit begins with a space after a character that is not white, where tokens of both kinds begin."""
+    """Ids of texts, through those of their units: parts between borders that no token crosses."""
 
-    def __init__(self, encode_all, entries: list[bytes]):
-        self.encode_all, self.entries = encode_all, entries
+    def __init__(self, cut, encode_all, entries: list[bytes]):
+        self.cut, self.encode_all, self.entries = cut, encode_all, entries
         self.lengths = np.array([len(x) for x in entries], np.int64)
-        self.known: dict[bytes, bytes | None] = {}
+        self.known: dict[str, bytes | None] = {}
+        self.before: dict[str, bytes | None] = {}  # what was known until ``known`` was last begun anew
         self.kept = 0
 
-    def _value(self, unit: bytes, ids: list[int]) -> bytes | None:
-        whole = b"".join(map(self.entries.__getitem__, ids)) == unit
-        return np.array(ids, "<i4").tobytes() if whole else None
+    def _value(self, unit: str, ids: list[int]) -> bytes | None:
+        whole = b"".join(map(self.entries.__getitem__, ids)) == unit.encode()
+        return array("i", ids).tobytes() if whole else None
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of all texts in turn, the place of each text's first, with the end, and whether each text's bytes came back."""
-        off = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
-        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
-        off = off - off[0]
-        if not len(data):
-            return np.empty(0, np.int32), np.zeros(len(off), np.int64), np.ones(len(texts), bool)
-        begin = (data == 32) & ~_white_before(data)
-        begin[off[off < len(data)]] = True
-        begins = np.flatnonzero(begin)
-        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(np.append(begins, len(data)).astype(np.int64)), pa.py_buffer(data)])
+        units, at = self.cut(texts)
+        if not len(units):
+            return np.empty(0, np.int32), at, np.ones(len(texts), bool)
         coded = units.dictionary_encode()
         names = coded.dictionary.to_pylist()
-        fresh = [x for x in names if x not in self.known]
-        here = dict(zip(fresh, map(self._value, fresh, self.encode_all([x.decode() for x in fresh])), strict=True))
+        here = {x: self.before[x] for x in names if x not in self.known and x in self.before}
+        fresh = [x for x in names if x not in self.known and x not in here]
+        for lo in range(0, len(fresh), CALL_UNITS):
+            some = fresh[lo : lo + CALL_UNITS]
+            here.update(zip(some, map(self._value, some, self.encode_all(some)), strict=True))
         values = [here[x] if x in here else self.known[x] for x in names]
         self._keep(here)
         good = np.array([v is not None for v in values], bool)
@@ -164,20 +176,19 @@ class UnitCoder:
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         starts = np.cumsum(sizes) - sizes
         which = coded.indices.to_numpy()
-        at = np.searchsorted(begins, off)
         bad = np.append(0, np.cumsum(~good[which]))[at]
         lengths = sizes[which]
         ends = np.cumsum(lengths)
         places = np.arange(ends[-1]) + np.repeat(starts[which] - ends + lengths, lengths)
         return flat[places], np.append(0, ends)[at], np.diff(bad) == 0
 
-    def _keep(self, fresh: dict[bytes, bytes | None]) -> None:
+    def _keep(self, fresh: dict[str, bytes | None]) -> None:
         for unit, value in fresh.items():
             if len(unit) <= 64:
                 self.known[unit] = value
                 self.kept += len(unit) + len(value or b"") + 200
-        if self.kept > KEEP_BYTES:
-            self.known, self.kept = {}, 0
+        if self.kept > KEEP_BYTES // 2:
+            self.before, self.known, self.kept = self.known, {}, 0
 
 
 # --- groups and fragments
@@ -300,6 +311,15 @@ def _spaced(texts: pa.Array) -> pa.Array:
     return pc.if_else(pc.equal(texts, none), none, pc.binary_join_element_wise(space, texts, none))
 
 
+def _runs(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of about ``RUN_BYTES`` of texts, with the place of their first."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    marks = np.flatnonzero(np.diff(sizes // RUN_BYTES, prepend=0, append=-1))[:-1] + 1 if len(texts) else []
+    for lo, hi in zip([0, *marks], [*marks, len(texts)], strict=True):
+        if lo < hi:
+            yield lo, texts.slice(lo, hi - lo)
+
+
 def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int32()))
 
@@ -323,7 +343,7 @@ def align_short(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def run(batches):
         vocab = vocabularies(a_path, b_path)
         for batch in batches:
-            for lo, texts in slices(batch.column(1)):
+            for lo, texts in _runs(batch.column(1)):
                 ok, groups, a_at, b_at, g_at = aligned_slice(vocab, _spaced(texts))
                 columns = [batch.column(0).slice(lo, len(texts)), pa.array(ok), _lists(groups.a_ids, a_at), _lists(groups.b_ids, b_at), _lists(groups.a_sizes, g_at), _lists(groups.b_sizes, g_at)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ok", "a_ids", "b_ids", "a_sizes", "b_sizes"])

@@ -277,7 +277,8 @@ def test_linked_pairs_are_bounded_by_the_vocabularies():
 
 def test_kept_units_are_bounded_in_bytes(monkeypatch):
     monkeypatch.setattr(alignment, "KEEP_BYTES", 5000)
-    coder = alignment.UnitCoder(lambda units: [list(u.encode()) for u in units], [bytes([k]) for k in range(256)])
+    cut = lambda texts: alignment.cut_for_b(texts, np.ones((128, 128), bool))
+    coder = alignment.UnitCoder(cut, lambda units: [list(u.encode()) for u in units], [bytes([k]) for k in range(256)])
     for k in range(200):
         text = f"{k} words" + " long" * 3 + "x" * 100
         ids, at, ok = coder.ids(pa.array([text, "", None and ""], pa.large_string()).fill_null(""))
