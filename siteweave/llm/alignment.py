@@ -47,7 +47,7 @@ FAN = 8  # fragments that one step of the tree composes
 KEEP_BYTES = 3 << 24  # of units that a process keeps for one tokenizer
 RUN_BYTES = 1 << 20  # of texts that are aligned at once
 CALL_UNITS = 4096  # that a library encodes at once
-ARROW_ROWS = 512
+ARROW_ROWS, LONG_ROWS = 512, 64  # rows of short and of long texts that a worker gets at once
 LISTS = "a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
 GROUPS = f"doc_id long, ok boolean, {LISTS}"
 EDGE = "array<array<long>>"
@@ -433,9 +433,9 @@ def align_long(docs: DataFrame, a_path: str, b_path: str, scratch: Scratch, chun
     """Runs of closed groups ``row, doc_id, ok, until, ...`` of rows whose texts have many ranges; sorted by ``until`` they are a text's groups."""
     spark = docs.sparkSession
     keyed = docs.withColumn("row", F.monotonically_increasing_id()).select("row", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chunks = scratch.stored(long_ranges(keyed, a_path, b_path, chunk), "ranges", arrow_rows=64)  # from here on the row numbers are fixed
+    chunks = scratch.stored(long_ranges(keyed, a_path, b_path, chunk), "ranges", arrow_rows=LONG_ROWS)  # from here on the row numbers are fixed
     spread = chunks.repartition(partitions(spark), "row", "seq")
-    level = scratch.stored(range_fragments(spread, a_path, b_path), "fragments", arrow_rows=64)
+    level = scratch.stored(range_fragments(spread, a_path, b_path), "fragments", arrow_rows=LONG_ROWS)
     runs = [level.where("until >= 0")]
     open_rows, last = level.drop("until", *Run._fields).where("seq >= 0"), level.agg(F.max("seq")).first()[0]
     while last:
@@ -479,7 +479,7 @@ def _links(vocab: Vocabularies, run: Run) -> np.ndarray:
     return np.searchsorted(vocab.pairs, vocab.key(run.a_ids[a], run.b_ids[b]))
 
 
-def pair_counts(found: Alignments, a_path: str, b_path: str) -> DataFrame:
+def pair_counts(found: Alignments, a_path: str, b_path: str, scratch: Scratch) -> DataFrame:
     """``a_id, b_id, n``: how many links hold each pair, over all rows."""
 
     def run(batches):
@@ -490,8 +490,8 @@ def pair_counts(found: Alignments, a_path: str, b_path: str) -> DataFrame:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*np.divmod(vocab.pairs[at], len(vocab.b_bytes)), counts[at])], ["a_id", "b_id", "n"])
 
-    parts = found.short.select(*Run._fields).unionByName(found.long.select(*Run._fields)).mapInArrow(run, "a_id long, b_id long, n long")
-    return parts.groupBy("a_id", "b_id").agg(F.sum("n").alias("n"))
+    parts = [scratch.stored(x.select(*Run._fields).mapInArrow(run, "a_id long, b_id long, n long"), "pairs", arrow_rows=rows) for x, rows in ((found.short, ARROW_ROWS), (found.long, LONG_ROWS))]
+    return parts[0].unionByName(parts[1]).groupBy("a_id", "b_id").agg(F.sum("n").alias("n"))
 
 
 def _digits(most: int) -> np.ndarray:
@@ -536,7 +536,7 @@ class _Count:
         self.counts[at], self.best[at] = n, n == most[b_ids]
 
 
-def alignment_digests(found: Alignments, counts: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def alignment_digests(found: Alignments, counts: DataFrame, a_path: str, b_path: str, scratch: Scratch) -> DataFrame:
     """The digest columns of every row."""
     spark = counts.sparkSession
     known = _Count(vocabularies(a_path, b_path), [tuple(r) for r in counts.collect()])
@@ -582,12 +582,14 @@ def alignment_digests(found: Alignments, counts: DataFrame, a_path: str, b_path:
             yield row()
 
     ordered = found.long.repartition(partitions(spark), "row").sortWithinPartitions("row", "until")
-    return found.short.mapInArrow(of_short, DIGEST).unionByName(ordered.mapInArrow(of_long, DIGEST))
+    short = scratch.stored(found.short.mapInArrow(of_short, DIGEST), "digests", arrow_rows=ARROW_ROWS)
+    return short.unionByName(scratch.stored(ordered.mapInArrow(of_long, DIGEST), "digests", arrow_rows=LONG_ROWS))
 
 
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-    found = align(spark.read.parquet(f"{sf_dir}/documents.parquet"), *paths, Scratch(spark, "alignment"))
-    return alignment_digests(found, pair_counts(found, *paths), *paths)
+    scratch = Scratch(spark, "alignment")
+    found = align(spark.read.parquet(f"{sf_dir}/documents.parquet"), *paths, scratch)
+    return alignment_digests(found, pair_counts(found, *paths, scratch), *paths, scratch)

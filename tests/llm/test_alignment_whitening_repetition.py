@@ -229,8 +229,9 @@ TEXTS = [None, "", " ", "  a  b ", "x▁y", "日本語のテキスト。長い
 def test_alignment_equals_its_definition(spark, chunk, fan):
     rows = [(i if i % 5 else None, t) for i, t in enumerate(TEXTS)] + [(3, TEXTS[7]), (3, TEXTS[7])]
     docs = spark.createDataFrame([(i, t, "other", 1) for i, t in rows], "doc_id long, text string, a_ids string, row int")
-    found = alignment.align(docs, *PATHS, Scratch(spark, "alignment"), chunk=chunk, fan=fan)
-    got = alignment.alignment_digests(found, alignment.pair_counts(found, *PATHS), *PATHS).collect()
+    scratch = Scratch(spark, "alignment")
+    found = alignment.align(docs, *PATHS, scratch, chunk=chunk, fan=fan)
+    got = alignment.alignment_digests(found, alignment.pair_counts(found, *PATHS, scratch), *PATHS, scratch).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, Plain().digests(rows)))
     if chunk == 40:
         assert found.long.groupBy("row").count().agg(F.max("count")).first()[0] > 10
@@ -238,8 +239,9 @@ def test_alignment_equals_its_definition(spark, chunk, fan):
 
 def test_alignment_of_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    found = alignment.align(docs, *PATHS, Scratch(spark, "alignment"))
-    assert alignment.alignment_digests(found, alignment.pair_counts(found, *PATHS), *PATHS).count() == 0
+    scratch = Scratch(spark, "alignment")
+    found = alignment.align(docs, *PATHS, scratch)
+    assert alignment.alignment_digests(found, alignment.pair_counts(found, *PATHS, scratch), *PATHS, scratch).count() == 0
 
 
 @given(st.data())
