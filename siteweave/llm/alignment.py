@@ -44,10 +44,10 @@ from siteweave.llm.shared import Scratch, partitions
 
 CHUNK = 1 << 16  # bytes of a text that make one fragment, about
 FAN = 8  # fragments that one step of the tree composes
-KEEP_BYTES = 3 << 24  # of units that a process keeps for one tokenizer
+KEEP_BYTES = 1 << 25  # of units that a process keeps for one tokenizer
 RUN_BYTES = 1 << 20  # of texts that are aligned at once
 CALL_UNITS = 4096  # that a library encodes at once
-ARROW_ROWS, LONG_ROWS = 512, 64  # rows of short and of long texts that a worker gets at once
+ARROW_ROWS, LONG_ROWS = 256, 32  # rows of short and of long texts that a worker gets at once
 LISTS = "a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
 GROUPS = f"doc_id long, ok boolean, {LISTS}"
 EDGE = "array<array<long>>"
@@ -95,6 +95,12 @@ class Vocabularies:
         self.b_coder = UnitCoder(lambda texts: cut_for_b(texts, together), lambda units: [x[2:] for x in self.b.encode(["\n" + u for u in units], num_threads=1)], self.b_bytes)
         self.pairs = self._pairs()
 
+    def rested(self) -> Vocabularies:
+        """For tasks that encode nothing: without the units that a process keeps."""
+        self.a_coder.forget()
+        self.b_coder.forget()
+        return self
+
     def key(self, a_ids: np.ndarray, b_ids: np.ndarray) -> np.ndarray:
         return a_ids.astype(np.int64) * len(self.b_bytes) + b_ids
 
@@ -148,13 +154,34 @@ class UnitCoder:
     def __init__(self, cut, encode_all, entries: list[bytes]):
         self.cut, self.encode_all, self.entries = cut, encode_all, entries
         self.lengths = np.array([len(x) for x in entries], np.int64)
-        self.known: dict[str, bytes | None] = {}
-        self.before: dict[str, bytes | None] = {}  # what was known until ``known`` was last begun anew
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, bytes] = {}  # ids of a unit; nothing: its bytes do not come back
+        self.before: dict[str, bytes] = {}  # what was known until ``known`` was last begun anew
         self.kept = 0
 
-    def _value(self, unit: str, ids: list[int]) -> bytes | None:
-        whole = b"".join(map(self.entries.__getitem__, ids)) == unit.encode()
-        return array("i", ids).tobytes() if whole else None
+    def _values(self, names: list[str]) -> list[bytes]:
+        values = list(map(self.known.get, names))
+        missing = [k for k, v in enumerate(values) if v is None]
+        for k in missing:
+            values[k] = self.before.get(names[k])
+        fresh, entry = [k for k in missing if values[k] is None], self.entries.__getitem__
+        for lo in range(0, len(fresh), CALL_UNITS):
+            some = fresh[lo : lo + CALL_UNITS]
+            units = [names[k] for k in some]
+            for k, unit, ids in zip(some, units, self.encode_all(units), strict=True):
+                values[k] = array("i", ids).tobytes() if b"".join(map(entry, ids)) == unit.encode() else b""
+        for k in missing:
+            unit, value = names[k], values[k]
+            if len(unit) <= 64:
+                self.known[unit] = value
+                self.kept += len(unit) + len(value) + 200
+        if self.kept > KEEP_BYTES // 2:
+            before = self.known
+            self.forget()
+            self.before = before
+        return values
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of all texts in turn, the place of each text's first, with the end, and whether each text's bytes came back."""
@@ -162,34 +189,17 @@ class UnitCoder:
         if not len(units):
             return np.empty(0, np.int32), at, np.ones(len(texts), bool)
         coded = units.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        here = {x: self.before[x] for x in names if x not in self.known and x in self.before}
-        fresh = [x for x in names if x not in self.known and x not in here]
-        for lo in range(0, len(fresh), CALL_UNITS):
-            some = fresh[lo : lo + CALL_UNITS]
-            here.update(zip(some, map(self._value, some, self.encode_all(some)), strict=True))
-        values = [here[x] if x in here else self.known[x] for x in names]
-        self._keep(here)
-        good = np.array([v is not None for v in values], bool)
-        parts = [v or b"" for v in values]
+        parts = self._values(coded.dictionary.to_pylist())
         flat = np.frombuffer(b"".join(parts), "<i4")
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         starts = np.cumsum(sizes) - sizes
         which = coded.indices.to_numpy()
-        bad = np.append(0, np.cumsum(~good[which]))[at]
         lengths = sizes[which]
+        bad = np.append(0, np.cumsum(lengths == 0))[at]
         ends = np.cumsum(lengths)
         places = np.arange(ends[-1]) + np.repeat(starts[which] - ends + lengths, lengths)
         return flat[places], np.append(0, ends)[at], np.diff(bad) == 0
 
-    def _keep(self, fresh: dict[str, bytes | None]) -> None:
-        for unit, value in fresh.items():
-            if len(unit) <= 64:
-                self.known[unit] = value
-                self.kept += len(unit) + len(value or b"") + 200
-        if self.kept > KEEP_BYTES // 2:
-            self.before, self.known, self.kept = self.known, {}, 0
-
 
 # --- groups and fragments
 
@@ -483,7 +493,7 @@ def pair_counts(found: Alignments, a_path: str, b_path: str, scratch: Scratch) -
     """``a_id, b_id, n``: how many links hold each pair, over all rows."""
 
     def run(batches):
-        vocab = vocabularies(a_path, b_path)
+        vocab = vocabularies(a_path, b_path).rested()
         counts = np.zeros(len(vocab.pairs), np.int64)
         for batch in batches:
             counts += np.bincount(_links(vocab, _flat(batch)[0]), minlength=len(counts))
@@ -551,10 +561,10 @@ def alignment_digests(found: Alignments, counts: DataFrame, a_path: str, b_path:
         return [np.diff(at[0]), np.diff(at[1]), np.diff(at[2]), np.diff(at[2]), np.diff(best[at[2]]), np.diff(total[at[2]])], group_text(run, at[2])
 
     def of_short(batches):
-        vocab = vocabularies(a_path, b_path)
+        vocab = vocabularies(a_path, b_path).rested()
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
+            for lo in range(0, whole.num_rows, 64):
+                batch = whole.slice(lo, 64)
                 numbers, texts = figures(vocab, batch)
                 shas = [hashlib.sha256(t).hexdigest() if t else "" for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in numbers), pa.array(shas, pa.string())], names)

@@ -285,4 +285,4 @@ def test_kept_units_are_bounded_in_bytes(monkeypatch):
         text = f"{k} words" + " long" * 3 + "x" * 100
         ids, at, ok = coder.ids(pa.array([text, "", None and ""], pa.large_string()).fill_null(""))
         assert bytes(ids.tolist()).decode() == text and at.tolist() == [0, len(text), len(text), len(text)] and ok.all()
-        assert coder.kept <= 5000 and all(len(x) <= 64 for x in coder.known)
+        assert coder.kept <= 2500 and all(len(x) <= 64 for x in coder.known)
