@@ -13,7 +13,7 @@ POLAR, NONPOLAR, ACIDIC, BASIC, AROMATIC = "STYCNQ", "AVLIMFWPG", "DE", "KRH", "
 HYDROPATHY = {"A": 1.8, "R": -4.5, "N": -3.5, "D": -3.5, "C": 2.5, "Q": -3.5, "E": -3.5, "G": -0.4, "H": -3.2, "I": 4.5, "L": 3.8, "K": -3.9, "M": 1.9, "F": 2.8, "P": -1.6, "S": -0.8, "T": -0.7, "W": -0.9, "Y": -1.3, "V": 4.2}
 BACKGROUND = {"A": 0.0825, "R": 0.0553, "N": 0.0406, "D": 0.0546, "C": 0.0138, "Q": 0.0393, "E": 0.0672, "G": 0.0707, "H": 0.0227, "I": 0.0591, "L": 0.0965, "K": 0.058, "M": 0.0241, "F": 0.0386, "P": 0.0474, "S": 0.0665, "T": 0.0536, "W": 0.011, "Y": 0.0292, "V": 0.0686}
 # BLOSUM62, the rows of its lower triangle over these letters.
-BLOSUM_LETTERS = "ARNDCQEGHILKMFPSTWYV"
+BLOSUM_LETTERS = "ARNDCQEGHILKMFPSTWYVBZ"
 BLOSUM62 = """
  4
 -1  5
@@ -35,6 +35,8 @@ BLOSUM62 = """
 -3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1  1 -4 -3 -2 11
 -2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7
  0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -1  4
+-2 -1  3  4 -3  0  1 -1  0 -3 -4  0 -3 -3 -2  0 -1 -4 -3 -3  4
+-1  0  0  1 -3  3  4 -2  0 -3 -3  1 -1 -3 -1  0 -1 -3 -2 -2  1  4
 """
 # Consensus motifs of kinases.
 CONSENSUS = {
@@ -241,16 +243,27 @@ def motif_profile(motif: Column, site_type: Column) -> Column:
 
 
 def covering_patterns(sequence: Column, position: Column, patterns: dict[str, str] = CONSENSUS, reach: int = 10) -> Column:
-    """Names of the patterns of which a match within ``reach`` letters covers the site, joined."""
+    """Names of the patterns of which a match covers the site, joined by commas; "None" without any.
+
+    Each pattern is scanned from left to right through the ``reach`` letters around the site
+    (numbered from 1), and a match hides those that overlap it: the walk over the texts
+    between the matches carries the end of the last one. A pattern must not match nothing.
+    """
     start = F.greatest(F.lit(1), position - reach)
-    window, centre = F.substring(sequence, start, F.lit(2 * reach + 1)), position - start
+    window, centre = F.substring(sequence, start, position - start + 1 + reach), position - start
 
     def covered(pattern: str) -> Column:
-        reaches = lambda o: F.length(F.regexp_extract(F.substring(window, o + 1, F.length(window)), f"^(?:{pattern})", 0)) > centre - o
-        return F.exists(F.sequence(F.lit(0), centre), reaches)
+        steps = F.arrays_zip(F.split(window, pattern, -1).alias("gap"), F.regexp_extract_all(window, F.lit(f"({pattern})"), F.lit(1)).alias("hit"))
+
+        def step(at: Column, x: Column) -> Column:
+            begin = at["end"] + F.length(x["gap"])
+            end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
+            return F.struct(end.alias("end"), (at["covers"] | ((begin <= centre) & (centre < end))).alias("covers"))
+
+        return F.aggregate(steps, F.struct(F.lit(0).alias("end"), F.lit(False).alias("covers")), step, lambda at: at["covers"])
 
     hits = [F.when(covered(p), F.lit(name)) for name, p in patterns.items()]
-    return F.concat_ws("; ", F.array_compact(F.array(*hits)))
+    return F.coalesce(F.nullif(F.concat_ws(", ", F.array_compact(F.array(*hits))), F.lit("")), F.lit("None"))
 
 
 def dihedral(points: list[tuple[Column, Column, Column]]) -> Column:

@@ -79,6 +79,22 @@ def similar_sites(ids: DataFrame, sequence: DataFrame, structural: DataFrame, le
     return own.union(near).union(close).distinct()
 
 
+def similar_sites_by_request(requests: DataFrame, sequence: DataFrame, structural: DataFrame) -> DataFrame:
+    """``similar_sites`` with the bounds of each request: ``requests(id, similarity, rmsd)``.
+
+    The edges pass the loosest bounds of all requests first, then each request's own.
+    """
+    loosest = requests.agg(F.min("similarity").alias("s"), F.max("rmsd").alias("r")).first()
+    own = requests.select(F.col("id").alias("query_id"), F.col("id").alias("site_id"))
+    if loosest.s is None:
+        return own
+    asked = requests.select(F.col("id").alias("query_id"), F.col("similarity").alias("_s"), F.col("rmsd").alias("_r"))
+    ids = requests.select("id").distinct()
+    near = sequence_matches(sequence, ids, loosest.s).join(asked, "query_id").where("similarity >= _s").select("query_id", F.col("target_id").alias("site_id"))
+    close = structural_matches(structural, ids, loosest.r, directed=True).join(asked, "query_id").where("rmsd <= _r").select("query_id", F.regexp_replace("target_id", r"_[STY](\d+)$", "_$1").alias("site_id"))
+    return own.union(near).union(close).distinct()
+
+
 def connected_matches(matches: DataFrame, edges: DataFrame, weight: str, bound: float, above: bool = True, parity: bool = False) -> tuple[DataFrame, DataFrame]:
     """Two-hop closure: links from sites to targets, and edges among the targets.
 

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siteweave.functions.motif import AMINO, accessibility
+from siteweave.plans.storage import stored
 
 RESIDUE = ["structure_id", "chain", "resno"]
 # Residue properties.
@@ -101,13 +102,45 @@ def hydrogen_bonds(atoms: DataFrame, radius: float = 3.5) -> DataFrame:
     return own.select(*RESIDUE).join(near, RESIDUE, "left").fillna(0, ["hydrogen_bonds"])
 
 
+def nearest_of_kinds(centres: DataFrame, others: DataFrame, keys: list[str], first: float = 8.0) -> DataFrame:
+    """``id, kind, d``: distance of each centre to the nearest other point of every kind among those of its keys.
+
+    ``centres(*keys, id, x, y, z)``, ``others(*keys, id, kind, x, y, z)``. Points lie in grid
+    cells as wide as the radius, and a centre looks into its 27 cells for the kinds it still
+    misses; what it finds within the radius is the nearest. The radius doubles until nothing
+    is missed, so a centre meets few points more than it must, however many there are. A
+    kind that no other point of the keys has gives no row.
+    """
+    sizes = others.groupBy(*keys, "kind").agg(F.count(F.lit(1)).alias("n"))
+    own = others.groupBy(*keys, "id", "kind").agg(F.count(F.lit(1)).alias("own"))
+    todo = centres.join(sizes, keys).join(own, [*keys, "id", "kind"], "left").where("n > coalesce(own, 0)").drop("n", "own")
+    todo, points = stored(todo, "nearest-todo"), stored(others, "nearest-points")
+    radius, parts = first, []
+    steps = F.array(*[F.struct(*[F.lit(d).alias(k) for d, k in zip((i, j, k), "ijk", strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    while True:
+        cell = lambda c, r=radius: F.floor(F.col(c) / r)
+        look = todo.withColumn("_s", F.explode(steps))
+        look = look.withColumns({f"_{c}": cell(c) + F.col(f"_s.{k}") for c, k in zip("xyz", "ijk", strict=True)}).drop("_s")
+        there = points.select(*keys, "kind", F.col("id").alias("n_id"), *[F.col(c).alias(f"n_{c}") for c in "xyz"], *[cell(c).alias(f"_{c}") for c in "xyz"])
+        met = look.join(there, [*keys, "kind", "_x", "_y", "_z"]).where("id <> n_id").groupBy(*keys, "id", "kind").agg(F.min(squared()).alias("d2"))
+        met = stored(met.where(F.col("d2") <= radius * radius), "nearest-met")
+        parts.append(met)
+        todo = stored(todo.join(met, [*keys, "id", "kind"], "left_anti"), "nearest-todo")
+        if todo.isEmpty():
+            break
+        radius *= 2
+    return reduce(DataFrame.unionByName, parts).withColumn("d", F.sqrt("d2")).drop("d2")
+
+
 def nearest_by_type(atoms: DataFrame) -> DataFrame:
     """CA distance to the nearest other residue of each letter and property in its chain."""
-    ca = atoms.where("atom = 'CA'")
-    other = ca.select("structure_id", "chain", *[F.col(c).alias(f"n_{c}") for c in ("resno", "aa", "x", "y", "z")])
-    pairs = ca.join(other, ["structure_id", "chain"]).where("resno <> n_resno").withColumn("d", F.sqrt(squared()))
-    kinds = [F.min(F.when(F.col("n_aa") == a, F.col("d"))).alias(f"nearest_{a}") for a in AMINO] + [F.min(F.when(F.lit(v).contains(F.col("n_aa")), F.col("d"))).alias(f"nearest_{k}") for k, v in PROPERTIES.items()]
-    return pairs.groupBy(*RESIDUE).agg(*kinds)
+    keys = ["structure_id", "chain"]
+    ca = stored(atoms.where("atom = 'CA'").select(*keys, F.col("resno").alias("id"), "aa", "x", "y", "z"), "nearest-ca")
+    kinds = F.array_compact(F.array(F.when(F.lit(AMINO).contains(F.col("aa")), F.col("aa")), *[F.when(F.lit(v).contains(F.col("aa")), F.lit(k)) for k, v in PROPERTIES.items()]))
+    found = nearest_of_kinds(ca.drop("aa"), ca.select(*keys, "id", F.explode(kinds).alias("kind"), "x", "y", "z"), keys)
+    wide = found.groupBy(*keys, "id").agg(*[F.min(F.when(F.col("kind") == k, F.col("d"))).alias(f"nearest_{k}") for k in (*AMINO, *PROPERTIES)])
+    several = ca.join(ca.groupBy(*keys).agg(F.countDistinct("id").alias("_n")).where("_n > 1"), keys).select(*keys, "id").distinct()  # a residue alone has no row
+    return several.join(wide, [*keys, "id"], "left").withColumnRenamed("id", "resno")
 
 
 def counts_by_type(atoms: DataFrame, radius: float = 10.0) -> DataFrame:
@@ -128,9 +161,9 @@ def secondary_distances(atoms: DataFrame, structure: DataFrame, kinds: tuple[str
     for k in kinds:
         at = F.when(F.col("ss_type") == k, F.col("resno"))
         seq = seq.withColumn(f"seq_{k}", F.least(F.col("resno") - F.last(at, True).over(back), F.first(at, True).over(ahead) - F.col("resno")))
-    other = ca.where("ss_type IS NOT NULL").select("structure_id", F.col("chain").alias("n_chain"), F.col("resno").alias("n_resno"), "ss_type", *[F.col(c).alias(f"n_{c}") for c in "xyz"])
-    pairs = ca.drop("ss_type").join(other, "structure_id").where("NOT (chain = n_chain AND resno = n_resno)").withColumn("d", F.sqrt(squared()))
-    space = pairs.groupBy(*RESIDUE).agg(*[F.min(F.when(F.col("ss_type") == k, F.col("d"))).alias(f"spatial_{k}") for k in kinds])
+    points = stored(ca.select("structure_id", F.struct("chain", "resno").alias("id"), F.col("ss_type").alias("kind"), "x", "y", "z"), "secondary-points")
+    found = nearest_of_kinds(points.drop("kind"), points.where(F.col("kind").isin(*kinds)), ["structure_id"])
+    space = found.groupBy("structure_id", "id.chain", "id.resno").agg(*[F.min(F.when(F.col("kind") == k, F.col("d"))).alias(f"spatial_{k}") for k in kinds])
     return seq.select(*RESIDUE, *[f"seq_{k}" for k in kinds]).join(space, RESIDUE, "left")
 
 
@@ -259,8 +292,24 @@ def pca(atoms: DataFrame) -> DataFrame:
     return moments.mapInPandas(solve, f"structure_id {dict(atoms.dtypes)['structure_id']}, component int, eigenvalue double, explained double, axis array<double>")
 
 
-def superposition(pairs: DataFrame) -> DataFrame:
-    """RMSD and a simple TM score after the best rotation of ``pair_id, ax..az, bx..bz`` rows.
+def pca_projection(atoms: DataFrame) -> DataFrame:
+    """Each CA on the principal axes of its structure: ``structure_id, chain, resno, pc1, pc2, pc3``, centred.
+
+    The axes, three a structure, are joined back to the coordinates. An axis points to
+    where its largest part (the first of equal ones) is positive.
+    """
+    ca = atoms.where("atom = 'CA'").select(*RESIDUE, "x", "y", "z")
+    size = lambda i: F.abs(F.get("axis", F.lit(i)))
+    lead = F.when((size(0) >= size(1)) & (size(0) >= size(2)), F.get("axis", F.lit(0))).when(size(1) >= size(2), F.get("axis", F.lit(1))).otherwise(F.get("axis", F.lit(2)))
+    signed = pca(atoms).select("structure_id", "component", F.transform("axis", lambda v: v * F.signum(lead)).alias("axis"))
+    axes = signed.groupBy("structure_id").agg(*[F.max(F.when(F.col("component") == k, F.col("axis"))).alias(f"axis{k}") for k in range(3)])
+    means = ca.groupBy("structure_id").agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"])
+    on = lambda k: sum(((F.col(c) - F.col(f"m{c}")) * F.get(f"axis{k}", F.lit(i)) for i, c in enumerate("xyz")), F.lit(0.0))
+    return ca.join(means, "structure_id").join(axes, "structure_id").select(*RESIDUE, *[on(k).alias(f"pc{k + 1}") for k in range(3)])
+
+
+def rotations(pairs: DataFrame) -> DataFrame:
+    """The best rotation of b onto a for each ``pair_id, ax..az, bx..bz``: ``n, rmsd, tm_score, rotation`` (rows of the matrix in turn).
 
     Only the 3x3 moments of each pair are moved; the rotation's trace gives the RMSD.
     """
@@ -272,13 +321,32 @@ def superposition(pairs: DataFrame) -> DataFrame:
             for r in pdf.itertuples(index=False):
                 c = np.array([[getattr(r, f"c{i}{j}") for j in "xyz"] for i in "xyz"])
                 u, s, v = np.linalg.svd(c)
-                s[2] *= np.sign(np.linalg.det(u) * np.linalg.det(v)) or 1.0
-                rmsd = float(np.sqrt(max(0.0, r.spread - 2 * s.sum())))
+                sign = np.sign(np.linalg.det(u) * np.linalg.det(v)) or 1.0
+                rotation = u @ np.diag([1.0, 1.0, sign]) @ v  # of b's coordinates onto a's
+                rmsd = float(np.sqrt(max(0.0, r.spread - 2 * (s[0] + s[1] + sign * s[2]))))
                 d0 = max(0.5, 1.24 * max(0.0, r.n - 15) ** (1 / 3) - 1.8)
-                rows.append((r.pair_id, int(r.n), rmsd, 1 / (1 + (rmsd / d0) ** 2)))
-            yield pd.DataFrame(rows, columns=["pair_id", "n", "rmsd", "tm_score"])
+                rows.append((r.pair_id, int(r.n), rmsd, 1 / (1 + (rmsd / d0) ** 2), rotation.ravel().tolist()))
+            yield pd.DataFrame(rows, columns=["pair_id", "n", "rmsd", "tm_score", "rotation"])
+
+    return sums.mapInPandas(solve, f"pair_id {dict(pairs.dtypes)['pair_id']}, n long, rmsd double, tm_score double, rotation array<double>")
+
+
+def superposition(pairs: DataFrame) -> DataFrame:
+    """RMSD and a simple TM score after the best rotation of ``pair_id, ax..az, bx..bz`` rows."""
+    return rotations(pairs).drop("rotation")
+
 
-    return sums.mapInPandas(solve, f"pair_id {dict(pairs.dtypes)['pair_id']}, n long, rmsd double, tm_score double")
+def residue_deviations(pairs: DataFrame, residue: str = "resno") -> DataFrame:
+    """``pair_id, resno, deviation``: how far each residue of b lies from its partner after the best rotation.
+
+    The rotation and both centres, a row a pair, are joined back to the coordinates.
+    """
+    means = pairs.groupBy("pair_id").agg(*[F.avg(f"{s}{c}").alias(f"m{s}{c}") for s in "ab" for c in "xyz"])
+    placed = pairs.join(means, "pair_id").join(rotations(pairs).select("pair_id", "rotation"), "pair_id")
+    b = [F.col(f"b{c}") - F.col(f"mb{c}") for c in "xyz"]
+    turned = [sum((F.get("rotation", F.lit(3 * i + j)) * b[j] for j in range(3)), F.lit(0.0)) for i in range(3)]
+    off = sum(((F.col(f"a{c}") - F.col(f"ma{c}") - turned[i]) ** 2 for i, c in enumerate("xyz")), F.lit(0.0))
+    return placed.select("pair_id", residue, F.sqrt(off).alias("deviation"))
 
 
 def library_summary(features: DataFrame, group: str) -> DataFrame:

@@ -64,12 +64,17 @@ def top_percentile_kinases(requests: DataFrame, st: DataFrame, y: DataFrame, n:
     return top_kinases(asked.join(both, ["site_id", "score_class"]), n)
 
 
-def network_statistics(similar: DataFrame, scores: DataFrame, least: int = 2) -> DataFrame:
-    """Per query and kinase over its similar sites: positive scores only, at least ``least`` of them."""
+def network_statistics(similar: DataFrame, scores: DataFrame, least: int = 2, with_scores: bool = False) -> DataFrame:
+    """Per query and kinase over its similar sites: positive scores only, at least ``least`` of them.
+
+    ``with_scores`` adds all scores in order: a list as long as a hub has similar sites.
+    Means are those of doubles; cast the scores to a decimal for exactly rounded ones.
+    """
     found = similar.join(scores.where("score > 0"), "site_id")
+    listed = [F.sort_array(F.collect_list("score")).alias("scores")] if with_scores else []
     out = found.groupBy("query_id", "kinase").agg(
         F.avg("score").alias("mean_score"), F.median("score").alias("median_score"), F.max("score").alias("max_score"), F.min("score").alias("min_score"),
-        F.count(F.lit(1)).alias("sample_size"), F.sort_array(F.collect_list("score")).alias("scores"),
+        F.count(F.lit(1)).alias("sample_size"), *listed,
     )
     return out.where(F.col("sample_size") >= least).withColumn("score_range", F.col("max_score") - F.col("min_score"))
 

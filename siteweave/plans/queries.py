@@ -356,19 +356,28 @@ def high_scores(spark, d):
 
 
 @query(
-    """, q AS (SELECT DISTINCT query_id, target_id FROM fx_edge WHERE rmsd<=3), h AS (SELECT DISTINCT site_id FROM fx_score) SELECT query_id, count(*) AS structural_matched, count(site_id) AS structural_processed FROM q LEFT JOIN h ON target_id=site_id GROUP BY 1""",
+    """, h AS (SELECT DISTINCT site_id FROM fx_score), q AS (SELECT DISTINCT query_id, target_id FROM fx_edge WHERE rmsd<=3),
+    s AS (SELECT DISTINCT query_id, target_id FROM (SELECT query_id, target_id FROM fx_edge WHERE similarity>=0.8 UNION ALL SELECT target_id, query_id FROM fx_edge WHERE similarity>=0.8) WHERE query_id IN (SELECT site_id FROM h)),
+    a AS (SELECT query_id, count(*) AS n, count(site_id) AS k FROM q LEFT JOIN h ON target_id=site_id GROUP BY 1), b AS (SELECT query_id, count(*) AS n, count(site_id) AS k FROM s LEFT JOIN h ON target_id=site_id GROUP BY 1)
+    SELECT query_id, coalesce(a.n,0) AS structural_matched, coalesce(a.k,0) AS structural_processed, coalesce(b.n,0) AS sequence_matched, coalesce(b.k,0) AS sequence_processed FROM a FULL JOIN b USING (query_id)""",
     "fx_edge", "fx_score",
 )
 def match_report(spark, d):
-    found = E.parsed_target(fx.edges(spark, d).where("rmsd <= 3"), "S").select("query_id", "target_id", "target_type")
+    close = E.parsed_target(fx.edges(spark, d).where("rmsd <= 3"), "S").select("query_id", "target_id", "target_type")
+    near = E.parsed_target(E.sequence_matches(fx.sequence_edges(spark, d), fx.ids(spark, d), 0.8), "S").select("query_id", "target_id", "target_type")
     scores = fx.scores(spark, d).withColumn("score_class", F.lit("ST"))
-    return S.match_report(found, found.limit(0), scores).select("query_id", "structural_matched", "structural_processed")
+    return S.match_report(close, near, scores).select("query_id", "structural_matched", "structural_processed", "sequence_matched", "sequence_processed")
 
 
-@query("SELECT count(*) AS n, round(avg(similarity),6) AS mean, min(similarity) AS least, max(similarity) AS most FROM fx_edge", "fx_edge")
+@query(
+    f"""SELECT count(*) AS n, round(avg(similarity),6) AS mean, min(similarity) AS least, max(similarity) AS most,
+        {", ".join(f"round(quantile_cont(similarity, {p}),6) AS p{round(p * 100)}" for p in P.POINTS)} FROM fx_edge""",
+    "fx_edge",
+)
 def score_distribution(spark, d):
     facts, _ = P.distribution(fx.edges(spark, d).select(F.col("similarity").alias("score")))
-    return rounded(facts.select("n", "mean", "least", "most"), "mean")
+    at = [F.get("percentiles", F.lit(k)).alias(f"p{round(p * 100)}") for k, p in enumerate(P.POINTS)]
+    return rounded(facts.select("n", "mean", "least", "most", *at), "mean", *[f"p{round(p * 100)}" for p in P.POINTS])
 
 
 @query("SELECT 'edges' AS \"table\", (SELECT count(*) FROM fx_edge) AS n UNION ALL SELECT 'scores', (SELECT count(*) FROM fx_score)", "fx_edge", "fx_score")

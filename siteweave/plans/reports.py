@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siteweave.functions.motif import flank_percent, hydrophobicity
+from siteweave.functions.motif import flank_percent, hydrophobicity, known_kinases
 from siteweave.operators import edges as E
+from siteweave.operators import geometry as Geo
 from siteweave.operators import graph as G
 from siteweave.operators import lookup as L
 from siteweave.operators import motif_stats as M
@@ -19,6 +21,35 @@ def network_kinases(ids: DataFrame, sequence: DataFrame, structural: DataFrame,
     return S.top_kinases(S.network_statistics(similar, scores), n, "query_id", "mean_score")
 
 
+def network_kinase_report(requests: DataFrame, sequence: DataFrame, structural: DataFrame, scores: DataFrame) -> dict[str, DataFrame]:
+    """Network kinases as served: ``requests(id, top_n, similarity, rmsd)``, a row a site with its own bounds; ask again with others.
+
+    Top kinases by mean, the heatmap of them over all similar sites, family totals of all
+    means, and how many sites are similar.
+    """
+    asked = requests.select(F.col("id").alias("query_id"), "top_n")
+    similar = E.similar_sites_by_request(requests, sequence, structural)
+    means = S.network_statistics(similar, scores)
+    order = W.partitionBy("query_id").orderBy(F.desc("mean_score"), "kinase")
+    top = means.join(asked, "query_id").withColumn("rank", F.row_number().over(order)).where("rank <= top_n").drop("top_n")
+    grid = top.select("query_id", "kinase", "rank").join(similar, "query_id").join(scores, ["site_id", "kinase"], "left")
+    families = S.family_totals(means.select("query_id", "kinase", F.col("mean_score").alias("score")), "query_id")
+    counts = similar.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_sites"))
+    return {"top_kinases": top, "heatmap": grid.withColumn("score", F.coalesce("score", F.lit(0.0))), "families": families, "counts": counts}
+
+
+def protein_page(sites: DataFrame, atoms: DataFrame, supplement: DataFrame) -> DataFrame:
+    """The protein page whole: ``protein_table`` with each site's confidence and that of its motif, its neighbours and
+    accessibility by the structure, and its known kinases. ``atoms.structure_id`` is the protein; sites without structure keep nulls.
+    """
+    place = {"structure_id": "uniprot_id"}
+    confidence = Geo.motif_plddt(Geo.residue_plddt(atoms)).withColumnsRenamed(place | {"plddt": "site_plddt"}).drop("chain")
+    around = Geo.neighbour_counts(atoms).withColumnsRenamed(place | {"n_neighbours": "nearby_count"}).drop("chain")
+    known = supplement.select("site_id", known_kinases(*[F.col(c) for c in supplement.columns if c.lower().startswith("kinase_")]).alias("known_kinases"))
+    out = protein_table(sites).join(confidence, ["uniprot_id", "resno"], "left").join(around, ["uniprot_id", "resno"], "left")
+    return out.join(known, "site_id", "left").withColumn("is_known_kinase", F.coalesce(F.col("known_kinases") != "", F.lit(False)))
+
+
 def protein_table(sites: DataFrame, supplement: DataFrame | None = None) -> DataFrame:
     """The protein page: a row a site with flank composition and hydropathy, supplement over it."""
     m = F.col("motif")
@@ -91,6 +122,20 @@ def site_detail(ids: DataFrame, structural: DataFrame, sequence: DataFrame, anno
     }
 
 
+def site_kinase_page(ids: DataFrame, supplement: DataFrame, typed_scores: DataFrame, n: int = 10) -> dict[str, DataFrame]:
+    """Kinases of sites as served: top kinases and family totals of every score type, known kinases, and the types compared.
+
+    ``typed_scores(site_id, score_type, kinase, score)``.
+    """
+    asked = L.by_ids(typed_scores, ids, "site_id")
+    order = W.partitionBy("site_id", "score_type").orderBy(F.desc("score"), "kinase")
+    top = asked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    families = asked.groupBy("site_id", "score_type", S.family_of(F.col("kinase")).alias("family")).agg(F.sum("score").alias("score"))
+    known = L.by_ids(supplement, ids, "site_id").select("site_id", known_kinases(*[F.col(c) for c in supplement.columns if c.lower().startswith("kinase_")]).alias("known_kinases"))
+    types = sorted(row[0] for row in typed_scores.select("score_type").distinct().collect())  # structure, sequence
+    return {"top_kinases": top, "families": families, "known": known, "comparison": S.compare_types(asked, types, n)}
+
+
 def site_kinases(scores: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame]:
     """Top kinases of sites and their family totals."""
     return S.top_kinases(scores, n), S.family_totals(scores)

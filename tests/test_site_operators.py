@@ -30,7 +30,7 @@ def test_substitution_variants(spark):
     assert score("mean") == [7 / 3, 3.0, 0.0]
     assert score("known") == [4.0, 3.0, 4.0]
     assert score("sum") == [8, 6, 4]
-    cells = spark.createDataFrame([("W", "W", 11), ("y", "H", 2), ("B", "A", -1), ("*", "A", -4), ("*", "*", 1), ("X", "X", -1), ("C", "E", -4)], "a string, b string, want int")
+    cells = spark.createDataFrame([("W", "W", 11), ("y", "H", 2), ("B", "A", -2), ("Z", "Q", 3), ("B", "D", 4), ("Z", "B", 1), ("B", "X", -1), ("*", "A", -4), ("*", "*", 1), ("X", "X", -1), ("C", "E", -4)], "a string, b string, want int")
     assert cells.where(X.pair_score(F.upper("a"), F.upper("b")) != F.col("want")).count() == 0
     matrix = X.read_matrix("# note\n A D\nA 4 -2\nD -2 6\n")
     assert df.select(X.substitution_similarity(F.lit("AD"), F.lit("DD"), "sum", X.matrix_score(matrix))).first()[0] == 4
@@ -171,7 +171,27 @@ def test_motif_profile_and_covering_patterns(spark):
     assert (p.center, p.narrow, p.acidic_count, p.upstream_acidic, p.downstream_basic) == (7, "DPRSPKK", 5, 500 / 7, 200 / 7)
     assert {x.name: x.match for x in p.patterns} == {"CDK": "SPKK", "MAPK/ERK": "PRSP"} | {k: v for k, v in ((x.name, x.match) for x in p.patterns) if k not in ("CDK", "MAPK/ERK")}
     seq = spark.createDataFrame([("AAPRSPAKA", 5), ("AASQAA", 3), ("AAAA", 2)], "s string, k int").select(X.covering_patterns(F.col("s"), F.col("k")).alias("c")).collect()
-    assert "CDK_consensus" in seq[0].c and "MAPK_consensus" in seq[0].c and seq[1].c == "ATM_ATR_consensus" and seq[2].c == ""
+    assert "CDK_consensus" in seq[0].c and "MAPK_consensus" in seq[0].c and seq[1].c == "ATM_ATR_consensus" and seq[2].c == "None"
+
+
+def test_a_match_hides_what_overlaps_it(spark):
+    """A plain left-to-right scan, on windows in which earlier matches hide later ones."""
+    import random
+    import re
+
+    rng = random.Random(4)
+    cases = [("".join(rng.choice("SSSTTPKE") for _ in range(rng.randint(1, 40))), 0) for _ in range(300)]
+    cases = [(s, rng.randint(1, len(s))) for s, _ in cases] + [("SSTS", 4), ("STSTSTSTS", 5), ("S", 1)]
+    want, hidden = [], 0
+    for s, k in cases:
+        lo = max(0, k - 11)
+        window, centre = s[lo : k + 10], k - 1 - lo
+        names = [n for n, p in X.CONSENSUS.items() if any(m.start() <= centre < m.end() for m in re.finditer(p, window))]
+        loose = [n for n, p in X.CONSENSUS.items() if any((m := re.compile(p).match(window, o)) and m.end() > centre for o in range(centre + 1))]
+        hidden += names != loose
+        want.append(", ".join(names) or "None")
+    got = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, s string, k int").select("i", X.covering_patterns(F.col("s"), F.col("k")).alias("c")).orderBy("i").collect()
+    assert [r.c for r in got] == want and hidden > 10
 
 
 def test_families_and_preferred_motifs(spark):
