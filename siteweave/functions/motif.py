@@ -165,6 +165,21 @@ def substitution_similarity(a: Column, b: Column, variant: str = "mean", score=p
     return F.when(usable, total / F.size(pairs)).otherwise(0.0)
 
 
+def letter_codes(motif: Column) -> Column:
+    """The places of a motif's letters in the whole matrix with X and ``*``, for :func:`coded_similarity`."""
+    known = BLOSUM_LETTERS + "X*"
+    return F.transform(letters(F.upper(motif)), lambda a: F.when(F.instr(F.lit(known), a) > 0, F.instr(F.lit(known), a) - 1).otherwise(len(BLOSUM_LETTERS)).cast("int"))
+
+
+def coded_similarity(a: Column, b: Column, length: int) -> Column:
+    """``substitution_similarity`` (mean) of two motifs of one known length by their letter codes: plain sums, many times quicker."""
+    n = len(BLOSUM_LETTERS) + 1
+    cells = _blosum_cells()
+    whole = [cells[i * n + j] if max(i, j) < n else (1 if i == j else -4) for i in range(n + 1) for j in range(n + 1)]
+    table = F.array(*map(F.lit, whole))
+    return sum((F.get(table, F.get(a, F.lit(k)) * (n + 1) + F.get(b, F.lit(k))) for k in range(length)), F.lit(0)) / length
+
+
 def matrix_score(matrix: dict[tuple[str, str], int], missing: int = -4):
     """A scoring rule from a symmetric substitution matrix, for example one read from a text file."""
     table = F.create_map(*[F.lit(x) for (p, q), v in matrix.items() for x in (p + q, v)])

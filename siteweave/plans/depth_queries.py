@@ -13,6 +13,7 @@ from siteweave.operators import pairs as P
 from siteweave.operators import selection as Q
 from siteweave.plans import fixtures as fx
 from siteweave.plans import reports as R
+from siteweave.plans.more_queries import LETTERS, MATRIX
 from siteweave.plans.queries import NEAR, query, rounded
 
 # The letters around every site, ten on both sides, by chunks that overlap.
@@ -72,7 +73,7 @@ def graph_closest(spark, d):
 
 @query()
 def graph_between(spark, d):
-    return GS.sampled_betweenness(fx.strong_interactions(spark, d), 0.1)
+    return GS.sampled_betweenness(fx.strong_interactions(spark, d), 0.25)
 
 
 # Order statistics of a continuous column.
@@ -133,14 +134,21 @@ def residue_deviations(spark, d):
 
 # Matches and reports.
 
-GATE = "(resno%3=0 OR resno%101>50)"
+GATE = "(is_known=1.0 OR coalesce(accessibility>50, false))"
 
 
-@query()
+@query(
+    f""", m AS (SELECT q.site_id AS query_id, t.site_id AS target_id, q.motif AS m1, t.motif AS m2 FROM fx_supp q JOIN fx_supp t ON q.site_id<>t.site_id AND substr(q.motif,1,3)=substr(t.motif,1,3) WHERE {GATE.replace("is_known", "t.is_known").replace("accessibility", "t.accessibility")}
+        UNION SELECT q.site_id, t.site_id, q.motif, t.motif FROM fx_supp q JOIN fx_supp t ON q.site_id<>t.site_id AND substr(q.motif,4,3)=substr(t.motif,4,3) WHERE {GATE.replace("is_known", "t.is_known").replace("accessibility", "t.accessibility")}
+        UNION SELECT q.site_id, t.site_id, q.motif, t.motif FROM fx_supp q JOIN fx_supp t ON q.site_id<>t.site_id AND substr(q.motif,7,3)=substr(t.motif,7,3) WHERE {GATE.replace("is_known", "t.is_known").replace("accessibility", "t.accessibility")}),
+    l AS (SELECT m1, m2, sum(row[instr('{LETTERS}', substr(m2,p,1))]) AS s FROM (SELECT DISTINCT m1, m2, unnest(range(1,10)) AS p FROM m) JOIN {MATRIX} ON i=instr('{LETTERS}', substr(m1,p,1))-1 GROUP BY 1,2),
+    r AS (SELECT query_id, target_id, (s/9.0::DOUBLE+20)/40 AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, target_id) AS rank FROM m JOIN l USING (m1, m2) WHERE (s/9.0::DOUBLE+20)/40>=0.4)
+    SELECT query_id, target_id, round(similarity,6) AS similarity, CAST(rank AS INT) AS rank FROM r WHERE rank<=20""",
+    "fx_score", "fx_supp",
+)
 def trigram_matches(spark, d):
-    """The best 20 of all accessible or known tyrosine sites for every tyrosine site, which are scored among themselves."""
-    nine = fx.sites(spark, d).where("residue = 'Y'").select("site_id", X.central(F.col("motif")).alias("motif"), (F.col("resno") % 3 == 0).cast("double").alias("is_known"), (F.col("resno") % 101).cast("double").alias("accessibility"))
-    return rounded(P.trigram_matches(nine, nine), "similarity")
+    s = fx.supplement(spark, d)
+    return rounded(P.trigram_matches(s.select("site_id", "motif"), s), "similarity").select("query_id", "target_id", "similarity", "rank")
 
 
 REQUESTS = "(SELECT DISTINCT site_id AS id, CAST(3+p%3 AS INT) AS top_n, CASE WHEN p%2=0 THEN 0.6::DOUBLE ELSE 0.8::DOUBLE END AS similarity, CASE WHEN p%3=0 THEN 3.0::DOUBLE ELSE 1.5::DOUBLE END AS rmsd FROM (SELECT site_id, CAST(regexp_extract(site_id,'P(\\d+)_',1) AS INT) AS p FROM fx_score))"
