@@ -64,10 +64,11 @@ def top_percentile_kinases(requests: DataFrame, st: DataFrame, y: DataFrame, n:
     return top_kinases(asked.join(both, ["site_id", "score_class"]), n)
 
 
-def network_statistics(similar: DataFrame, scores: DataFrame, least: int = 2, with_scores: bool = False) -> DataFrame:
+def network_statistics(similar: DataFrame, scores: DataFrame, least: int = 2, with_scores: bool = True) -> DataFrame:
     """Per query and kinase over its similar sites: positive scores only, at least ``least`` of them.
 
-    ``with_scores`` adds all scores in order: a list as long as a hub has similar sites.
+    All scores in order come too, a list as long as a hub has similar sites, unless
+    ``with_scores`` is off, as in the reports.
     Means are those of doubles; cast the scores to a decimal for exactly rounded ones.
     """
     found = similar.join(scores.where("score > 0"), "site_id")
@@ -98,7 +99,7 @@ def heatmap(matches: DataFrame, scores: DataFrame, n: int, statistic: str = "med
 
 
 def network_heatmap(similar: DataFrame, scores: DataFrame, n: int) -> DataFrame:
-    top = top_kinases(network_statistics(similar, scores), n, "query_id", "mean_score").select("query_id", "kinase", "rank")
+    top = top_kinases(network_statistics(similar, scores, with_scores=False), n, "query_id", "mean_score").select("query_id", "kinase", "rank")
     return top.join(similar, "query_id").join(scores, ["site_id", "kinase"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 

@@ -66,7 +66,7 @@ def network_kinases(spark: SparkSession, d: str) -> DataFrame:
 def network_statistics(spark: SparkSession, d: str) -> DataFrame:
     similar = E.similar_sites(fx.ids(spark, d), fx.sequence_edges(spark, d), fx.edges(spark, d))
     tenths = fx.scores(spark, d).withColumn("score", F.col("score").cast("decimal(12,2)"))  # means of decimals are rounded exactly
-    out = S.network_statistics(similar, tenths)
+    out = S.network_statistics(similar, tenths, with_scores=False)
     out = out.withColumns({c: F.col(c).cast("double") for c in ("mean_score", "max_score", "min_score", "score_range")})
     return rounded(out, "mean_score", "median_score", "score_range").select("query_id", "kinase", "mean_score", "median_score", "max_score", "min_score", "score_range", "sample_size")
 

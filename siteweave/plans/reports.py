@@ -18,7 +18,7 @@ from siteweave.operators import scores as S
 def network_kinases(ids: DataFrame, sequence: DataFrame, structural: DataFrame, scores: DataFrame, n: int = 10, least: float = 0.6, rmsd: float = 3.0) -> DataFrame:
     """Top kinases by mean score over each request's similar sites."""
     similar = E.similar_sites(ids, sequence, structural, least, rmsd)
-    return S.top_kinases(S.network_statistics(similar, scores), n, "query_id", "mean_score")
+    return S.top_kinases(S.network_statistics(similar, scores, with_scores=False), n, "query_id", "mean_score")
 
 
 def network_kinase_report(requests: DataFrame, sequence: DataFrame, structural: DataFrame, scores: DataFrame) -> dict[str, DataFrame]:
@@ -29,7 +29,7 @@ def network_kinase_report(requests: DataFrame, sequence: DataFrame, structural:
     """
     asked = requests.select(F.col("id").alias("query_id"), "top_n")
     similar = E.similar_sites_by_request(requests, sequence, structural)
-    means = S.network_statistics(similar, scores)
+    means = S.network_statistics(similar, scores, with_scores=False)
     order = W.partitionBy("query_id").orderBy(F.desc("mean_score"), "kinase")
     top = means.join(asked, "query_id").withColumn("rank", F.row_number().over(order)).where("rank <= top_n").drop("top_n")
     grid = top.select("query_id", "kinase", "rank").join(similar, "query_id").join(scores, ["site_id", "kinase"], "left")
@@ -117,7 +117,7 @@ def site_detail(ids: DataFrame, structural: DataFrame, sequence: DataFrame, anno
         "kinases": S.top_kinases(L.by_ids(scores, ids, "site_id"), n),
         "families": S.family_totals(L.by_ids(scores, ids, "site_id")),
         "heatmap": S.heatmap(close, scores, n, "mean"),
-        "network_kinases": S.top_kinases(S.network_statistics(similar, scores), n, "query_id", "mean_score"),
+        "network_kinases": S.top_kinases(S.network_statistics(similar, scores, with_scores=False), n, "query_id", "mean_score"),
         "network_heatmap": S.network_heatmap(similar, scores, n),
     }
 
