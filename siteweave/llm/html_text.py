@@ -14,7 +14,7 @@ very long pages are read whole; repeated rows repeat; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -91,20 +91,33 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None)
-        self.seen: set[str] = set()
+        # Open elements below the root, and where in ``path`` those of a name and the blocks are.
+        self.path: list[Node] = []
+        self.open: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         """``<![...`` outside of foreign markup is a comment up to the next ``>``."""
         end = self.rawdata.find(">", i)
         return end + 1 if end >= 0 else -1
 
+    def _last(self, tags: Iterable[str]) -> int:
+        """Where in ``path`` the innermost open element of these names is, -1 if none is open."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
+
+    def _leave(self, depth: int) -> None:
+        """Close the open element at ``depth`` and all within it."""
+        while len(self.path) > depth:
+            tag = self.path.pop().tag
+            self.open[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+        self.at = self.path[-1] if self.path else self.root
+
     def _close(self, tags: tuple[str, ...], scope: tuple[str, ...]) -> None:
-        node = self.at
-        while node.parent is not None and node.tag not in scope:
-            if node.tag in tags:
-                self.at = node.parent
-                return
-            node = node.parent
+        depth = self._last(tags)
+        if depth > self._last(scope):
+            self._leave(depth)
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in ("html", "head", "body") and tag != "head":
@@ -117,24 +130,23 @@ class Tree(HTMLParser):
             self._close(SIBLING[tag], SCOPE[tag])
         node = Node(tag, self.at, is_noise(tag, attrs))
         self.at.children.append(node)
-        self.seen.add(tag)
         if tag not in VOID:
+            self.open.setdefault(tag, []).append(len(self.path))
+            if tag in BLOCKS:
+                self.blocks.append(len(self.path))
+            self.path.append(node)
             self.at = node
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.at.tag == tag and tag not in BLOCKS:
-            self.at = self.at.parent or self.root
+            self._leave(len(self.path) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.at if tag in self.seen else self.root
-        while node.parent is not None:
-            if node.tag == tag:
-                self.at = node.parent
-                return
-            if tag not in BLOCKS and node.tag in BLOCKS and tag != "head":
-                return  # an inline end tag does not close a block
-            node = node.parent
+        depth = self._last((tag,))
+        inline = tag not in BLOCKS and tag != "head"  # does not close a block
+        if depth >= 0 and not (inline and self.blocks and self.blocks[-1] > depth):
+            self._leave(depth)
 
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)

@@ -8,6 +8,8 @@ borders whatever stands around them; so pieces can be encoded apart, each distin
 
 from __future__ import annotations
 
+import itertools
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +17,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 22  # of text that are cut at once
-LETTER, DIGIT, SIGN, QUOTE, SPACE, WHITE, OTHER = range(1, 8)
+KEPT_BYTES = 1 << 27  # of pieces and their ids that a coder keeps
+LONG = 256  # letters of a piece above which it is not kept
+# FOREIGN: of a character of several bytes that is no white space; OTHER: not known.
+FOREIGN, LETTER, DIGIT, SIGN, QUOTE, SPACE, WHITE, OTHER = range(8)
 
 
 def _kinds() -> np.ndarray:
@@ -31,6 +36,30 @@ def _kinds() -> np.ndarray:
 _KINDS = _kinds()
 #: Lead bytes of two-byte characters that are all letters (Latin, Cyrillic), but for the signs of multiplication and division.
 _LETTER_LEADS = np.isin(np.arange(256), [*range(0xC3, 0xCA), 0xD0, 0xD1])
+#: Lead bytes of all other characters that can be told apart from white space, by the number of their bytes.
+_WIDTHS = np.zeros(256, np.int64)
+_WIDTHS[[*range(0xCA, 0xD0), *range(0xD2, 0xE0)]] = 2
+_WIDTHS[0xE0:0xF0], _WIDTHS[0xF0:0xF5] = 3, 4
+
+
+def _foreign(data: np.ndarray, kind: np.ndarray) -> None:
+    """Set the kinds of the characters led by ``_WIDTHS``."""
+    lead = np.flatnonzero(_WIDTHS[data])
+    if not len(lead):
+        return
+    first, second, width = data[lead], data[lead + 1], _WIDTHS[data[lead]]
+    third = data[np.minimum(lead + 2, len(data) - 1)]
+    kinds = np.full(len(lead), FOREIGN, np.uint8)
+    # Blocks that hold white space: U+1680, U+180E, U+2000 to U+207F, and U+3000 itself.
+    kinds[(first == 0xE1) & ((second == 0x9A) | (second == 0xA0)) | (first == 0xE2) & (second <= 0x81) | (first == 0xE3) & (second == 0x80) & (third == 0x80)] = OTHER
+    # U+4E00 to U+9FBF are letters; the stops and marks between them are none.
+    kinds[(first == 0xE4) & (second >= 0xB8) | (first >= 0xE5) & (first <= 0xE8) | (first == 0xE9) & (second < 0xBF)] = LETTER
+    kinds[(first == 0xE3) & (second == 0x80) & ((third == 0x81) | (third == 0x82))] = SIGN
+    kinds[(first == 0xEF) & (second == 0xBC) & np.isin(third, [0x81, 0x8C, 0x9A, 0x9B, 0x9F])] = SIGN
+    for k in range(4):
+        wide = width > k
+        kind[lead[wide] + k] = kinds[wide]
+
 
 
 def _borders() -> np.ndarray:
@@ -41,8 +70,9 @@ def _borders() -> np.ndarray:
             signs = {a, b} <= {SIGN, QUOTE}
             contraction = a == QUOTE and b == LETTER
             out[a, b] = a != b and not signs and not contraction
-    for b in (LETTER, DIGIT, SIGN, QUOTE):
+    for b in (FOREIGN, LETTER, DIGIT, SIGN, QUOTE):
         out[WHITE, b] = True
+    out[FOREIGN, [SPACE, WHITE]] = True
     return out
 
 
@@ -62,6 +92,7 @@ def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     if len(lead):
         lead = lead[~((data[lead] == 0xC3) & ((data[lead + 1] == 0x97) | (data[lead + 1] == 0xB7)))]
         kind[lead] = kind[lead + 1] = LETTER
+    _foreign(data, kind)
     begin = np.empty(len(data), bool)
     begin[0] = True
     np.take(_BORDERS, (kind[:-1] << 3) | kind[1:], out=begin[1:])
@@ -93,12 +124,19 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
 class PieceCoder:
     """Ids of texts, through ``encode_all(pieces) -> list of id lists`` for pieces not met before.
 
-    What has been met is kept up to ``most`` pieces and then for the half of them met
-    first; that changes cost and never results.
+    What has been met is kept up to ``most`` bytes and then for the half of them met last;
+    pieces of more than ``LONG`` letters are not kept. That changes cost and never results.
     """
 
-    def __init__(self, encode_all: Callable[[list[str]], list[list[int]]], most: int = 800_000):
-        self.encode_all, self.most, self.known = encode_all, most, {}
+    def __init__(self, encode_all: Callable[[list[str]], list[list[int]]], most: int = KEPT_BYTES):
+        self.encode_all, self.most, self.known, self.held = encode_all, most, {}, 0
+
+    def _keep(self, name: str, ids: bytes) -> None:
+        self.known[name] = ids
+        self.held += sys.getsizeof(name) + sys.getsizeof(ids) + 100  # an entry of the table
+        while self.held > self.most:
+            for x in list(itertools.islice(self.known, len(self.known) // 2 + 1)):
+                self.held -= sys.getsizeof(x) + sys.getsizeof(self.known.pop(x)) + 100
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in turn, and the place of each text's first, with the end."""
@@ -107,14 +145,13 @@ class PieceCoder:
             return np.empty(0, "<u4"), at
         coded = pieces.dictionary_encode()
         names = coded.dictionary.to_pylist()
-        known = self.known
-        fresh = [x for x in names if x not in known]
+        parts = list(map(self.known.get, names))
+        fresh = [k for k, x in enumerate(parts) if x is None]
         if fresh:
-            for x, ids in zip(fresh, self.encode_all(fresh), strict=True):
-                known[x] = np.array(ids, "<u4").tobytes()
-        parts = [known[x] for x in names]
-        if len(known) > self.most:
-            self.known = {x: known[x] for x in list(known)[: self.most // 2]}
+            for k, ids in zip(fresh, self.encode_all([names[k] for k in fresh]), strict=True):
+                parts[k] = np.array(ids, "<u4").tobytes()
+                if len(names[k]) <= LONG:
+                    self._keep(names[k], parts[k])
         flat = np.frombuffer(b"".join(parts), "<u4")
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         starts = np.cumsum(sizes) - sizes

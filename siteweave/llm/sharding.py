@@ -8,11 +8,13 @@ next version. Law: ``bytes``, near equal sizes.
 
 Equal texts share a slot and therefore a shard. A text whose copies alone outweigh a
 shard's fair share can't be kept whole and even at once: its rows, and no others, are dealt
-by doc_id to parts of their slot. The map lists these texts; there are fewer than shards.
+by doc_id and number among their equals to parts of their slot. The map lists these texts;
+there are fewer than shards.
 
-Cases: a null text counts one byte and has the checksum of no bytes; null doc_ids hash
-as one value; repeated rows share a shard and get positions of their own; an empty table
-gives no rows; other columns are ignored.
+Cases: a null text counts one byte and has the checksum of no bytes; null and repeated
+doc_ids are told apart by their text, and equal rows by a running number, so copies of a
+heavy text are dealt evenly whatever their doc_ids are; other repeated rows share a shard and
+get positions of their own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from siteweave.llm.shared import new_path, stored
 
 SLOTS = 4096
-UNITS = 4096  # ranges of the doc_id hash in which positions are counted
+UNITS = 4096  # ranges of a hash of rows in which positions are counted
 PARTS = 64  # parts of a text that is too heavy for one shard
 BROADCAST_ROWS = 200_000
 MAP = "version int, virtual_slot int, part int, text_hash long, bytes long, shard int"
@@ -67,17 +69,37 @@ def rebalanced(old: dict[Key, int], weights: dict[Key, int], shards: int) -> dic
 def slotted(docs: DataFrame) -> DataFrame:
     """``doc_id, size, text_crc32, text_hash, virtual_slot, unit`` of ``docs(doc_id, text)``, stored."""
     text = F.coalesce("text", F.lit(""))
-    return stored(
+    rows = stored(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("text_hash"),
             F.pmod(F.xxhash64(text), F.lit(SLOTS)).cast("int").alias("virtual_slot"),
-            F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(UNITS)).cast("int").alias("unit"),
+            F.xxhash64(F.lit(7), "doc_id", F.xxhash64(text)).alias("row_hash"),
+            F.spark_partition_id().alias("chunk"),
         ),
         "shard-rows",
     )
+    return units(rows)
+
+
+def units(rows: DataFrame) -> DataFrame:
+    """Stored rows with their ``unit``, by hash; the n-th of equal rows takes the unit of its number n.
+
+    Equal rows are numbered in the chunks in which they were stored and the chunks added
+    up, so that a row which makes up much of the table is not numbered in one task.
+    """
+    counts = rows.groupBy("row_hash", "chunk").count()
+    repeated = counts.groupBy("row_hash").agg(F.sum("count").alias("n")).where("n > 1").select("row_hash")
+    if repeated.isEmpty():
+        return rows.withColumn("unit", F.pmod("row_hash", F.lit(UNITS)).cast("int")).drop("row_hash", "chunk")
+    before = W.partitionBy("row_hash").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.join(repeated, "row_hash").select("row_hash", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    nth = F.row_number().over(W.partitionBy("row_hash", "chunk").orderBy(F.lit(0))) - 1
+    numbered = rows.withColumn("nth", nth).join(offsets, ["row_hash", "chunk"], "left").withColumn("nth", F.col("nth") + F.coalesce("offset", F.lit(0)))
+    unit = F.when(F.col("nth") == 0, F.col("row_hash")).otherwise(F.xxhash64("row_hash", "nth"))
+    return stored(numbered.withColumn("unit", F.pmod(unit, F.lit(UNITS)).cast("int")).drop("row_hash", "chunk", "nth", "offset"), "shard-units")
 
 
 def weigh(rows: DataFrame, shards: int, split: frozenset[int] = frozenset()) -> dict[Key, int]:
@@ -145,7 +167,7 @@ def owners(rows: DataFrame, slot_map: DataFrame, name: str = "shard") -> DataFra
 def placed(rows: DataFrame, slot_map: DataFrame, shards: int) -> DataFrame:
     """Rows with their shard and a position in it, gapless from 0.
 
-    Positions follow ranges of the doc_id hash: only sums by (shard, range), a fixed
+    Positions follow ranges of the rows' hash: only sums by (shard, range), a fixed
     number, are added up in order, so no shard is sorted in one task.
     """
     rows = owners(rows, slot_map)

@@ -13,7 +13,9 @@ repeated documents; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -46,18 +49,41 @@ def _xxh(data: bytes) -> int:
     return xxhash.xxh64_intdigest(data) & 0xFFFFFFFF
 
 
-_coders: dict[str, PieceCoder] = {}
+class LibraryCoder:
+    """Ids of texts as the library gives them, each distinct piece encoded once.
+
+    A text that holds one of the tokenizer's added tokens ("<|endoftext|>") goes through
+    the library whole: the library takes these tokens out before it looks for pre-tokens.
+    """
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.pieces = PieceCoder(lambda pieces: [x.ids for x in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+        added = [re.escape(x.content) for x in tokenizer.get_added_tokens_decoder().values()]
+        self.added = "|".join(sorted(added, key=len, reverse=True))
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``PieceCoder.ids``."""
+        marked = pc.fill_null(pc.match_substring_regex(texts, self.added), False) if self.added else None
+        if marked is None or not pc.any(marked).as_py():
+            return self.pieces.ids(texts)
+        flat, at = self.pieces.ids(pc.if_else(marked, "", texts))
+        lists = [flat[a:b] for a, b in itertools.pairwise(at)]
+        for k in np.flatnonzero(marked.to_numpy(zero_copy_only=False)):
+            lists[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4")
+        return np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+
+
+_coders: dict[str, LibraryCoder] = {}
 
 
-def coder(tokenizer_path: str) -> PieceCoder:
-    """The tokenizer, with the pieces that this process has met; each goes through the library once."""
+def coder(tokenizer_path: str) -> LibraryCoder:
+    """The tokenizer, with the pieces that this process has met."""
     if tokenizer_path not in _coders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.encode_special_tokens = True
-        _coders[tokenizer_path] = PieceCoder(lambda pieces: [x.ids for x in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+        _coders[tokenizer_path] = LibraryCoder(Tokenizer.from_file(tokenizer_path))
     return _coders[tokenizer_path]
 
 

@@ -105,7 +105,7 @@ def test_token_files_damage_and_rolling(spark, monkeypatch, tmp_path):
     assert ids == sorted(ids)
 
 
-@given(st.text(alphabet="ab Z9 .,'!\n\t\xa0\x85é×ж1日\u2003\u0301\x1f", max_size=40), st.text(alphabet="a 's\n", max_size=9))
+@given(st.text(alphabet="ab Z9 .,'!\n\t\xa0\x85é×ж1日\u2003\u0301\x1f語、。！一龘䷀ק ئ。กखあ\u1680\u3000\u202f한😀\u0660½", max_size=40), st.text(alphabet="a 's\n", max_size=9))
 @settings(max_examples=400, deadline=None)
 def test_pieces_encode_like_the_whole(one, two):
     import pyarrow as pa
@@ -114,7 +114,7 @@ def test_pieces_encode_like_the_whole(one, two):
     own = test_pieces_encode_like_the_whole
     if not hasattr(own, "whole"):
         own.whole = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    coder = pieces.PieceCoder(lambda x: [e.ids for e in own.whole.encode_batch(x, add_special_tokens=False)], most=3)
+    coder = pieces.PieceCoder(lambda x: [e.ids for e in own.whole.encode_batch(x, add_special_tokens=False)], most=700)
     texts = [one, None, two, one + two, ""]
     ids, at = coder.ids(pa.array(["skip", *texts]).slice(1))
     for k, t in enumerate(texts):
@@ -123,6 +123,38 @@ def test_pieces_encode_like_the_whole(one, two):
     assert ["".join(cut.to_pylist()[a:b]) for a, b in zip(at, at[1:], strict=False)] == [t or "" for t in texts]
 
 
+def test_library_coder_takes_added_tokens_as_the_library_does():
+    import pyarrow as pa
+
+    tokenizers = pytest.importorskip("tokenizers")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = tokenizers.Tokenizer.from_file(path)
+    mark = "<|endoftext|>"
+    texts = [f"a{mark}b", "plain text", None, mark, f"x \n {mark} {mark}y's", "<|endoftext|", ""]
+    ids, at = token_files.coder(path).ids(pa.array(texts))
+    got = [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)]
+    assert got == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert got[0] == [64, 50256, 65]
+
+
+@pytest.mark.parametrize(("letters", "space"), [("ابتثجحخ", " "), ("αβγδεζη", " "), ("कखगघङच", " "), ("中文字符语言", "，")])
+def test_pieces_of_other_scripts_are_short_and_their_memory_is_bounded(letters, space):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    coder = pieces.PieceCoder(lambda x: [[0] * len(e) for e in x], most=1 << 18)
+    for _ in range(20):
+        texts = [space.join("".join(rng.choice(list(letters), 5)) for _ in range(300)) for _ in range(20)]
+        cut, _ = pieces.cut(pa.array(texts))
+        assert max(map(len, cut.to_pylist())) < 20
+        coder.ids(pa.array(texts))
+        held = sum(len(x.encode()) + len(ids) for x, ids in coder.known.items())
+        assert held <= coder.held <= 1 << 18
+    long = ["".join(rng.choice(list("กขฃคฅฆง"), 5000)) for _ in range(50)]  # without any space
+    coder.ids(pa.array(long))
+    assert not any(x in coder.known for x in long)
+
+
 def test_vector_topk_against_brute_force(spark):
     rng = np.random.default_rng(5)
     v = rng.normal(0, 0.3, (300, 8)).astype(np.float32)
@@ -464,6 +496,24 @@ def test_shards(spark, tmp_path):
     assert sharding.op10_shards(spark, f"file://{tmp_path}").count() == 0
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_copies_of_a_heavy_text_without_ids_of_their_own_are_dealt_evenly(spark, tmp_path, doc_id):
+    table = [(doc_id, "the same text again")] * 3000 + [(k, f"text {k}") for k in range(100, 400)]
+    spark.createDataFrame(table, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.op10_shards(spark, f"file://{tmp_path}").collect()
+    checked_shards(table, got, 8)
+    assert len(got) == len(table)
+    loads = [sum(r.size for r in got if r.shard == s) for s in range(8)]
+    assert max(loads) <= 1.1 * sum(loads) / 8
+
+
+def test_equal_rows_take_units_one_by_one_however_they_are_stored(spark):
+    table = spark.createDataFrame([(None, "copy")] * 300 + [(k % 40, f"t{k % 50}") for k in range(400)], "doc_id long, text string")
+    found = [sorted((r.doc_id or -1, r.text_hash, r.unit) for r in sharding.slotted(table.repartition(n)).collect()) for n in (1, 7)]
+    assert found[0] == found[1]
+    assert len({u for d, _, u in found[0] if d == -1}) > 250
+
+
 def test_shard_maps_hold_every_slot(spark):
     old = spark.createDataFrame([(k, f"old {k}") for k in range(50)], "doc_id long, text string")
     new = spark.createDataFrame([(k, f"new {k}") for k in range(100)], "doc_id long, text string")
@@ -659,3 +709,15 @@ def test_fingerprints_of_null_and_repeated_ids(spark):
     assert len({r.fingerprint for r in got if r.doc_id == 3}) == 2
     alone = edit_fingerprints.fingerprint_edits(spark.createDataFrame([(1, "just one")], "doc_id long, text string")).first()
     assert alone.near_next == 1.0 and alone.edited_sha256 == hashlib.sha256(edit_fingerprints.edited("just one", "just one").encode()).hexdigest()
+
+
+@pytest.mark.parametrize("shape", ["<i></i>{0}<span>|</i>", "<i><div>{0}<span>|</i>", "{0}<span>|<h2>x</h2>", "<p>{0}<b>|</p>", "{0}<div>|</span>"])
+def test_html_with_many_unclosed_tags_takes_linear_time(shape):
+    import time
+
+    first, then = shape.split("|")
+    head, opened = first.split("{0}")
+    page = head + opened * 64_000 + then * 64_000 + "<p>Text of the page.</p>"
+    began = time.perf_counter()
+    html_text.parse(page)
+    assert time.perf_counter() - began < 5
