@@ -8,7 +8,6 @@ borders whatever stands around them; so pieces can be encoded apart, each distin
 
 from __future__ import annotations
 
-import itertools
 import sys
 from collections.abc import Callable, Iterator
 
@@ -17,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 22  # of text that are cut at once
-KEPT_BYTES = 1 << 27  # of pieces and their ids that a coder keeps
+KEPT_BYTES = 160 << 20  # of pieces and their ids that a coder keeps
 LONG = 256  # letters of a piece above which it is not kept
 # FOREIGN: of a character of several bytes that is no white space; OTHER: not known.
 FOREIGN, LETTER, DIGIT, SIGN, QUOTE, SPACE, WHITE, OTHER = range(8)
@@ -124,8 +123,8 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
 class PieceCoder:
     """Ids of texts, through ``encode_all(pieces) -> list of id lists`` for pieces not met before.
 
-    What has been met is kept up to ``most`` bytes and then for the half of them met last;
-    pieces of more than ``LONG`` letters are not kept. That changes cost and never results.
+    What has been met is kept up to ``most`` bytes and then for the half of them met first,
+    where the frequent ones are; pieces of more than ``LONG`` letters are not kept. That changes cost and never results.
     """
 
     def __init__(self, encode_all: Callable[[list[str]], list[list[int]]], most: int = KEPT_BYTES):
@@ -134,9 +133,10 @@ class PieceCoder:
     def _keep(self, name: str, ids: bytes) -> None:
         self.known[name] = ids
         self.held += sys.getsizeof(name) + sys.getsizeof(ids) + 100  # an entry of the table
-        while self.held > self.most:
-            for x in list(itertools.islice(self.known, len(self.known) // 2 + 1)):
-                self.held -= sys.getsizeof(x) + sys.getsizeof(self.known.pop(x)) + 100
+        if self.held > self.most:
+            while self.held > self.most // 2:
+                x, dropped = self.known.popitem()  # the last one
+                self.held -= sys.getsizeof(x) + sys.getsizeof(dropped) + 100
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in turn, and the place of each text's first, with the end."""
