@@ -86,25 +86,47 @@ def bridges(edges: DataFrame, proteins: DataFrame) -> DataFrame:
     return outside.join(both.select(F.col("a").alias("source"), F.col("b").alias("target")), ["source", "target"], "left_anti")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, weighted: bool = False) -> DataFrame:
-    """``source, target, cost, path`` of requested pairs; nothing for pairs without a path.
-
-    Relaxation rounds until nothing improves: the cost of a step is 1, or 1 - confidence +
-    0.001. Ties go to the smaller path.
+def shortest_paths(edges: DataFrame, pairs: DataFrame, weighted: bool = False, hops: int | None = None) -> DataFrame:
+    """``source, target, cost, path`` of requested pairs; nothing for pairs without a path (of ``hops`` steps at most).
+
+    The cost of a step is 1, or 1 - confidence + 0.001. Relaxation rounds carry a node's cost
+    and the node before it, not its path. A source whose targets are all reached bounds its
+    rounds by the dearest of them, and stops when no node is cheaper. Paths are then walked
+    back from the targets alone. Of equal costs the smaller node before wins. ``hops`` goes
+    with unweighted paths only, where a node's first cost is its last.
     """
+    if weighted and hops is not None:
+        raise ValueError("hops limits unweighted paths only")
+    pairs = stored(pairs.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct(), "graph-pairs")
     near = symmetric(edges).select("a", "b", (F.lit(1.0) if not weighted else 1.001 - F.col("confidence")).alias("w"))
     near = stored(near, "graph-edges")
-    best = stored(pairs.select("source").distinct().select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.array("source").alias("path")), "graph-paths")
-    frontier = best
-    while True:
-        step = frontier.join(near, F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.concat("path", F.array("b")).alias("path"))
+    nodes = near.select(F.col("a").alias("source")).distinct()
+    begin = pairs.select("source").distinct().join(nodes, "source", "left_semi")
+    best = frontier = stored(begin.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("previous")), "graph-paths")
+    hop = 0
+    while hops is None or hop < hops:
+        hop += 1
+        reached = pairs.join(best.select("source", F.col("node").alias("target"), "cost"), ["source", "target"], "left")
+        bounds = reached.groupBy("source").agg(F.when(F.count("cost") == F.count(F.lit(1)), F.max("cost")).alias("bound"))  # NULL: some target is not reached
+        open_ = frontier.join(bounds, "source").where("bound IS NULL OR cost < bound").drop("bound")
+        step = open_.join(near, F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("a").alias("previous"))
         merged = best.withColumn("_new", F.lit(False)).unionByName(step.withColumn("_new", F.lit(True)))
-        merged = merged.groupBy("source", "node").agg(F.min(F.struct("cost", "_new", "path")).alias("m"))
-        merged = stored(merged.select("source", "node", "m.cost", "m.path", "m._new"), "graph-paths")
+        least = merged.groupBy("source", "node").agg(F.min(F.struct("cost", "previous", "_new")).alias("m"), F.min(F.when(~F.col("_new"), F.col("cost"))).alias("_old"))
+        moved = F.col("_old").isNull() | (F.col("m.cost") < F.col("_old"))  # a new node before it at the same cost moves nothing
+        merged = stored(least.select("source", "node", "m.cost", "m.previous", moved.alias("_new")), "graph-paths")
         frontier, best = merged.where("_new").drop("_new"), merged.drop("_new")
         if frontier.isEmpty():
             break
-    return pairs.join(best.withColumnRenamed("node", "target"), ["source", "target"])
+    back = best.select("source", F.col("node").alias("at"), "previous")
+    walks = pairs.join(best.withColumnRenamed("node", "target"), ["source", "target"]).select("source", "target", "cost", F.array("target").alias("path"), F.col("target").alias("at"))
+    done, walks = None, stored(walks, "graph-walks")
+    while True:
+        ended = walks.where("at = source").drop("at")
+        done = ended if done is None else done.unionByName(ended)
+        left = walks.where("at <> source").join(back, ["source", "at"])
+        walks = stored(left.select("source", "target", "cost", F.concat(F.array("previous"), "path").alias("path"), F.col("previous").alias("at")), "graph-walks")
+        if walks.isEmpty():
+            return done
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -110,8 +110,13 @@ def comprehensive(annotations: DataFrame, supplement: DataFrame, ids: DataFrame,
 
 
 def enrich_matches(matches: DataFrame, annotations: DataFrame | None, supplement: DataFrame) -> DataFrame:
-    """Matches with what is known of their target: annotation first, supplement over it."""
-    info = supplement if annotations is None else overlay(annotations, supplement, "site_id", "full")
+    """Matches with what is known of their target: annotation first, supplement over it.
+
+    Both tables are cut to the targets before they meet, so their join is no larger than the matches.
+    """
+    targets = matches.select(F.col("target_id").alias("id")).distinct()
+    info = by_ids(supplement, targets, "site_id")
+    info = info if annotations is None else overlay(by_ids(annotations, targets, "site_id"), info, "site_id", "full")
     return matches.join(info.withColumnRenamed("site_id", "target_id"), "target_id", "left")
 
 

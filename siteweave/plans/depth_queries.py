@@ -6,15 +6,18 @@ from pyspark.sql import functions as F
 
 from siteweave.functions import motif as X
 from siteweave.operators import communities as C
+from siteweave.operators import edges as E
 from siteweave.operators import geometry as Geo
+from siteweave.operators import graph as G
 from siteweave.operators import graph_scale as GS
 from siteweave.operators import motif_stats as M
 from siteweave.operators import pairs as P
+from siteweave.operators import scores as S
 from siteweave.operators import selection as Q
 from siteweave.plans import fixtures as fx
 from siteweave.plans import reports as R
 from siteweave.plans.more_queries import LETTERS, MATRIX
-from siteweave.plans.queries import NEAR, query, rounded
+from siteweave.plans.queries import NEAR, STATS, query, register_raw, rounded, with_
 
 # The letters around every site, ten on both sides, by chunks that overlap.
 WINDOWS = """, fx_window AS (SELECT uniprot_id||'_'||(256*k+i) AS site_id, least(256*k+i, 11) AS pos, replace(substr(c,i,21),'-','') AS win FROM
@@ -196,3 +199,77 @@ def site_type_comparison(spark, d):
     s = fx.scores(spark, d)
     typed = s.withColumn("score_type", F.lit("first")).unionByName(s.withColumns({"score_type": F.lit("second"), "score": F.round(1 - F.col("score"), 2)}))
     return R.site_kinase_page(fx.ids(spark, d), fx.supplement(spark, d), typed, 5)["comparison"]
+
+
+@query()
+def similar_motif_texts(spark, d):
+    """All sites of whole sequences: pairs of different motif texts of 15 letters with ten common 3-mers."""
+    return P.similar_texts(fx.sites(spark, d).where("length(motif) = 15"))
+
+
+@query(
+    """, r(node, depth) AS (SELECT 'S1', 0 UNION SELECT s.b, r.depth+1 FROM r JOIN sym s ON s.a=r.node WHERE r.depth<6), d AS (SELECT node, min(depth) AS depth FROM r GROUP BY 1),
+    p AS (SELECT x.node, min(s.a) AS previous FROM d x JOIN sym s ON s.b=x.node JOIN d y ON y.node=s.a AND y.depth=x.depth-1 GROUP BY 1),
+    w(target, node, path, depth) AS (SELECT node, node, node, depth FROM d WHERE node LIKE 'S%' UNION ALL SELECT w.target, p.previous, p.previous||','||w.path, w.depth FROM w JOIN p ON p.node=w.node)
+    SELECT 'S1' AS source, target, CAST(depth AS DOUBLE) AS cost, path FROM w WHERE node='S1'""",
+    "fx_inter", "fx_strong", "sym",
+)
+def graph_shortest_paths(spark, d):
+    """From one supplier to every other, six steps at most."""
+    e = fx.strong_interactions(spark, d)
+    pairs = e.select(F.lit("S1").alias("source"), F.col("b").alias("target")).distinct()
+    return G.shortest_paths(e, pairs, hops=6).select("source", "target", "cost", F.concat_ws(",", "path").alias("path"))
+
+
+@query(
+    """, rec AS (SELECT 'P'||p_partkey AS uniprot_id, CASE WHEN p_partkey%5<>0 THEN p_name||' '||p_partkey%50 END AS gene, CASE WHEN p_partkey%3<>0 THEN p_type END AS name FROM part),
+    q AS (SELECT uniprot_id AS id, 'uniprot' AS id_type FROM rec UNION SELECT gene, 'gene' FROM rec WHERE gene IS NOT NULL UNION SELECT 'P'||s_suppkey||'X', 'uniprot' FROM supplier),
+    f AS (SELECT id, id_type, CASE id_type WHEN 'gene' THEN (SELECT min(uniprot_id) FROM rec WHERE gene=id) ELSE (SELECT uniprot_id FROM rec WHERE uniprot_id=id) END AS uniprot_id FROM q),
+    m AS (SELECT query_id, count(*) AS n FROM (SELECT query_id, target_id, rmsd, row_number() OVER (PARTITION BY query_id, target_id ORDER BY dir, rmsd) AS k FROM (
+        SELECT query_id, target_id, rmsd, 0 AS dir FROM fx_edge WHERE rmsd<=2 UNION ALL SELECT target_id, query_id, rmsd, 1 FROM fx_edge WHERE rmsd<=2)) WHERE k=1 AND rmsd>=0.01 GROUP BY 1),
+    t AS (SELECT uniprot_id, count(*) AS a, count(n) AS b, CAST(sum(n) AS BIGINT) AS c FROM fx_supp LEFT JOIN m ON query_id=site_id GROUP BY 1)
+    SELECT id, id_type, uniprot_id, CASE WHEN uniprot_id IS NOT NULL THEN coalesce(gene,'Unknown') END AS gene, CASE WHEN uniprot_id IS NOT NULL THEN coalesce(name,'Unknown Protein') END AS name,
+        coalesce(a,0) AS n_sites, coalesce(b,0) AS n_matched_sites, coalesce(c,0) AS n_matches, CASE WHEN uniprot_id IS NULL THEN 'not found' WHEN coalesce(a,0)=0 THEN 'no sites' ELSE 'ok' END AS status
+    FROM f LEFT JOIN rec USING (uniprot_id) LEFT JOIN t USING (uniprot_id)""",
+    "fx_edge", "fx_score", "fx_supp",
+)
+def protein_analysis(spark, d):
+    """Every part by accession and by gene, and accessions that nothing has."""
+    p = F.col("p_partkey")
+    gene = F.when(p % 5 != 0, F.concat_ws(" ", "p_name", (p % 50).cast("string")))
+    records = spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("P"), p).alias("uniprot_id"), gene.alias("gene"), F.when(p % 3 != 0, F.col("p_type")).alias("name"))
+    unknown = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("P"), "s_suppkey", F.lit("X")).alias("id"), F.lit("uniprot").alias("id_type"))
+    asked = records.select(F.col("uniprot_id").alias("id"), F.lit("uniprot").alias("id_type")).union(records.where("gene IS NOT NULL").select("gene", F.lit("gene"))).union(unknown)
+    s = fx.supplement(spark, d)
+    out = R.protein_analysis(asked, records, s.select("site_id", "uniprot_id"), fx.edges(spark, d), s.select("site_id", "plddt"), s.select("site_id", "motif", "residue"), 2.0)["summary"]
+    return out.select("id", "id_type", "uniprot_id", "gene", "name", "n_sites", "n_matched_sites", "n_matches", "status")
+
+
+@query()
+def network_heatmap(spark, d):
+    """The three best kinases by mean of every request and their scores at all its similar sites."""
+    exact = fx.scores(spark, d).withColumn("score", F.col("score").cast("decimal(12,2)"))
+    similar = E.similar_sites(fx.ids(spark, d), fx.sequence_edges(spark, d), fx.edges(spark, d))
+    return S.network_heatmap(similar, exact, 3).select("query_id", "site_id", "kinase", "rank", F.col("score").cast("double").alias("score"))
+
+
+register_raw(
+    "network_heatmap",
+    with_(
+        f"{STATS}, best AS (SELECT * FROM (SELECT query_id, kinase, CAST(row_number() OVER (PARTITION BY query_id ORDER BY m DESC, kinase) AS INT) AS rank FROM stats) WHERE rank<=3)",
+        "SELECT b.query_id, n.site_id, b.kinase, b.rank, coalesce(s.score, 0.0::DOUBLE) AS score FROM best b JOIN near_sites n USING (query_id) LEFT JOIN fx_score s ON s.site_id=n.site_id AND s.kinase=b.kinase",
+        "fx_edge", "fx_score",
+    ),
+)
+
+
+@query(
+    """, t AS (SELECT DISTINCT query_id, target_id AS site_id FROM fx_edge WHERE rmsd<=2), a AS (SELECT query_id, kinase, (sum(CAST(round(score*100) AS BIGINT))*20000+count(*))//(2*count(*)) AS m FROM t JOIN fx_score USING (site_id) GROUP BY 1,2),
+    best AS (SELECT * FROM (SELECT query_id, kinase, CAST(row_number() OVER (PARTITION BY query_id ORDER BY m DESC, kinase) AS INT) AS rank FROM a) WHERE rank<=3)
+    SELECT b.query_id, t.site_id, b.kinase, b.rank, coalesce(s.score, 0.0::DOUBLE) AS score FROM best b JOIN t USING (query_id) LEFT JOIN fx_score s ON s.site_id=t.site_id AND s.kinase=b.kinase""",
+    "fx_edge", "fx_score",
+)
+def mean_heatmap(spark, d):
+    """The three best kinases by mean over the targets of every site, and their scores at each target."""
+    exact = fx.scores(spark, d).withColumn("score", F.col("score").cast("decimal(12,2)"))
+    return S.heatmap(fx.edges(spark, d).where("rmsd <= 2"), exact, 3, "mean").select("query_id", "site_id", "kinase", "rank", F.col("score").cast("double").alias("score"))

@@ -81,6 +81,31 @@ def phosphosite_report(sites: DataFrame, supplement: DataFrame, annotations: Dat
     return {"sites": L.overlay(sites, supplement, "site_id"), "structural": close, "sequence": near, "combined": L.combined_sites(sites, close, near), "kinases": S.match_report(close, near, scores)}
 
 
+def protein_analysis(requests: DataFrame, records: DataFrame, sites: DataFrame, edges: DataFrame, annotations: DataFrame, supplement: DataFrame, rmsd: float = 5.0) -> dict[str, DataFrame]:
+    """Proteins asked for by accession or gene: what they are, their sites, the enriched matches of every site, and a roll-up.
+
+    ``requests(id, id_type)``, ``id_type`` "uniprot" or "gene" in any case; ``records(uniprot_id, gene,
+    name)``; ``sites(site_id, uniprot_id)``. A gene is sought in any case and stands for the smallest accession that
+    has it. A missing gene or name reads "Unknown" and "Unknown Protein". A request that
+    finds no protein keeps a row of the roll-up with status "not found"; one whose protein has no
+    sites reads "no sites". Requests that repeat count once; those without an id or of another type are not found.
+    """
+    asked = requests.select("id", F.lower("id_type").alias("id_type")).distinct()
+    described = records.groupBy("uniprot_id").agg(F.min(F.struct("gene", "name")).alias("r")).select("uniprot_id", "r.gene", "r.name")
+    by_gene = described.where("gene IS NOT NULL").groupBy(F.upper("gene").alias("key")).agg(F.min("uniprot_id").alias("uniprot_id")).withColumn("id_type", F.lit("gene"))
+    known = by_gene.unionByName(described.select(F.upper("uniprot_id").alias("key"), "uniprot_id", F.lit("uniprot").alias("id_type")))
+    found = asked.withColumn("key", F.upper("id")).join(known, ["key", "id_type"], "left").drop("key")
+    info = found.join(described, "uniprot_id", "left").select("id", "id_type", "uniprot_id", F.when(F.col("uniprot_id").isNotNull(), F.coalesce("gene", F.lit("Unknown"))).alias("gene"), F.when(F.col("uniprot_id").isNotNull(), F.coalesce("name", F.lit("Unknown Protein"))).alias("name"))
+    wanted = info.where("uniprot_id IS NOT NULL").select("uniprot_id").distinct()
+    own = sites.join(wanted, "uniprot_id", "left_semi")
+    matches = structural_report(own, edges, annotations, supplement, rmsd)
+    a_site = matches.groupBy(F.col("query_id").alias("site_id")).agg(F.count(F.lit(1)).alias("n"))
+    totals = own.select("uniprot_id", "site_id").distinct().join(a_site, "site_id", "left").groupBy("uniprot_id").agg(F.count(F.lit(1)).alias("n_sites"), F.count("n").alias("n_matched_sites"), F.sum("n").alias("n_matches"))
+    counted = info.join(totals, "uniprot_id", "left").fillna(0, ["n_sites", "n_matched_sites", "n_matches"])
+    status = F.when(F.col("uniprot_id").isNull(), "not found").when(F.col("n_sites") == 0, "no sites").otherwise("ok")
+    return {"info": info, "sites": L.overlay(own, supplement, "site_id"), "matches": matches, "summary": counted.withColumn("status", status)}
+
+
 def site_kinase_analysis(ids: DataFrame, structural: DataFrame, sequence: DataFrame, scores: DataFrame, n: int = 10) -> dict[str, DataFrame]:
     """Kinases by the matches of sites: tagged scored matches, counts, medians, heatmap and family totals.
 

@@ -1,5 +1,6 @@
 """Operators that replace all-pairs or whole-state forms, against plain ones."""
 
+import itertools
 import math
 import random
 
@@ -180,3 +181,57 @@ def test_pca_projection_equals_svd(spark):
         p = np.array([got[k] for k in keys])
         assert np.allclose(np.abs(p), np.abs(u * d), atol=1e-6)
     assert got["S9", "A", 1] == (0.0, 0.0, 0.0)
+
+
+@pytest.mark.parametrize(("n", "k", "shared", "block"), [(3, 2, 1, 1024), (3, 4, 2, 3), (2, 5, 3, 7), (3, 5, 3, 2), (2, 4, 4, 5)])
+def test_similar_texts_equal_all_pairs(spark, n, k, shared, block):
+    rng = random.Random(n * 100 + k)
+    base = ["".join(rng.choice("ACDEFGHIKX") for _ in range(12)) for _ in range(12)]
+    motifs = [m for b in base for m in [b, b, b.lower(), *("".join(rng.choice("ACDEFGHIKX") if rng.random() < 0.1 else x for x in b) for _ in range(8))]]
+    motifs += ["", "A", "AAAAAAAAAAAA", "XXXXXXXXXXXX", None, "ACD"]
+    texts = sorted({m.upper() for m in motifs if m is not None})
+    grams = {m: {m[i : i + n] for i in range(len(m) - n + 1) if "X" not in m[i : i + n]} for m in texts}
+    want = sorted((a, b, len(grams[a] & grams[b])) for a, b in itertools.combinations(texts, 2) if len(grams[a] & grams[b]) >= k)
+    df = spark.createDataFrame([(f"i{j}", m) for j, m in enumerate(motifs)], "id string, motif string")
+    assert len(want) > 20 and sorted(map(tuple, P.similar_texts(df, n, k, shared, block).collect())) == want
+    assert P.text_members(df).count() == len(motifs) - 1
+    assert P.similar_texts(df.limit(0), n, k, shared).isEmpty()
+    with pytest.raises(ValueError, match="from 1 to k"):
+        P.similar_texts(df, n, 1, 2)
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_shortest_paths_equal_dijkstra(spark, weighted):
+    import heapq
+
+    rng = random.Random(5)
+    edges = {tuple(sorted(rng.sample(range(60), 2))): rng.randint(1, 1000) / 1000 for _ in range(90)}
+    table = spark.createDataFrame([(f"n{a:02}", f"n{b:02}", c) for (a, b), c in edges.items()], "a string, b string, confidence double")
+    near = {}
+    for (a, b), c in edges.items():
+        w = 1.001 - c if weighted else 1.0
+        near.setdefault(f"n{a:02}", {})[f"n{b:02}"] = w
+        near.setdefault(f"n{b:02}", {})[f"n{a:02}"] = w
+
+    def dijkstra(s):
+        far, heap = {}, [(0.0, s)]
+        while heap:
+            d, x = heapq.heappop(heap)
+            if x in far:
+                continue
+            far[x] = d
+            for y, w in near.get(x, {}).items():
+                if y not in far:
+                    heapq.heappush(heap, (d + w, y))
+        return far
+
+    asked = [(f"n{a:02}", f"n{b:02}") for a in (0, 3, 7) for b in (*range(1, 60, 9), 3)] + [("n00", "zz"), ("zz", "n00"), ("n00", "n00"), ("n00", "n01"), (None, "n01")]
+    got = {(r.source, r.target): r for r in G.shortest_paths(table, spark.createDataFrame(asked, "source string, target string"), weighted).collect()}
+    far = {s: dijkstra(s) for s in {s for s, _ in asked if s in near}}
+    assert set(got) == {(s, t) for s, t in asked if s in far and t in far[s]}
+    for (s, t), r in got.items():
+        assert abs(r.cost - far[s][t]) < 1e-9 and r.path[0] == s and r.path[-1] == t
+        assert abs(sum(near[x][y] for x, y in itertools.pairwise(r.path)) - r.cost) < 1e-9
+    if not weighted:
+        short = G.shortest_paths(table, spark.createDataFrame(asked, "source string, target string"), hops=2).collect()
+        assert {(r.source, r.target) for r in short} == {p for p, r in got.items() if r.cost <= 2}

@@ -246,3 +246,22 @@ def test_domains_and_sinks(spark, tmp_path):
     schema = "id1 string, id2 string, similarity double"
     assert rows(T.read_either(spark, f"{tmp_path}/x", schema)) == rows(table)
     assert T.rebuild_edges(spark, f"{tmp_path}/x.csv", "sw_edges") == 2 and rows(spark.table("sw_edges")) == rows(table)
+
+
+def test_protein_analysis_states(spark):
+    from siteweave.plans import reports as R
+
+    records = spark.createDataFrame([("P1", "TP53", "Tumour"), ("P2", "tp53", None), ("P3", None, "Bare")], "uniprot_id string, gene string, name string")
+    sites = spark.createDataFrame([("P1_5", "P1"), ("P1_9", "P1"), ("P2_1", "P2")], "site_id string, uniprot_id string")
+    edges = spark.createDataFrame([("P1_5", "P2_1", 1.0), ("P3_2", "P1_5", 2.0), ("P1_9", "P1_9", 0.0), ("P1_9", "P2_1", 9.0)], "query_id string, target_id string, rmsd double")
+    notes = spark.createDataFrame([("P2_1", 80.0), ("Z_1", 1.0)], "site_id string, plddt double")
+    known = spark.createDataFrame([("P3_2", "AAA"), ("Z_2", "CCC")], "site_id string, motif string")
+    asked = spark.createDataFrame([("p1", "UniProt"), ("Tp53", "gene"), ("Tp53", "gene"), ("P3", "uniprot"), ("P9", "uniprot"), (None, "gene"), ("P1", "other")], "id string, id_type string")
+    out = R.protein_analysis(asked, records, sites, edges, notes, known)
+    got = {(r.id, r.id_type): (r.uniprot_id, r.gene, r.name, r.n_sites, r.n_matched_sites, r.n_matches, r.status) for r in out["summary"].collect()}
+    assert got == {
+        ("p1", "uniprot"): ("P1", "TP53", "Tumour", 2, 1, 2, "ok"), ("Tp53", "gene"): ("P1", "TP53", "Tumour", 2, 1, 2, "ok"), ("P3", "uniprot"): ("P3", "Unknown", "Bare", 0, 0, 0, "no sites"),
+        ("P9", "uniprot"): (None, None, None, 0, 0, 0, "not found"), (None, "gene"): (None, None, None, 0, 0, 0, "not found"), ("P1", "other"): (None, None, None, 0, 0, 0, "not found"),
+    }
+    assert {(r.query_id, r.target_id, r.motif, r.plddt) for r in out["matches"].collect()} == {("P1_5", "P2_1", None, 80.0), ("P1_5", "P3_2", "AAA", None)}
+    assert out["sites"].count() == 2
