@@ -17,7 +17,12 @@ Links are found in two passes. In the rounds of the first, each class proposes o
 class, the one that shares most among the classes that its shingles elect as their centres;
 so a round makes a row a class at most. Linked classes form components. The second pass
 pairs a class with whole other components, the smaller with the larger, for which enough
-shared shingles are left, and compares it with all sets of the component in blocks. All
+shared shingles are left, and compares it with all sets of the component in blocks. A
+shingle that lies in more than ``CROWD`` components makes no row for two of them: its classes
+are first compared with a pivot, a class of the largest of them, and what is left are
+classes that are not similar to it. Such two can be similar to each other only if they
+differ from the pivot in common, so they meet by what each has that the pivot lacks, or
+the other way round (``departures``). All
 links between components are found so, and the components are exact whatever order was
 used. Then links are counted: they lie inside components only, so the sets of each
 component are dealt into blocks and every two blocks are compared as matrices, which counts
@@ -60,6 +65,8 @@ ROWS = 1000  # of prefixes that are dealt at once
 SLICE_BYTES = 1 << 19  # of text that are shingled at once
 HELD_POSTINGS = 1 << 18  # that a task gathers before it deals them out
 SMALL = 1 << 21  # shingles of all sets in question, up to which the sets themselves are sent to every task
+CROWD = 24  # components in a shingle's list from which on they meet through a pivot
+FAMILY = 64  # classes that are told from a pivot by one key, on the mean
 HALF = PERCENT / (100 + PERCENT)  # of the sum of two sizes that similar sets share at least
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _INVERSE = np.uint64(pow(int(_MUL[0]), -1, 1 << 64))
@@ -473,24 +480,105 @@ def proposals(placed: DataFrame, turn: int) -> DataFrame:
     return best.select("a", F.col("best.b").alias("b"))
 
 
-def crossings(placed: DataFrame) -> DataFrame:
-    """``class, comp``: classes and whole components, not smaller than their own, that may hold a partner of theirs.
+def onward() -> Column:
+    """Whether a class's component goes to another one, ``g``: the smaller to the larger."""
+    return (F.col("members") < F.col("g.members")) | ((F.col("members") == F.col("g.members")) & (F.col("comp") > F.col("g.comp")))
+
+
+def in_several(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows of those keys that lie in several components."""
+    return rows.join(rows.groupBy(*keys).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(*keys), list(keys), "left_semi")
+
+
+def crowds(placed: DataFrame) -> DataFrame:
+    """``token, top, pivot`` of the shingles that lie in more than ``CROWD`` components: the largest of them, to which all others go, and one of its classes.
+
+    The pivot has the fewest shingles that are rarer, so it holds little beside what the others share.
+    """
+    each = placed.groupBy("token", "comp", "members").agg(F.min(F.struct("pos", "class")).alias("first"))
+    lists = each.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.min(F.struct((-F.col("members")).alias("less"), "comp", "first")).alias("top"))
+    return lists.where(F.col("comps") > CROWD).select("token", F.col("top.comp").alias("top"), F.col("top.first.class").alias("pivot"))
+
+
+def beside(placed: DataFrame, crowd: DataFrame) -> DataFrame:
+    """``class, comp, members, pivot``: the classes in the lists of ``crowd`` that are not in the pivot's component."""
+    return placed.join(few(crowd), "token").where("comp <> top").select("class", "comp", "members", "pivot").distinct()
+
+
+def most_apart(sizes):
+    """The most elements that are in one of two similar sets alone, by the sum of their sizes."""
+    return sizes - 2 * -(-PERCENT * sizes // (100 + PERCENT))
+
+
+def departure(own: np.ndarray, pivot: np.ndarray) -> tuple[np.ndarray, int]:
+    """What a set and a pivot that it is not similar to do not share, those that the pivot lacks first, and how many of the first of it to look for.
+
+    The elements in one of two sets alone are those in one of their departures from the
+    pivot alone. Few may be, and the departures are long, as neither set is similar to the
+    pivot: so they have many elements in common, one of them at least among the first of
+    both. Were none common, the pivot would lie between the two sets and be as similar.
+    """
+    added, missing = np.setdiff1d(own, pivot, assume_unique=True), np.setdiff1d(pivot, own, assume_unique=True)
+    n, size = len(own), len(added) + len(missing)
+    other = np.arange(least_shared(n), 100 * n // PERCENT + 1)  # sizes of sets that can be similar
+    least = np.maximum(np.abs(other - len(pivot)), most_apart(other + len(pivot)) + 1)
+    common = max(1, int((-(-(size + least - most_apart(n + other)) // 2)).min()))
+    return np.concatenate([added, missing]), size - common + 1
+
+
+def departures(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pivot, token, class, comp, members, n, size, rest``: the first of the departure of each class of ``apart`` from its pivot, and how much of it each one begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, sizes = [], []
+            for own, pivot in zip(batch.column(4), batch.column(5), strict=True):
+                tokens, first = departure(own.values.to_numpy(), pivot.values.to_numpy())
+                found.append(tokens[:first])
+                sizes.append(len(tokens))
+            lengths = np.array([len(x) for x in found], np.int64)
+            rows = batch.select([0, 1, 2, 3]).take(pa.array(np.repeat(np.arange(len(found)), lengths)))
+            n, size = (np.repeat(x, lengths) for x in (batch.column(4).value_lengths().to_numpy().astype(np.int64), np.array(sizes, np.int64)))
+            at = np.arange(len(size)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            tokens = np.concatenate([*found, np.empty(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(x, pa.int64()) for x in (tokens, n, size, size - at))], ["class", "comp", "members", "pivot", "token", "n", "size", "rest"])
+
+    parts = apart.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / FAMILY).cast("int").alias("parts"))
+    pivots = sets.select(F.col("class").alias("pivot"), F.col("tokens").alias("theirs")).join(few(parts), "pivot")
+    pivots = pivots.select("pivot", "theirs", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    rows = apart.join(few(parts), "pivot").withColumn("part", F.pmod(F.xxhash64("class"), "parts").cast("int"))
+    rows = rows.join(sets.select("class", "tokens"), "class").join(pivots, ["pivot", "part"])
+    return rows.select("class", "comp", "members", "pivot", "tokens", "theirs").mapInArrow(run, "class long, comp long, members long, pivot long, token long, n long, size long, rest long")
+
+
+def crossings_beside(told: DataFrame) -> DataFrame:
+    """``class, comp`` as of ``crossings``, by the stored ``departures``: of two classes at least as many elements as leave few apart must be left, from the common one on."""
+    rows = in_several(told, "pivot", "token")
+    groups = rows.groupBy("pivot", "token", "comp", "members").agg(F.max("rest").alias("rest"), F.min("size").alias("size"), F.max("n").alias("n"))
+    groups = groups.select("pivot", "token", F.struct("comp", "members", "rest", "size", "n").alias("g"))
+    fits = 2 * F.least("rest", "g.rest") + 1e-6 >= F.col("size") + F.col("g.size") - (1 - 2 * HALF) * (F.col("n") + F.col("g.n"))
+    return rows.join(groups, ["pivot", "token"]).where(onward() & fits).select("class", F.col("g.comp").alias("comp")).distinct()
+
+
+def crossings(placed: DataFrame, crowd: DataFrame) -> DataFrame:
+    """``class, comp``: classes and whole components, not smaller than their own, that may hold a partner of theirs; in the lists of ``crowd`` the largest alone.
 
     A row of the join stands for all of a component's postings in a list. A pair that is
     similar enough shares as many shingles as both ask for, each of which passes the bound.
+    Of two classes that share a shingle of ``crowd``, and neither is in the largest
+    component there, ``crossings_beside`` finds out.
     """
-    open_ = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    rows = placed.join(open_, "token", "left_semi")
+    rows = in_several(placed, "token")
     spare = F.col("n") - F.col("pos") - HALF * F.col("n")
     groups = rows.groupBy("token", "comp", "members").agg(
         F.max(spare).alias("spare"), F.min("n").alias("n"), F.min("matches").alias("matches"), F.max("matches").alias("most"), F.max("indexed").alias("indexed")
     )
+    groups = groups.join(few(crowd), "token", "left").where("top is null or comp = top")
     groups = groups.select("token", F.struct("comp", "members", "spare", "n", "matches", "most", "indexed").alias("g"))
     x = rows.select("token", "class", "comp", "members", "n", "matches", "indexed", spare.alias("spare"))
-    onward = (F.col("members") < F.col("g.members")) | ((F.col("members") == F.col("g.members")) & (F.col("comp") > F.col("g.comp")))
     more = F.greatest("matches", "g.most") - 1 + 1e-6  # matches that may have come before
     fits = (F.col("g.spare") + more >= HALF * F.col("n")) & (F.col("spare") + more >= HALF * F.col("g.n")) & (F.col("indexed") | F.col("g.indexed"))
-    met = x.join(groups, "token").where(onward & fits)
+    met = x.join(groups, "token").where(onward() & fits)
     counts = met.groupBy("class", F.col("g.comp").alias("comp")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("matches", "g.matches")).alias("needed"))
     return counts.where("shared >= needed").select("class", "comp")
 
@@ -641,8 +729,22 @@ def compared(docs: DataFrame, count_links: bool = True) -> tuple[DataFrame, Data
         if n_found <= FEW * n:
             break
 
-    placed = members(comps)
-    crossing = scratch.stored(crossings(placed), "crossing")
+    while True:
+        placed = members(comps)
+        crowd = scratch.stored(crowds(placed), "crowds")
+        if crowd.isEmpty():
+            break
+        apart = scratch.stored(beside(placed, crowd), "beside")
+        found = verified(apart.select(F.col("class").alias("a"), F.col("pivot").alias("b")), sets, scratch, small)
+        if found.isEmpty():
+            break  # none beside a pivot's component is similar to the pivot
+        links = found if links is None else links.union(found)
+        comps = components(links, "first", scratch)
+    crossing = crossings(placed, crowd)
+    if not crowd.isEmpty():
+        told = scratch.stored(departures(apart, sets), "departures", FEW_ROWS)
+        crossing = crossing.union(crossings_beside(told)).distinct()
+    crossing = scratch.stored(crossing, "crossing")
     named = crossing.select("comp").distinct()
     theirs = scratch.stored(placed.select("class", "comp").distinct().join(named, "comp", "left_semi"), "theirs")
     second = compared_with(crossing, theirs, sets, scratch, small)

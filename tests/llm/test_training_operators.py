@@ -614,6 +614,64 @@ def test_ngram_join_counts_all_links(spark, monkeypatch):
     assert {r.doc_id: r.n_links for r in got} == want
 
 
+def most_joined(spark, since):
+    """The most rows that a join has made in the queries after the first ``since``, as Spark counts them, and the number of queries."""
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    queries = store.executionsList()
+    for k in range(since, queries.size()):
+        ran = queries.apply(k).executionId()
+        values, nodes = store.executionMetrics(ran), store.planGraph(ran).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            for metric in map(node.metrics().apply, range(node.metrics().size() if "Join" in node.name() else 0)):
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    most = max(most, int(values.apply(metric.accumulatorId()).replace(",", "")))
+    return most, queries.size()
+
+
+def test_ngram_join_of_a_crowd_around_one_text(spark, monkeypatch):
+    """Texts too far from one that all of them resemble: their rows grow with their number, and no link between them is lost."""
+    import random
+
+    rng, base, rows = random.Random(5), [f"b{k}" for k in range(150)], []
+
+    def edited(text, places):
+        return [f"n{rng.random()}" if k in places else w for k, w in enumerate(text)]
+
+    for k in range(80):
+        one = edited(base, {0, *(10 + 35 * j + rng.randrange(30) for j in range(4))})  # 21 of 146 shingles
+        rows += [one, edited(one, {rng.randrange(150)})] if k % 8 == 0 else [one]
+    rows = [(k, " ".join(words)) for k, words in enumerate([base, edited(base, {70}), edited(base, {90}), *rows])]
+    shingle = ngram_join.Shingler()
+    sets = {i: set(shingle(t).tolist()) for i, t in rows}
+    near = {i: [j for j in sets if j != i and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])] for i in sets}
+    comp = {i: i for i in sets}
+    for _ in sets:
+        comp = {i: min([comp[i], *(comp[j] for j in near[i])]) for i in sets}
+    for rounds, small in ((1, ngram_join.SMALL), (5, 0)):
+        before = most_joined(spark, 0)[1]
+        monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+        monkeypatch.setattr(ngram_join, "SMALL", small)
+        got = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {i: (comp[i], len(near[i])) for i in sets}
+        assert most_joined(spark, before)[0] < 20 * len(rows)
+    assert len(set(comp.values())) > 60
+
+
+@given(st.integers(1, 60), st.integers(1, 60), st.integers(0, 1 << 30))
+@settings(max_examples=300, deadline=None)
+def test_departures_of_similar_sets_meet(n, size, seed):
+    """Two similar sets, neither of which is similar to the pivot, have an element among the first of both departures."""
+    rng = np.random.default_rng(seed)
+    pivot = np.sort(rng.choice(70, size, replace=False))
+    one = np.sort(rng.choice(70, n, replace=False))
+    keep = one[rng.random(n) > rng.choice([0.0, 0.1, 0.2])]
+    other = np.union1d(keep, rng.choice(70, rng.integers(0, 1 + n // 6)))
+    similar = [100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b)) for a, b in ((one, other), (one, pivot), (other, pivot))]
+    if len(other) and similar == [True, False, False]:
+        (a, k), (b, m) = ngram_join.departure(one, pivot), ngram_join.departure(other, pivot)
+        assert set(a[:k].tolist()) & set(b[:m].tolist())
+
+
 def test_null_and_repeated_ids_pass_the_stage(spark):
     text = lambda name, off=0: " ".join(f"{name}{k}" for k in range(off, off + 60))
     rows = [(None, text("a")), (None, text("a", 2)), (None, text("b")), (None, text("b")), (None, None), (None, " \n"), (4, ""), (4, None), (5, text("c")), (5, text("d")), (5, text("d")), (7, text("e", 2)), (None, text("e"))]
