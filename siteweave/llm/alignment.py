@@ -31,6 +31,7 @@ import os
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -161,22 +162,35 @@ class UnitCoder:
         self.before: dict[str, bytes] = {}  # what was known until ``known`` was last begun anew
         self.kept = 0
 
-    def _values(self, names: list[str]) -> list[bytes]:
+    def _encoded(self, units: list[str], sizes: np.ndarray) -> list[bytes]:
+        """The ids of units of ``sizes`` bytes, none for a unit whose bytes do not come back."""
+        lists, entry = self.encode_all(units), self.entries.__getitem__
+        flat = array("i", chain.from_iterable(lists))
+        ends = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
+        lengths = np.append(0, np.cumsum(self.lengths[np.frombuffer(flat, np.int32)]))[ends]
+        if np.array_equal(lengths, np.cumsum(sizes)) and b"".join(map(entry, flat)) == "".join(units).encode():  # so that of each unit
+            data, places = flat.tobytes(), [0, *(4 * ends).tolist()]
+            return [data[lo:hi] for lo, hi in pairwise(places)]
+        return [array("i", ids).tobytes() if b"".join(map(entry, ids)) == unit.encode() else b"" for unit, ids in zip(units, lists, strict=True)]
+
+    def _values(self, names: list[str], sizes: np.ndarray) -> list[bytes]:
         values = list(map(self.known.get, names))
         missing = [k for k, v in enumerate(values) if v is None]
-        for k in missing:
-            values[k] = self.before.get(names[k])
-        fresh, entry = [k for k in missing if values[k] is None], self.entries.__getitem__
+        units = [names[k] for k in missing]
+        found = list(map(self.before.get, units))
+        fresh = [k for k, v in enumerate(found) if v is None]
+        sizes = sizes[missing] if missing else sizes[:0]
         for lo in range(0, len(fresh), CALL_UNITS):
             some = fresh[lo : lo + CALL_UNITS]
-            units = [names[k] for k in some]
-            for k, unit, ids in zip(some, units, self.encode_all(units), strict=True):
-                values[k] = array("i", ids).tobytes() if b"".join(map(entry, ids)) == unit.encode() else b""
-        for k in missing:
-            unit, value = names[k], values[k]
-            if len(unit) <= 64:
-                self.known[unit] = value
-                self.kept += len(unit) + len(value) + 200
+            for k, value in zip(some, self._encoded([units[k] for k in some], sizes[some]), strict=True):
+                found[k] = value
+        for k, value in zip(missing, found, strict=True):
+            values[k] = value
+        if len(sizes) and sizes.max() > 64:
+            short = [k for k, unit in enumerate(units) if len(unit) <= 64]
+            units, found = [units[k] for k in short], [found[k] for k in short]
+        self.known.update(zip(units, found, strict=True))
+        self.kept += sum(map(len, units)) + sum(map(len, found)) + 200 * len(units)
         if self.kept > KEEP_BYTES // 2:
             before = self.known
             self.forget()
@@ -189,16 +203,13 @@ class UnitCoder:
         if not len(units):
             return np.empty(0, np.int32), at, np.ones(len(texts), bool)
         coded = units.dictionary_encode()
-        parts = self._values(coded.dictionary.to_pylist())
-        flat = np.frombuffer(b"".join(parts), "<i4")
+        parts = self._values(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), pc.binary_length(coded.dictionary).to_numpy())
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        starts = np.cumsum(sizes) - sizes
-        which = coded.indices.to_numpy()
-        lengths = sizes[which]
-        bad = np.append(0, np.cumsum(lengths == 0))[at]
-        ends = np.cumsum(lengths)
-        places = np.arange(ends[-1]) + np.repeat(starts[which] - ends + lengths, lengths)
-        return flat[places], np.append(0, ends)[at], np.diff(bad) == 0
+        lists = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes))), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+        taken = lists.take(coded.indices)
+        ends = taken.offsets.to_numpy()
+        bad = np.append(0, np.cumsum(np.diff(ends) == 0))[at]
+        return taken.values.to_numpy(), ends[at], np.diff(bad) == 0
 
 
 # --- groups and fragments

@@ -286,3 +286,15 @@ def test_kept_units_are_bounded_in_bytes(monkeypatch):
         ids, at, ok = coder.ids(pa.array([text, "", None and ""], pa.large_string()).fill_null(""))
         assert bytes(ids.tolist()).decode() == text and at.tolist() == [0, len(text), len(text), len(text)] and ok.all()
         assert coder.kept <= 2500 and all(len(x) <= 64 for x in coder.known)
+
+
+def test_units_encoded_together_are_those_encoded_alone():
+    """A batch of units is checked as a whole; one whose bytes do not come back has no ids and leaves the others theirs."""
+    lossy = lambda units: [[0 if c == "?" else b for c in u for b in c.encode()] for u in units]
+    coder = alignment.UnitCoder(None, lossy, [bytes([k]) for k in range(256)])
+    for units in (["ab", "é", "c"], ["ab", "?", "c", "é?"], ["?"], []):
+        want = [b"" if "?" in u else np.array(list(u.encode()), np.int32).tobytes() for u in units]
+        sizes = np.array([len(u.encode()) for u in units], np.int64)
+        assert coder._encoded(units, sizes) == want and coder._values(units, sizes) == want and coder._values(units, sizes) == want
+    swapped = alignment.UnitCoder(None, lambda units: [[97], [98, 99]], coder.entries)  # the whole comes back, its parts do not
+    assert swapped._encoded(["ab", "c"], np.array([2, 1])) == [b"", b""]
