@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteweave.llm.pieces import PieceCoder, slices
+from siteweave.llm.shared import kept_by
 
 BUCKET = 4  # mean number of keys that share a displacement
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -153,14 +154,12 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_models: dict[tuple[str, str], ByteBPE] = {}
-
-
 def model(path: str, pattern: str) -> ByteBPE:
-    """The vocabulary, built once in a process."""
-    if (path, pattern) not in _models:
-        _models[path, pattern] = ByteBPE(load_ranks(path), pattern)
-    return _models[path, pattern]
+    """The vocabulary, built once in a process that serves no other operator meanwhile."""
+    models = kept_by("byte_bpe")
+    if (path, pattern) not in models:
+        models[path, pattern] = ByteBPE(load_ranks(path), pattern)
+    return models[path, pattern]
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:

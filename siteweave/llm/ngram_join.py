@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteweave.llm.components import components
-from siteweave.llm.shared import Scratch, few, partitions
+from siteweave.llm.shared import Scratch, few, kept_by, partitions
 
 WORDS = 5
 PERCENT = 75
@@ -215,6 +215,7 @@ def shingle_order(docs: DataFrame, bits: int = SKETCH_BITS) -> Order:
     size = (1 << bits) // CHUNKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("ngram_join")
         shingler, counts, held = Shingler(), np.zeros(1 << bits, np.int32), []
 
         def settle() -> None:
@@ -255,6 +256,7 @@ def described(docs: DataFrame, order: Order, seed: int = 0) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(order)  # a byte a counter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("ngram_join")
         shingler, prefix = Shingler(), shared.value.prefix
         for batch in batches:
             for lo, texts in slices(batch.column(1)):

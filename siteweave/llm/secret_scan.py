@@ -24,9 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteweave.llm.shared import kept_by
+
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "checked_token", "jwt", "private_key")
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+ROWS = 256  # of texts that are redacted at once
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -127,6 +130,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` with counts by base kind, the base digest and all spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("secret_scan")
         scanner = Scanner()
         for batch in batches:
             all_spans = [scanner.spans(x.as_py() or "") for x in batch.column(1)]
@@ -146,8 +150,9 @@ def redacted_documents(docs: DataFrame) -> DataFrame:
     text_at, size_at = docs.columns.index("text"), docs.columns.index("n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("secret_scan")
         scanner = Scanner()
-        for batch in batches:
+        for batch in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, whole.num_rows, ROWS)):
             before = batch.column(text_at).to_pylist()
             texts = [x if x is None else redacted(x, scanner.spans(x)) for x in before]
             sizes = [n if old == new else len(new) for old, new, n in zip(before, texts, batch.column(size_at).to_pylist(), strict=True)]

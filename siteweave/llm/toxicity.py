@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteweave.llm.shared import Memo, stored
+from siteweave.llm.shared import Memo, kept_by, stored
 
 TRAIN_ROWS = 40_000  # labelled rows that learning sees, chosen by hash
 CANDIDATES = 50_000  # stems that are counted in clean rows
@@ -209,6 +209,7 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
     def toxic_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
+        kept_by("toxicity")
         for batch in batches:
             docs: Counter[str] = Counter()
             masks: dict[str, int] = {}
@@ -233,6 +234,7 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
     toxic = {r.stem: r.n for r in found}
 
     def clean_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("toxicity")
         docs: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0):
@@ -267,6 +269,7 @@ def train_model(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], l
     lexicon = learn_lexicon(train)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("toxicity")
         matcher = Matcher(lexicon)
         for batch in batches:
             rows = [matcher.features(x.as_py()) for x in batch.column(0)]
@@ -282,6 +285,7 @@ def with_scores(docs: DataFrame, model: tuple[dict[str, float], list[float]], na
     text_at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("toxicity")
         matcher = Matcher(lexicon)
         for batch in batches:
             scores = []

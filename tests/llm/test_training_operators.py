@@ -779,3 +779,25 @@ def test_html_with_many_unclosed_tags_takes_linear_time(shape):
     began = time.perf_counter()
     html_text.parse(page)
     assert time.perf_counter() - began < 5
+
+
+def test_a_process_drops_what_other_operators_keep(spark, monkeypatch):
+    import gc
+    import weakref
+
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(k, f"word{k} password=abcdef{k:04}", 0) for k in range(600)], "doc_id long, text string, n_chars long")
+    batch = pa.RecordBatch.from_pylist([r.asDict() for r in docs.collect()])
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)  # tasks of one process
+    stages = (secret_scan.redacted_documents, lambda x: toxicity.with_scores(x, ({}, [1.0, 0.3, 0.5, 1.0, -2.0])), secret_scan.scan)
+    for stage in stages:
+        list(byte_bpe.encoding_digests(docs, RANKS, public_tokenizers.PATTERN)([batch.select(["doc_id", "text"])]))
+        coder = byte_bpe.model(RANKS, public_tokenizers.PATTERN).coder
+        assert coder.known
+        coder = weakref.ref(coder)
+        out = list(stage(docs)([batch.select(["doc_id", "text"]) if stage is secret_scan.scan else batch]))
+        gc.collect()
+        assert coder() is None and sum(x.num_rows for x in out) == 600
+    out = list(secret_scan.redacted_documents(docs)([batch]))
+    assert pa.Table.from_batches(out)["text"].to_pylist() == [f"word{k} [secret]" for k in range(600)] and max(x.num_rows for x in out) <= 256
