@@ -48,9 +48,12 @@ FAN = 8  # fragments that one step of the tree composes
 KEEP_BYTES = 1 << 25  # of units that a process keeps for one tokenizer
 RUN_BYTES = 1 << 20  # of texts that are aligned at once
 CALL_UNITS = 4096  # that a library encodes at once
+TEXT_ROWS = 64  # whose groups are written as texts at once
 ARROW_ROWS, LONG_ROWS = 256, 32  # rows of short and of long texts that a worker gets at once
 LISTS = "a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
-GROUPS = f"doc_id long, ok boolean, {LISTS}"
+#: Of a row: how many ids and groups it has, the digest of its groups, and their links: places among the pairs that can be, 4 bytes each.
+SUMMARY = "n_a long, n_b long, n_groups long, groups_sha256 string, links binary"
+GROUPS = f"doc_id long, ok boolean, {LISTS}, {SUMMARY}"
 EDGE = "array<array<long>>"
 FRAGMENT = f"row long, doc_id long, seq long, ok boolean, until long, {LISTS}, cut boolean, prefix {EDGE}, suffix {EDGE}"
 DIGEST = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -358,8 +361,34 @@ def aligned_slice(vocab: Vocabularies, spaced: pa.Array) -> tuple[np.ndarray, Ru
     return ok, run, a_at, b_at, np.searchsorted(np.append(0, np.cumsum(run.a_sizes)), a_at)
 
 
+def _hashed(text: bytes) -> str:
+    return hashlib.sha256(text).hexdigest() if text else ""
+
+
+def group_hashes(run: Run, a_at: np.ndarray, b_at: np.ndarray, g_at: np.ndarray) -> list[str]:
+    """The digest of each row's groups, of ``TEXT_ROWS`` rows at once."""
+    out = []
+    for lo in range(0, len(g_at) - 1, TEXT_ROWS):
+        (a0, *_, a1), (b0, *_, b1), g = (x[lo : lo + TEXT_ROWS + 1] for x in (a_at, b_at, g_at))
+        some = Run(run.a_ids[a0:a1], run.b_ids[b0:b1], run.a_sizes[g[0] : g[-1]], run.b_sizes[g[0] : g[-1]])
+        out += map(_hashed, group_text(some, g - g[0]))
+    return out
+
+
+def _packed(links: np.ndarray, g_at: np.ndarray) -> pa.Array:
+    """Each row's links as bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(g_at) - 1, [None, pa.py_buffer((4 * g_at).astype(np.int32)), pa.py_buffer(links.astype("<i4"))])
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The links of all rows in turn, and each row's places among them."""
+    off = np.frombuffer(column.buffers()[1] or bytes(4), np.int32)[column.offset :][: len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+    return data.view("<i4"), (off - off[0]) // 4
+
+
 def align_short(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """Groups of every row whose text is one range."""
+    """Groups of every row whose text is one range, with what is known of them before pairs are counted."""
 
     def run(batches):
         vocab = vocabularies(a_path, b_path)
@@ -367,8 +396,11 @@ def align_short(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             for lo, texts in _runs(batch.column(1)):
                 ok, groups, a_at, b_at, g_at = aligned_slice(vocab, _spaced(texts))
                 columns = [batch.column(0).slice(lo, len(texts)), pa.array(ok), _lists(groups.a_ids, a_at), _lists(groups.b_ids, b_at), _lists(groups.a_sizes, g_at), _lists(groups.b_sizes, g_at)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ok", "a_ids", "b_ids", "a_sizes", "b_sizes"])
+                numbers = [pa.array(np.diff(at), pa.int64()) for at in (a_at, b_at, g_at)]
+                columns += [*numbers, pa.array(group_hashes(groups, a_at, b_at, g_at), pa.string()), _packed(_links(vocab, groups), g_at)]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
+    names = [c.split()[0] for c in GROUPS.split(", ")]
     return docs.mapInArrow(run, GROUPS)
 
 
@@ -507,11 +539,13 @@ def pair_counts(found: Alignments, a_path: str, b_path: str, scratch: Scratch) -
         vocab = vocabularies(a_path, b_path).rested()
         counts = np.zeros(len(vocab.pairs), np.int64)
         for batch in batches:
-            counts += np.bincount(_links(vocab, _flat(batch)[0]), minlength=len(counts))
+            links = _unpacked(batch.column(0))[0] if batch.num_columns == 1 else _links(vocab, _flat(batch)[0])
+            counts += np.bincount(links, minlength=len(counts))
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*np.divmod(vocab.pairs[at], len(vocab.b_bytes)), counts[at])], ["a_id", "b_id", "n"])
 
-    parts = [scratch.stored(x.select(*Run._fields).mapInArrow(run, "a_id long, b_id long, n long"), "pairs", arrow_rows=rows) for x, rows in ((found.short, ARROW_ROWS), (found.long, LONG_ROWS))]
+    tables = (found.short.select("links"), ARROW_ROWS), (found.long.select(*Run._fields), LONG_ROWS)
+    parts = [scratch.stored(x.mapInArrow(run, "a_id long, b_id long, n long"), "pairs", arrow_rows=rows) for x, rows in tables]
     return parts[0].unionByName(parts[1]).groupBy("a_id", "b_id").agg(F.sum("n").alias("n"))
 
 
@@ -564,21 +598,20 @@ def alignment_digests(found: Alignments, counts: DataFrame, a_path: str, b_path:
     shared = spark.sparkContext.broadcast(known)  # at most as long as the vocabularies allow
     names = [c.split()[0] for c in DIGEST.split(", ")]
 
-    def figures(vocab, batch):
-        run, at = _flat(batch)
-        links = _links(vocab, run)
+    def counted(links, at):
         best = np.append(0, np.cumsum(shared.value.best[links]))
         total = np.append(0, np.cumsum(shared.value.counts[links]))
-        return [np.diff(at[0]), np.diff(at[1]), np.diff(at[2]), np.diff(at[2]), np.diff(best[at[2]]), np.diff(total[at[2]])], group_text(run, at[2])
+        return [np.diff(best[at]), np.diff(total[at])]
+
+    def figures(vocab, batch):
+        run, at = _flat(batch)
+        return [np.diff(at[0]), np.diff(at[1]), np.diff(at[2]), np.diff(at[2]), *counted(_links(vocab, run), at[2])], group_text(run, at[2])
 
     def of_short(batches):
-        vocab = vocabularies(a_path, b_path).rested()
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 64):
-                batch = whole.slice(lo, 64)
-                numbers, texts = figures(vocab, batch)
-                shas = [hashlib.sha256(t).hexdigest() if t else "" for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in numbers), pa.array(shas, pa.string())], names)
+        for batch in batches:
+            doc_id, n_a, n_b, n_groups, shas, links = batch.columns
+            numbers = [pa.array(x, pa.int64()) for x in counted(*_unpacked(links))]
+            yield pa.RecordBatch.from_arrays([doc_id, n_a, n_b, n_groups, n_groups, *numbers, shas], names)
 
     def of_long(batches):
         vocab = vocabularies(a_path, b_path)
@@ -603,7 +636,7 @@ def alignment_digests(found: Alignments, counts: DataFrame, a_path: str, b_path:
             yield row()
 
     ordered = found.long.repartition(partitions(spark), "row").sortWithinPartitions("row", "until")
-    short = scratch.stored(found.short.mapInArrow(of_short, DIGEST), "digests", arrow_rows=ARROW_ROWS)
+    short = scratch.stored(found.short.select("doc_id", *(c.split()[0] for c in SUMMARY.split(", "))).mapInArrow(of_short, DIGEST), "digests", arrow_rows=ARROW_ROWS)
     return short.unionByName(scratch.stored(ordered.mapInArrow(of_long, DIGEST), "digests", arrow_rows=LONG_ROWS))
 
 

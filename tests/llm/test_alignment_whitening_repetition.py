@@ -298,3 +298,24 @@ def test_units_encoded_together_are_those_encoded_alone():
         assert coder._encoded(units, sizes) == want and coder._values(units, sizes) == want and coder._values(units, sizes) == want
     swapped = alignment.UnitCoder(None, lambda units: [[97], [98, 99]], coder.entries)  # the whole comes back, its parts do not
     assert swapped._encoded(["ab", "c"], np.array([2, 1])) == [b"", b""]
+
+
+def test_what_follows_the_alignment_reads_no_groups(spark):
+    """Digests and links are made where the groups are, so that the later passes need not read these again."""
+    rows = [(i, t) for i, t in enumerate(TEXTS * 9)]
+    scratch = Scratch(spark, "alignment")
+    found = alignment.align(spark.createDataFrame(rows, "doc_id long, text string"), *PATHS, scratch)
+    bare = found.short.select("doc_id", *(F.lit(None).cast("array<int>").alias(c) for c in alignment.Run._fields), *(c for c in found.short.columns if c not in ("doc_id", "ok", *alignment.Run._fields)))
+    found = alignment.Alignments(bare, found.long)
+    got = alignment.alignment_digests(found, alignment.pair_counts(found, *PATHS, scratch), *PATHS, scratch).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, Plain().digests(rows)))
+
+
+@pytest.mark.parametrize("sizes", [[], [0], [2, 0, 3], [0, 0, 1, 4]])
+def test_links_come_back_from_their_bytes(sizes):
+    at = np.append(0, np.cumsum(sizes)).astype(np.int64)
+    links = np.arange(at[-1]) * 70000
+    packed = alignment._packed(links, at)
+    for lo in range(len(sizes) + 1):
+        got, places = alignment._unpacked(packed.slice(lo))
+        assert got.tolist() == links[at[lo] :].tolist() and places.tolist() == (at[lo:] - at[lo]).tolist()
