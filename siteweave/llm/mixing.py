@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siteweave.llm.shared import stored
+from siteweave.llm.shared import few, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -112,15 +112,18 @@ def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
 
 
-def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
-    """``sized(doc_id, size, sources array<string>)`` with what the mix takes.
+def pattern_key() -> Column:
+    return F.to_json(F.struct("sources"))
 
-    Adds ``source_size`` and ``target`` (of the first source) and ``taken``. Sources in
-    code-point order get the weights in turn, null last. A document may belong to many
-    sources; its words count in the size of each. Other columns of ``sized`` are kept.
+
+def law_of(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
+    """``key, source_size, target, rounds, n_buckets, edge, room``: what the mix takes of each pattern of ``sized``.
+
+    Each document goes ``rounds`` times; once more those in buckets before the one that
+    holds the last wanted word, ``edge`` (none: all), and in that one those that fit ``room``.
     """
-    spark, extra = sized.sparkSession, [c for c in sized.columns if c not in ("doc_id", "size", "sources")]
-    sums = sized.groupBy("sources").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+    spark = sized.sparkSession
+    sums = sized.groupBy("sources", pattern_key().alias("key")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     named = sorted({s for r in sums for s in r.sources if s is not None}, key=lambda s: s.encode("utf-8", "surrogatepass"))
     names: list[str | None] = named + ([None] if any(None in r.sources for r in sums) else [])
     place = {s: i for i, s in enumerate(names)}
@@ -135,22 +138,47 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = M
         flow, lead = sum(flows.values()), members[0]
         rounds = min(repeats, flow // capacity) if capacity else 0
         rest = flow - rounds * capacity if rounds < repeats else 0
-        plan.append((list(r.sources), sizes[lead], float(wanted[lead]), rounds, rest, max(1, min(BUCKETS, r.n // BUCKET_ROWS))))
-    table = small(spark, plan, "sources array<string>, source_size long, target double, rounds long, rest long, n_buckets long")
-    docs = sized.withColumn("key", F.to_json(F.struct("sources"))).join(table.withColumn("key", F.to_json(F.struct("sources"))).drop("sources"), "key")
-    docs = docs.withColumn("hash", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod("hash", "n_buckets"))
+        plan.append((r.key, sizes[lead], float(wanted[lead]), rounds, rest, max(1, min(BUCKETS, r.n // BUCKET_ROWS))))
+    schema = "key string, source_size long, target double, rounds long, rest long, n_buckets long"
 
-    # Buckets before the one that holds the last wanted word are taken whole; in that one documents are taken while they fit.
-    buckets = docs.groupBy("key", "bucket", "rest").agg(F.sum("size").alias("bucket_size"))
+    buckets = in_buckets(sized, small(spark, plan, schema), seed).groupBy("key", "bucket", "rest").agg(F.sum("size").alias("bucket_size"))
     upto = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
     buckets = buckets.withColumn("upto", F.sum("bucket_size").over(upto))
     first = buckets.where(F.col("upto") > F.col("rest")).groupBy("key").agg(F.min_by(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("bucket_size")).alias("room")), "bucket").alias("edge"))
-    edges = small(spark, [(r.key, r.edge.bucket, r.edge.room) for r in first.collect()], "key string, edge long, room long")  # a row a pattern
-    docs = docs.join(edges, "key", "left").drop("key", "rest", "n_buckets")
+    edges = {r.key: (r.edge.bucket, r.edge.room) for r in first.collect()}  # a row a pattern
+    rows = [(key, size, target, rounds, n, *edges.get(key, (None, None))) for key, size, target, rounds, _, n in plan]
+    return small(spark, rows, "key string, source_size long, target double, rounds long, n_buckets long, edge long, room long")
+
+
+def in_buckets(rows: DataFrame, table: DataFrame, seed: int) -> DataFrame:
+    """``rows(doc_id, sources)`` with the columns of their pattern in ``table``, and their hash and bucket."""
+    rows = rows.withColumn("key", pattern_key()).join(table, "key")
+    return rows.withColumn("hash", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod("hash", "n_buckets"))
+
+
+def under(rows: DataFrame, law: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``rows(doc_id, sources)`` with ``more``, 1 if taken once more and 0 if not, and apart those in edge buckets, where the room decides."""
+    rows = in_buckets(rows, law, seed).drop("key", "n_buckets")
     at_edge = F.col("bucket") == F.col("edge")
-    sure = docs.where(~at_edge | F.col("edge").isNull()).withColumn("more", (F.col("edge").isNull() | (F.col("bucket") < F.col("edge"))).cast("long"))
-    fitted = docs.where(at_edge).groupBy("sources").applyInPandas(_fit, sure.schema)
-    taken = (F.col("size") * F.least(F.col("rounds") + F.col("more"), F.lit(repeats))).alias("taken")
+    sure = rows.where(~at_edge | F.col("edge").isNull()).withColumn("more", (F.col("edge").isNull() | (F.col("bucket") < F.col("edge"))).cast("long"))
+    return sure, rows.where(at_edge)
+
+
+def times(repeats: int = MAX_REPEATS) -> Column:
+    return F.least(F.col("rounds") + F.col("more"), F.lit(repeats))
+
+
+def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
+    """``sized(doc_id, size, sources array<string>)`` with what the mix takes.
+
+    Adds ``source_size`` and ``target`` (of the first source) and ``taken``. Sources in
+    code-point order get the weights in turn, null last. A document may belong to many
+    sources; its words count in the size of each. Other columns of ``sized`` are kept.
+    """
+    extra = [c for c in sized.columns if c not in ("doc_id", "size", "sources")]
+    sure, edge = under(sized, law_of(sized, weights, repeats, seed), seed)
+    fitted = edge.groupBy("sources").applyInPandas(_fit, sure.schema)
+    taken = (F.col("size") * times(repeats)).alias("taken")
     return sure.unionByName(fitted).select("doc_id", "size", "source_size", "target", "sources", taken, *extra)
 
 
@@ -175,19 +203,23 @@ def sized_documents(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The documents of the mix, each as often as the mix takes it (stage of the pipeline).
 
-    Rows are told apart by doc_id, text and source, so different texts that share a doc_id,
-    or have none, are taken each by itself; rows that repeat are taken as often as all of
-    them together.
+    The law of its source and its doc_id decide on a row, so texts stay where they are. Only
+    the rows of edge buckets meet what the mix has found for them. Those are told apart by
+    doc_id, text and source, so different texts that share a doc_id, or have none, are taken
+    each by itself; rows that repeat are taken as often as all of them together.
     """
-    key = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", "source", F.col("source").isNull())
-    sized = docs.select(*sized_columns(), key.alias("_row"))
-    taken = mix(stored(sized, "mix-sizes"), seed=seed).where("taken > 0")
-    taken = taken.groupBy("_row").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("_times"), F.count(F.lit(1)).alias("_rows"))
-    taken = stored(taken, "mix-taken")
-    rows = docs.withColumn("_row", key)
-    if not taken.where("_rows > 1").isEmpty():
-        rows = rows.dropDuplicates(["_row"])
-    return rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    key = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", "source", F.col("source").isNull()).alias("row")
+    sized = stored(docs.select(*sized_columns(), key), "mix-sizes")
+    law = law_of(sized, seed=seed)
+    sure, edge = under(sized, law, seed)
+    fitted = edge.where("size > 0").groupBy("sources").applyInPandas(_fit, sure.schema)
+    fitted = few(stored(fitted.groupBy("row").agg(F.sum(times()).alias("times")), "mix-edge"))
+
+    doc_id, _, sources = sized_columns()
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), doc_id, sources, key).where(F.col("doc.text").rlike(WORD))
+    sure, edge = under(rows, law, seed)
+    taken = sure.select("doc", times().alias("times")).union(edge.dropDuplicates(["row"]).join(fitted, "row").select("doc", "times"))
+    return taken.where("times > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("doc.*")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

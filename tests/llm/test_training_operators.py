@@ -278,6 +278,29 @@ def test_mixing_stage_keeps_rows_apart(spark):
     assert sum(r.taken for r in both) > 0 and several.where("taken > 3 * size").count() == 0 and several.count() == 300
 
 
+def shuffled_bytes(spark):
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    return spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_mixing_stage_leaves_texts_where_they_are(spark):
+    text = F.concat_ws(" ", *[F.sha2((F.col("id") * 16 + k).cast("string"), 256) for k in range(16)])
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), text.alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    docs, limit = mixing.stored(docs, "mixing-test"), "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")  # as on tables whose row numbers are too many to be sent to every task
+    try:
+        start = shuffled_bytes(spark)
+        out = mixing.stored(mixing.mixed_documents(docs), "mixing-test")
+        moved = shuffled_bytes(spark) - start
+    finally:
+        spark.conf.set(limit, before)
+    taken = {r.doc_id: r.taken // r["size"] for r in mixing.mix(mixing.sized_documents(docs)).collect() if r.taken}
+    assert {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()} == taken
+    assert out.exceptAll(docs).select("doc_id").distinct().count() == sum(n > 1 for n in taken.values())
+    assert 0 < moved < 0.25 * 4000 * 16 * 64
+
+
 def test_toxicity_query(spark, tmp_path):
     import random
 
