@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteweave.llm.components import components
-from siteweave.llm.shared import Scratch, few, kept_by, partitions
+from siteweave.llm.shared import Scratch, few, kept_by, lean, partitions
 
 WORDS = 5
 PERCENT = 75
@@ -223,7 +223,7 @@ def shingle_order(docs: DataFrame, bits: int = SKETCH_BITS) -> Order:
                 np.add(counts, np.bincount((np.concatenate(held).view(np.uint64) >> np.uint64(64 - bits)).view(np.int64), minlength=1 << bits), out=counts, casting="unsafe")
                 held.clear()
 
-        for batch in batches:
+        for batch in lean(batches):
             for _, texts in slices(batch.column(0)):
                 held.append(shingler.shingles(texts.unique())[0])
                 if sum(map(len, held)) > 1 << 19:
@@ -258,7 +258,7 @@ def described(docs: DataFrame, order: Order, seed: int = 0) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_by("ngram_join")
         shingler, prefix = Shingler(), shared.value.prefix
-        for batch in batches:
+        for batch in lean(batches):
             for lo, texts in slices(batch.column(1)):
                 tokens, at = shingler.shingles(texts)
                 sizes, classes, checks, matches, prefixes = [], [], [], [], []
@@ -420,8 +420,9 @@ def whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, scratch:
     chosen = scratch.stored(classes.select("class", F.col("_rep").alias("key")).join(few(wanted), "class", "left_semi"), "chosen")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("ngram_join")
         shingler = Shingler()
-        for batch in batches:
+        for batch in lean(batches):
             for lo, texts in slices(batch.column(1)):
                 tokens, at = shingler.shingles(texts)
                 names = batch.column(0).slice(lo, len(texts)).to_pylist()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteweave.llm.shared import kept_by
+from siteweave.llm.shared import kept_by, lean
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "checked_token", "jwt", "private_key")
@@ -152,7 +152,7 @@ def redacted_documents(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_by("secret_scan")
         scanner = Scanner()
-        for batch in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, whole.num_rows, ROWS)):
+        for batch in (whole.slice(lo, ROWS) for whole in lean(batches) for lo in range(0, whole.num_rows, ROWS)):
             before = batch.column(text_at).to_pylist()
             texts = [x if x is None else redacted(x, scanner.spans(x)) for x in before]
             sizes = [n if old == new else len(new) for old, new, n in zip(before, texts, batch.column(size_at).to_pylist(), strict=True)]
