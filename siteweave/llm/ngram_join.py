@@ -478,7 +478,8 @@ def proposals(placed: DataFrame, turn: int) -> DataFrame:
     met = placed.select("token", F.struct("class", "n", "pos", "matches", "indexed", "comp").alias("x")).join(centres, "token")
     needed, fits = may_meet("x", "z")
     met = met.where((F.col("x.comp") != F.col("z.comp")) & fits)
-    pairs = met.groupBy(F.col("x.class").alias("a"), F.col("z.class").alias("b"), F.col("z.hash").alias("hash"), needed.alias("needed")).count()
+    met = met.select(F.col("x.class").alias("a"), F.col("z.class").alias("b"), F.col("z.hash").alias("hash"), needed.alias("needed")).repartition("a")  # no more rows than a's prefix has shingles
+    pairs = met.groupBy("a", "b", "hash", "needed").count()
     best = pairs.where(f"{LENIENT} * count >= needed").groupBy("a").agg(F.max(F.struct("count", "hash", "b")).alias("best"))
     return best.select("a", F.col("best.b").alias("b"))
 
@@ -718,17 +719,17 @@ def compared(docs: DataFrame, count_links: bool = True) -> tuple[DataFrame, Data
         """Postings with their component and its number of classes."""
         if comps is None:
             return live.withColumn("comp", F.col("class")).withColumn("members", F.lit(1).cast("long"))
-        known = few(comps).join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("members")), "comp").select(F.col("node").alias("class"), "comp", "members")
+        sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
+        known = comps.join(few(sizes, comps), "comp").select(F.col("node").alias("class"), "comp", "members")
         return live.join(few(scratch.stored(known, "members")), "class", "left").withColumn("comp", F.coalesce("comp", "class")).withColumn("members", F.coalesce("members", F.lit(1).cast("long")))
 
-    links = comps = None
+    comps = None
     for turn in range(ROUNDS):
         asked = scratch.stored(proposals(members(comps), turn), "proposals")
         found = verified(asked, sets, scratch, small)
         n, n_found = asked.count(), found.count()
         if n_found:
-            links = found if links is None else links.union(found)
-            comps = components(links, "first", scratch)
+            comps = components(found, "first", scratch, comps)
         if n_found <= FEW * n:
             break
 
@@ -741,8 +742,7 @@ def compared(docs: DataFrame, count_links: bool = True) -> tuple[DataFrame, Data
         found = verified(apart.select(F.col("class").alias("a"), F.col("pivot").alias("b")), sets, scratch, small)
         if found.isEmpty():
             break  # none beside a pivot's component is similar to the pivot
-        links = found if links is None else links.union(found)
-        comps = components(links, "first", scratch)
+        comps = components(found, "first", scratch, comps)
     crossing = crossings(placed, crowd)
     if not crowd.isEmpty():
         told = scratch.stored(departures(apart, sets), "departures", FEW_ROWS)
@@ -752,8 +752,7 @@ def compared(docs: DataFrame, count_links: bool = True) -> tuple[DataFrame, Data
     theirs = scratch.stored(placed.select("class", "comp").distinct().join(named, "comp", "left_semi"), "theirs")
     second = compared_with(crossing, theirs, sets, scratch, small)
     if not second.isEmpty():
-        links = second if links is None else links.union(second)
-        comps = components(links, "second", scratch)
+        comps = components(second, "second", scratch, comps)
 
     classes = classes.select("class", "least")
     if comps is None:

@@ -12,7 +12,8 @@ from hypothesis import strategies as st
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from siteweave.llm import byte_bpe, edit_fingerprints, html_text, mixing, ngram_join, pieces, secret_scan, sharding, token_files, toxicity, vector_topk
+from siteweave.llm import byte_bpe, edit_fingerprints, html_text, mixing, ngram_join, pieces, secret_scan, sharding, shared, token_files, toxicity, vector_topk
+from siteweave.llm.components import components
 from siteweave.llm.shared import new_path
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -680,6 +681,39 @@ def test_ngram_join_of_a_crowd_around_one_text(spark, monkeypatch):
     assert len(set(comp.values())) > 60
 
 
+@pytest.mark.parametrize("broadcast", [shared.BROADCAST_ROWS, 0])
+def test_components_go_on_from_those_of_other_edges(spark, monkeypatch, broadcast):
+    """The same components from one table of edges as from parts of it in turn, a part of few edges in few shuffles."""
+    import random
+
+    rng, made = random.Random(3), []
+    edges = [(rng.randrange(-60, 60), rng.randrange(-60, 60)) for _ in range(50)] + [(100 + k, 101 + k) for k in range(40)] + [(300, 200 + k) for k in range(30)] + [(7, 7), (999, 999)]
+    rng.shuffle(edges)
+    comp = {x: x for a, b in edges if a != b for x in (a, b)}
+    for _ in comp:
+        for a, b in edges:
+            if a != b:
+                comp[a] = comp[b] = min(comp[a], comp[b])
+
+    class Counted(shared.Scratch):
+        def stored(self, df, name, arrow_rows=None):
+            made.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") if broadcast else 0)
+            return super().stored(df, name, arrow_rows)
+
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", broadcast)
+    scratch = Counted(spark, "components")
+    rows = lambda part: spark.createDataFrame(part, "a long, b long")
+    whole = components(rows(edges), "whole", scratch).collect()
+    assert sorted((r.node, r.comp) for r in whole) == sorted(comp.items()) and sum(made) <= 5
+    known = components(rows(edges[:-20]), "first", scratch)
+    made.clear()
+    again = components(rows(edges[-20:]), "again", scratch, known)
+    assert sorted((r.node, r.comp) for r in again.collect()) == sorted(comp.items()) and sum(made) <= 3
+    made.clear()
+    assert sorted(components(rows(edges), "none", scratch, again).collect()) == sorted(again.collect()) and sum(made) == 0
+    assert components(rows([(5, 5)]), "loop", scratch).count() == 0
+
+
 @given(st.integers(1, 60), st.integers(1, 60), st.integers(0, 1 << 30))
 @settings(max_examples=300, deadline=None)
 def test_departures_of_similar_sets_meet(n, size, seed):
