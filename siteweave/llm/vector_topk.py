@@ -55,6 +55,11 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+def _kind(most: int) -> type:
+    """The narrowest whole-number type for sizes up to ``most``: blocks are copied to every block they meet."""
+    return next((t for t in (np.int8, np.int16, np.int32) if most <= np.iinfo(t).max), np.int64)
+
+
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer products: in doubles while no sum can leave their exact range."""
     if a.size == 0 or b.size == 0 or float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < SAFE:
@@ -112,8 +117,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k best candidates of every query row."""
     spark = vectors.sparkSession
     rows = stored(scaled(vectors), "vectors")
-    n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    width = max(1, width or 0)
+    n, width, least, most = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
+    width, kind = max(1, width or 0), _kind(max(-(least or 0), most or 0))
     rotation = np.linalg.eigh(gram(rows, width))[1][:, ::-1] if n else np.eye(width)
 
     # Bands of descending length; a band that one length fills is cut by id like any other.
@@ -155,7 +160,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
                 reach = size[:, None] * lengths[None, :] * (1 + 1e-9) + 1e-6 >= bound[:, None].astype(np.float64)
                 last = int(np.flatnonzero(reach.any(axis=0)).max()) if reach.any() else -1
                 if last >= 0:
-                    yield pd.DataFrame({"ids": [ids.tobytes()], "own": [own.tobytes()], "q": [q.tobytes()], "bound": [bound.tobytes()], "last": [last]})
+                    yield pd.DataFrame({"ids": [ids.tobytes()], "own": [own.tobytes()], "q": [q.astype(kind).tobytes()], "bound": [bound.tobytes()], "last": [last]})
 
     queries = rows.where(is_query).select("vec_id", "row", "v").mapInPandas(pack, "ids binary, own binary, q binary, bound binary, last int")
     queries = stored(queries, "query-blocks")
@@ -164,7 +169,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
 
     def pack_block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(norm2=pdf["norm2"]).sort_values("norm2", ascending=False, kind="stable")
-        columns = {"c_ids": pdf["vec_id"].to_numpy(np.int64), "c_own": pdf["row"].to_numpy(np.int64), "c": _matrix(pdf["v"], width)}
+        columns = {"c_ids": pdf["vec_id"].to_numpy(np.int64), "c_own": pdf["row"].to_numpy(np.int64), "c": _matrix(pdf["v"], width).astype(kind)}
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], **{k: [x.tobytes()] for k, x in columns.items()}})
 
     placed = banded.join(F.broadcast(table.groupBy("band").agg(F.max("subs").alias("subs"))), "band").withColumn("sub", F.pmod(F.xxhash64("vec_id"), "subs").cast("int"))
@@ -176,14 +181,15 @@ def top_k(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
         for pdf in batches:
             for ids, own, q, bound, c_ids, c_own, c in pdf[["ids", "own", "q", "bound", "c_ids", "c_own", "c"]].itertuples(index=False):
                 ids, own, bound, c_ids, c_own = (np.frombuffer(x, np.int64) for x in (ids, own, bound, c_ids, c_own))
-                q, c = (np.frombuffer(x, np.int64).reshape(-1, width) for x in (q, c))
+                q, c = (np.frombuffer(x, kind).reshape(-1, width).astype(np.int64) for x in (q, c))
                 found = scored(q, c, own, c_own, c_ids, bound, rotation, k)
                 if any(len(at) for at, _ in found):
                     rows = np.repeat(np.arange(len(ids)), [len(at) for at, _ in found])
                     at, scores = (np.concatenate(x) for x in zip(*found, strict=True))
                     yield pd.DataFrame({"query_id": ids[rows], "query_row": own[rows], "vec_id": c_ids[at], "vec_row": c_own[at], "score": scores})
 
-    met = queries.repartition(F.col("block"), F.col("grp")).join(candidates, ["block", "grp"]).select("ids", "own", "q", "bound", "c_ids", "c_own", "c").mapInPandas(score, SCHEMA)
+    # Query blocks are exploded: their files' size says nothing of the join's, which must not be broadcast.
+    met = queries.hint("merge").join(candidates, ["block", "grp"]).select("ids", "own", "q", "bound", "c_ids", "c_own", "c").mapInPandas(score, SCHEMA)
     ranks = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "vec_row")
     return met.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
